@@ -33,12 +33,34 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"), "doc_id")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
+#: The vocabulary that op10 counts with; read on the driver.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import count, load_vocabulary
+
+    return count(_table(spark, sf_dir, "documents"), "doc_id", vocabulary=load_vocabulary(VOCABULARY))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.QUALITY, "op4_decontamination": sql.DECONTAMINATION}
+    return {"op1_quality_rules": sql.QUALITY, "op4_decontamination": sql.DECONTAMINATION, "op8_warc": sql.WARC}
 
 
 __all__ = ["queries", "oracle_sql"]

@@ -66,3 +66,12 @@ select d.doc_id, len(ws)::bigint as n_words, coalesce(nh.n, 0)::bigint as n_hit,
   sha256(coalesce(ni.s, '')) as items_sha256, (coalesce(nh.n, 0) > 0 and 20 * coalesce(nh.n, 0) >= len(ws)) as contaminated
 from d left join nh using (doc_id) left join ni using (doc_id)
 """
+
+WARC = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+g as (select h, max(page_id) as m, count(*) as n from p where strlen(h) >= 1000 group by h having count(*) > 1)
+select p.page_id, strlen(p.h)::bigint as payload_bytes, sha1(p.h) as payload_digest,
+  case when g.m is not null and p.page_id is distinct from g.m then 'revisit' else 'response' end as record_type,
+  case when g.m is not null and p.page_id is distinct from g.m then g.m end as refers_to
+from p left join g on p.h = g.h
+"""
