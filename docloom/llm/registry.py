@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 
@@ -33,6 +34,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import dedup
+
+    found = dedup(_table(spark, sf_dir, "documents"), "doc_id")
+    removed = F.expr("aggregate(removed, 0L, (s, x) -> s + x.end - x.start)")
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
@@ -60,7 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.QUALITY, "op4_decontamination": sql.DECONTAMINATION, "op8_warc": sql.WARC}
+    return {"op1_quality_rules": sql.QUALITY, "op4_decontamination": sql.DECONTAMINATION, "op5_substring_dedup": sql.SUBSTRING, "op8_warc": sql.WARC}
 
 
 __all__ = ["queries", "oracle_sql"]

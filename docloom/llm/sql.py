@@ -75,3 +75,14 @@ select p.page_id, strlen(p.h)::bigint as payload_bytes, sha1(p.h) as payload_dig
   case when g.m is not null and p.page_id is distinct from g.m then g.m end as refers_to
 from p left join g on p.h = g.h
 """
+
+SUBSTRING = rf"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, {_WORDS}), []) as ws from documents),
+w as (select doc_id, unnest(range(0, len(ws) - 19)) as i, unnest(list_transform(range(0, len(ws) - 19), lambda k: md5(array_to_string(ws[k + 1 : k + 20], ' ')))) as g from d where len(ws) >= 20),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as r from w) where r > 1),
+gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 20)) as p from later)),
+words as (select doc_id, unnest(ws) as x, unnest(range(0, len(ws))) as p from d),
+kept as (select w.doc_id, string_agg(x, ' ' order by w.p) as s, count(*) as n from words w left join gone g on g.doc_id = w.doc_id and g.p = w.p where g.p is null group by w.doc_id)
+select d.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(kept.n, 0))::bigint as n_removed, sha256(coalesce(kept.s, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
