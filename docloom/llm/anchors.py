@@ -1,58 +1,36 @@
 """Content-defined anchors of byte strings.
 
-A position is an anchor if its k-gram hash is the leftmost smallest of some `width`
-consecutive k-grams. Equal strings of width + k - 1 bytes or more hold an anchor at the same
-place, wherever they stand: the choice depends on nothing but those bytes.
+A position is an anchor if its 16-gram hash is the leftmost smallest of some `width`
+consecutive ones. Equal strings of width + 15 bytes or more hold an anchor at the same place,
+wherever they stand: the choice depends on nothing but those bytes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .core import BYTE_BASE, U64, mix
+from .core import MUL_A, U64, PrefixHash
 
 K = 16
 
 
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """The polynomial hash of the 16 bytes from each position (zeros past the end), by doubling."""
-    n = len(raw)
-    h = np.zeros(n + K, U64)
-    h[:n] = raw
-    h[:n] += U64(1)
-    base, width = BYTE_BASE, 1
-    while width < K:
-        h[: n + K - width] = h[: n + K - width] * U64(base) + h[width:]
-        base = base * base & 0xFFFFFFFFFFFFFFFF
-        width *= 2
-    return h[:n]
-
-
-def span_hash(grams: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes [at, at + length), each length 16 or more, from the gram hashes within."""
-    out = mix(length.astype(U64))
-    last = at + length - K
-    longest = int(length.max()) if len(length) else 0
-    for shift in range(0, longest - K + 1, K):
-        inside = shift <= length - K
-        where = np.where(inside, at + shift, at)
-        out = np.where(inside, mix(out + grams[where]), out)
-    return mix(out + grams[last])
-
-
-def anchors(grams: np.ndarray, width: int) -> np.ndarray:
-    """Positions that are the leftmost smallest of some run of `width` gram hashes."""
-    n = len(grams)
+def anchors(sums: np.ndarray, hasher: PrefixHash, width: int) -> np.ndarray:
+    """Positions that are the leftmost smallest of some run of `width` gram hashes, from the text's prefix sums."""
+    n = len(sums) - K
     if n < width:
         return np.zeros(0, np.int64)
+    key = sums[K:] - sums[:-K]
+    key *= hasher.down[:n]
+    key *= MUL_A
     bits = max(1, int(n).bit_length())
     low = U64((1 << bits) - 1)
-    key = (mix(grams) & ~low) | np.arange(n, dtype=U64)
+    key &= ~low
+    key |= np.arange(n, dtype=U64)
     span, m = 1, key
     while span * 2 <= width:
         m = np.minimum(m[: len(m) - span], m[span:])
         span *= 2
     if span < width:
-        m = np.minimum(m[: n - width + 1], m[width - span : width - span + n - width + 1])
-    at = (m & low).astype(np.int64)
-    return at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
+        m = np.minimum(m[: n - width + 1], m[width - span : n - span + 1])
+    m = m[np.concatenate(([True], m[1:] != m[:-1]))]
+    return np.unique((m & low).astype(np.int64))
