@@ -62,6 +62,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near import NearRule, components
+
+    found = components(_table(spark, sf_dir, "documents"), NearRule(words=2))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 #: The vocabulary that op10 counts with; read on the driver.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
