@@ -213,7 +213,17 @@ def _shard(table: pa.Table) -> pa.Table:
     return _table(rows, ["block", "kind", "blob", "pieces", "masks"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
 
-def _mark(length: int):
+def whole_characters(text: bytes, start: int, end: int) -> tuple[int, int]:
+    """The interval without the bytes of code points that it holds in part."""
+    inside = lambda i: i < len(text) and text[i] & 0xC0 == 0x80
+    while start < end and inside(start):
+        start += 1
+    while end > start and inside(end):
+        end -= 1
+    return start, end
+
+
+def _mark(length: int, characters: bool):
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
 
@@ -251,6 +261,8 @@ def _mark(length: int):
                 continue
             # adjacent runs of two texts may touch: each is cut to its own
             own = [(max(0, int(a) - base), min(len(text), int(b) - base)) for a, b in zip(low[lows[i] : highs[i]], high[lows[i] : highs[i]])]
+            if characters:
+                own = [pair for pair in (whole_characters(text, *x) for x in own) if pair[0] < pair[1]]
             spans.append([{"start": a, "end": b} for a, b in own])
             cuts = [0, *(x for pair in own for x in pair), len(text)]
             kept.append(b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
@@ -261,13 +273,25 @@ def _mark(length: int):
     return run
 
 
-def dedup(docs: DataFrame, *columns: str, length: int = 400) -> DataFrame:
+def clean(docs: DataFrame, length: int = 400) -> DataFrame:
+    """docs with the repeated strings cut from its texts (in whole characters), and n_chars, where there is one, brought up to date.
+
+    Rows whose whole text is cut stay, with an empty text.
+    """
+    found = dedup(docs, *docs.columns, length=length, characters=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
+    updated = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return found.select([updated.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
+def dedup(docs: DataFrame, *columns: str, length: int = 400, characters: bool = False) -> DataFrame:
     """The named columns of docs, n_bytes of the text in UTF-8, removed (maximal byte intervals) and kept (the bytes left, binary).
 
     docs has doc_id (whole numbers) and text. Every copy goes, the first included; strings are
     judged on the input, and never cross documents. Null and empty texts have no bytes; texts
     shorter than `length` stay whole; equal rows repeat one another. Other columns of docs do
-    not matter, whatever their names. `length` must be at least 64.
+    not matter, whatever their names. `length` must be at least 64. With `characters`, code points that an
+    interval holds in part stay, so that what is kept is still UTF-8.
     """
     if length < 2 * WIDTH:
         raise ValueError(f"length must be at least {2 * WIDTH}")
@@ -279,5 +303,5 @@ def dedup(docs: DataFrame, *columns: str, length: int = 400) -> DataFrame:
     pieces = blocks.groupBy("_block").cogroup(groups.groupBy("block")).applyInArrow(_second_round(length, count), "shard int, block int, numbers binary, small binary, texts binary")
     led = pieces.groupBy("shard").applyInArrow(_shard, _ROUND2)
     row = blocks.schema["_row"].dataType.simpleString()
-    done = blocks.groupBy("_block").cogroup(groups.unionByName(led).groupBy("block")).applyInArrow(_mark(length), f"_row {row}, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
+    done = blocks.groupBy("_block").cogroup(groups.unionByName(led).groupBy("block")).applyInArrow(_mark(length, characters), f"_row {row}, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
     return done.select("_row.*", "n_bytes", "removed", "kept")

@@ -247,6 +247,9 @@ def keep(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
 
     Rows without words are a class each by doc_id: those that repeat a doc_id keep one.
     """
-    stay = components(docs, rule).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
+    found = saved(components(docs, rule).select("id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "near-found")
+    stay = found.where("kept").select(F.col("id").alias("_id")).distinct()
     kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    if not found.groupBy("id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns)
