@@ -8,10 +8,12 @@ sizes and the counts of larger, smaller and equal registers, rises towards simil
 cut are dropped; what remains is verified on the full sets.
 
 No bucket is expanded into all its pairs. First each node meets the best of its buckets' first
-nodes; verified links merge nodes to classes. Only buckets that still hold several classes are looked at again:
-there a node meets nodes of other classes, first its best one, and in the last round
-every one whose likelihood passes. So no link between two classes is lost, but for what the
-bands miss: with 30 bands of 4 registers a pair at 0.8 with probability 2e-7.
+nodes; verified links merge nodes to classes. Buckets that still hold several classes are looked
+at again: the registers show which of their nodes have a likely partner of another class (a pair
+counts in the first band that it shares), and the full sets of those meet inside the bucket, where
+only verified links between classes leave it. A large bucket is cut into chunks, which meet two by two. So no link
+between two classes is lost, but for what the bands miss: with 30 bands of 4 registers a pair
+at 0.8 with probability 2e-7.
 """
 
 from __future__ import annotations
@@ -37,13 +39,11 @@ class NearRule:
     percent: int = 80  # smallest similarity of a link
     bands: int = 30
     rows: int = 4
+    registers: int = 240  # the first bands * rows are banded, all are compared
     base: float = 1.001  # spacing of the registers
     rate: float = 20.0  # of the exponential variables
     deviations: float = 5.0  # how far under the threshold the likelihood must lie for a pair to be dropped
-
-    @property
-    def registers(self) -> int:
-        return self.bands * self.rows
+    chunk: int = 4000  # nodes of a bucket that meet in one task
 
     @property
     def cut(self) -> float:
@@ -129,12 +129,13 @@ def _bands_part(rule: NearRule):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, rule.bands, rule.rows)
+            registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, rule.registers)[:, : rule.bands * rule.rows].reshape(-1, rule.bands, rule.rows)
             key = np.broadcast_to(mix(np.arange(1, rule.bands + 1, dtype=U64)), registers.shape[:2]).copy()
             for i in range(rule.rows):
                 key = mix(key * MUL_A + registers[:, :, i].astype(U64))
             take = pa.array(np.repeat(np.arange(batch.num_rows), rule.bands))
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), batch.column("node").take(take)], ["band", "node"])
+            number = pa.array(np.tile(np.arange(rule.bands, dtype=np.int32), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), number, batch.column("node").take(take)], ["band", "number", "node"])
 
     return run
 
@@ -155,30 +156,53 @@ def _likely_part(rule: NearRule):
     return run
 
 
-def _class_pairs(rule: NearRule, every: bool):
-    """Pairs of different classes in one bucket whose likelihood passes: all, or each node's best."""
+def _active(rule: NearRule):
+    """The rows of one bucket that have a likely partner of another class, unless an earlier band has shown the pair."""
 
     def run(table: pa.Table) -> pa.Table:
-        nodes, labels = table["node"].to_pylist(), table["label"].to_pylist()
-        numbers = {x: i for i, x in enumerate(dict.fromkeys(labels))}
-        label = np.array([numbers[x] for x in labels])
-        regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(nodes), -1)
+        numbers = {x: i for i, x in enumerate(dict.fromkeys(table["label"].to_pylist()))}
+        label = np.array([numbers[x] for x in table["label"].to_pylist()])
+        regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(label), -1)
         n = table["n"].to_numpy().astype(float)
-        by = np.argsort(label, kind="stable")
-        label, regs, n = label[by], regs[by], n[by]
-        # rows of the largest class are only ever the other side
-        largest = np.bincount(label).argmax()
-        out = []
+        banded = regs[:, : rule.bands * rule.rows].reshape(len(label), rule.bands, rule.rows)
+        here = table["number"][0].as_py()
+        largest = np.bincount(label).argmax()  # its rows are only ever the other side
+        active = np.zeros(len(label), bool)
         for i in np.flatnonzero(label != largest).tolist():
-            j = np.flatnonzero((label != label[i]) & ((label == largest) | (np.arange(len(label)) > i)) & (100 * np.minimum(n, n[i]) >= rule.percent * np.maximum(n, n[i])))
-            if not len(j):
-                continue
-            slope = likely(regs[i][None, :], n[i], regs[j], n[j], rule)
-            hit = np.flatnonzero(slope >= 0)
-            if len(hit) and not every:
-                hit = hit[[slope[hit].argmax()]]
-            out += [(nodes[by[i]], nodes[by[j[h]]], float(slope[h])) for h in hit.tolist()]
-        return pa.Table.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.float64()))], ["a", "b", "slope"])
+            j = np.flatnonzero((label != label[i]) & (100 * np.minimum(n, n[i]) >= rule.percent * np.maximum(n, n[i])))
+            if len(j):
+                j = j[likely(regs[i][None, :], n[i], regs[j], n[j], rule) >= 0]
+                j = j[(banded[j, :here] == banded[i, :here]).all(-1).sum(-1) == 0] if here else j
+                active[j] = True
+                active[i] |= len(j) > 0
+        return table.filter(pa.array(active)).select(["band", "low", "high", "node", "label"])
+
+    return run
+
+
+def _links(rule: NearRule):
+    """Verified links that join the classes of one bucket's rows, from their full sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table["node"].to_pylist()
+        numbers = {x: i for i, x in enumerate(dict.fromkeys(table["label"].to_pylist()))}
+        label = np.array([numbers[x] for x in table["label"].to_pylist()])
+        sets = [unpack_sorted(b) for b in table["sets"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(values), np.int64)
+        out = []
+        for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+            own = ids[starts[i] : starts[i] + size[i]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[ids], starts)
+            mark[own] = 0
+            for j in np.flatnonzero((100 * shared >= rule.percent * (size + size[i] - shared)) & (label != label[i])).tolist():
+                if label[j] != label[i]:  # not joined by a link just found
+                    out.append((nodes[i], nodes[j]))
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
 
     return run
 
@@ -213,8 +237,8 @@ def components(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     rows = saved(source.mapInArrow(_sketch_part(rule, False), "id long, node binary, n long, registers binary"), "near-rows")
     nodes = saved(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "near-nodes")
     facts = nodes.select("node", "n", "registers")
-    bands = facts.mapInArrow(_bands_part(rule), "band long, node binary")
-    shared = bands.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1").select("band", "first")
+    bands = facts.mapInArrow(_bands_part(rule), "band long, number int, node binary")
+    shared = bands.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
     bands = saved(bands.join(shared, "band"), "near-bands")
     side = lambda c: facts.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
     stars = bands.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
@@ -230,12 +254,14 @@ def components(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
         return with_a.join(sets.select(F.col("node").alias("b"), F.col("sets").alias("sb")), "b").mapInArrow(_verify_part(rule), "a binary, b binary")
 
     labels = relabel(wanted.select("node", F.col("node").alias("label")), verified(best))
-    for every in (False, True):
-        held = bands.select("band", "node").join(labels, "node")
-        several = held.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        pairs = held.join(several, "band").join(facts, "node").select("band", "node", "label", "n", "registers").groupBy("band").applyInArrow(_class_pairs(rule, every), "a binary, b binary, slope double")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        labels = relabel(labels, verified(pairs))
+    held = bands.join(labels, "node")
+    several = held.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+    chunks = F.ceil(F.col("size") / F.lit(float(rule.chunk)))
+    chunked = held.join(several, "band").join(facts, "node").withColumn("own", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
+    chunked = chunked.select("band", F.least("own", "other").cast("int").alias("low"), F.greatest("own", "other").cast("int").alias("high"), "number", "node", "label", "n", "registers")
+    active = chunked.groupBy("band", "low", "high").applyInArrow(_active(rule), "band long, low int, high int, node binary, label binary")
+    links = active.join(sets, "node").groupBy("band", "low", "high").applyInArrow(_links(rule), "a binary, b binary")
+    labels = relabel(labels, links.distinct())
     classes = nodes.select("node", "id").join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     smallest = classes.groupBy("label").agg(F.min("id").alias("component_id"))
     named = classes.join(smallest, "label").select("node", "component_id")
