@@ -40,7 +40,7 @@ class FilterModel:
     spacing: float = 1.15  # of the quantised counts
     pair_weight: float = 0.3
     pair_bits: int = 40  # of a pair's hash while it is counted; 48 for corpora of over 2**32 bytes
-    tokens_each: int = 4_000_000  # words that a task counts before it sends
+    tokens_each: int = 1_500_000  # words that a task counts before it sends
 
 
 def levels(spacing: float) -> np.ndarray:
@@ -107,8 +107,7 @@ def _fill(model: FilterModel, segment_bits: int):
     edges = levels(model.spacing)
 
     def run(table: pa.Table) -> pa.Table:
-        bits = np.zeros(segment_bits, bool)
-        out = {}
+        bits, out = np.zeros(segment_bits, bool), {}
         bucket = table["bucket"][0].as_py()
         kinds = np.array(table["kind"].to_pylist())
         blobs, counts = table["blob"].to_pylist(), table["counts"].to_pylist()
@@ -169,6 +168,8 @@ def _ask(bucket_bits: int):
         make, words = Tokens(), []
         for i, j in steps(offsets, STEP):
             words.append(np.unique(make(raw, offsets[i : j + 1])[0]))
+            if len(words) == 32:
+                words = [np.unique(np.concatenate(words))]
         values = np.unique(np.concatenate(words))
         edges = bucket_edges(values, 64, bucket_bits)
         return _table([(b, key[0].as_py(), pack_sorted(values[lo:hi])) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if lo < hi], ["bucket", "block", "blob"], [pa.int32(), pa.int32(), pa.binary()])
@@ -203,7 +204,7 @@ def _score(shared, model: FilterModel, tokens: int, distinct: int):
         raw, offsets = buffers(docs["_text"])
         make, out = Tokens(), []
         size = tokens + distinct + 1
-        for i, j in steps(offsets, 16 * STEP):
+        for i, j in steps(offsets, 2 * STEP):
             words, before, pairs, bounds = make(raw, offsets[i : j + 1])
             starts = bounds[:-1]
             values, index = np.unique(np.concatenate((words, [BEGIN])), return_inverse=True)
