@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+FAMILIES = ("retrieval",)
+
+
+def _families():
+    return [import_module(f"docloom.plans.{name}") for name in FAMILIES]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {key: query for family in _families() for key, query in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {key: sql for family in _families() for key, sql in family.SQL.items()}
