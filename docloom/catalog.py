@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("retrieval", "wiki")
+FAMILIES = ("retrieval", "wiki", "facts")
 
 
 def _families():
