@@ -39,7 +39,7 @@ class NearRule:
     percent: int = 80  # smallest similarity of a link
     bands: int = 30
     rows: int = 4
-    registers: int = 240  # the first bands * rows are banded, all are compared
+    registers: int = 120  # the first bands * rows are banded, all are compared
     base: float = 1.001  # spacing of the registers
     rate: float = 20.0  # of the exponential variables
     deviations: float = 5.0  # how far under the threshold the likelihood must lie for a pair to be dropped
