@@ -35,13 +35,14 @@ def normalize_stem(text: Column) -> Column:
 def answer_norm(text: Column) -> Column:
     """Lower case, plain dashes, no thousands commas, % for percent, single spaces."""
     out = F.translate(F.lower(text), "–", "-")
-    out = F.regexp_replace(out, r"(?<=\d),(?=\d{3})", "")
-    out = F.regexp_replace(out, r"\s*percent", "%")
+    out = F.regexp_replace(out, r"(?<=\d),(?=\d{3}\b)", "")
+    out = F.regexp_replace(out, r"\s*percent\b", "%")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
 def strip_citations(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s*\[\d+\]", "")
+    """Citation marks removed, white space squeezed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s*\[\d+\]", ""), r"\s+", " "))
 
 
 def claim_sentences(text: Column) -> Column:
@@ -105,3 +106,32 @@ def value_text(value: Column) -> Column:
 
 def is_commit(revision: Column) -> Column:
     return F.coalesce(revision.rlike("^[0-9a-f]{40}$"), F.lit(False))
+
+
+def has_token(text: Column, needle: Column) -> Column:
+    """Whether the needle stands in the text, not inside a longer word or number."""
+    quoted = F.concat(F.lit(r"(?<![\w.])\Q"), needle, F.lit(r"\E(?!\w)"))
+    return F.regexp_like(text, quoted)
+
+
+#: Units that a reference may end in (fixed values).
+UNITS = r"\s*(square feet|days|day|cents|cent|hours|hour)$"
+
+
+def reference_cores(reference: Column) -> Column:
+    """What an answer must hold: both dates of a range, else the reference without its unit, $ and %."""
+    plain = answer_norm(reference)
+    dates = r"^(\d{4}-\d{2}-\d{2}) to (\d{4}-\d{2}-\d{2})$"
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, UNITS, ""), r"^\$+", ""), "%+$", "")
+    return F.when(plain.rlike(dates), F.array(F.regexp_extract(plain, dates, 1), F.regexp_extract(plain, dates, 2))).otherwise(F.array(bare))
+
+
+def fact_correct(answer: Column, reference: Column) -> Column:
+    """1 if every core of the reference stands in the answer, 0 if not or if the answer abstains."""
+    text = answer_norm(answer)
+    return F.when(abstained(answer), 0.0).otherwise(F.forall(reference_cores(reference), lambda core: has_token(text, core)).cast("double"))
+
+
+def faithful(score: Column, answer: Column, threshold: float) -> Column:
+    """An abstention is faithful; else the support must reach the threshold."""
+    return F.when(abstained(answer) | (score >= threshold), 1.0).otherwise(0.0)
