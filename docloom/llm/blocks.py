@@ -29,7 +29,7 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
 def blocked(docs: DataFrame, count: int, columns: list[str]) -> DataFrame:
     """The columns as _row, doc_id as _id, the text's bytes as _text and a hash _hash of them, dealt to blocks _block."""
-    row = F.struct(*[F.col(c) for c in columns]).alias("_row")
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
     own = docs.select(row, F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
     own = own.withColumn("_hash", F.xxhash64("_text"))
     return own.withColumn("_block", F.pmod(F.xxhash64("_id", "_hash"), F.lit(count)).cast("int")).repartition(count, "_block")

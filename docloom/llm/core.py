@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: Odd multipliers of the hashes below; any odd 64-bit numbers would do.
@@ -36,20 +36,23 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def source_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df's plan, from file sizes: no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def source_bytes(docs: DataFrame, text: str = "text") -> int:
+    """About how many bytes of files docs comes from: the sizes of the tables it reads, without a job; where those are unknown, half of its text's bytes."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    if all(x.nodeName() in ("LogicalRelation", "LocalRelation") for x in found):
+        return sum(int(str(x.stats().sizeInBytes())) for x in found)
+    return (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 2
 
 
-def partitions_for(df: DataFrame, bytes_each: int, factor: float = 1.0) -> int:
-    """Enough partitions for bytes_each of source each, and the session's shuffle width at least."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(width, min(1 << 20, math.ceil(source_bytes(df) * factor / bytes_each)))
+def widened(df: DataFrame, columns: list[str], ddl: str) -> StructType:
+    """The schema of df's columns, of any names, and of what the DDL adds."""
+    return StructType([df.schema[c] for c in columns] + StructType.fromDDL(ddl).fields)
 
 
-def with_binary_text(df: DataFrame, *columns: str, text: str = "text") -> DataFrame:
-    """The named columns, and the text as UTF-8 bytes (null: null)."""
-    return df.select(*columns, F.col(text).cast("binary").alias("_text"))
+def boxed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, and each whole row as one column _boxed, so that no other name can clash."""
+    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_boxed"))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

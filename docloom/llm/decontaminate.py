@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import MUL_A, U64, mix
+from .core import MUL_A, U64, boxed, mix
 
 
 @dataclass(frozen=True)
@@ -185,7 +185,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *columns: str, rule: Winnowing =
     """
     spans = "array<struct<start: bigint, end: bigint>>"
     source = docs.select(*columns, F.col("text").cast("binary").alias("_text"), F.lit(0).cast("long").alias("_words"), F.array().cast(spans).alias("_hits"), F.array().cast("array<string>").alias("_items"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    schema = source.schema
     for items in benchmark_blocks(benchmark, rule.block_bytes):
         index = docs.sparkSession.sparkContext.broadcast(Index(items, rule))
         source = source.mapInArrow(_scan_part(index, list(columns)), schema)
@@ -204,7 +204,7 @@ def verdict(found: DataFrame, rule: Winnowing = Winnowing()) -> DataFrame:
 
 def keep(docs: DataFrame, benchmark: DataFrame, rule: Winnowing = Winnowing()) -> DataFrame:
     """The rows of docs that are not contaminated, with docs' columns."""
-    return verdict(find(docs, benchmark, *docs.columns, rule=rule), rule).where("not contaminated").select(*docs.columns)
+    return verdict(find(boxed(docs, "text"), benchmark, "_boxed", rule=rule), rule).where("not contaminated").select("_boxed.*")
 
 
 __all__ = ["Winnowing", "find", "verdict", "keep", "fold_words", "merge"]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .anchors import anchors
 from .blocks import answers, block_count, blocked, bucket_edges, in_order, member
-from .core import MUL_B, U64, PrefixHash, buffers, mix, pack_sorted, runs_of, steps, unpack_sorted
+from .core import MUL_B, U64, PrefixHash, boxed, buffers, mix, pack_sorted, runs_of, steps, unpack_sorted, widened
 from .suffixes import permuted_prefixes, suffix_array
 from .substring import _table
 
@@ -278,10 +278,10 @@ def clean(docs: DataFrame, length: int = 400) -> DataFrame:
 
     Rows whose whole text is cut stay, with an empty text.
     """
-    found = dedup(docs, *docs.columns, length=length, characters=True)
-    text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
+    found = dedup(boxed(docs, "doc_id", "text"), "_boxed", length=length, characters=True)
+    text = F.when(F.col("_boxed.text").isNotNull(), F.col("kept").cast("string"))
     updated = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return found.select([updated.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return found.select([updated.get(c, F.col(f"_boxed.`{c}`")).alias(c) for c in docs.columns])
 
 
 def dedup(docs: DataFrame, *columns: str, length: int = 400, characters: bool = False) -> DataFrame:
@@ -302,6 +302,5 @@ def dedup(docs: DataFrame, *columns: str, length: int = 400, characters: bool =
     groups = sent.groupBy("bucket").applyInArrow(_groups, _ROUND2)
     pieces = blocks.groupBy("_block").cogroup(groups.groupBy("block")).applyInArrow(_second_round(length, count), "shard int, block int, numbers binary, small binary, texts binary")
     led = pieces.groupBy("shard").applyInArrow(_shard, _ROUND2)
-    row = blocks.schema["_row"].dataType.simpleString()
-    done = blocks.groupBy("_block").cogroup(groups.unionByName(led).groupBy("block")).applyInArrow(_mark(length, characters), f"_row {row}, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
+    done = blocks.groupBy("_block").cogroup(groups.unionByName(led).groupBy("block")).applyInArrow(_mark(length, characters), widened(blocks, ["_row"], "n_bytes long, removed array<struct<start: long, end: long>>, kept binary"))
     return done.select("_row.*", "n_bytes", "removed", "kept")

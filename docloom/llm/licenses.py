@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import U64, PrefixHash, mix
+from .core import U64, PrefixHash, mix, widened
 from .decontaminate import fold_words
 
 
@@ -206,6 +206,5 @@ def scan(docs: DataFrame, *columns: str, templates=TEMPLATES, rule: LicenseScan
     rows are reported alike; other columns do not matter, whatever their names.
     """
     source = docs.select(*columns, F.col("text").cast("binary").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*columns).schema)
     shared = docs.sparkSession.sparkContext.broadcast((tuple(templates), rule))
-    return source.mapInArrow(_scan_part(shared, list(columns)), f"{schema + ', ' if schema else ''}license string, containment double, first_word long")
+    return source.mapInArrow(_scan_part(shared, list(columns)), widened(source, list(columns), "license string, containment double, first_word long"))

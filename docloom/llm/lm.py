@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_count, blocked, bucket_edges, in_order, pack_fixed, unpack_fixed
-from .core import MUL_A, MUL_C, U64, WordHasher, buffers, mix, pack_sorted, saved, source_bytes, steps, unpack_sorted
+from .core import MUL_A, MUL_C, U64, WordHasher, buffers, mix, pack_sorted, saved, source_bytes, steps, unpack_sorted, widened
 from .substring import _table
 
 STEP = 1 << 18
@@ -261,6 +261,5 @@ def score(docs: DataFrame, training: DataFrame, *columns: str, model: FilterMode
     blocks = blocked(docs, count, list(columns))
     asked = blocks.groupBy("_block").applyInArrow(_ask(bucket_bits), "bucket int, block int, blob binary")
     told = asked.groupBy("bucket").cogroup(filled.select("bucket", "blob", "counts").groupBy("bucket")).applyInArrow(_tell, "block int, blob binary, counts binary")
-    row = blocks.schema["_row"].dataType.simpleString()
-    done = blocks.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_score(shared, model, totals[0] or 0, totals[1] or 0), f"_row {row}, n_tokens long, n_known long, base_score double, score double")
+    done = blocks.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_score(shared, model, totals[0] or 0, totals[1] or 0), widened(blocks, ["_row"], "n_tokens long, n_known long, base_score double, score double"))
     return done.select("_row.*", "n_tokens", "n_known", F.lit(totals[0] or 0).cast("long").alias("train_tokens"), "base_score", "score")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import relabel
-from .core import MUL_A, MUL_C, U64, PrefixHash, WordHasher, buffers, mix, pack_sorted, saved, steps, unpack_sorted
+from .core import MUL_A, MUL_C, U64, PrefixHash, WordHasher, boxed, buffers, mix, pack_sorted, saved, steps, unpack_sorted
 
 STEP = 1 << 18
 
@@ -275,7 +275,7 @@ def keep(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     """
     found = saved(components(docs, rule).select("id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "near-found")
     stay = found.where("kept").select(F.col("id").alias("_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    kept = boxed(docs, "doc_id").join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
     if not found.groupBy("id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns)
+    return kept.select("_boxed.*")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import answers, block_count, blocked, bucket_edges, in_order, member, pack_fixed, unpack_fixed
-from .core import U64, PrefixHash, WordHasher, buffers, mix, pack_sorted, runs_of, source_bytes, steps, unpack_sorted
+from .core import U64, PrefixHash, WordHasher, buffers, mix, pack_sorted, runs_of, source_bytes, steps, unpack_sorted, widened
 
 STEP = 1 << 18
 _SIGN = U64(1 << 63)
@@ -180,6 +180,5 @@ def dedup(docs: DataFrame, *columns: str, window: int = 20) -> DataFrame:
     repeated = sent.groupBy("bucket").applyInArrow(_repeated, "block int, blob binary")
     sent = blocks.groupBy("_block").cogroup(repeated.groupBy("block")).applyInArrow(_second_round(window, bits, bucket_bits), "bucket int, block int, blob binary, first binary, checks binary")
     later = sent.groupBy("bucket").applyInArrow(_not_first, "block int, blob binary")
-    row = blocks.schema["_row"].dataType.simpleString()
-    done = blocks.groupBy("_block").cogroup(later.groupBy("block")).applyInArrow(_remove(window), f"_row {row}, n_words long, removed array<struct<start: long, end: long>>, kept binary")
+    done = blocks.groupBy("_block").cogroup(later.groupBy("block")).applyInArrow(_remove(window), widened(blocks, ["_row"], "n_words long, removed array<struct<start: long, end: long>>, kept binary"))
     return done.select("_row.*", "n_words", "removed", F.col("kept").cast("string").alias("kept"))

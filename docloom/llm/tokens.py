@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .core import widened
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of the tokenizers library
 KEPT_SEGMENTS, KEPT_LENGTH = 500_000, 64  # segment counts a task holds on to
@@ -111,6 +113,5 @@ def count(docs: DataFrame, *columns: str, vocabulary: list[tuple[str, float]]) -
     time; other columns do not matter, whatever their names.
     """
     source = docs.select(*columns, F.col("text").cast("binary").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*columns).schema)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return source.mapInArrow(_count_part(shared, list(columns)), f"{schema + ', ' if schema else ''}n_tokens long")
+    return source.mapInArrow(_count_part(shared, list(columns)), widened(source, list(columns), "n_tokens long"))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .core import checkpoint_dir, saved
@@ -224,8 +224,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The verified records under path: file, offset, the header fields, length and the content's SHA-1."""
     found = saved(_pieces(spark, path).mapInArrow(_ranges_part, _RANGE_SCHEMA), "warc-ranges")
     totals = found.select("file", "block", "total").distinct()
-    from pyspark.sql import Window
-
     # byte ranges of one file, at its size over the split size of them
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"), "total")
