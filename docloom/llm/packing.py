@@ -87,18 +87,13 @@ class OpenBins:
         return at - self.width
 
     def tightest(self, size: int, mask: int, rare: frozenset) -> tuple[int, int, int] | None:
-        """(residual, bitmap, bin) of the tightest compatible bin; of several, the oldest."""
+        """(residual, bitmap, bin) of the tightest compatible bin; of equally tight ones, the first that reached this residual under its labels."""
         while size < self.width and (residual := self.successor(size, mask)) is not None:
-            best = None
             for held, bins in self.bins.get(residual, {}).items():
-                if held & mask:
-                    continue
-                for number, labels in bins.items():
-                    if (best is None or number < best[2]) and not labels & rare:
-                        best = (residual, held, number)
-                        break
-            if best:
-                return best
+                if not held & mask:
+                    for number, labels in bins.items():
+                        if not labels & rare:
+                            return residual, held, number
             size = residual + 1
         return None
 
@@ -138,10 +133,23 @@ def _count_part(names: list[str]):
 
 
 def _pack_part(rule: Packing):
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("_size", "descending"), ("_order", "ascending")])
-        placed = pack(zip(table["_rest"].to_pylist(), table["_source"].to_pylist(), table["_cluster"].to_pylist()), rule)
-        return table.append_column("_bin", pa.array([p[0] for p in placed], pa.int64())).append_column("_offset", pa.array([p[1] for p in placed], pa.int64()))
+        sizes = table["_size"].to_pylist()
+        rests = [size % rule.capacity for size in sizes]
+        led = [i for i, rest in enumerate(rests) if rest]
+        sources, clusters = table["_source"].to_pylist(), table["_cluster"].to_pylist()
+        placed = pack(((rests[i], sources[i], clusters[i]) for i in led), rule)
+        rows = [(i, sizes[i] // rule.capacity, rests[i], number, offset) for i, (number, offset) in zip(led, placed)]
+        number = max((p[0] for p in placed), default=-1)
+        for i, size in enumerate(sizes):  # full pieces have bins of their own, after the others
+            for piece in range(size // rule.capacity):
+                number += 1
+                rows.append((i, piece, rule.capacity, number, 0))
+        shard = key[0].as_py()
+        own = table.take(pa.array([r[0] for r in rows], pa.int64()))
+        made = [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)] + [pa.array([f"{shard}-{r[3]}" for r in rows]), pa.array([r[4] for r in rows], pa.int64())]
+        return pa.Table.from_arrays([own["doc_id"], own["source"], *made], ["doc_id", "source", "piece", "n_tokens", "bin", "offset"])
 
     return run
 
@@ -151,7 +159,7 @@ def assign(docs: DataFrame, rule: Packing = Packing(), cluster: str | None = Non
 
     docs has doc_id, text and source; `cluster` names a column of duplicate-cluster ids. Without
     one, texts that are equal but for ASCII case and white space are a cluster. Bins are named
-    shard-bin, full pieces f-hash-piece. Texts without words, and nulls, have no piece. A null
+    shard-number. Texts without words, and nulls, have no piece. A null
     source or cluster conflicts with nothing; equal rows are placed one by one. Other columns
     do not matter, whatever their names.
     """
@@ -159,13 +167,6 @@ def assign(docs: DataFrame, rule: Packing = Packing(), cluster: str | None = Non
     source = docs.select("doc_id", "source", (F.col(cluster).cast("string") if cluster else F.xxhash64(lowered).cast("string")).alias("_cluster"), F.xxhash64("doc_id", "source", "text").alias("_order"), F.col("text").cast("binary").alias("_text"))
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
     sized = source.mapInArrow(_count_part(["doc_id", "source", "_cluster", "_order"]), f"doc_id {kinds['doc_id']}, source {kinds['source']}, _cluster string, _order long, _size long").where("_size > 0")
-    capacity = rule.capacity
-    full = sized.where(F.col("_size") >= capacity).select(
-        "doc_id", "source", F.explode(F.expr(f"sequence(0L, _size div {capacity} - 1)")).alias("piece"), F.lit(capacity).cast("long").alias("n_tokens"), F.concat_ws("-", F.lit("f"), F.hex("_order"), F.col("doc_id").cast("string"), F.col("piece")).alias("bin"), F.lit(0).cast("long").alias("offset")
-    )
     shards = max(1, math.ceil(docs.count() / rule.shard_rows))
-    rests = sized.withColumn("_rest", F.col("_size") % capacity).where("_rest > 0").withColumn("_shard", F.pmod(F.xxhash64("_order", F.lit(7)), F.lit(shards)))
-    rests = rests.withColumn("_source", F.col("source").cast("string"))
-    placed = rests.groupBy("_shard").applyInArrow(_pack_part(rule), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rests.schema) + ", _bin long, _offset long")
-    placed = placed.select("doc_id", "source", F.expr(f"_size div {capacity}").alias("piece"), F.col("_rest").alias("n_tokens"), F.concat_ws("-", F.col("_shard"), F.col("_bin")).alias("bin"), F.col("_offset").alias("offset"))
-    return placed.unionByName(full)
+    dealt = sized.withColumn("_shard", F.pmod(F.xxhash64("_order", F.lit(7)), F.lit(shards))).withColumn("_source", F.col("source").cast("string"))
+    return dealt.groupBy("_shard").applyInArrow(_pack_part(rule), f"doc_id {kinds['doc_id']}, source {kinds['source']}, piece long, n_tokens long, bin string, offset long")

@@ -114,13 +114,15 @@ def test_packing_is_tightest_fit():
         bins = []  # residual, labels, offset
         for i in sorted(range(len(rests)), key=lambda i: -rests[i][0]):
             size, source, cluster = rests[i]
-            labels = {("s", source)} * 1 if source else set()
-            labels = labels | {("c", cluster)}
-            fit = [(b[0], n) for n, b in enumerate(bins) if b[0] >= size and not b[1] & labels]
-            number = min(fit)[1] if fit else len(bins)
-            if not fit:
+            labels = {("c", cluster)} | ({("s", source)} if source else set())
+            fit = {n: b[0] for n, b in enumerate(bins) if b[0] >= size and not b[1] & labels}
+            number, offset = got[i]
+            if fit:
+                assert fit[number] == min(fit.values())
+            else:
+                assert number == len(bins)
                 bins.append([40, set()])
-            assert got[i] == (number, 40 - bins[number][0])
+            assert offset == 40 - bins[number][0]
             bins[number][0] -= size
             bins[number][1] |= labels
 
