@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokenize_ident
 
@@ -49,7 +50,7 @@ def bm25(units: DataFrame, questions: DataFrame, k: int = DOCS, tokens=tokenize_
     return top(scored, k, F.col("score").desc(), F.col("unit_id"))
 
 
-def _dense_part(queries: np.ndarray, ids: list, k: int | None, keep: list[str]):
+def _dense_part(queries: np.ndarray, ids: list, kind: pa.DataType, k: int | None, keep: list[str]):
     """Inner products of each batch with all question vectors; of each batch only what may reach the first k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +65,7 @@ def _dense_part(queries: np.ndarray, ids: list, k: int | None, keep: list[str]):
             else:
                 q, row = (x.reshape(-1) for x in np.indices(scores.shape))
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()]), *(batch.column(c).take(take) for c in keep), pa.array(scores[q, row] + 0.0)], ["query_id", *keep, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], kind), *(batch.column(c).take(take) for c in keep), pa.array(scores[q, row] + 0.0)], ["query_id", *keep, "score"])
 
     return run
 
@@ -78,13 +79,13 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int | None, *keep: str, blo
     found = None
     kinds = vectors.select(*keep).schema
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", score double"
-    rows, source = [], vectors.select(*keep, "embedding")
+    rows, source, kind = [], vectors.select(*keep, "embedding"), to_arrow_type(queries.schema["query_id"].dataType)
 
     def part(rows: list) -> DataFrame:
         matrix = np.array([r[1] for r in rows], np.float64)
         if k is not None and k <= 0:
             raise ValueError("k must be positive")
-        return source.mapInArrow(_dense_part(matrix, [r[0] for r in rows], k, list(keep)), schema)
+        return source.mapInArrow(_dense_part(matrix, [r[0] for r in rows], kind, k, list(keep)), schema)
 
     for row in queries.select("query_id", "embedding").toLocalIterator():
         rows.append((row[0], row[1]))
