@@ -250,7 +250,7 @@ def _mark(length: int, characters: bool):
                     starts = at[(mask >> d) & 1 == 1] - d
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + length, -1)
-        low, high = runs_of(np.cumsum(edge[:-1]) > 0)
+        low, high = runs_of(np.cumsum(edge[:-1], dtype=np.int32) > 0)
         spans, kept = [], []
         lows, highs = np.searchsorted(high, offsets[:-1], side="right"), np.searchsorted(low, offsets[1:], side="left")
         for i, text in enumerate(docs["_text"]):

@@ -143,7 +143,7 @@ def _remove(window: int, row_type: pa.DataType | None = None):
         edge = np.zeros(len(own.words) + 1, np.int32)
         np.add.at(edge, own.at[gone], 1)
         np.add.at(edge, own.at[gone] + window, -1)
-        covered = np.cumsum(edge[:-1]) > 0
+        covered = np.cumsum(edge[:-1], dtype=np.int32) > 0
         spans, kept, sizes = [], [], []
         for i, text in enumerate(docs["_text"]):
             lo, hi = own.bounds[i], own.bounds[i + 1]
