@@ -209,3 +209,28 @@ def test_stream_counts_are_the_batchs(spark, tmp_path):
     running = stream.writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     running.awaitTermination(120)
     assert sorted(spark.table("counted").collect()) == sorted(windowed_counts(rows).collect())
+
+
+def test_compare_keeps_lanes_apart(spark):
+    from docloom.operators.arms import compare
+
+    sections = spark.createDataFrame([("a", 0, "one two"), ("b", 0, "three")], "doc string, ord int, text string")
+    good = lambda asked: asked.select("query_id", F.explode(F.array(F.struct(F.lit("b").alias("doc"), F.lit(1).alias("rank")))).alias("x")).select("query_id", "x.*")
+    got = {r.lane: r for r in compare(spark, "why?", {"good": good, "bad": lambda asked: asked.select("nothing")}, sections, lambda q, d: q + d).collect()}
+    assert got["good"].sources == ["b"] and got["good"].answer == "why?[1] b\nthree" and got["good"].error is None
+    assert got["bad"].error and got["bad"].answer is None
+
+
+def test_all_arms_in_one_plan(spark):
+    from docloom.operators.arms import run_arms
+
+    docs = spark.createDataFrame([("r.md", "region", "West", "", [], None), ("r/s.md", "store", "Shop", "", [], "open"), ("r/t.md", "store", "Other Shop", "", [], "closed")], "path string, doc_type string, title string, description string, tags array<string>, status string")
+    fields = spark.createDataFrame([("r/s.md", "store", "year", "int", ["2004"], 2004.0), ("r/t.md", "store", "year", "int", ["1999"], 1999.0)], "path string, doc_type string, field string, kind string, vals array<string>, num double")
+    edges = spark.createDataFrame([("r.md", "r/s.md", "child"), ("r.md", "r/t.md", "child")], "src string, dst string, kind string")
+    asked = spark.createDataFrame([("q", "which shop in the west")], "query_id string, text string")
+    filters = spark.createDataFrame([("q", "store", 0, "year", "<", [], [2000.0])], "query_id string, doc_type string, n int, field string, op string, s array<string>, x array<double>")
+    wanted = spark.createDataFrame([("q", "store")], "query_id string, doc_type string")
+    dense = spark.createDataFrame([("q", "r/t.md", 0.9, 1), ("q", "r/s.md", 0.5, 2)], "query_id string, path string, score double, rank int")
+    got = run_arms(asked, docs, fields, edges, filters, wanted, dense).where("rank = 1").collect()
+    first = {r.arm: r.path for r in got}
+    assert set(first) == {"R0", "R2s", "R3s", "R5p", "R6f", "R7f", "R7h"} and first["R6f"] == "r/t.md" and first["R0"] == "r/t.md" and first["R5p"].startswith("r/")
