@@ -93,7 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.QUALITY, "op4_decontamination": sql.DECONTAMINATION, "op5_substring_dedup": sql.SUBSTRING, "op8_warc": sql.WARC}
+    return {"op1_quality_rules": sql.QUALITY, "op4_decontamination": sql.DECONTAMINATION, "op3_suffix_array_dedup": sql.SUFFIXES, "op5_substring_dedup": sql.SUBSTRING, "op8_warc": sql.WARC, "op9_near_duplicates": sql.NEAR}
 
 
 __all__ = ["queries", "oracle_sql"]

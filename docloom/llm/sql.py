@@ -86,3 +86,28 @@ kept as (select w.doc_id, string_agg(x, ' ' order by w.p) as s, count(*) as n fr
 select d.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(kept.n, 0))::bigint as n_removed, sha256(coalesce(kept.s, '')) as kept_sha256
 from d left join kept using (doc_id)
 """
+
+SUFFIXES = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, i, md5(substr(h, 2 * i + 1, 800)) as g from (select doc_id, h, unnest(range(0, length(h) // 2 - 399)) as i from d where length(h) >= 800)),
+r as (select doc_id, i from (select doc_id, i, count(*) over (partition by g) as c from w) where c > 1),
+p as (select doc_id, unnest(range(0, length(h) // 2)) as p from d),
+m as (select p.doc_id, p.p, max(r.i) over (partition by p.doc_id order by p.p) as last from p left join r on r.doc_id = p.doc_id and r.i = p.p),
+c as (select doc_id, p, coalesce(last > p - 400, false) as gone from m),
+e as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by p), false) as opens from c),
+k as (select e.doc_id, count(*) filter (gone) as n_removed, count(*) filter (opens) as n_spans, coalesce(string_agg(substr(h, 2 * p + 1, 2), '' order by p) filter (not gone), '') as kept from e join d using (doc_id) group by e.doc_id)
+select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from d left join k using (doc_id)
+"""
+
+NEAR = rf"""
+with recursive d as (select doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, {_WORDS}), []) as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) > 1 then list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) else ws end) as g from d where len(ws) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+t as (select doc_id as a, doc_id as b from d union select t.a, e.b from t join e on e.a = t.b)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id, d.doc_id = m.component_id as kept
+from d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from t group by a) m using (doc_id)
+"""
