@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.llm import decontaminate, exact, near, packing, quality
 from docloom.llm.core import saved
 
+PASSAGE_BYTES = 200
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -24,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that stand more than once."""
-    return exact.clean(docs)
+    """Documents without the strings of PASSAGE_BYTES or more that stand more than once: about 35 words, so passages of 50 words do not slip through."""
+    return exact.clean(docs, PASSAGE_BYTES)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
