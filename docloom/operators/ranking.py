@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokenize_ident
 
-K1, B = 1.2, 0.75  # fixed values of the reference configuration
+K1, B = 1.2, 0.75  # fixed values of the default configuration
 DOCS = 50  # documents of a ranking
 
 

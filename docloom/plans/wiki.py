@@ -9,12 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.questions import CATEGORICAL_FIELDS  # noqa: F401  (documented values)
 from ..operators import graph, metadata, ranking
 from .base import bm25_sql, ident_sql, table
 
 SQL: dict[str, str] = {}
-_split = ident_sql
 
 
 def wiki_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,13 +156,9 @@ def arm_r2s(spark, sf_dir):
     return _r2s(spark, sf_dir, 10)
 
 
-def _stem_tokens(t: str) -> str:
-    return _stem(t)
-
-
 def _r2s_sql(k: int) -> str:
     units = "select path as unit_id, t as text from whole"
-    return f"{_FIELDS}, {_TEXT}, {bm25_sql(units, _ASKED, _stem_tokens, k)}, r2s as (select query_id, unit_id as path, score, rank from ranked)"
+    return f"{_FIELDS}, {_TEXT}, {bm25_sql(units, _ASKED, _stem, k)}, r2s as (select query_id, unit_id as path, score, rank from ranked)"
 
 
 SQL["arm_r2s"] = f"with {_r2s_sql(10)} select * from r2s"
