@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -174,6 +176,13 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(out, dtype=U64)
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system: Python workers outlive their tasks, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edge = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import MUL_A, U64, boxed, mix
+from .core import MUL_A, U64, boxed, give_back, mix
 
 
 @dataclass(frozen=True)
@@ -149,6 +149,7 @@ def _scan_part(shared, names: list[str]):
                 items.append(sorted({*(named or ()), *(str(index.items[x[2]]) for x in spans if index.items[x[2]] is not None)}))
             made = [batch.column("_text"), pa.array([n for n, _ in out], pa.int64()), pa.array(hits, _SPANS), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + made, [*names, "_text", "_words", "_hits", "_items"])
+        give_back()
 
     return run
 

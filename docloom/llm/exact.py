@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .anchors import anchors
 from .blocks import answers, block_count, blocked, bucket_edges, in_order, member
-from .core import MUL_B, U64, PrefixHash, boxed, buffers, mix, pack_sorted, runs_of, steps, unpack_sorted, widened
+from .core import MUL_B, U64, PrefixHash, boxed, buffers, give_back, mix, pack_sorted, runs_of, steps, unpack_sorted, widened
 from .suffixes import permuted_prefixes, suffix_array
 from .substring import _table
 
@@ -86,6 +86,7 @@ def _first_round(length: int, bucket_bits: int):
         body = told.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         edges = bucket_edges(context, 64, bucket_bits)
         rows = [(b, key[0].as_py(), pack_sorted(context[lo:hi]), body[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if lo < hi]
+        give_back()
         return _table(rows, ["bucket", "block", "blob", "told"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     return run
@@ -156,6 +157,7 @@ def _second_round(length: int, shards: int):
             for s in np.unique(shard).tolist():
                 own = by[edges[s] : edges[s + 1]]
                 rows.append((s, key[0].as_py(), numbers[own].tobytes(), small[own].tobytes(), texts[own].tobytes()))
+        give_back()
         return _table(rows, ["shard", "block", "numbers", "small", "texts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
     return run
@@ -268,6 +270,7 @@ def _mark(length: int, characters: bool):
             kept.append(b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         row = docs["_row"].combine_chunks() if isinstance(docs["_row"], pa.ChunkedArray) else docs["_row"]
+        give_back()
         return pa.Table.from_arrays([row, pa.array(np.diff(offsets), pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["_row", "n_bytes", "removed", "kept"])
 
     return run

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import U64, PrefixHash, mix, widened
+from .core import U64, PrefixHash, give_back, mix, widened
 from .decontaminate import fold_words
 
 
@@ -194,6 +194,7 @@ def _scan_part(shared, names: list[str]):
             take = pa.array([r[0] for r in rows], pa.int64())
             made = [pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(n).take(take) for n in names] + made, [*names, "license", "containment", "first_word"])
+        give_back()
 
     return run
 

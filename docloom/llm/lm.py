@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_count, blocked, bucket_edges, in_order, pack_fixed, unpack_fixed
-from .core import MUL_A, MUL_C, U64, WordHasher, buffers, mix, pack_sorted, saved, source_bytes, steps, unpack_sorted, widened
+from .core import MUL_A, MUL_C, U64, WordHasher, buffers, give_back, mix, pack_sorted, saved, source_bytes, steps, unpack_sorted, widened
 from .substring import _table
 
 STEP = 1 << 18
@@ -94,6 +94,7 @@ def _count_part(model: FilterModel, bits: int, bucket_bits: int):
                     words, pairs, held = [], [], 0
         if held:
             yield _sent(words, pairs, bits, bucket_bits)
+        give_back()
 
     return run
 
@@ -172,6 +173,7 @@ def _ask(bucket_bits: int):
                 words = [np.unique(np.concatenate(words))]
         values = np.unique(np.concatenate(words))
         edges = bucket_edges(values, 64, bucket_bits)
+        give_back()
         return _table([(b, key[0].as_py(), pack_sorted(values[lo:hi])) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if lo < hi], ["bucket", "block", "blob"], [pa.int32(), pa.int32(), pa.binary()])
 
     return run
@@ -230,6 +232,7 @@ def _score(shared, model: FilterModel, tokens: int, distinct: int):
             out.append((np.diff(bounds), np.add.reduceat((own > 0).astype(np.int64), starts), base, score))
         n, n_known, base, score = (np.concatenate(x) for x in zip(*out))
         row = docs["_row"].combine_chunks() if isinstance(docs["_row"], pa.ChunkedArray) else docs["_row"]
+        give_back()
         return pa.Table.from_arrays([row, pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score)], ["_row", "n_tokens", "n_known", "base_score", "score"])
 
     return run

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import relabel
-from .core import MUL_A, MUL_C, U64, PrefixHash, WordHasher, boxed, buffers, mix, pack_sorted, saved, steps, unpack_sorted
+from .core import MUL_A, MUL_C, U64, PrefixHash, WordHasher, boxed, buffers, give_back, mix, pack_sorted, saved, steps, unpack_sorted
 
 STEP = 1 << 18
 
@@ -120,6 +120,7 @@ def _sketch_part(rule: NearRule, with_sets: bool):
                     found = iter(sketch(full, rule)) if full else iter(())
                     made = pa.array([next(found).tobytes() if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), nodes, sizes, made], ["id", "node", "n", "sets" if with_sets else "registers"])
+        give_back()
 
     return run
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import answers, block_count, blocked, bucket_edges, in_order, member, pack_fixed, unpack_fixed
-from .core import U64, PrefixHash, WordHasher, buffers, mix, pack_sorted, runs_of, source_bytes, steps, unpack_sorted, widened
+from .core import U64, PrefixHash, WordHasher, buffers, give_back, mix, pack_sorted, runs_of, source_bytes, steps, unpack_sorted, widened
 
 STEP = 1 << 18
 _SIGN = U64(1 << 63)
@@ -64,6 +64,7 @@ def _first_round(window: int, bits: int, bucket_bits: int):
         short = short[keep]
         edges = bucket_edges(short, bits, bucket_bits)
         rows = [(b, key[0].as_py(), pack_sorted(short[lo:hi]), pack_sorted(short[lo:hi][again[lo:hi]])) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if lo < hi]
+        give_back()
         return _table(rows, ["bucket", "block", "blob", "again"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     return run
@@ -106,6 +107,7 @@ def _second_round(window: int, bits: int, bucket_bits: int):
             check = own.second[hit] >> U64(32)
             edges = bucket_edges(hashes, 64, bucket_bits)
             rows = [(b, key[0].as_py(), pack_sorted(hashes[lo:hi]), pack_fixed(order[lo:hi]), check[lo:hi].astype("<u4").tobytes()) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if lo < hi]
+        give_back()
         return _table(rows, ["bucket", "block", "blob", "first", "checks"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
     return run
@@ -158,6 +160,7 @@ def _remove(window: int, row_type: pa.DataType | None = None):
             kept.append(b" ".join(words))
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         row = docs["_row"].combine_chunks() if isinstance(docs["_row"], pa.ChunkedArray) else docs["_row"]
+        give_back()
         return pa.Table.from_arrays([row, pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["_row", "n_words", "removed", "kept"])
 
     return run

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import widened
+from .core import give_back, widened
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of the tokenizers library
@@ -102,6 +102,7 @@ def _count_part(shared, names: list[str]):
         for batch in batches:
             counts = [model.count((t.as_py() or b"").decode("utf-8", "replace")) for t in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(counts, pa.int64())], [*names, "n_tokens"])
+        give_back()
 
     return run
 
