@@ -103,3 +103,13 @@ def embed(chunks: DataFrame, encode, column: str = "text") -> DataFrame:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
+
+
+def fields(docs: DataFrame) -> DataFrame:
+    """Field rows (path, doc_type, field, kind, vals, num) of documents' front matter, as operators/metadata.py takes them."""
+    each = docs.select("path", "doc_type", F.explode(F.from_json("fm", "map<string, string>")).alias("field", "value")).where("value is not null")
+    v = F.col("value")
+    kind = F.when(v.isin("true", "false"), "bool").when(v.rlike(r"^-?\d+$"), "int").when(v.rlike(r"^\[.*\]$"), "list").when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date").otherwise("str")
+    vals = F.when(kind == "list", F.from_json(v, "array<string>")).otherwise(F.array(v))
+    num = F.when(kind == "int", v.try_cast("double")).when(kind == "bool", (v == "true").cast("double"))
+    return each.select("path", "doc_type", "field", kind.alias("kind"), vals.alias("vals"), num.alias("num"))
