@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import uuid
@@ -30,10 +31,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current.get() if current.isDefined() else "/tmp/checkpoints/docloom"
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before the process
+        jvm = spark.sparkContext._jvm
+        jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's process ends."""
+    path = f"{checkpoint_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """df, written as a Parquet table to the shared folder and read back: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -12,7 +12,6 @@ inside payloads and are dropped. No task needs a whole file, and only Spark open
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .core import checkpoint_dir, saved
+from .core import saved, shared_path
 
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -257,7 +256,7 @@ def round_trip(pages: DataFrame, rule: Archive = Archive()) -> DataFrame:
     are those of the payload as read; a revisit's are those its header names.
     """
     spark = pages.sparkSession
-    path = f"{checkpoint_dir(spark)}/docloom-warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     write(pages, path, rule)
     kind = pages.schema["page_id"].dataType.simpleString()
     number = lambda c: F.regexp_extract(F.col(f"`{c}`"), "^<urn:page:(.*)>$", 1).cast(kind)
