@@ -37,11 +37,16 @@ def bm25(units: DataFrame, questions: DataFrame, k: int = DOCS, tokens=tokenize_
     as a string. Units are exploded only into words that some question has, so what is shuffled
     follows the questions, not the corpus.
     """
-    rows, stats = bm25_stats(units, tokens(F.col("text")))
+    rows = units.select(F.col("unit_id").cast("string").alias("unit_id"), tokens(F.col("text")).alias("terms")).withColumn("n_terms", F.size("terms"))
     words = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = words.select("term").distinct()
-    postings = rows.select("unit_id", "n_terms", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "unit_id", "n_terms").agg(F.count("*").alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    # the empty word stands for the unit itself: lengths and words come from one scan and one exchange
+    wanted = words.select("term").union(questions.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    each = rows.select("unit_id", "n_terms", F.explode_outer(F.concat("terms", F.array(F.lit("")))).alias("term"))
+    postings = each.join(wanted, "term", "left_semi").groupBy("term", "unit_id", "n_terms").agg(F.count("*").alias("tf"))
+    whole = F.col("term") == ""
+    stats = postings.agg(F.sum(F.when(whole, F.col("tf"))).alias("n_units"), (F.sum(F.when(whole, F.col("n_terms") * F.col("tf"))) / F.sum(F.when(whole, F.col("tf")))).alias("avg_terms"))
+    # counted from tf, so that the plan of the postings is read again and not made again
+    frequency = postings.groupBy("term").agg(F.sum(F.least(F.col("tf"), F.lit(1))).alias("df"))
     weights = words.join(frequency, "term").crossJoin(F.broadcast(stats))  # stats is one row
     weights = weights.select("query_id", "term", "avg_terms", F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     length = k1 * (1 - b + b * F.col("n_terms") / F.col("avg_terms"))
