@@ -2,16 +2,17 @@
 
 Word and word-pair counts of all training documents are summed in hash buckets. Each count is
 quantised on a logarithmic scale (small counts keep their value), and the events (n-gram, 1) to
-(n-gram, level) enter a Bloom filter; each bucket fills its own segment of it. The filter, of
-`filter_bits` bits at most, whatever the corpus, is broadcast. A count is read by probing
-level after level until one is missing; no pair is read as more frequent than its words.
+(n-gram, level) enter a Bloom filter; each bucket fills its own segment of it, of `bits_each` bits
+for each of its events, so that the filter grows with the corpus and its share of false positives
+does not. No task and no driver holds more of it than a segment: blocks of documents ask the
+buckets for their own words and pairs. A count is read by probing level after level until one is
+missing; no pair is read as more frequent than its words.
 
     p(w) = (c(w) + 1) / (N + V + 1)
     p(w | v) = pair_weight * c(v w) / c(v) + (1 - pair_weight) * p(w)
 
-with every count read from the filter. The filter's false positives grow as the corpus outgrows
-`filter_bits`; the README gives figures. The base score needs exact counts of all words, which no
-filter gives: blocks of documents ask the buckets for those of their own words.
+with every count read from the filter. The base score needs exact counts of all words, which no
+filter gives: the buckets answer those of each block's words too.
 """
 
 from __future__ import annotations
@@ -30,12 +31,13 @@ from .core import MUL_A, MUL_C, U64, WordHasher, buffers, give_back, mix, pack_s
 from .substring import _table
 
 STEP = 1 << 18
+ASKED = 64  # blocks that a bucket answers at a time
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 
 
 @dataclass(frozen=True)
 class FilterModel:
-    filter_bits: int = 1 << 29  # largest size of the filter: what is broadcast
+    bits_each: int = 16  # bits of the filter for each event
     probes: int = 3  # bits of an event
     spacing: float = 1.15  # of the quantised counts
     pair_weight: float = 0.3
@@ -104,11 +106,12 @@ def _positions(event: np.ndarray, level: int, probe: int, size: int) -> np.ndarr
     return mix(event + U64(shift)) % U64(size)
 
 
-def _fill(model: FilterModel, segment_bits: int):
+def _fill(model: FilterModel, segment_bits: int | None = None):
+    """The exact counts of one bucket's words, and its segment: of segment_bits, or by its number of events."""
     edges = levels(model.spacing)
 
     def run(table: pa.Table) -> pa.Table:
-        bits, out = np.zeros(segment_bits, bool), {}
+        out, put = {}, []
         bucket = table["bucket"][0].as_py()
         kinds = np.array(table["kind"].to_pylist())
         blobs, counts = table["blob"].to_pylist(), table["counts"].to_pylist()
@@ -123,17 +126,20 @@ def _fill(model: FilterModel, segment_bits: int):
             start = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
             values, n = values[start], np.add.reduceat(n, start)
             top = np.searchsorted(edges, n, side="right")
-            event = mix(values + U64(kind))
+            put.append((mix(values + U64(kind)), top))
+            if kind == 0:
+                word = values != BEGIN
+                out = {"blob": pack_sorted(values[word]), "counts": pack_fixed(n[word].astype(U64)), "distinct": int(word.sum()), "tokens": int(n[word].sum())}
+        size = segment_bits or max(64, -(-model.bits_each * sum(int(top.sum()) for _, top in put) // 64) * 64)
+        bits = np.zeros(size, bool)
+        for event, top in put:
             level = 1
             while len(event):
                 for probe in range(model.probes):
-                    bits[_positions(event, level, probe, segment_bits).astype(np.int64)] = True
+                    bits[_positions(event, level, probe, size).astype(np.int64)] = True
                 level += 1
                 on = top >= level
                 event, top = event[on], top[on]
-            if kind == 0:
-                word = values != BEGIN
-                out = {"blob": pack_sorted(values[word]), "counts": pack_fixed(n[word].astype(U64)), "distinct": int(word.sum()), "tokens": int(n[word].sum())}
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "blob": pa.array([out.get("blob", b"")], pa.binary()), "counts": pa.array([out.get("counts", b"")], pa.binary()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "distinct": pa.array([out.get("distinct", 0)], pa.int64()), "tokens": pa.array([out.get("tokens", 0)], pa.int64())})
 
     return run
@@ -146,86 +152,105 @@ class Filter:
         self.data, self.segment, self.bits, self.bucket_bits, self.model = data, segment_bits, bits, bucket_bits, model
         self.edges = levels(model.spacing)
 
-    def counts(self, values: np.ndarray, kind: int, most: np.ndarray | None = None) -> np.ndarray:
-        """The smallest counts that the events found stand for; 0 if none is found, and at most `most`."""
+    def levels(self, values: np.ndarray, kind: int) -> np.ndarray:
+        """The number of levels found of each value; 0 if none is."""
         width = 64 if kind == 0 else self.bits
-        bucket = (values >> U64(width - self.bucket_bits)).astype(np.int64) * self.segment
+        bucket = (values >> U64(width - self.bucket_bits)).astype(np.int64) * self.segment if self.bucket_bits else np.zeros(len(values), np.int64)
         event, found = mix(values + U64(kind)), np.zeros(len(values), np.int64)
-        alive = np.arange(len(values)) if most is None else np.flatnonzero(most > 0)
-        level = 1
-        while len(alive):
+        alive, level = np.arange(len(values)), 1
+        while len(alive) and level <= len(self.edges):
             for probe in range(self.model.probes):
                 at = bucket[alive] + _positions(event[alive], level, probe, self.segment).astype(np.int64)
                 alive = alive[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             found[alive] = level
             level += 1
-        out = np.concatenate(([0.0], self.edges))[found]
-        return out if most is None else np.minimum(out, most)
+        return found
+
+    def counts(self, values: np.ndarray, kind: int) -> np.ndarray:
+        """The smallest counts that the events found stand for; 0 if none is found."""
+        return np.concatenate(([0.0], self.edges))[self.levels(values, kind)]
+
 
+def _distinct(parts: list[np.ndarray], own: np.ndarray) -> list[np.ndarray]:
+    """parts with own, merged where they are many."""
+    parts = [*parts, np.unique(own)]
+    return [np.unique(np.concatenate(parts))] if len(parts) == 32 else parts
 
-def _ask(bucket_bits: int):
+
+def _ask(bits: int, bucket_bits: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         raw, offsets = buffers(table["_text"])
-        make, words = Tokens(), []
+        make, words, pairs = Tokens(), [np.array([BEGIN])], []
         for i, j in steps(offsets, STEP):
-            words.append(np.unique(make(raw, offsets[i : j + 1])[0]))
-            if len(words) == 32:
-                words = [np.unique(np.concatenate(words))]
-        values = np.unique(np.concatenate(words))
-        edges = bucket_edges(values, 64, bucket_bits)
+            own, _, both, _ = make(raw, offsets[i : j + 1])
+            words, pairs = _distinct(words, own), _distinct(pairs, both >> U64(64 - bits))
+        words, pairs = np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
+        w, p = bucket_edges(words, 64, bucket_bits), bucket_edges(pairs, bits, bucket_bits)
         give_back()
-        return _table([(b, key[0].as_py(), pack_sorted(values[lo:hi])) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if lo < hi], ["bucket", "block", "blob"], [pa.int32(), pa.int32(), pa.binary()])
+        rows = [(b, key[0].as_py(), pack_sorted(words[w[b] : w[b + 1]]), pack_sorted(pairs[p[b] : p[b + 1]])) for b in range(1 << bucket_bits) if w[b] < w[b + 1] or p[b] < p[b + 1]]
+        return _table(rows, ["bucket", "block", "words", "pairs"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     return run
 
 
-def _tell(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """The exact counts of the words that each block asked one bucket for; those without one are left out."""
-    rows = []
-    if known.num_rows and asked.num_rows:
-        values, counts = unpack_sorted(known["blob"][0].as_py()), unpack_fixed(known["counts"][0].as_py())
-        for block, blob in zip(asked["block"].to_pylist(), asked["blob"].to_pylist()) if len(values) else ():
-            own = unpack_sorted(blob)
-            at = np.searchsorted(values, own)
-            at[at == len(values)] = 0
-            hit = values[at] == own
-            if hit.any():
-                rows.append((block, pack_sorted(own[hit]), pack_fixed(counts[at[hit]])))
-    return _table(rows, ["block", "blob", "counts"], [pa.int32(), pa.binary(), pa.binary()])
-
-
-def _score(shared, model: FilterModel, tokens: int, distinct: int):
+def _tell(model: FilterModel, bits: int):
+    """The exact counts and the levels of the words, and the levels of the pairs, that each block asked one bucket for, in the order asked."""
+
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        rows, read = [], None
+        if known.num_rows and asked.num_rows:
+            values, counts = unpack_sorted(known["blob"][0].as_py()), unpack_fixed(known["counts"][0].as_py())
+            data = np.frombuffer(known["bits"][0].as_py(), np.uint8)
+            read = Filter(data, 8 * len(data), bits, 0, model)
+        for lo in range(0, asked.num_rows, ASKED):
+            part = asked.slice(lo, ASKED)
+            words, pairs = ([unpack_sorted(b) for b in part[c].to_pylist()] for c in ("words", "pairs"))
+            all_words, all_pairs = np.concatenate(words), np.concatenate(pairs)
+            exact, held, seen = np.zeros(len(all_words), U64), np.zeros(len(all_words), np.uint16), np.zeros(len(all_pairs), np.uint16)
+            if read:
+                held, seen = read.levels(all_words, 0).astype(np.uint16), read.levels(all_pairs, 1).astype(np.uint16)
+                if len(values):
+                    at = np.searchsorted(values, all_words)
+                    at[at == len(values)] = 0
+                    exact = np.where(values[at] == all_words, counts[at], U64(0))
+            w, p = (np.cumsum([0, *map(len, x)]).tolist() for x in (words, pairs))
+            for i, (block, bucket) in enumerate(zip(part["block"].to_pylist(), part["bucket"].to_pylist())):
+                rows.append((block, bucket, pack_fixed(exact[w[i] : w[i + 1]]), held[w[i] : w[i + 1]].tobytes(), seen[p[i] : p[i + 1]].tobytes()))
+        give_back()
+        return _table(rows, ["block", "bucket", "exact", "held", "seen"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+
+    return run
+
+
+def _score(model: FilterModel, bits: int, tokens: int, distinct: int):
+    edges = np.concatenate(([0.0], levels(model.spacing)))
+
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        docs = in_order(docs)
-        data, segment, bits, bucket_bits = shared.value
-        read = Filter(np.frombuffer(data, np.uint8), segment, bits, bucket_bits, model)
-        known = np.concatenate([unpack_sorted(b) for b in found["blob"].to_pylist()] or [np.zeros(0, U64)])
-        exact = np.concatenate([unpack_fixed(b) for b in found["counts"].to_pylist()] or [np.zeros(0, U64)]).astype(np.int64)
-        by = np.argsort(known)
-        known, exact = known[by], exact[by]
+        docs, found = in_order(docs), found.sort_by("bucket")
         raw, offsets = buffers(docs["_text"])
-        make, out = Tokens(), []
-        size = tokens + distinct + 1
+        make, parts, values, keys = Tokens(), [], [np.array([BEGIN])], []
         for i, j in steps(offsets, 2 * STEP):
-            words, before, pairs, bounds = make(raw, offsets[i : j + 1])
+            words, _, pairs, bounds = make(raw, offsets[i : j + 1])
+            pairs >>= U64(64 - bits)
+            parts.append((words, pairs, bounds))
+            values, keys = _distinct(values, words), _distinct(keys, pairs)
+        # as the block has asked: the answers are in this order
+        values, keys = np.unique(np.concatenate(values)), np.unique(np.concatenate(keys))
+        exact = np.concatenate([unpack_fixed(b) for b in found["exact"].to_pylist()]).astype(np.int64)
+        held = edges[np.frombuffer(b"".join(found["held"].to_pylist()), np.uint16)]
+        seen = np.frombuffer(b"".join(found["seen"].to_pylist()), np.uint16)
+        if not len(exact) == len(held) == len(values) or len(seen) != len(keys):
+            raise ValueError("answers do not match what the block asked for")
+        begin, size, out = held[np.searchsorted(values, BEGIN)], tokens + distinct + 1, []
+        for words, pairs, bounds in parts:
             starts = bounds[:-1]
-            values, index = np.unique(np.concatenate((words, [BEGIN])), return_inverse=True)
-            count = np.zeros(len(values), np.int64)
-            if len(known):
-                at = np.searchsorted(known, values)
-                at[at == len(known)] = 0
-                count = np.where(known[at] == values, exact[at], 0)
-            own = count[index[:-1]]
+            at = np.searchsorted(values, words)
+            own, word = exact[at], held[at]
             base = np.add.reduceat(np.log10((own + 1.0) / size), starts)
-            held = read.counts(values, 0)
-            word = held[index[:-1]]
             context = np.empty(len(word))
             context[1:] = word[:-1]
-            context[starts] = held[index[-1]]
-            short, where = np.unique(pairs >> U64(64 - bits), return_inverse=True)
-            most = np.zeros(len(short))
-            np.maximum.at(most, where, np.minimum(word, context))
-            together = read.counts(short, 1, most)[where]
+            context[starts] = begin
+            together = np.minimum(edges[seen[np.searchsorted(keys, pairs)]], np.minimum(word, context))
             single = (word + 1) / size
             p = np.where(context > 0, model.pair_weight * together / np.maximum(context, 1) + (1 - model.pair_weight) * single, single)
             score = np.add.reduceat(np.log10(p), starts)
@@ -246,23 +271,16 @@ def score(docs: DataFrame, training: DataFrame, *columns: str, model: FilterMode
     empty texts are an end alone. Without training texts every count is 0. Equal rows count as
     often as they stand there. Other columns do not matter, whatever their names.
     """
-    spark = docs.sparkSession
     count = block_count(docs)
     bucket_bits = min(14, max(2, math.ceil(math.log2(count))))
     size = source_bytes(training)
     bits = model.pair_bits if size < 1 << 32 else max(model.pair_bits, 48)
-    filter_bits = min(model.filter_bits, 1 << max(20, math.ceil(math.log2(max(2, 4 * size)))))
-    segment = max(64, filter_bits >> bucket_bits)
     source = training.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
     sent = source.mapInArrow(_count_part(model, bits, bucket_bits), "bucket int, kind int, blob binary, counts binary")
-    filled = saved(sent.groupBy("bucket").applyInArrow(_fill(model, segment), "bucket int, blob binary, counts binary, bits binary, distinct long, tokens long"), "lm-counts")
-    data = bytearray(segment // 8 << bucket_bits)  # filter_bits / 8 bytes at most
-    for row in filled.select("bucket", "bits").toLocalIterator():
-        data[row["bucket"] * (segment // 8) : (row["bucket"] + 1) * (segment // 8)] = row["bits"]
+    filled = saved(sent.groupBy("bucket").applyInArrow(_fill(model), "bucket int, blob binary, counts binary, bits binary, distinct long, tokens long"), "lm-counts")
     totals = filled.agg(F.sum("tokens"), F.sum("distinct")).first()
-    shared = spark.sparkContext.broadcast((bytes(data), segment, bits, bucket_bits))
     blocks = blocked(docs, count, list(columns))
-    asked = blocks.groupBy("_block").applyInArrow(_ask(bucket_bits), "bucket int, block int, blob binary")
-    told = asked.groupBy("bucket").cogroup(filled.select("bucket", "blob", "counts").groupBy("bucket")).applyInArrow(_tell, "block int, blob binary, counts binary")
-    done = blocks.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_score(shared, model, totals[0] or 0, totals[1] or 0), widened(blocks, ["_row"], "n_tokens long, n_known long, base_score double, score double"))
+    asked = blocks.groupBy("_block").applyInArrow(_ask(bits, bucket_bits), "bucket int, block int, words binary, pairs binary")
+    told = asked.groupBy("bucket").cogroup(filled.select("bucket", "blob", "counts", "bits").groupBy("bucket")).applyInArrow(_tell(model, bits), "block int, bucket int, exact binary, held binary, seen binary")
+    done = blocks.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_score(model, bits, totals[0] or 0, totals[1] or 0), widened(blocks, ["_row"], "n_tokens long, n_known long, base_score double, score double"))
     return done.select("_row.*", "n_tokens", "n_known", F.lit(totals[0] or 0).cast("long").alias("train_tokens"), "base_score", "score")

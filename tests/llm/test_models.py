@@ -65,6 +65,29 @@ def test_filter_reads_what_was_put_in():
     assert (got >= want).all() and (got == want).mean() > 0.99
 
 
+def test_filter_grows_with_the_events():
+    import pyarrow as pa
+
+    from docloom.llm.blocks import pack_fixed
+    from docloom.llm.core import pack_sorted
+
+    model = lm.FilterModel()
+    fills, unseen = [], np.random.default_rng(3).integers(0, 2**63, 20_000).astype(np.uint64)
+    for n in (500, 5000, 50_000):
+        values = np.unique(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64))
+        table = pa.table({"bucket": pa.array([0], pa.int32()), "kind": pa.array([0], pa.int32()), "blob": pa.array([pack_sorted(values)], pa.binary()), "counts": pa.array([pack_fixed(np.full(len(values), 7, np.uint64))], pa.binary())})
+        data = np.frombuffer(lm._fill(model)(table)["bits"][0].as_py(), np.uint8)
+        fills.append(np.unpackbits(data).mean())
+        assert (lm.Filter(data, 8 * len(data), 40, 0, model).counts(unseen, 0) > 0).mean() < 0.01
+    assert max(fills) < 0.2 and max(fills) - min(fills) < 0.02
+
+
+def test_climb_ends_at_the_last_level():
+    model = lm.FilterModel()
+    full = np.full(128, 255, np.uint8)
+    assert (lm.Filter(full, 1024, 40, 0, model).counts(np.arange(5, dtype=np.uint64), 0) == lm.levels(model.spacing)[-1]).all()
+
+
 BAD = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
 
 
