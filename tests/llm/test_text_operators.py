@@ -47,6 +47,20 @@ def test_quality_divergence_rejects_foreign_characters(spark):
     assert kept == set(range(40))
 
 
+@pytest.mark.parametrize("n_large", [400, 20])
+def test_quality_verdict_does_not_depend_on_the_languages_share(spark, n_large):
+    import random
+
+    rng = random.Random(4)
+    greek = [chr(c) for c in range(0x3B1, 0x3C9)]
+    word = lambda: "".join(rng.choice(greek) for _ in range(rng.randrange(3, 9)))
+    own = [(i, corpus.words(rng, 200, 300), "en", "s", 0, *"xyzn0q") for i in range(n_large)]
+    own += [(1000 + i, " ".join(word() for _ in range(60)), "el", "s", 0, *"xyzn0q") for i in range(8)]
+    own.append((2000, " ".join("#$%&" for _ in range(20)) + " " + " ".join(f"{i}!!!" for i in range(60)), "el", "s", 0, *"xyzn0q"))
+    kept = {r.doc_id for r in quality.keep(corpus.frame(spark, own=own)).collect()}
+    assert kept == set(range(n_large)) | set(range(1000, 1008))
+
+
 def test_quality_keep_returns_the_columns(spark):
     docs = corpus.frame(spark)
     assert quality.keep(docs).columns == docs.columns
