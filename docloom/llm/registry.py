@@ -22,9 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near import NearRule
     from .packing import assign
 
-    return assign(_table(spark, sf_dir, "documents"))
+    return assign(_table(spark, sf_dir, "documents"), near=NearRule())
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

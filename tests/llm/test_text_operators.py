@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from docloom.llm import decontaminate, licenses, packing, quality, tokens
+from docloom.llm import decontaminate, licenses, packing, quality, registry, tokens
+from docloom.llm.near import NearRule
 
 from . import corpus
 
@@ -157,6 +158,43 @@ def test_packing_places_every_word(spark):
     assert packing.assign(corpus.empty(spark)).count() == 0
 
 
+def test_packing_parts_copies(spark):
+    import random
+
+    rng = random.Random(6)
+    texts = [corpus.words(rng, 40, 5000) for _ in range(6)]
+    copies = [t.upper() for t in texts] + [t.replace(" ", " \n\t ", 5) + "  " for t in texts]  # case and white space
+    near = [t + " end" for t in texts]
+    other = [t.replace("w", "W").replace("2", "x") for t in texts]  # not copies
+    rows = [(i, t, "en", None, 0, *"xyzn0q") for i, t in enumerate([*texts, *copies, *near, *other])]
+    rows += [(99, corpus.words(rng, 40, 5000), "en", None, 0, *"xyzn0q") for _ in range(2)]  # an id that repeats
+    docs, rule = corpus.frame(spark, own=rows), packing.Packing(capacity=10_000)
+
+    def together(found):
+        bins = defaultdict(set)
+        for r in found:
+            bins[r.bin].add(r.doc_id)
+        assert sum(r.n_tokens for r in found) == sum(len(WORD.findall(r[1])) for r in rows)
+        return {(a, b) for own in bins.values() for a in own for b in own}
+
+    plain, classed = together(packing.assign(docs, rule).collect()), together(packing.assign(docs, rule, near=NearRule()).collect())
+    for i in range(6):
+        assert not {(i, i + 6), (i, i + 12), (i + 6, i + 12)} & plain
+        assert not {(i, i + 6), (i, i + 12), (i + 6, i + 12), (i, i + 18), (i + 6, i + 18)} & classed
+    assert {(18, 19), (18, 24)} <= classed and {(18, 19), (18, 24)} <= plain and {(0, 18), (6, 18), (12, 18)} & plain
+
+
+def test_op2_parts_near_copies(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    texts = [corpus.words(rng, 60, 5000) for _ in range(5)]
+    rows = [(2 * i + k, t, "en", f"s{2 * i + k}", 0, *"xyzn0q") for i, text in enumerate(texts) for k, t in enumerate((text, text + " end"))]
+    corpus.frame(spark, own=rows).write.parquet(str(tmp_path / "documents.parquet"))
+    bins = {r.doc_id: r.bin for r in registry.op2_best_fit_packing(spark, str(tmp_path)).collect()}
+    assert all(bins[2 * i] != bins[2 * i + 1] for i in range(5)) and len(set(bins.values())) == 2
+
+
 def test_licences(spark):
     apache = "Licensed under the Apache License, Version 2.0."
     own = [(1, f"some words before {apache} and after", None), (2, "no licence here " * 50, None), (3, None, None), (4, "Released  under the MIT license", None), (5, licenses.TEMPLATES[1][1], None), (6, f"{apache}\n" * 3, None)]
