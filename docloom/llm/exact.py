@@ -264,7 +264,8 @@ def _mark(length: int, characters: bool):
             # adjacent runs of two texts may touch: each is cut to its own
             own = [(max(0, int(a) - base), min(len(text), int(b) - base)) for a, b in zip(low[lows[i] : highs[i]], high[lows[i] : highs[i]])]
             if characters:
-                own = [pair for pair in (whole_characters(text, *x) for x in own) if pair[0] < pair[1]]
+                own = [whole_characters(text, *x) for x in own]
+            own = [pair for pair in own if pair[0] < pair[1]]  # an empty text may lie inside a run
             spans.append([{"start": a, "end": b} for a, b in own])
             cuts = [0, *(x for pair in own for x in pair), len(text)]
             kept.append(b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2])))

@@ -174,3 +174,11 @@ def test_registers_estimate_similarity():
         assert (near.likely(regs[:1], np.array([len(a)]), regs[1:], np.array([len(b)]), rule)[0] >= 0) == passes
     union = near.sketch([np.unique(np.concatenate((a, b)))], rule)
     assert (union[0] == np.maximum(*regs)).all()
+
+
+def test_empty_texts_between_copies_have_no_span(spark):
+    copy = corpus.words(random.Random(7), 150, 5000)
+    own = [(i, (copy, "", None)[i % 3], "en", "s", 0, *"xyzn0q") for i in range(60)]
+    for r in exact.dedup(corpus.frame(spark, own=own), "doc_id").collect():
+        want = [(0, len(copy))] if r.doc_id % 3 == 0 else []
+        assert [(x.start, x.end) for x in r.removed] == want and bytes(r.kept) == b""
