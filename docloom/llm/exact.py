@@ -1,17 +1,19 @@
 """Removal of repeated byte strings by suffix arrays.
 
-A string of `length` bytes that starts twice anywhere is removed wherever it stands. Each such
-string holds a content-defined anchor near its start, whose `context` bytes to the right lie in
-the string too. So documents are first reduced to anchors: a hash of each anchor's context, and
-one of its piece (the context with all bytes that a string led by this anchor may reach). Hashes
-are counted over all documents in packed buckets. Anchors whose context is unique lead no
-repeated string; in a group whose pieces all agree, every string of the piece is repeated.
-
-The groups whose pieces differ go to suffix-array shards. A piece's text there is its left
-margin, one symbol that stands for the group's common context, and its right margin; equal
-pieces are one text with a count. Each shard's array is built by induced sorting (suffixes.py),
-and runs of the array whose permuted common prefixes reach the string's length are the repeated
-strings. Their places go back to the blocks, which mark the bytes.
+A string of `length` bytes that starts twice anywhere is removed wherever it stands. Suffix-array
+shards decide which do: they sort the bytes themselves, by induced sorting (suffixes.py), and runs of an
+array whose permuted common prefixes reach the length are the repeated strings.
+
+Hashes only choose what is sorted, and where. Each string has a content-defined anchor among its
+first bytes (anchors.py), whose `context` bytes to the right lie in the string too. The starts
+of one anchor and all bytes of their strings are a piece. Blocks of documents count the hashes of
+contexts in packed buckets; pieces whose context stands once hold no repeated string, and all others go
+to the shard that their context names, a block's equal pieces as one. So equal strings meet
+in one shard, and a start is sorted once. Repeated starts go back to the blocks, which mark the bytes.
+
+A context that very many different pieces share (a common line, with whatever stands around it)
+would crowd its shard. Blocks count the hashes of the whole strings of such pieces first, and
+send on only the stretches whose strings stand twice, so that what is alike in all of them arrives as one.
 """
 
 from __future__ import annotations
@@ -21,198 +23,259 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import anchors
+from .anchors import K, anchors
 from .blocks import answers, block_count, blocked, bucket_edges, in_order, member
-from .core import MUL_B, U64, PrefixHash, boxed, buffers, give_back, mix, pack_sorted, runs_of, steps, unpack_sorted, widened
-from .suffixes import permuted_prefixes, suffix_array
+from .core import MUL_A, MUL_B, U64, PrefixHash, boxed, buffers, give_back, mix, pack_sorted, runs_of, steps, unpack_sorted, widened
 from .substring import _table
+from .suffixes import permuted_prefixes, suffix_array
 
-WIDTH = 32  # of the anchors' windows
 STEP = 1 << 18
-_ROUND2 = "block int, kind int, blob binary, pieces binary, masks binary"
+CROWD = 4096  # different pieces of a context, summed over blocks, from which their strings are counted first
+SHARED, CROWDED, STRINGS, STARTS = range(4)  # kinds of what blocks are told
+_TOLD = "block int, kind int, blob binary, masks binary"
+_TOLD_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+
+def _widths(length: int) -> tuple[int, int]:
+    """Of an anchor's window and of its context."""
+    width = max(K, length * 5 // 8)
+    return width, length - width + 1
 
 
-class Anchors:
-    """Anchors of some texts: place, piece bounds, context hashes and piece hash."""
+class Pieces:
+    """The pieces of some texts: the first and last start of each, the hashes of its context and of all its bytes."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, length: int, one: PrefixHash, two: PrefixHash | None = None) -> None:
-        base = int(offsets[0])
-        values = raw[base : int(offsets[-1])].astype(U64) + U64(1)
-        sums = one.sums(values)
-        at = anchors(sums, one, WIDTH)
-        bounds = offsets - base
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, length: int, one: PrefixHash, two: PrefixHash) -> None:
+        width, context = _widths(length)
+        self.base, self.length, self.one, self.two = int(offsets[0]), length, one, two
+        values = raw[self.base : int(offsets[-1])].astype(U64) + U64(1)
+        self.sums, self.values, self._second = one.sums(values), values, None
+        at, first, last = anchors(self.sums, one, width)
+        bounds = offsets - self.base
         doc = np.searchsorted(bounds, at, side="right") - 1
-        low, high = bounds[doc], bounds[doc + 1]
-        context = length - WIDTH
-        fit = (at + context <= high) & (high - low >= length)
-        at, low, high = at[fit], low[fit], high[fit]
-        self.low, self.high = np.maximum(low, at - (WIDTH - 1)), np.minimum(high, at + length)
-        self.context = mix(one.spans(sums, at, at + context))
-        self.piece = mix(one.spans(sums, self.low, self.high) + (self.high - self.low).astype(U64) * MUL_B + (at - self.low).astype(U64))
-        self.second = mix(two.spans(two.sums(values), at, at + context)) if two else None
-        self.at, self.base = at + base, base
-        self.low += base
-        self.high += base
-
-
-def _each(raw: np.ndarray, offsets: np.ndarray, length: int, second: bool = False) -> Iterator[Anchors]:
-    one, two = PrefixHash(), PrefixHash(0x9FB21C651E98DF25) if second else None
+        first, last = np.maximum(first, bounds[doc]), np.minimum(last, bounds[doc + 1] - length)
+        fit = np.flatnonzero(first <= last)
+        self.at, self.first, self.last = at[fit], first[fit], last[fit]
+        self.context = mix(one.spans(self.sums, self.at, self.at + context))
+
+    def take(self, pick: np.ndarray) -> None:
+        self.at, self.first, self.last, self.context = self.at[pick], self.first[pick], self.last[pick], self.context[pick]
+
+    def keys(self) -> np.ndarray:
+        """The hash of each piece's bytes, by two bases."""
+        if self._second is None:
+            self._second = self.two.sums(self.values)
+        low, high = self.first, self.last + self.length
+        size = (high - low).astype(U64)
+        return mix(mix(self.one.spans(self.sums, low, high) + size * MUL_B) ^ (self.two.spans(self._second, low, high) + size * MUL_A))
+
+    def strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The piece, the start and the hash of each string."""
+        count = self.last - self.first + 1
+        piece = np.repeat(np.arange(len(count)), count)
+        start = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count - self.first, count)
+        return piece, start, mix(self.one.spans(self.sums, start, start + self.length))
+
+    def repeated_stretches(self, known: np.ndarray) -> None:
+        """Cuts the pieces to the stretches of starts whose strings' hashes are known."""
+        piece, start, hashes = self.strings()
+        hit = member(hashes, known)
+        piece, start = piece[hit], start[hit]
+        new = np.ones(len(piece), bool)
+        new[1:] = (piece[1:] != piece[:-1]) | (start[1:] != start[:-1] + 1)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(piece))[: len(head)] - 1
+        self.take(piece[head])
+        self.first, self.last = start[head], start[tail]
+
+
+def _each(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[Pieces]:
+    one, two = PrefixHash(), PrefixHash(0x9FB21C651E98DF25)
     for i, j in steps(offsets, STEP):
-        yield Anchors(raw, offsets[i : j + 1], length, one, two)
+        if offsets[j] - offsets[i] >= length:
+            yield Pieces(raw, offsets[i : j + 1], length, one, two)
 
 
-def _first_round(length: int, bucket_bits: int):
+def _told(found: pa.Table, kind: int) -> pa.Table:
+    return found.filter(pc.equal(found["kind"], kind))
+
+
+def _contexts(length: int, bucket_bits: int):
+    """What each block sends to the buckets: its distinct contexts, the number of different pieces of each, and whether it stands twice."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         raw, offsets = buffers(table["_text"])
-        parts = list(_each(raw, offsets, length))
-        context = np.concatenate([p.context for p in parts]) if parts else np.zeros(0, U64)
-        piece = np.concatenate([p.piece for p in parts]) if parts else context
-        by = np.argsort(context, kind="stable")
+        parts = [(p.context, p.keys()) for p in _each(raw, offsets, length)]
+        context, piece = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, U64),) * 2
+        by = np.lexsort((piece, context))
         context, piece = context[by], piece[by]
-        first = np.ones(len(by), bool)
-        first[1:] = context[1:] != context[:-1]
-        start = np.flatnonzero(first)
+        new = np.ones(len(by), bool)
+        new[1:] = context[1:] != context[:-1]
+        other = new.copy()
+        other[1:] |= piece[1:] != piece[:-1]
+        start = np.flatnonzero(new)
+        told = np.zeros(0, np.uint16)
         if len(start):
-            many = np.diff(np.append(start, len(by))) > 1
-            mixed = np.minimum.reduceat(piece, start) != np.maximum.reduceat(piece, start)
-            context, piece = context[start], piece[start]
-            # 38 bits of the piece's hash and two flags, in five bytes
-            told = (piece >> U64(26)) << U64(2) | many.astype(U64) << U64(1) | mixed.astype(U64)
-        else:
-            told = context
-        body = told.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            different = np.minimum(np.add.reduceat(other.astype(np.int64), start), 0x7FFF)
+            told = (different << 1 | (np.diff(np.append(start, len(by))) > 1)).astype("<u2")
+        context = context[start]
         edges = bucket_edges(context, 64, bucket_bits)
-        rows = [(b, key[0].as_py(), pack_sorted(context[lo:hi]), body[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if lo < hi]
+        rows = [(b, key[0].as_py(), pack_sorted(context[lo:hi]), told[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if lo < hi]
         give_back()
         return _table(rows, ["bucket", "block", "blob", "told"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     return run
 
 
-def _groups(table: pa.Table) -> pa.Table:
-    """For each block of one bucket, its repeated contexts: kind 0 those whose pieces all agree, kind 1 the others."""
+def _groups(crowd: int):
+    """For each block of one bucket, its contexts that stand twice: those of few pieces and those of many."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks = table["block"].to_pylist()
+        lists = [unpack_sorted(b) for b in table["blob"].to_pylist()]
+        context = np.concatenate(lists)
+        told = np.frombuffer(b"".join(table["told"].to_pylist()), "<u2").astype(np.int64)
+        by = np.argsort(context, kind="stable")
+        context, told = context[by], told[by]
+        start = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+        twice = (np.diff(np.append(start, len(by))) > 1) | np.bitwise_or.reduceat(told & 1, start).astype(bool)
+        many = np.add.reduceat(told >> 1, start) > crowd
+        rows = []
+        for kind, known in ((SHARED, context[start[twice & ~many]]), (CROWDED, context[start[twice & many]])):
+            if len(known):
+                rows += [(block, kind, pack_sorted(found), None) for block, own in zip(blocks, lists) if len(found := own[member(own, known)])]
+        return _table(rows, ["block", "kind", "blob", "masks"], _TOLD_TYPES)
+
+    return run
+
+
+def _strings(length: int, bucket_bits: int):
+    """The distinct string hashes of a block's crowded pieces, and those that stand twice in the block."""
+
+    def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
+        crowded, rows = answers(_told(found, CROWDED)), []
+        if len(crowded):
+            raw, offsets = buffers(docs["_text"])
+            parts = [np.zeros(0, U64)]
+            for p in _each(raw, offsets, length):
+                p.take(np.flatnonzero(member(p.context, crowded)))
+                parts.append(p.strings()[2])
+            values, counts = np.unique(np.concatenate(parts), return_counts=True)
+            edges = bucket_edges(values, 64, bucket_bits)
+            rows = [(b, key[0].as_py(), pack_sorted(values[lo:hi]), pack_sorted(values[lo:hi][counts[lo:hi] > 1])) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if lo < hi]
+        give_back()
+        return _table(rows, ["bucket", "block", "blob", "again"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+
+    return run
+
+
+def _repeated_strings(table: pa.Table) -> pa.Table:
     blocks = table["block"].to_pylist()
     lists = [unpack_sorted(b) for b in table["blob"].to_pylist()]
-    context = np.concatenate(lists)
-    wide = np.zeros((len(context), 8), np.uint8)
-    wide[:, :5] = np.frombuffer(b"".join(table["told"].to_pylist()), np.uint8).reshape(-1, 5)
-    told = wide.reshape(-1).view("<u8")
-    by = np.argsort(context, kind="stable")
-    context, told = context[by], told[by]
-    start = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-    size = np.diff(np.append(start, len(by)))
-    flags = np.bitwise_or.reduceat(told & U64(3), start)
-    piece = told >> U64(2)
-    mixed = (np.minimum.reduceat(piece, start) != np.maximum.reduceat(piece, start)) | (flags & U64(1)).astype(bool)
-    repeated = (size > 1) | (flags & U64(2)).astype(bool)
-    kinds = [context[start[repeated & ~mixed]], context[start[repeated & mixed]]]
-    rows = []
-    for block, own in zip(blocks, lists):
-        rows += [(block, kind, pack_sorted(found), None, None) for kind, known in enumerate(kinds) if len(found := own[member(own, known)])]
-    return _table(rows, ["block", "kind", "blob", "pieces", "masks"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
-
-
-def _kind(found: pa.Table, kind: int) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    return answers(found.filter(pc.equal(found["kind"], kind)))
-
-
-def _second_round(length: int, shards: int):
+    every = np.sort(np.concatenate(lists + [unpack_sorted(b) for b in table["again"].to_pylist()]))
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    rows = [(block, STRINGS, pack_sorted(found), None) for block, own in zip(blocks, lists) if len(found := own[member(own, twice)])]
+    return _table(rows, ["block", "kind", "blob", "masks"], _TOLD_TYPES)
+
+
+def _sorted_pieces(raw: np.ndarray, offsets: np.ndarray, length: int, found: pa.Table) -> Iterator[Pieces]:
+    """The pieces of a block that go to shards."""
+    shared, crowded, strings = (answers(_told(found, kind)) for kind in (SHARED, CROWDED, STRINGS))
+    if not len(shared) and not len(strings):
+        return
+    for p in _each(raw, offsets, length):
+        many = np.flatnonzero(member(p.context, crowded)) if len(strings) else ()
+        few = np.flatnonzero(member(p.context, shared))
+        if len(few):
+            if len(many):
+                whole = (p.at, p.first, p.last, p.context)
+            p.take(few)
+            yield p
+            if len(many):
+                p.at, p.first, p.last, p.context = whole
+        if len(many):
+            p.take(many)
+            p.repeated_stretches(strings)
+            if len(p.at):
+                yield p
+
+
+def _send(length: int, shards: int):
+    """A block's different pieces, each to the shard of its context: their keys, whether they stand twice, their sizes and their bytes."""
+
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        mixed = _kind(found, 1)
         raw, offsets = buffers(docs["_text"])
-        picked = []
-        for p in _each(raw, offsets, length, second=True) if len(mixed) else ():
-            hit = np.flatnonzero(member(p.context, mixed) & (p.high - p.low >= length))
-            if len(hit):
-                picked.append((p.context[hit], p.second[hit], p.piece[hit], p.at[hit], p.low[hit], p.high[hit]))
+        parts = [(p.keys(), p.context, p.first + p.base, p.last + p.base + length) for p in _sorted_pieces(raw, offsets, length, found)]
         rows = []
-        if picked:
-            context, second, piece, at, low, high = (np.concatenate(x) for x in zip(*picked))
-            by = np.lexsort((piece, second, context))
-            new = np.ones(len(by), bool)
-            new[1:] = (context[by][1:] != context[by][:-1]) | (piece[by][1:] != piece[by][:-1]) | (second[by][1:] != second[by][:-1])
-            start = np.flatnonzero(new)
-            many = np.diff(np.append(start, len(by))) > 1
-            keep = by[start]
-            context, second, piece, at, low, high = (x[keep] for x in (context, second, piece, at, low, high))
-            left, right = at - low, high - at - (length - WIDTH)
-            room = np.arange(WIDTH)
-            texts = np.zeros((len(at), 2 * WIDTH - 1), np.uint8)
-            for j in room[1:]:  # the left margin ends at WIDTH - 1, the right one begins there
-                inside = left >= j
-                texts[inside, WIDTH - 1 - j] = raw[at[inside] - j]
-            for j in room:
-                inside = right > j
-                texts[inside, WIDTH - 1 + j] = raw[at[inside] + (length - WIDTH) + j]
-            shard = (mix(context + texts[:, WIDTH - 1].astype(U64)) % U64(shards)).astype(np.int64)  # strings of different next bytes never meet
+        if parts:
+            keys, context, low, high = (np.concatenate(x) for x in zip(*parts))
+            keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
+            low, high, shard = low[at], high[at], (mix(context[at] + MUL_A) % U64(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[by], np.arange(shards + 1))
-            numbers = np.stack([context, second, piece], axis=1).astype("<u8")
-            small = np.stack([left, right, many], axis=1).astype(np.uint8)
-            for s in np.unique(shard).tolist():
-                own = by[edges[s] : edges[s + 1]]
-                rows.append((s, key[0].as_py(), numbers[own].tobytes(), small[own].tobytes(), texts[own].tobytes()))
+            edges = np.append(np.flatnonzero(np.concatenate(([True], shard[by][1:] != shard[by][:-1]))), len(by))
+            twice = (counts > 1).astype(np.uint8)
+            data = raw.tobytes()
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                own = by[lo:hi]
+                text = b"".join([data[a:b] for a, b in zip(low[own].tolist(), high[own].tolist())])
+                rows.append((int(shard[own[0]]), key[0].as_py(), keys[own].astype("<u8").tobytes(), twice[own].tobytes(), (high - low)[own].astype("<u4").tobytes(), text))
         give_back()
-        return _table(rows, ["shard", "block", "numbers", "small", "texts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+        return _table(rows, ["shard", "block", "keys", "twice", "sizes", "text"], [pa.int32(), pa.int32(), *[pa.binary()] * 4])
 
     return run
 
 
-def repeated_starts(group: np.ndarray, left: np.ndarray, right: np.ndarray, count: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """For each piece, the bit mask of the starts (bytes before the anchor) whose strings are repeated, by the shard's suffix array."""
-    n = len(group)
-    room = np.arange(WIDTH - 1)
-    symbols = np.full((n, 2 * WIDTH + 1), -1, np.int64)
-    symbols[:, : WIDTH - 1] = np.where(room[::-1][None, :] < left[:, None], texts[:, : WIDTH - 1].astype(np.int64) + 2, -1)
-    symbols[:, WIDTH - 1] = 258 + group
-    symbols[:, WIDTH : 2 * WIDTH] = np.where(np.arange(WIDTH)[None, :] < right[:, None], texts[:, WIDTH - 1 :].astype(np.int64) + 2, -1)
-    symbols[:, 2 * WIDTH] = 1  # ends a piece
-    flat = symbols.reshape(-1)
-    held = np.flatnonzero(flat >= 0)
-    text = flat[held].tolist() + [0]
-    array = suffix_array(text, 258 + int(group.max()) + 1)
-    prefixes = np.array(permuted_prefixes(text, array), np.int64)
-    array = np.array(array, np.int64)
-    piece, place = np.append(held // (2 * WIDTH + 1), 0), np.append(held % (2 * WIDTH + 1), 2 * WIDTH)
-    before = WIDTH - 1 - place  # bytes before the anchor
-    led = (before >= 0) & (WIDTH - before <= right[piece])
-    run = np.cumsum(prefixes[array] < WIDTH + 1) - 1
-    weight = np.bincount(run, weights=np.where(led, count[piece], 0)[array])
-    hit = array[(weight[run] >= 2) & led[array]]
-    masks = np.zeros(n, U64)
-    np.bitwise_or.at(masks, piece[hit], U64(1) << before[hit].astype(U64))
-    return masks
-
-
-def _shard(table: pa.Table) -> pa.Table:
-    sizes = [len(b) // 24 for b in table["numbers"].to_pylist()]
-    numbers = np.frombuffer(b"".join(table["numbers"].to_pylist()), "<u8").reshape(-1, 3)
-    small = np.frombuffer(b"".join(table["small"].to_pylist()), np.uint8).reshape(-1, 3)
-    texts = np.frombuffer(b"".join(table["texts"].to_pylist()), np.uint8).reshape(-1, 2 * WIDTH - 1)
-    by = np.lexsort((numbers[:, 2], numbers[:, 1], numbers[:, 0]))
-    same_group = np.zeros(len(by), bool)
-    same_group[1:] = (numbers[by][1:, :2] == numbers[by][:-1, :2]).all(axis=1)
-    same = same_group.copy()
-    same[1:] &= numbers[by][1:, 2] == numbers[by][:-1, 2]
-    start = np.flatnonzero(~same)
-    count = np.add.reduceat(1 + small[by, 2].astype(np.int64), start)
-    group = np.cumsum(~same_group)[start] - 1
-    one = by[start]
-    masks = repeated_starts(group, small[one, 0].astype(np.int64), small[one, 1].astype(np.int64), count, texts[one])
-    each = np.zeros(len(by), U64)
-    each[by] = masks[np.cumsum(~same) - 1]
-    rows, at = [], 0
-    for block, size in zip(table["block"].to_pylist(), sizes):
-        own = np.arange(at, at + size)[each[at : at + size] != 0]
-        at += size
-        if len(own):
-            rows.append((block, 2, numbers[own, 0].astype("<u8").tobytes(), numbers[own, 2].astype("<u8").tobytes(), each[own].astype("<u4").tobytes()))
-    return _table(rows, ["block", "kind", "blob", "pieces", "masks"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+def repeated_starts(pieces: list[bytes], count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A flag for each start of each of the distinct pieces, whether its string of `length` bytes stands twice, and the n + 1 bounds of the pieces' flags.
+
+    A piece counts as often as `count` says.
+    """
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    text = np.frombuffer(b"\x00".join(pieces) + b"\x00", np.uint8).astype(np.uint16) + np.uint16(2)
+    ends = np.cumsum(sizes + 1) - 1
+    text[ends] = 1  # ends a piece
+    text = np.append(text, np.uint16(0))
+    array = suffix_array(text, 258)
+    run = np.cumsum(permuted_prefixes(text, array)[array] < length)
+    starts = np.maximum(0, sizes - length + 1)
+    bounds = np.concatenate(([0], np.cumsum(starts)))
+    whole = np.repeat(ends - sizes - bounds[:-1], starts) + np.arange(bounds[-1])  # places whose strings lie in their piece
+    weight = np.zeros(len(text), np.int64)
+    weight[whole] = np.repeat(count, starts)
+    total = np.bincount(run, weights=weight[array])
+    hit = np.zeros(len(text), bool)
+    hit[array] = total[run] >= 2
+    return hit[whole], bounds
+
+
+def _shard(length: int):
+    def run(table: pa.Table) -> pa.Table:
+        known: dict[bytes, int] = {}
+        pieces, owners = [], []
+        for i, text in enumerate(table["text"]):
+            text = text.as_buffer()
+            cuts = np.concatenate(([0], np.cumsum(np.frombuffer(table["sizes"][i].as_buffer(), "<u4").astype(np.int64)))).tolist()
+            data = memoryview(text)
+            owners.append(np.array([known.setdefault(bytes(data[a:b]), len(known)) for a, b in zip(cuts[:-1], cuts[1:])], np.int64))
+        pieces = list(known)
+        twice = [np.frombuffer(b, np.uint8).astype(np.int64) for b in table["twice"].to_pylist()]
+        count = np.bincount(np.concatenate(owners), weights=1 + np.concatenate(twice)).astype(np.int64)
+        hit, bounds = repeated_starts(pieces, count, length)
+        any_hit = np.add.reduceat(hit, bounds[:-1], dtype=np.int64) > 0
+        masks = {i: np.packbits(hit[bounds[i] : bounds[i + 1]], bitorder="little").tobytes() for i in np.flatnonzero(any_hit).tolist()}
+        rows = []
+        for block, own, keys in zip(table["block"].to_pylist(), owners, table["keys"].to_pylist()):
+            on = np.flatnonzero(any_hit[own])
+            if len(on):
+                rows.append((block, STARTS, np.frombuffer(keys, "<u8")[on].tobytes(), b"".join([masks[i] for i in own[on].tolist()])))
+        give_back()
+        return _table(rows, ["block", "kind", "blob", "masks"], _TOLD_TYPES)
+
+    return run
 
 
 def whole_characters(text: bytes, start: int, end: int) -> tuple[int, int]:
@@ -225,34 +288,40 @@ def whole_characters(text: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def _starts(raw: np.ndarray, offsets: np.ndarray, length: int, found: pa.Table) -> np.ndarray:
+    """A flag for each byte of a block: whether a repeated string starts there."""
+    begins = np.zeros(len(raw), bool)
+    rows = _told(found, STARTS)
+    if not rows.num_rows:
+        return begins
+    keys = np.frombuffer(b"".join(rows["blob"].to_pylist()), "<u8")
+    data = np.frombuffer(b"".join(rows["masks"].to_pylist()), np.uint8)
+    by = np.argsort(keys)
+    parts, counts = [], np.zeros(len(keys), np.int64)
+    for p in _sorted_pieces(raw, offsets, length, found):
+        own = p.keys()
+        at = by[np.minimum(np.searchsorted(keys, own, sorter=by), len(by) - 1)]
+        hit = np.flatnonzero(keys[at] == own)
+        count = (p.last - p.first + 1)[hit]
+        counts[at[hit]] = count
+        parts.append((at[hit], p.first[hit] + p.base, count))
+    which, first, count = (np.concatenate(x) for x in zip(*parts))
+    places = np.cumsum((counts + 7) // 8) - (counts + 7) // 8  # where each key's mask begins
+    for lo in range(0, len(which), 1 << 14):
+        w, f, c = which[lo : lo + (1 << 14)], first[lo : lo + (1 << 14)], count[lo : lo + (1 << 14)]
+        k = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+        on = data[np.repeat(places[w], c) + (k >> 3)] >> (k & 7).astype(np.uint8) & 1 == 1
+        begins[(np.repeat(f, c) + k)[on]] = True
+    return begins
+
+
 def _mark(length: int, characters: bool):
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
         docs = in_order(docs)
         raw, offsets = buffers(docs["_text"])
-        agreed = _kind(found, 0)
-        rows = found.filter(pc.equal(found["kind"], 2))
-        led = [np.frombuffer(b"".join(rows[c].to_pylist()), kind) for c, kind in (("blob", "<u8"), ("pieces", "<u8"), ("masks", "<u4"))]
-        tag = mix(led[0] ^ mix(led[1]))
-        by = np.argsort(tag)
-        tag, masks = tag[by], led[2][by].astype(np.int64)
-        edge = np.zeros(len(raw) + 1, np.int32)
-        for p in _each(raw, offsets, length) if len(agreed) or len(tag) else ():
-            whole = member(p.context, agreed) & (p.high - p.low >= length)
-            np.add.at(edge, p.low[whole], 1)
-            np.add.at(edge, p.high[whole], -1)
-            if len(tag):
-                own = mix(p.context ^ mix(p.piece))
-                where = np.searchsorted(tag, own)
-                where[where == len(tag)] = 0
-                hit = tag[where] == own
-                at, mask = p.at[hit], masks[where[hit]]
-                for d in range(WIDTH):
-                    starts = at[(mask >> d) & 1 == 1] - d
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + length, -1)
-        low, high = runs_of(np.cumsum(edge[:-1], dtype=np.int32) > 0)
+        covered = np.cumsum(_starts(raw, offsets, length, found), dtype=np.int32)
+        covered[length:] -= covered[:-length].copy()
+        low, high = runs_of(covered > 0)
         spans, kept = [], []
         lows, highs = np.searchsorted(high, offsets[:-1], side="right"), np.searchsorted(low, offsets[1:], side="left")
         for i, text in enumerate(docs["_text"]):
@@ -288,23 +357,27 @@ def clean(docs: DataFrame, length: int = 400) -> DataFrame:
     return found.select([updated.get(c, F.col(f"_boxed.`{c}`")).alias(c) for c in docs.columns])
 
 
-def dedup(docs: DataFrame, *columns: str, length: int = 400, characters: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *columns: str, length: int = 400, characters: bool = False, crowd: int = CROWD) -> DataFrame:
     """The named columns of docs, n_bytes of the text in UTF-8, removed (maximal byte intervals) and kept (the bytes left, binary).
 
     docs has doc_id (whole numbers) and text. Every copy goes, the first included; strings are
     judged on the input, and never cross documents. Null and empty texts have no bytes; texts
     shorter than `length` stay whole; equal rows repeat one another. Other columns of docs do
     not matter, whatever their names. `length` must be at least 64. With `characters`, code points that an
-    interval holds in part stay, so that what is kept is still UTF-8.
+    interval holds in part stay, so that what is kept is still UTF-8. `crowd` changes only the way, not the result.
     """
-    if length < 2 * WIDTH:
-        raise ValueError(f"length must be at least {2 * WIDTH}")
+    if length < 64:
+        raise ValueError("length must be at least 64")
     count = block_count(docs)
     bucket_bits = min(16, max(2, math.ceil(math.log2(count))))
     blocks = blocked(docs, count, list(columns))
-    sent = blocks.groupBy("_block").applyInArrow(_first_round(length, bucket_bits), "bucket int, block int, blob binary, told binary")
-    groups = sent.groupBy("bucket").applyInArrow(_groups, _ROUND2)
-    pieces = blocks.groupBy("_block").cogroup(groups.groupBy("block")).applyInArrow(_second_round(length, count), "shard int, block int, numbers binary, small binary, texts binary")
-    led = pieces.groupBy("shard").applyInArrow(_shard, _ROUND2)
-    done = blocks.groupBy("_block").cogroup(groups.unionByName(led).groupBy("block")).applyInArrow(_mark(length, characters), widened(blocks, ["_row"], "n_bytes long, removed array<struct<start: long, end: long>>, kept binary"))
+    sent = blocks.groupBy("_block").applyInArrow(_contexts(length, bucket_bits), "bucket int, block int, blob binary, told binary")
+    groups = sent.groupBy("bucket").applyInArrow(_groups(crowd), _TOLD)
+    crowded = groups.where(F.col("kind") == CROWDED)
+    strings = blocks.join(crowded.select(F.col("block").alias("_block")).distinct(), "_block", "left_semi").groupBy("_block").cogroup(crowded.groupBy("block"))
+    strings = strings.applyInArrow(_strings(length, bucket_bits), "bucket int, block int, blob binary, again binary")
+    told = groups.unionByName(strings.groupBy("bucket").applyInArrow(_repeated_strings, _TOLD))
+    pieces = blocks.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_send(length, 2 * count), "shard int, block int, keys binary, twice binary, sizes binary, text binary")
+    starts = pieces.groupBy("shard").applyInArrow(_shard(length), _TOLD)
+    done = blocks.groupBy("_block").cogroup(told.unionByName(starts).groupBy("block")).applyInArrow(_mark(length, characters), widened(blocks, ["_row"], "n_bytes long, removed array<struct<start: long, end: long>>, kept binary"))
     return done.select("_row.*", "n_bytes", "removed", "kept")

@@ -1,101 +1,160 @@
-"""Suffix arrays by induced sorting, and their permuted common prefixes."""
+"""Suffix arrays by induced sorting, and their permuted common prefixes, over numpy arrays.
+
+Induction scans the array once from each end. A step takes as many cells as are final already:
+all up to the first cell that a suffix induced by this step lands in.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 
-def _buckets(text: list[int], size: int) -> tuple[list[int], list[int]]:
-    """Where each symbol's suffixes begin and end."""
-    counts = [0] * size
-    for c in text:
-        counts[c] += 1
-    heads, tails, total = [0] * size, [0] * size, 0
-    for c, n in enumerate(counts):
-        heads[c] = total
-        total += n
-        tails[c] = total
-    return heads, tails
 
+def _narrow(values: np.ndarray, size: int) -> np.ndarray:
+    """Symbols below size in the narrowest type, which sorts fastest."""
+    return values.astype(np.uint8 if size <= 1 << 8 else np.uint16 if size <= 1 << 16 else np.int32)
 
-def _induce(text: list[int], small: bytearray, heads: list[int], tails: list[int], seeds: list[int]) -> list[int]:
-    """Larger suffixes from the seeds, left to right; then smaller ones from those, right to left."""
-    n = len(text)
-    array = [-1] * n
-    free = tails[:]
-    for i in reversed(seeds):
-        c = text[i]
-        free[c] -= 1
-        array[free[c]] = i
-    free = heads[:]
-    for at in range(n):
-        i = array[at] - 1
-        if i >= 0 and not small[i]:
-            c = text[i]
-            array[free[c]] = i
-            free[c] += 1
-    free = tails[:]
-    for at in range(n - 1, -1, -1):
-        i = array[at] - 1
-        if i >= 0 and small[i]:
-            c = text[i]
-            free[c] -= 1
-            array[free[c]] = i
+
+def _grouped(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The stable order by symbol, each group's symbol and size, and each ordered row's rank in its group."""
+    by = np.argsort(symbols, kind="stable")
+    ordered = symbols[by]
+    start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    size = np.diff(np.append(start, len(by)))
+    return by, ordered[start].astype(np.int64), size, np.arange(len(by)) - np.repeat(start, size)
+
+
+def _larger(text: np.ndarray, small: np.ndarray, array: np.ndarray, heads: np.ndarray) -> None:
+    """Places the larger suffixes, left to right, after those that are in the array."""
+    free, n, at, step = heads.copy(), len(text), 0, 1 << 10
+    while at < n:
+        end = min(n, at + step)
+        while True:
+            before = array[at:end].astype(np.int64) - 1
+            own = np.flatnonzero(before >= 0)
+            own = own[~small[before[own]]]
+            before = before[own]
+            if not len(before):
+                break
+            symbols = text[before]
+            by, group, size, rank = _grouped(symbols)
+            landing = int(free[group].min())
+            if landing >= end:
+                array[np.repeat(free[group], size) + rank] = before[by]
+                free[group] += size
+                break
+            end = landing  # the cells up to there are final
+        step = max(64, 2 * (end - at))
+        at = end
+
+
+def _smaller(text: np.ndarray, small: np.ndarray, array: np.ndarray, tails: np.ndarray) -> None:
+    """Places the smaller suffixes, right to left, before those that are in the array."""
+    free, end, step = tails.copy(), len(text), 1 << 10
+    while end > 0:
+        at = max(0, end - step)
+        while True:
+            before = array[at:end][::-1].astype(np.int64) - 1
+            own = np.flatnonzero(before >= 0)
+            own = own[small[before[own]]]
+            before = before[own]
+            if not len(before):
+                break
+            symbols = text[before]
+            by, group, size, rank = _grouped(symbols)
+            landing = int(free[group].max()) - 1
+            if landing < at:
+                array[np.repeat(free[group], size) - 1 - rank] = before[by]
+                free[group] -= size
+                break
+            at = landing + 1
+        step = max(64, 2 * (end - at))
+        end = at
+
+
+def _induce(text: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """All suffixes in the order that the seeds' order induces: larger ones, then smaller ones from those."""
+    array = np.full(len(text), -1, np.int32)
+    by, group, size, rank = _grouped(text[seeds])
+    cells = np.repeat(tails[group] - size, size) + rank
+    array[cells] = seeds[by]
+    _larger(text, small, array, heads)
+    array[cells[1:]] = -1  # but for the last symbol's, seeds are induced again in their final cells
+    _smaller(text, small, array, tails)
     return array
 
 
-def suffix_array(text: list[int], size: int) -> list[int]:
+def _same_as_last(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which substrings equal the one before them in the list."""
+    same = np.zeros(len(starts), bool)
+    alive = np.flatnonzero(lengths[1:] == lengths[:-1]) + 1
+    k = 0
+    while len(alive):
+        alive = alive[text[starts[alive] + k] == text[starts[alive - 1] + k]]
+        k += 1
+        whole = lengths[alive] == k
+        same[alive[whole]] = True
+        alive = alive[~whole]
+    return same
+
+
+def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     """The suffix array of symbols below size; the last symbol is 0 and stands nowhere else."""
     n = len(text)
     if n <= 1:
-        return list(range(n))
+        return np.arange(n)
+    text = _narrow(np.asarray(text), size)
     # classify: a suffix is small if it sorts before the one after it
-    small = bytearray(n)
-    small[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        a, b = text[i], text[i + 1]
-        if a < b or (a == b and small[i + 1]):
-            small[i] = 1
-    left = [i for i in range(1, n) if small[i] and not small[i - 1]]  # leftmost smaller
-    heads, tails = _buckets(text, size)
+    change = np.flatnonzero(text[1:] != text[:-1])
+    small = np.ones(n, bool)
+    small[: n - 1] = np.repeat(text[change] < text[change + 1], np.diff(np.concatenate(([-1], change))))
+    left = np.flatnonzero(small[1:] & ~small[:-1]) + 1  # leftmost smaller
+    counts = np.bincount(text, minlength=size)
+    tails = np.cumsum(counts)
+    heads = tails - counts
     # sort the leftmost-smaller substrings by inducing from them in text order
     array = _induce(text, small, heads, tails, left)
     if len(left) > 1:
-        following = dict(zip(left, left[1:] + [n]))
-        names: dict[int, int] = {}
-        name, last = -1, None
-        for i in array:
-            end = following.get(i)
-            if end is None:
-                continue
-            own = text[i : end + 1]
-            if own != last:
-                name, last = name + 1, own
-            names[i] = name
-        if name + 1 < len(left):  # some are equal: their order is that of the reduced text's suffixes
-            reduced = [names[i] for i in left]
-            order = suffix_array(reduced, name + 1)
-            left = [left[i] for i in order]
-        else:
-            left = sorted(left, key=names.__getitem__)
-        array = _induce(text, small, heads, tails, left)
+        number = np.full(n, -1, np.int32)
+        number[left] = np.arange(len(left))
+        found = number[array]
+        ordered = found[found >= 0]
+        lengths = np.append(np.diff(left) + 1, 1)
+        names = np.empty(len(left), np.int64)
+        names[ordered] = np.cumsum(~_same_as_last(text, left[ordered], lengths[ordered])) - 1
+        if names[ordered[-1]] + 1 < len(left):  # some are equal: their order is that of the reduced text's suffixes
+            ordered = suffix_array(names, int(names[ordered[-1]]) + 1)
+        array = _induce(text, small, heads, tails, left[ordered])
     return array
 
 
-def permuted_prefixes(text: list[int], array: list[int]) -> list[int]:
-    """For each position, the length of the prefix its suffix shares with the suffix before it in the array."""
+def permuted_prefixes(text: np.ndarray, array: np.ndarray) -> np.ndarray:
+    """For each position, the length of the prefix its suffix shares with the suffix before it in the array.
+
+    Where the symbols before both differ, the two are compared; at any other position the length is one
+    less than at the position before it.
+    """
     n = len(text)
-    before = [-1] * n
-    for a, b in zip(array, array[1:]):
-        before[b] = a
-    shared, out = 0, [0] * n
-    for i in range(n):
-        j = before[i]
-        if j < 0:
-            shared = 0
-            continue
-        most = n - (i if i > j else j)
-        while shared < most and text[i + shared] == text[j + shared]:
-            shared += 1
-        out[i] = shared
-        if shared:
-            shared -= 1
-    return out
+    text = _narrow(np.asarray(text), int(text.max()) + 1 if n else 1)
+    before = np.full(n, -1, np.int64)
+    before[array[1:]] = array[:-1]
+    first = before <= 0
+    first[0] = True
+    rest = np.flatnonzero(~first)
+    first[rest] = text[rest - 1] != text[before[rest] - 1]
+    at = np.flatnonzero(first)
+    shared = np.zeros(len(at), np.int64)
+    pack = 8 // text.itemsize
+    raw = np.concatenate((text, np.zeros(pack, text.dtype))).view(np.uint8)
+    words = np.ndarray((n + 1,), "<u8", raw, 0, (text.itemsize,))
+    alive = np.flatnonzero(before[at] >= 0)
+    while len(alive):
+        a, b = at[alive] + shared[alive], before[at[alive]] + shared[alive]
+        alive = alive[words[a] == words[b]]
+        shared[alive] += pack
+    alive = np.flatnonzero(before[at] >= 0)
+    while len(alive):
+        a, b = at[alive] + shared[alive], before[at[alive]] + shared[alive]
+        alive = alive[text[a] == text[b]]
+        shared[alive] += 1
+    led = np.cumsum(first) - 1
+    return shared[led] - (np.arange(n) - at[led]) * (before >= 0)

@@ -18,11 +18,11 @@ from . import corpus
 def test_suffix_arrays():
     rng = random.Random(2)
     for _ in range(300):
-        k = rng.choice([2, 3, 30])
+        k = rng.choice([1, 2, 3, 30, 300])
         text = [rng.randint(1, k) for _ in range(rng.randint(0, 60))] + [0]
-        array = suffix_array(text, k + 1)
+        array = suffix_array(np.array(text), k + 1).tolist()
         assert array == sorted(range(len(text)), key=lambda i: text[i:])
-        shared = permuted_prefixes(text, array)
+        shared = permuted_prefixes(np.array(text), np.array(array))
         for a, b in zip(array, array[1:]):
             n = 0
             while text[a + n : a + n + 1] == text[b + n : b + n + 1] != []:
@@ -38,9 +38,11 @@ def test_anchors_follow_the_bytes():
         before = rng.integers(0, 4, rng.integers(40, 200)).astype(np.uint64)
         text = np.concatenate((before, shared, rng.integers(0, 4, 90).astype(np.uint64))) + np.uint64(1)
         hasher = PrefixHash()
-        at = anchors(hasher.sums(text), hasher, 32) - len(before)
-        found.append({int(x) for x in at if 31 <= x <= 100 - 16 - 31})
-    assert found[0] and all(f == found[0] for f in found)
+        at, first, last = anchors(hasher.sums(text), hasher, 32)
+        assert (first[1:] == last[:-1] + 1).all() and first[0] == 0 and ((first <= at) & (at < last + 32)).all()
+        led = {int(s): int(a) - len(before) for a, f, l in zip(at, first, last) for s in range(f, l + 1)}
+        found.append([led[s + len(before)] for s in range(100 - 32 - 15 + 1)])
+    assert all(f == found[0] for f in found)
 
 
 def test_packed_values():
@@ -62,12 +64,41 @@ def brute_bytes(texts, length):
     return out
 
 
-def test_repeated_bytes(spark):
-    own = [r for r in corpus.rows() if r[1] is None or len(r[1]) < 20_000]
-    got = exact.dedup(corpus.frame(spark, own=own), "text", length=100)
+def check_bytes(spark, own, length, **more):
+    """The operator's result against the brute-force one."""
+    got = exact.dedup(corpus.frame(spark, own=own), "text", length=length, **more)
     got = Counter((r.text, r.n_bytes, r.n, r.k, r.h) for r in got.select("text", "n_bytes", F.expr("aggregate(removed, 0L, (s, x) -> s + x.end - x.start)").alias("n"), F.size("removed").alias("k"), F.sha2("kept", 256).alias("h")).collect())
     texts = [(r[1] or "").encode() for r in own]
-    assert got == Counter((r[1], *b) for r, b in zip(own, brute_bytes(texts, 100)))
+    want = Counter((r[1], *b) for r, b in zip(own, brute_bytes(texts, length)))
+    assert got == want
+    return sum(n * x[2] for x, n in want.items())
+
+
+def test_repeated_bytes(spark):
+    assert check_bytes(spark, corpus.rows(), 100)
+
+
+def passages(seed: int = 5) -> list[tuple]:
+    """Passages of 50 to 90 words in documents of their own words, some more than once, one cut at every place."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 10)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    planted = [text(n) for n in (50, 55, 60, 65, 70, 80, 90)]
+    texts = [f"{text(rng.randrange(80))} {p} {text(rng.randrange(80))}" for p in planted for _ in range(3)]
+    line = text(45)
+    texts += [f"{text(9)} {line} {text(60)}" for _ in range(12)] + [text(300), planted[-1], planted[-1] * 3]
+    texts += [f"{text(5)} {planted[-1][k:]} {text(30)}" for k in range(0, 250, 9)]
+    return [(i, t, "en", "s", 0, *"xyzn0q") for i, t in enumerate(texts)]
+
+
+def test_repeated_bytes_at_the_contract_length(spark):
+    assert check_bytes(spark, passages(), 400)
+    assert check_bytes(spark, corpus.rows(), 400)
+
+
+def test_crowded_contexts_give_the_same(spark):
+    assert check_bytes(spark, passages(), 400, crowd=2)
+    assert check_bytes(spark, passages(9), 200, crowd=0)
 
 
 def test_repeated_bytes_of_low_entropy(spark):
@@ -75,11 +106,23 @@ def test_repeated_bytes_of_low_entropy(spark):
     texts = ["".join(rng.choice("ab ") for _ in range(rng.randrange(50, 400))) for _ in range(25)] + ["a" * 500, "ab" * 200, "ab" * 201]
     core = texts[0][:120]
     texts += [f"{i}{core}{i * 7}" for i in range(6)] + [core[k : k + 70] for k in (0, 5, 31, 50)]
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))  # polynomial hashes modulo powers of two tell its halves apart badly
+    texts += [thue[:2048], thue[2048:], thue[1000:1300]]
     own = [(i, t, "en", "s", 0, *"xyzn0q") for i, t in enumerate(texts)]
-    got = {r.doc_id: r for r in exact.dedup(corpus.frame(spark, own=own), "doc_id", length=64).collect()}
-    for i, (n, removed, runs, digest) in enumerate(brute_bytes([t.encode() for t in texts], 64)):
-        r = got[i]
-        assert (r.n_bytes, sum(x.end - x.start for x in r.removed), len(r.removed), hashlib.sha256(r.kept).hexdigest()) == (n, removed, runs, digest)
+    for crowd in (4096, 0):
+        assert check_bytes(spark, own, 64, crowd=crowd)
+
+
+def test_arrays_decide_every_removal():
+    pieces = [b"x" * 70, b"ab" * 40, b"y" + b"ab" * 35, b"unlike" * 12]
+    hit, bounds = exact.repeated_starts(pieces, np.array([1, 1, 1, 1]), 64)
+    for i, piece in enumerate(pieces):
+        for s in range(len(piece) - 63):
+            own = piece[s : s + 64]
+            assert hit[bounds[i] + s] == (sum(own == p[k : k + 64] for p in pieces for k in range(len(p) - 63)) > 1)
+    once, _ = exact.repeated_starts([b"unlike" * 20], np.array([1]), 118)
+    twice, _ = exact.repeated_starts([b"unlike" * 20], np.array([2]), 118)
+    assert not once.any() and twice.all()
 
 
 def test_cleaned_documents_are_documents(spark):
