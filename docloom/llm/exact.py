@@ -1,15 +1,16 @@
 """Removal of repeated byte strings by suffix arrays.
 
 A string of `length` bytes that starts twice anywhere is removed wherever it stands. Suffix-array
-shards decide which do: they sort the bytes themselves, by induced sorting (suffixes.py), and runs of an
-array whose permuted common prefixes reach the length are the repeated strings.
+shards decide which do: they sort the bytes by induced sorting (suffixes.py), and runs of an
+array whose permuted common prefixes reach a string's end are the repeated strings.
 
-Hashes only choose what is sorted, and where. Each string has a content-defined anchor among its
-first bytes (anchors.py), whose `context` bytes to the right lie in the string too. The starts
-of one anchor and all bytes of their strings are a piece. Blocks of documents count the hashes of
-contexts in packed buckets; pieces whose context stands once hold no repeated string, and all others go
-to the shard that their context names, a block's equal pieces as one. So equal strings meet
-in one shard, and a start is sorted once. Repeated starts go back to the blocks, which mark the bytes.
+Each string has a content-defined anchor among its first bytes (anchors.py), whose `context`
+bytes to the right lie in the string too. The starts of one anchor, with all bytes of their strings, are
+a piece, so each start is in one piece. Blocks of documents count the hashes of contexts in packed
+buckets; pieces whose context stands once hold no repeated string. All others go to the shard that their
+context names, a block's equal pieces as one. There the context, which a cryptographic digest tells apart,
+is one symbol, between the bytes to its left and those to its right: equal strings are
+equal there, and meet in one shard. Repeated starts go back to the blocks, which mark the bytes.
 
 A context that very many different pieces share (a common line, with whatever stands around it)
 would crowd its shard. Blocks count the hashes of the whole strings of such pieces first, and
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from .substring import _table
 from .suffixes import permuted_prefixes, suffix_array
 
 STEP = 1 << 18
-CROWD = 4096  # different pieces of a context, summed over blocks, from which their strings are counted first
+CROWD = 1 << 14  # different pieces of a context, summed over blocks, from which their strings are counted first
 SHARED, CROWDED, STRINGS, STARTS = range(4)  # kinds of what blocks are told
 _TOLD = "block int, kind int, blob binary, masks binary"
 _TOLD_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
@@ -42,7 +44,7 @@ _TOLD_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 def _widths(length: int) -> tuple[int, int]:
     """Of an anchor's window and of its context."""
-    width = max(K, length * 5 // 8)
+    width = max(K, length * 4 // 25)
     return width, length - width + 1
 
 
@@ -205,45 +207,56 @@ def _sorted_pieces(raw: np.ndarray, offsets: np.ndarray, length: int, found: pa.
 
 
 def _send(length: int, shards: int):
-    """A block's different pieces, each to the shard of its context: their keys, whether they stand twice, their sizes and their bytes."""
+    """A block's different pieces, each to the shard of its context: keys, digests of the context, whether they stand twice, and the bytes to the left and right."""
+    context_bytes = _widths(length)[1]
 
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         raw, offsets = buffers(docs["_text"])
-        parts = [(p.keys(), p.context, p.first + p.base, p.last + p.base + length) for p in _sorted_pieces(raw, offsets, length, found)]
+        parts = [(p.keys(), p.context, p.at + p.base, p.first + p.base, p.last + p.base + length) for p in _sorted_pieces(raw, offsets, length, found)]
         rows = []
         if parts:
-            keys, context, low, high = (np.concatenate(x) for x in zip(*parts))
+            keys, context, middle, low, high = (np.concatenate(x) for x in zip(*parts))
             keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
-            low, high, shard = low[at], high[at], (mix(context[at] + MUL_A) % U64(shards)).astype(np.int64)
+            shard = (mix(context[at] + MUL_A) % U64(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
-            edges = np.append(np.flatnonzero(np.concatenate(([True], shard[by][1:] != shard[by][:-1]))), len(by))
-            twice = (counts > 1).astype(np.uint8)
+            keys, at, twice, shard = keys[by], at[by], (counts[by] > 1).astype(np.uint8), shard[by]
+            middle, low, high = middle[at], low[at], high[at]
+            sizes = np.stack([middle - low, high - middle - context_bytes], axis=1).astype("<u4")
+            edges = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(shard))
             data = raw.tobytes()
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                own = by[lo:hi]
-                text = b"".join([data[a:b] for a, b in zip(low[own].tolist(), high[own].tolist())])
-                rows.append((int(shard[own[0]]), key[0].as_py(), keys[own].astype("<u8").tobytes(), twice[own].tobytes(), (high - low)[own].astype("<u4").tobytes(), text))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                digests, text = [], []
+                for a, m, b in zip(low[lo:hi].tolist(), middle[lo:hi].tolist(), high[lo:hi].tolist()):
+                    end = m + context_bytes
+                    digests.append(blake2b(data[m:end], digest_size=16).digest())
+                    text += [data[a:m], data[end:b]]
+                rows.append((int(shard[lo]), key[0].as_py(), keys[lo:hi].astype("<u8").tobytes(), b"".join(digests), twice[lo:hi].tobytes(), sizes[lo:hi].tobytes(), b"".join(text)))
         give_back()
-        return _table(rows, ["shard", "block", "keys", "twice", "sizes", "text"], [pa.int32(), pa.int32(), *[pa.binary()] * 4])
+        return _table(rows, ["shard", "block", "keys", "digests", "twice", "sizes", "text"], [pa.int32(), pa.int32(), *[pa.binary()] * 5])
 
     return run
 
 
-def repeated_starts(pieces: list[bytes], count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """A flag for each start of each of the distinct pieces, whether its string of `length` bytes stands twice, and the n + 1 bounds of the pieces' flags.
+def repeated_starts(pieces: list[tuple[int, bytes, bytes]], count: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A flag for each start of each of the distinct pieces, whether its string stands twice, and the n + 1 bounds of the pieces' flags.
 
-    A piece counts as often as `count` says.
+    A piece is the number of its context and the bytes to the left and to the right of that; a
+    string is `width` symbols, the context one of them. A piece counts as often as `count` says.
     """
-    sizes = np.array([len(p) for p in pieces], np.int64)
-    text = np.frombuffer(b"\x00".join(pieces) + b"\x00", np.uint8).astype(np.uint16) + np.uint16(2)
-    ends = np.cumsum(sizes + 1) - 1
-    text[ends] = 1  # ends a piece
-    text = np.append(text, np.uint16(0))
-    array = suffix_array(text, 258)
-    run = np.cumsum(permuted_prefixes(text, array)[array] < length)
-    starts = np.maximum(0, sizes - length + 1)
+    left, right = (np.array([len(p[k]) for p in pieces], np.int64) for k in (1, 2))
+    group = np.array([p[0] for p in pieces], np.int64)
+    # a place for the context after the left bytes, and one for the piece's end
+    text = np.frombuffer(b"".join([x for p in pieces for x in (p[1], b"\x00", p[2], b"\x00")]) + b"\x00", np.uint8).astype(np.int32) + 2
+    ends = np.cumsum(left + right + 2) - 1
+    heads = ends - left - right - 1
+    text[heads + left] = 258 + group
+    text[ends] = 1
+    text[-1] = 0
+    array = suffix_array(text, 259 + int(group.max()))
+    run = np.cumsum(permuted_prefixes(text, array)[array] < width)
+    starts = left + right + 2 - width  # strings that lie in their piece
     bounds = np.concatenate(([0], np.cumsum(starts)))
-    whole = np.repeat(ends - sizes - bounds[:-1], starts) + np.arange(bounds[-1])  # places whose strings lie in their piece
+    whole = np.repeat(heads - bounds[:-1], starts) + np.arange(bounds[-1])
     weight = np.zeros(len(text), np.int64)
     weight[whole] = np.repeat(count, starts)
     total = np.bincount(run, weights=weight[array])
@@ -253,18 +266,22 @@ def repeated_starts(pieces: list[bytes], count: np.ndarray, length: int) -> tupl
 
 
 def _shard(length: int):
+    width = _widths(length)[0]
+
     def run(table: pa.Table) -> pa.Table:
-        known: dict[bytes, int] = {}
-        pieces, owners = [], []
-        for i, text in enumerate(table["text"]):
-            text = text.as_buffer()
-            cuts = np.concatenate(([0], np.cumsum(np.frombuffer(table["sizes"][i].as_buffer(), "<u4").astype(np.int64)))).tolist()
-            data = memoryview(text)
-            owners.append(np.array([known.setdefault(bytes(data[a:b]), len(known)) for a, b in zip(cuts[:-1], cuts[1:])], np.int64))
-        pieces = list(known)
-        twice = [np.frombuffer(b, np.uint8).astype(np.int64) for b in table["twice"].to_pylist()]
-        count = np.bincount(np.concatenate(owners), weights=1 + np.concatenate(twice)).astype(np.int64)
-        hit, bounds = repeated_starts(pieces, count, length)
+        contexts: dict[bytes, int] = {}
+        known: dict[tuple[int, bytes, bytes], int] = {}
+        owners = []
+        for digests, sizes, text in zip(table["digests"].to_pylist(), table["sizes"].to_pylist(), table["text"].to_pylist()):
+            cuts = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)))).tolist()
+            own = []
+            for i, (a, m, b) in enumerate(zip(cuts[0:-1:2], cuts[1::2], cuts[2::2])):
+                context = contexts.setdefault(digests[16 * i : 16 * i + 16], len(contexts))
+                own.append(known.setdefault((context, text[a:m], text[m:b]), len(known)))
+            owners.append(np.array(own, np.int64))
+        twice = np.frombuffer(b"".join(table["twice"].to_pylist()), np.uint8)
+        count = np.bincount(np.concatenate(owners), weights=1.0 + twice).astype(np.int64)
+        hit, bounds = repeated_starts(list(known), count, width)
         any_hit = np.add.reduceat(hit, bounds[:-1], dtype=np.int64) > 0
         masks = {i: np.packbits(hit[bounds[i] : bounds[i + 1]], bitorder="little").tobytes() for i in np.flatnonzero(any_hit).tolist()}
         rows = []
@@ -377,7 +394,7 @@ def dedup(docs: DataFrame, *columns: str, length: int = 400, characters: bool =
     strings = blocks.join(crowded.select(F.col("block").alias("_block")).distinct(), "_block", "left_semi").groupBy("_block").cogroup(crowded.groupBy("block"))
     strings = strings.applyInArrow(_strings(length, bucket_bits), "bucket int, block int, blob binary, again binary")
     told = groups.unionByName(strings.groupBy("bucket").applyInArrow(_repeated_strings, _TOLD))
-    pieces = blocks.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_send(length, 2 * count), "shard int, block int, keys binary, twice binary, sizes binary, text binary")
+    pieces = blocks.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_send(length, 2 * count), "shard int, block int, keys binary, digests binary, twice binary, sizes binary, text binary")
     starts = pieces.groupBy("shard").applyInArrow(_shard(length), _TOLD)
     done = blocks.groupBy("_block").cogroup(told.unionByName(starts).groupBy("block")).applyInArrow(_mark(length, characters), widened(blocks, ["_row"], "n_bytes long, removed array<struct<start: long, end: long>>, kept binary"))
     return done.select("_row.*", "n_bytes", "removed", "kept")

@@ -15,12 +15,17 @@ def _narrow(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def _grouped(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The stable order by symbol, each group's symbol and size, and each ordered row's rank in its group."""
-    by = np.argsort(symbols, kind="stable")
+    """The stable order by symbol, each group's symbol, where it starts, and its size."""
+    by = symbols.argsort(kind="stable")
     ordered = symbols[by]
-    start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    size = np.diff(np.append(start, len(by)))
-    return by, ordered[start].astype(np.int64), size, np.arange(len(by)) - np.repeat(start, size)
+    new = np.empty(len(by), bool)
+    new[0] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    start = new.nonzero()[0]
+    size = np.empty(len(start), np.int64)
+    np.subtract(start[1:], start[:-1], out=size[:-1])
+    size[-1] = len(by) - start[-1]
+    return by, ordered[start], start, size
 
 
 def _larger(text: np.ndarray, small: np.ndarray, array: np.ndarray, heads: np.ndarray) -> None:
@@ -28,22 +33,27 @@ def _larger(text: np.ndarray, small: np.ndarray, array: np.ndarray, heads: np.nd
     free, n, at, step = heads.copy(), len(text), 0, 1 << 10
     while at < n:
         end = min(n, at + step)
-        while True:
-            before = array[at:end].astype(np.int64) - 1
-            own = np.flatnonzero(before >= 0)
-            own = own[~small[before[own]]]
-            before = before[own]
-            if not len(before):
-                break
+        before = array[at:end] - 1
+        mask = before >= 0
+        mask &= ~small[before]
+        before = before[mask]
+        if len(before):
             symbols = text[before]
-            by, group, size, rank = _grouped(symbols)
-            landing = int(free[group].min())
-            if landing >= end:
-                array[np.repeat(free[group], size) + rank] = before[by]
-                free[group] += size
-                break
-            end = landing  # the cells up to there are final
-        step = max(64, 2 * (end - at))
+            landing = int(free[symbols].min())
+            if landing < end:  # the cells up to there are final
+                end = landing
+                kept = int(np.count_nonzero(mask[: end - at]))
+                before, symbols = before[:kept], symbols[:kept]
+            if len(before) == 1:
+                own = symbols[0]
+                array[free[own]] = before[0]
+                free[own] += 1
+            elif len(before):
+                by, group, start, size = _grouped(symbols)
+                first = free[group]
+                array[np.arange(len(by)) + np.repeat(first - start, size)] = before[by]
+                free[group] = first + size
+        step = max(48, 2 * (end - at))
         at = end
 
 
@@ -52,30 +62,35 @@ def _smaller(text: np.ndarray, small: np.ndarray, array: np.ndarray, tails: np.n
     free, end, step = tails.copy(), len(text), 1 << 10
     while end > 0:
         at = max(0, end - step)
-        while True:
-            before = array[at:end][::-1].astype(np.int64) - 1
-            own = np.flatnonzero(before >= 0)
-            own = own[small[before[own]]]
-            before = before[own]
-            if not len(before):
-                break
+        before = array[at:end][::-1] - 1
+        mask = before >= 0
+        mask &= small[before]
+        before = before[mask]
+        if len(before):
             symbols = text[before]
-            by, group, size, rank = _grouped(symbols)
-            landing = int(free[group].max()) - 1
-            if landing < at:
-                array[np.repeat(free[group], size) - 1 - rank] = before[by]
-                free[group] -= size
-                break
-            at = landing + 1
-        step = max(64, 2 * (end - at))
+            landing = int(free[symbols].max()) - 1
+            if landing >= at:
+                at = landing + 1
+                kept = int(np.count_nonzero(mask[: end - at]))
+                before, symbols = before[:kept], symbols[:kept]
+            if len(before) == 1:
+                own = symbols[0]
+                free[own] -= 1
+                array[free[own]] = before[0]
+            elif len(before):
+                by, group, start, size = _grouped(symbols)
+                last = free[group]
+                array[np.repeat(last - 1 + start, size) - np.arange(len(by))] = before[by]
+                free[group] = last - size
+        step = max(48, 2 * (end - at))
         end = at
 
 
 def _induce(text: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """All suffixes in the order that the seeds' order induces: larger ones, then smaller ones from those."""
     array = np.full(len(text), -1, np.int32)
-    by, group, size, rank = _grouped(text[seeds])
-    cells = np.repeat(tails[group] - size, size) + rank
+    by, group, start, size = _grouped(text[seeds])
+    cells = np.repeat(tails[group] - size - start, size) + np.arange(len(by))
     array[cells] = seeds[by]
     _larger(text, small, array, heads)
     array[cells[1:]] = -1  # but for the last symbol's, seeds are induced again in their final cells

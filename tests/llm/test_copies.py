@@ -114,14 +114,14 @@ def test_repeated_bytes_of_low_entropy(spark):
 
 
 def test_arrays_decide_every_removal():
-    pieces = [b"x" * 70, b"ab" * 40, b"y" + b"ab" * 35, b"unlike" * 12]
-    hit, bounds = exact.repeated_starts(pieces, np.array([1, 1, 1, 1]), 64)
-    for i, piece in enumerate(pieces):
-        for s in range(len(piece) - 63):
-            own = piece[s : s + 64]
-            assert hit[bounds[i] + s] == (sum(own == p[k : k + 64] for p in pieces for k in range(len(p) - 63)) > 1)
-    once, _ = exact.repeated_starts([b"unlike" * 20], np.array([1]), 118)
-    twice, _ = exact.repeated_starts([b"unlike" * 20], np.array([2]), 118)
+    pieces = [(0, b"xxabab", b"babababa"), (0, b"yyabab", b"bababaxx"), (1, b"abab", b"babababa"), (0, b"abab", b"bababab"), (2, b"xyx", b"yyyyyyyyy")]
+    hit, bounds = exact.repeated_starts(pieces, np.ones(5, np.int64), 9)
+    strings = [[(g, left[s:], right[: 8 - len(left) + s]) for s in range(len(left) + len(right) + 2 - 9)] for g, left, right in pieces]
+    every = Counter(x for own in strings for x in own)
+    assert hit.tolist() == [every[x] > 1 for own in strings for x in own] and 0 < hit.sum() < len(hit)
+    assert bounds.tolist() == np.cumsum([0] + [len(own) for own in strings]).tolist()
+    once, _ = exact.repeated_starts(pieces[:1], np.array([1]), 9)
+    twice, _ = exact.repeated_starts(pieces[:1], np.array([2]), 9)
     assert not once.any() and twice.all()
 
 
