@@ -32,7 +32,8 @@ def blocked(docs: DataFrame, count: int, columns: list[str]) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
     own = docs.select(row, F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
     own = own.withColumn("_hash", F.xxhash64("_text"))
-    return own.withColumn("_block", F.pmod(F.xxhash64("_id", "_hash"), F.lit(count)).cast("int")).repartition(count, "_block")
+    # never null, so that no join adds a filter below the exchange, which would not be reused then
+    return own.withColumn("_block", F.coalesce(F.pmod(F.xxhash64("_id", "_hash"), F.lit(count)).cast("int"), F.lit(0))).repartition(count, "_block")
 
 
 def in_order(table: pa.Table) -> pa.Table:

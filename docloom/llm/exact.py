@@ -1,16 +1,18 @@
 """Removal of repeated byte strings by suffix arrays.
 
-A string of `length` bytes that starts twice anywhere is removed wherever it stands. Suffix-array
-shards decide which do: they sort the bytes by induced sorting (suffixes.py), and runs of an
-array whose permuted common prefixes reach a string's end are the repeated strings.
+A string of `length` bytes that starts twice anywhere is removed wherever it stands; strings of
+`passage` bytes, where that is less, are marked too. Suffix-array shards decide which strings do: they sort the
+bytes by induced sorting (suffixes.py), and two suffixes next to each other in an array whose
+permuted common prefix reaches a string's end are a repeated string.
 
 Each string has a content-defined anchor among its first bytes (anchors.py), whose `context`
 bytes to the right lie in the string too. The starts of one anchor, with all bytes of their strings, are
 a piece, so each start is in one piece. Blocks of documents count the hashes of contexts in packed
 buckets; pieces whose context stands once hold no repeated string. All others go to the shard that their
-context names, a block's equal pieces as one. There the context, which a cryptographic digest tells apart,
-is one symbol, between the bytes to its left and those to its right: equal strings are
-equal there, and meet in one shard. Repeated starts go back to the blocks, which mark the bytes.
+context names, a block's equal pieces as one. There what a cryptographic digest tells to be one
+is one symbol: the context, between the bytes to its left and those to its right, or the whole
+piece where all pieces of a context agree. So equal strings meet in one shard, and are equal there.
+Repeated starts go back to the blocks, which mark the bytes.
 
 A context that very many different pieces share (a common line, with whatever stands around it)
 would crowd its shard. Blocks count the hashes of the whole strings of such pieces first, and
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -31,59 +34,89 @@ from pyspark.sql import functions as F
 
 from .anchors import K, anchors
 from .blocks import answers, block_count, blocked, bucket_edges, in_order, member
-from .core import MUL_A, MUL_B, U64, PrefixHash, boxed, buffers, give_back, mix, pack_sorted, runs_of, steps, unpack_sorted, widened
+from .core import MUL_A, MUL_B, MUL_C, U64, PrefixHash, boxed, buffers, give_back, mix, pack_sorted, runs_of, steps, unpack_sorted, widened
 from .substring import _table
 from .suffixes import permuted_prefixes, suffix_array
 
 STEP = 1 << 18
 CROWD = 1 << 14  # different pieces of a context, summed over blocks, from which their strings are counted first
-SHARED, CROWDED, STRINGS, STARTS = range(4)  # kinds of what blocks are told
+AGREED, SHARED, CROWDED, STRINGS, WHOLE, LONG, SHORT = range(7)  # kinds of what blocks are told: of contexts, strings, and of starts
 _TOLD = "block int, kind int, blob binary, masks binary"
 _TOLD_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+_AS_ONE, _BOTH, _ONLY_SHORT, _ONLY_LONG = range(4)  # kinds of pieces: one symbol; for strings of both lengths; for one
 
 
-def _widths(length: int) -> tuple[int, int]:
-    """Of an anchor's window and of its context."""
-    width = max(K, length * 4 // 25)
-    return width, length - width + 1
+@dataclass(frozen=True)
+class Lengths:
+    """Of the strings that are removed, of the shorter ones that are marked, and what follows from that."""
+
+    length: int
+    passage: int
+
+    @property
+    def width(self) -> int:
+        """Of an anchor's window."""
+        return max(K, self.passage * 4 // 15)
+
+    @property
+    def context(self) -> int:
+        return self.passage - self.width + 1
 
 
 class Pieces:
-    """The pieces of some texts: the first and last start of each, the hashes of its context and of all its bytes."""
-
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, length: int, one: PrefixHash, two: PrefixHash) -> None:
-        width, context = _widths(length)
-        self.base, self.length, self.one, self.two = int(offsets[0]), length, one, two
-        values = raw[self.base : int(offsets[-1])].astype(U64) + U64(1)
-        self.sums, self.values, self._second = one.sums(values), values, None
-        at, first, last = anchors(self.sums, one, width)
+    """Pieces of some texts: anchor, first and last start and end of each, and the hash of its context."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, sizes: Lengths, one: PrefixHash, two: PrefixHash) -> None:
+        self.base, self.sizes, self.one, self.two = int(offsets[0]), sizes, one, two
+        self.values = raw[self.base : int(offsets[-1])].astype(U64) + U64(1)
+        self.sums, self._second = one.sums(self.values), None
+        at, first, last = anchors(self.sums, one, sizes.width)
         bounds = offsets - self.base
         doc = np.searchsorted(bounds, at, side="right") - 1
-        first, last = np.maximum(first, bounds[doc]), np.minimum(last, bounds[doc + 1] - length)
-        fit = np.flatnonzero(first <= last)
-        self.at, self.first, self.last = at[fit], first[fit], last[fit]
-        self.context = mix(one.spans(self.sums, self.at, self.at + context))
-
-    def take(self, pick: np.ndarray) -> None:
-        self.at, self.first, self.last, self.context = self.at[pick], self.first[pick], self.last[pick], self.context[pick]
+        self.at, self.ends = at, bounds[doc + 1]
+        self.first, self.last = np.maximum(first, bounds[doc]), np.minimum(last, self.ends - sizes.passage)
+        self.stop = np.minimum(self.last + sizes.length, self.ends)
+        self.kind = _BOTH
+        self._keep(np.flatnonzero(self.first <= self.last))
+        self.context = mix(one.spans(self.sums, self.at, self.at + sizes.context))
+
+    def _keep(self, pick: np.ndarray) -> None:
+        self.at, self.first, self.last, self.stop, self.ends = (x[pick] for x in (self.at, self.first, self.last, self.stop, self.ends))
+
+    def some(self, pick: np.ndarray, kind: int = _BOTH) -> Pieces:
+        """The chosen pieces, as a kind."""
+        out = object.__new__(Pieces)
+        out.__dict__.update(self.__dict__)
+        out._keep(pick)
+        out.context, out.kind = self.context[pick], kind
+        if kind == _ONLY_SHORT:
+            out.stop = out.last + self.sizes.passage
+        elif kind == _ONLY_LONG:
+            out.last = np.minimum(out.last, out.ends - self.sizes.length)
+            out.stop = out.last + self.sizes.length
+            enough = np.flatnonzero(out.first <= out.last)
+            out._keep(enough)
+            out.context = out.context[enough]
+        return out
 
     def keys(self) -> np.ndarray:
-        """The hash of each piece's bytes, by two bases."""
+        """The hash of each piece's bytes, by two bases, and of its kind."""
         if self._second is None:
             self._second = self.two.sums(self.values)
-        low, high = self.first, self.last + self.length
-        size = (high - low).astype(U64)
-        return mix(mix(self.one.spans(self.sums, low, high) + size * MUL_B) ^ (self.two.spans(self._second, low, high) + size * MUL_A))
+        size = (self.stop - self.first).astype(U64)
+        one = mix(self.one.spans(self.sums, self.first, self.stop) + size * MUL_B)
+        return mix(one ^ (self.two.spans(self._second, self.first, self.stop) + size * MUL_A + U64(self.kind)))
 
     def strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The piece, the start and the hash of each string."""
         count = self.last - self.first + 1
         piece = np.repeat(np.arange(len(count)), count)
         start = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count - self.first, count)
-        return piece, start, mix(self.one.spans(self.sums, start, start + self.length))
+        length = self.sizes.passage if self.kind == _ONLY_SHORT else self.sizes.length
+        return piece, start, mix(self.one.spans(self.sums, start, start + length) + U64(self.kind) * MUL_C)
 
-    def repeated_stretches(self, known: np.ndarray) -> None:
-        """Cuts the pieces to the stretches of starts whose strings' hashes are known."""
+    def stretches(self, known: np.ndarray) -> Pieces:
+        """The pieces cut to stretches of starts whose strings' hashes are known."""
         piece, start, hashes = self.strings()
         hit = member(hashes, known)
         piece, start = piece[hit], start[hit]
@@ -91,42 +124,50 @@ class Pieces:
         new[1:] = (piece[1:] != piece[:-1]) | (start[1:] != start[:-1] + 1)
         head = np.flatnonzero(new)
         tail = np.append(head[1:], len(piece))[: len(head)] - 1
-        self.take(piece[head])
-        self.first, self.last = start[head], start[tail]
+        out = object.__new__(Pieces)
+        out.__dict__.update(self.__dict__)
+        out._keep(piece[head])
+        out.context, reach = self.context[piece[head]], self.stop - self.last
+        out.first, out.last, out.stop = start[head], start[tail], start[tail] + (int(reach[0]) if len(reach) else 0)
+        return out
 
 
-def _each(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[Pieces]:
+def _each(raw: np.ndarray, offsets: np.ndarray, sizes: Lengths) -> Iterator[Pieces]:
     one, two = PrefixHash(), PrefixHash(0x9FB21C651E98DF25)
     for i, j in steps(offsets, STEP):
-        if offsets[j] - offsets[i] >= length:
-            yield Pieces(raw, offsets[i : j + 1], length, one, two)
+        if offsets[j] - offsets[i] >= sizes.passage:
+            yield Pieces(raw, offsets[i : j + 1], sizes, one, two)
 
 
 def _told(found: pa.Table, kind: int) -> pa.Table:
     return found.filter(pc.equal(found["kind"], kind))
 
 
-def _contexts(length: int, bucket_bits: int):
-    """What each block sends to the buckets: its distinct contexts, the number of different pieces of each, and whether it stands twice."""
+def _starts_of(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+
+
+def _contexts(sizes: Lengths, bucket_bits: int):
+    """What each block sends to the buckets: its distinct contexts, and of each the number of different pieces, whether it stands twice, and 48 bits of a piece's hash."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         raw, offsets = buffers(table["_text"])
-        parts = [(p.context, p.keys()) for p in _each(raw, offsets, length)]
+        parts = [(p.context, p.keys()) for p in _each(raw, offsets, sizes)]
         context, piece = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, U64),) * 2
         by = np.lexsort((piece, context))
         context, piece = context[by], piece[by]
-        new = np.ones(len(by), bool)
-        new[1:] = context[1:] != context[:-1]
-        other = new.copy()
-        other[1:] |= piece[1:] != piece[:-1]
-        start = np.flatnonzero(new)
-        told = np.zeros(0, np.uint16)
+        start = _starts_of(context)
+        told = np.zeros(0, U64)
         if len(start):
-            different = np.minimum(np.add.reduceat(other.astype(np.int64), start), 0x7FFF)
-            told = (different << 1 | (np.diff(np.append(start, len(by))) > 1)).astype("<u2")
+            other = np.zeros(len(by), np.int64)
+            other[start] = 1
+            other[1:] |= piece[1:] != piece[:-1]
+            different = np.minimum(np.add.reduceat(other, start), 0x7FFF)
+            told = (piece[start] >> U64(16) << U64(16)) | (different << 1 | (np.diff(np.append(start, len(by))) > 1)).astype(U64)
         context = context[start]
-        edges = bucket_edges(context, 64, bucket_bits)
-        rows = [(b, key[0].as_py(), pack_sorted(context[lo:hi]), told[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if lo < hi]
+        edges = bucket_edges(context, 64, bucket_bits).tolist()
+        rows = [(b, key[0].as_py(), pack_sorted(context[lo:hi]), told[lo:hi].astype("<u8").tobytes()) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if lo < hi]
         give_back()
         return _table(rows, ["bucket", "block", "blob", "told"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
@@ -134,20 +175,23 @@ def _contexts(length: int, bucket_bits: int):
 
 
 def _groups(crowd: int):
-    """For each block of one bucket, its contexts that stand twice: those of few pieces and those of many."""
+    """For each block of one bucket, its contexts that stand twice: those whose pieces all agree, others, and those of very many pieces."""
 
     def run(table: pa.Table) -> pa.Table:
         blocks = table["block"].to_pylist()
         lists = [unpack_sorted(b) for b in table["blob"].to_pylist()]
         context = np.concatenate(lists)
-        told = np.frombuffer(b"".join(table["told"].to_pylist()), "<u2").astype(np.int64)
+        told = np.frombuffer(b"".join(table["told"].to_pylist()), "<u8")
         by = np.argsort(context, kind="stable")
         context, told = context[by], told[by]
-        start = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-        twice = (np.diff(np.append(start, len(by))) > 1) | np.bitwise_or.reduceat(told & 1, start).astype(bool)
-        many = np.add.reduceat(told >> 1, start) > crowd
+        start = _starts_of(context)
+        piece, counts = told >> U64(16), (told & U64(0xFFFF)).astype(np.int64)
+        twice = (np.diff(np.append(start, len(by))) > 1) | np.bitwise_or.reduceat(counts & 1, start).astype(bool)
+        different = np.add.reduceat(counts >> 1, start)
+        agreed = (np.maximum.reduceat(counts >> 1, start) == 1) & (np.minimum.reduceat(piece, start) == np.maximum.reduceat(piece, start))
         rows = []
-        for kind, known in ((SHARED, context[start[twice & ~many]]), (CROWDED, context[start[twice & many]])):
+        for kind, which in ((AGREED, agreed), (SHARED, ~agreed & (different <= crowd)), (CROWDED, ~agreed & (different > crowd))):
+            known = context[start[twice & which]]
             if len(known):
                 rows += [(block, kind, pack_sorted(found), None) for block, own in zip(blocks, lists) if len(found := own[member(own, known)])]
         return _table(rows, ["block", "kind", "blob", "masks"], _TOLD_TYPES)
@@ -155,20 +199,26 @@ def _groups(crowd: int):
     return run
 
 
-def _strings(length: int, bucket_bits: int):
+def _crowded_pieces(p: Pieces, crowded: np.ndarray) -> list[Pieces]:
+    own = np.flatnonzero(member(p.context, crowded))
+    if not len(own):
+        return []
+    kinds = (_ONLY_LONG,) if p.sizes.passage == p.sizes.length else (_ONLY_SHORT, _ONLY_LONG)
+    return [q for kind in kinds if len((q := p.some(own, kind)).at)]
+
+
+def _strings(sizes: Lengths, bucket_bits: int):
     """The distinct string hashes of a block's crowded pieces, and those that stand twice in the block."""
 
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         crowded, rows = answers(_told(found, CROWDED)), []
         if len(crowded):
             raw, offsets = buffers(docs["_text"])
-            parts = [np.zeros(0, U64)]
-            for p in _each(raw, offsets, length):
-                p.take(np.flatnonzero(member(p.context, crowded)))
-                parts.append(p.strings()[2])
+            parts = [np.zeros(0, U64)] + [q.strings()[2] for p in _each(raw, offsets, sizes) for q in _crowded_pieces(p, crowded)]
             values, counts = np.unique(np.concatenate(parts), return_counts=True)
-            edges = bucket_edges(values, 64, bucket_bits)
-            rows = [(b, key[0].as_py(), pack_sorted(values[lo:hi]), pack_sorted(values[lo:hi][counts[lo:hi] > 1])) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if lo < hi]
+            twice = values[counts > 1]
+            edges, more = (bucket_edges(x, 64, bucket_bits).tolist() for x in (values, twice))
+            rows = [(b, key[0].as_py(), pack_sorted(values[edges[b] : edges[b + 1]]), pack_sorted(twice[more[b] : more[b + 1]])) for b in range(1 << bucket_bits) if edges[b] < edges[b + 1]]
         give_back()
         return _table(rows, ["bucket", "block", "blob", "again"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
@@ -184,111 +234,122 @@ def _repeated_strings(table: pa.Table) -> pa.Table:
     return _table(rows, ["block", "kind", "blob", "masks"], _TOLD_TYPES)
 
 
-def _sorted_pieces(raw: np.ndarray, offsets: np.ndarray, length: int, found: pa.Table) -> Iterator[Pieces]:
+def _sorted_pieces(raw: np.ndarray, offsets: np.ndarray, sizes: Lengths, found: pa.Table) -> Iterator[Pieces]:
     """The pieces of a block that go to shards."""
-    shared, crowded, strings = (answers(_told(found, kind)) for kind in (SHARED, CROWDED, STRINGS))
-    if not len(shared) and not len(strings):
+    agreed, shared, crowded, strings = (answers(_told(found, kind)) for kind in (AGREED, SHARED, CROWDED, STRINGS))
+    if not len(agreed) and not len(shared) and not len(strings):
         return
-    for p in _each(raw, offsets, length):
-        many = np.flatnonzero(member(p.context, crowded)) if len(strings) else ()
-        few = np.flatnonzero(member(p.context, shared))
-        if len(few):
-            if len(many):
-                whole = (p.at, p.first, p.last, p.context)
-            p.take(few)
-            yield p
-            if len(many):
-                p.at, p.first, p.last, p.context = whole
-        if len(many):
-            p.take(many)
-            p.repeated_stretches(strings)
-            if len(p.at):
-                yield p
-
-
-def _send(length: int, shards: int):
-    """A block's different pieces, each to the shard of its context: keys, digests of the context, whether they stand twice, and the bytes to the left and right."""
-    context_bytes = _widths(length)[1]
+    for p in _each(raw, offsets, sizes):
+        for known, kind in ((agreed, _AS_ONE), (shared, _BOTH)):
+            own = np.flatnonzero(member(p.context, known))
+            if len(own):
+                yield p.some(own, kind)
+        if len(strings):
+            yield from (cut for q in _crowded_pieces(p, crowded) if len((cut := q.stretches(strings)).at))
+
+
+def _send(sizes: Lengths, shards: int):
+    """A block's different pieces, each to the shard of its context: keys, kinds, digests, whether they stand twice, how many starts, and the bytes to the left and right of the context."""
 
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         raw, offsets = buffers(docs["_text"])
-        parts = [(p.keys(), p.context, p.at + p.base, p.first + p.base, p.last + p.base + length) for p in _sorted_pieces(raw, offsets, length, found)]
+        parts = [(p.keys(), p.context, p.at + p.base, p.first + p.base, p.last + p.base, p.stop + p.base, np.full(len(p.at), p.kind, np.uint8)) for p in _sorted_pieces(raw, offsets, sizes, found)]
         rows = []
         if parts:
-            keys, context, middle, low, high = (np.concatenate(x) for x in zip(*parts))
+            keys, context, middle, first, last, stop, kind = (np.concatenate(x) for x in zip(*parts))
             keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
             shard = (mix(context[at] + MUL_A) % U64(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             keys, at, twice, shard = keys[by], at[by], (counts[by] > 1).astype(np.uint8), shard[by]
-            middle, low, high = middle[at], low[at], high[at]
-            sizes = np.stack([middle - low, high - middle - context_bytes], axis=1).astype("<u4")
-            edges = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(shard))
+            middle, first, last, stop, kind = (x[at] for x in (middle, first, last, stop, kind))
+            whole = kind == _AS_ONE
+            told = np.stack([np.where(whole, 0, middle - first), np.where(whole, 0, stop - middle - sizes.context), last - first + 1], axis=1).astype("<u4")
+            edges = np.append(_starts_of(shard), len(shard))
             data = raw.tobytes()
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 digests, text = [], []
-                for a, m, b in zip(low[lo:hi].tolist(), middle[lo:hi].tolist(), high[lo:hi].tolist()):
-                    end = m + context_bytes
-                    digests.append(blake2b(data[m:end], digest_size=16).digest())
-                    text += [data[a:m], data[end:b]]
-                rows.append((int(shard[lo]), key[0].as_py(), keys[lo:hi].astype("<u8").tobytes(), b"".join(digests), twice[lo:hi].tobytes(), sizes[lo:hi].tobytes(), b"".join(text)))
+                for one, a, m, b in zip(whole[lo:hi].tolist(), first[lo:hi].tolist(), middle[lo:hi].tolist(), stop[lo:hi].tolist()):
+                    if one:
+                        digests.append(blake2b(data[a:b], digest_size=16).digest())
+                    else:
+                        end = m + sizes.context
+                        digests.append(blake2b(data[m:end], digest_size=16).digest())
+                        text += [data[a:m], data[end:b]]
+                rows.append((int(shard[lo]), key[0].as_py(), keys[lo:hi].astype("<u8").tobytes(), kind[lo:hi].tobytes(), b"".join(digests), twice[lo:hi].tobytes(), told[lo:hi].tobytes(), b"".join(text)))
         give_back()
-        return _table(rows, ["shard", "block", "keys", "digests", "twice", "sizes", "text"], [pa.int32(), pa.int32(), *[pa.binary()] * 5])
+        return _table(rows, ["shard", "block", "keys", "kinds", "digests", "twice", "sizes", "text"], [pa.int32(), pa.int32(), *[pa.binary()] * 6])
 
     return run
 
 
-def repeated_starts(pieces: list[tuple[int, bytes, bytes]], count: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """A flag for each start of each of the distinct pieces, whether its string stands twice, and the n + 1 bounds of the pieces' flags.
+def shared_prefixes(pieces: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of the distinct pieces' text, the longest prefix that its suffix shares with any other; and where each piece begins.
 
-    A piece is the number of its context and the bytes to the left and to the right of that; a
-    string is `width` symbols, the context one of them. A piece counts as often as `count` says.
+    A piece is the number of its symbol, and the bytes to the left and to the right of that.
     """
     left, right = (np.array([len(p[k]) for p in pieces], np.int64) for k in (1, 2))
-    group = np.array([p[0] for p in pieces], np.int64)
-    # a place for the context after the left bytes, and one for the piece's end
+    symbol = np.array([p[0] for p in pieces], np.int64)
+    # a place for the symbol after the left bytes, and one for the piece's end
     text = np.frombuffer(b"".join([x for p in pieces for x in (p[1], b"\x00", p[2], b"\x00")]) + b"\x00", np.uint8).astype(np.int32) + 2
     ends = np.cumsum(left + right + 2) - 1
     heads = ends - left - right - 1
-    text[heads + left] = 258 + group
+    text[heads + left] = 258 + symbol
     text[ends] = 1
     text[-1] = 0
-    array = suffix_array(text, 259 + int(group.max()))
-    run = np.cumsum(permuted_prefixes(text, array)[array] < width)
-    starts = left + right + 2 - width  # strings that lie in their piece
-    bounds = np.concatenate(([0], np.cumsum(starts)))
-    whole = np.repeat(heads - bounds[:-1], starts) + np.arange(bounds[-1])
-    weight = np.zeros(len(text), np.int64)
-    weight[whole] = np.repeat(count, starts)
-    total = np.bincount(run, weights=weight[array])
-    hit = np.zeros(len(text), bool)
-    hit[array] = total[run] >= 2
-    return hit[whole], bounds
+    array = suffix_array(text, 259 + int(symbol.max()))
+    own = permuted_prefixes(text, array)[array]
+    best = np.zeros(len(text), np.int64)
+    best[array] = np.maximum(own, np.append(own[1:], 0))
+    return best, heads
 
 
-def _shard(length: int):
-    width = _widths(length)[0]
+def repeated_starts(pieces: list[tuple[int, int, bytes, bytes, int]], count: np.ndarray, sizes: Lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flags for each start of each of the distinct pieces, whether its string of either length stands twice, and the n + 1 bounds of the pieces' flags.
 
+    A piece is its kind, the number of its symbol, the bytes on both sides of that, and its number of starts; it counts as often as `count` says.
+    """
+    kind, starts = (np.array([p[k] for p in pieces], np.int64) for k in (0, 4))
+    best, heads = shared_prefixes([p[1:4] for p in pieces])
+    bounds = np.concatenate(([0], np.cumsum(starts)))
+    one, again = np.repeat(kind == _AS_ONE, starts), np.repeat(count > 1, starts)
+    place = np.repeat(heads - bounds[:-1], starts) + np.arange(bounds[-1])
+    reach = best[np.where(one, np.repeat(heads, starts), place)]
+    out = []
+    for length, other in ((sizes.length, _ONLY_SHORT), (sizes.passage, _ONLY_LONG)):
+        need = np.where(one, 1, length - sizes.context + 1)
+        # the bytes of its piece that a string of this length needs, of pieces for strings of both
+        size = np.array([len(p[2]) + len(p[3]) for p in pieces], np.int64) + sizes.context
+        inside = one | (np.arange(bounds[-1]) - np.repeat(bounds[:-1], starts) + length <= np.repeat(size, starts))
+        out.append((again | (reach >= need)) & inside & np.repeat(kind != other, starts))
+    return out[0], out[1], bounds
+
+
+def _shard(sizes: Lengths):
     def run(table: pa.Table) -> pa.Table:
-        contexts: dict[bytes, int] = {}
-        known: dict[tuple[int, bytes, bytes], int] = {}
+        symbols: dict[tuple[int, bytes], int] = {}
+        known: dict[tuple, int] = {}
         owners = []
-        for digests, sizes, text in zip(table["digests"].to_pylist(), table["sizes"].to_pylist(), table["text"].to_pylist()):
-            cuts = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)))).tolist()
-            own = []
-            for i, (a, m, b) in enumerate(zip(cuts[0:-1:2], cuts[1::2], cuts[2::2])):
-                context = contexts.setdefault(digests[16 * i : 16 * i + 16], len(contexts))
-                own.append(known.setdefault((context, text[a:m], text[m:b]), len(known)))
+        for kinds, digests, told, text in zip(*(table[c].to_pylist() for c in ("kinds", "digests", "sizes", "text"))):
+            own, at = [], 0
+            for i, (kind, (left, right, n)) in enumerate(zip(kinds, np.frombuffer(told, "<u4").reshape(-1, 3).tolist())):
+                symbol = symbols.setdefault((kind, digests[16 * i : 16 * i + 16]), len(symbols))
+                end = at + left + right
+                own.append(known.setdefault((kind, symbol, text[at : at + left], text[at + left : end], n), len(known)))
+                at = end
             owners.append(np.array(own, np.int64))
         twice = np.frombuffer(b"".join(table["twice"].to_pylist()), np.uint8)
         count = np.bincount(np.concatenate(owners), weights=1.0 + twice).astype(np.int64)
-        hit, bounds = repeated_starts(list(known), count, width)
-        any_hit = np.add.reduceat(hit, bounds[:-1], dtype=np.int64) > 0
-        masks = {i: np.packbits(hit[bounds[i] : bounds[i + 1]], bitorder="little").tobytes() for i in np.flatnonzero(any_hit).tolist()}
+        pieces = list(known)
+        long, short, bounds = repeated_starts(pieces, count, sizes)
+        as_one = np.array([p[0] == _AS_ONE for p in pieces])
         rows = []
-        for block, own, keys in zip(table["block"].to_pylist(), owners, table["keys"].to_pylist()):
-            on = np.flatnonzero(any_hit[own])
-            if len(on):
-                rows.append((block, STARTS, np.frombuffer(keys, "<u8")[on].tobytes(), b"".join([masks[i] for i in own[on].tolist()])))
+        for kind, hit in ((WHOLE, short), (LONG, long), (SHORT, short))[: 2 if sizes.passage == sizes.length else 3]:
+            told = (np.add.reduceat(hit, bounds[:-1], dtype=np.int64) > 0) & (as_one == (kind == WHOLE))
+            masks = {} if kind == WHOLE else {i: np.packbits(hit[bounds[i] : bounds[i + 1]], bitorder="little").tobytes() for i in np.flatnonzero(told).tolist()}
+            for block, own, keys in zip(table["block"].to_pylist(), owners, table["keys"].to_pylist()):
+                on = np.flatnonzero(told[own])
+                if len(on):
+                    rows.append((block, kind, np.frombuffer(keys, "<u8")[on].tobytes(), b"".join([masks[i] for i in own[on].tolist()]) if masks else None))
         give_back()
         return _table(rows, ["block", "kind", "blob", "masks"], _TOLD_TYPES)
 
@@ -305,40 +366,73 @@ def whole_characters(text: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def _starts(raw: np.ndarray, offsets: np.ndarray, length: int, found: pa.Table) -> np.ndarray:
-    """A flag for each byte of a block: whether a repeated string starts there."""
-    begins = np.zeros(len(raw), bool)
-    rows = _told(found, STARTS)
-    if not rows.num_rows:
-        return begins
-    keys = np.frombuffer(b"".join(rows["blob"].to_pylist()), "<u8")
-    data = np.frombuffer(b"".join(rows["masks"].to_pylist()), np.uint8)
-    by = np.argsort(keys)
-    parts, counts = [], np.zeros(len(keys), np.int64)
-    for p in _sorted_pieces(raw, offsets, length, found):
-        own = p.keys()
-        at = by[np.minimum(np.searchsorted(keys, own, sorter=by), len(by) - 1)]
-        hit = np.flatnonzero(keys[at] == own)
-        count = (p.last - p.first + 1)[hit]
-        counts[at[hit]] = count
-        parts.append((at[hit], p.first[hit] + p.base, count))
-    which, first, count = (np.concatenate(x) for x in zip(*parts))
-    places = np.cumsum((counts + 7) // 8) - (counts + 7) // 8  # where each key's mask begins
-    for lo in range(0, len(which), 1 << 14):
-        w, f, c = which[lo : lo + (1 << 14)], first[lo : lo + (1 << 14)], count[lo : lo + (1 << 14)]
-        k = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-        on = data[np.repeat(places[w], c) + (k >> 3)] >> (k & 7).astype(np.uint8) & 1 == 1
-        begins[(np.repeat(f, c) + k)[on]] = True
-    return begins
-
-
-def _mark(length: int, characters: bool):
+class _Masks:
+    """What shards say of the starts of a block's pieces, by the pieces' keys."""
+
+    def __init__(self, found: pa.Table, kind: int) -> None:
+        rows = _told(found, kind)
+        keys = np.frombuffer(b"".join(rows["blob"].to_pylist()), "<u8")
+        self.by = np.argsort(keys)
+        self.keys = keys[self.by]
+        self.data = None if kind == WHOLE else np.frombuffer(b"".join(rows["masks"].to_pylist()), np.uint8)
+        self.parts, self.counts = [], np.zeros(len(keys), np.int64)
+
+    def take(self, p: Pieces, own: np.ndarray) -> None:
+        """Remembers which pieces are told of."""
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == own)
+            which, count = self.by[at[hit]], (p.last - p.first + 1)[hit]
+            self.counts[which] = count
+            self.parts.append((which, (p.first + p.base)[hit], count, (p.ends + p.base)[hit]))
+
+    def mark(self, begins: np.ndarray, length: int) -> None:
+        """Sets the flags of the starts of strings of this length."""
+        if not self.parts:
+            return
+        which, first, count, ends = (np.concatenate(x) for x in zip(*self.parts))
+        places = np.cumsum((self.counts + 7) // 8) - (self.counts + 7) // 8  # where each key's mask begins
+        for lo in range(0, len(which), 1 << 14):
+            w, f, c, e = (x[lo : lo + (1 << 14)] for x in (which, first, count, ends))
+            k = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+            at = np.repeat(f, c) + k
+            if self.data is None:
+                on = at + length <= np.repeat(e, c)
+            else:
+                on = self.data[np.repeat(places[w], c) + (k >> 3)] >> (k & 7).astype(np.uint8) & 1 == 1
+            begins[at[on]] = True
+
+
+def _covered(raw: np.ndarray, offsets: np.ndarray, sizes: Lengths, found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of a block, whether a repeated string of either length covers it."""
+    masks = {kind: _Masks(found, kind) for kind in (WHOLE, LONG, SHORT)}
+    if any(len(m.keys) for m in masks.values()):
+        for p in _sorted_pieces(raw, offsets, sizes, found):
+            own = p.keys()
+            for kind in ((WHOLE,) if p.kind == _AS_ONE else (LONG, SHORT)):
+                masks[kind].take(p, own)
+    out = []
+    for length, kind in ((sizes.length, LONG), (sizes.passage, SHORT)):
+        begins = np.zeros(len(raw), bool)
+        masks[WHOLE].mark(begins, length)
+        masks[kind].mark(begins, length)
+        covered = np.cumsum(begins, dtype=np.int32)
+        covered[length:] -= covered[:-length].copy()
+        out.append(covered > 0)
+        if sizes.passage == sizes.length:
+            out.append(out[0])
+            break
+    return out[0], out[1]
+
+
+def _mark(sizes: Lengths, characters: bool):
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         docs = in_order(docs)
         raw, offsets = buffers(docs["_text"])
-        covered = np.cumsum(_starts(raw, offsets, length, found), dtype=np.int32)
-        covered[length:] -= covered[:-length].copy()
-        low, high = runs_of(covered > 0)
+        covered, passages = _covered(raw, offsets, sizes, found)
+        inside = np.concatenate(([0], np.cumsum(passages, dtype=np.int64)))
+        told = inside[offsets[1:]] - inside[offsets[:-1]]
+        low, high = runs_of(covered)
         spans, kept = [], []
         lows, highs = np.searchsorted(high, offsets[:-1], side="right"), np.searchsorted(low, offsets[1:], side="left")
         for i, text in enumerate(docs["_text"]):
@@ -358,7 +452,7 @@ def _mark(length: int, characters: bool):
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         row = docs["_row"].combine_chunks() if isinstance(docs["_row"], pa.ChunkedArray) else docs["_row"]
         give_back()
-        return pa.Table.from_arrays([row, pa.array(np.diff(offsets), pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["_row", "n_bytes", "removed", "kept"])
+        return pa.Table.from_arrays([row, pa.array(np.diff(offsets), pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(told, pa.int64())], ["_row", "n_bytes", "removed", "kept", "n_passage"])
 
     return run
 
@@ -374,27 +468,33 @@ def clean(docs: DataFrame, length: int = 400) -> DataFrame:
     return found.select([updated.get(c, F.col(f"_boxed.`{c}`")).alias(c) for c in docs.columns])
 
 
-def dedup(docs: DataFrame, *columns: str, length: int = 400, characters: bool = False, crowd: int = CROWD) -> DataFrame:
-    """The named columns of docs, n_bytes of the text in UTF-8, removed (maximal byte intervals) and kept (the bytes left, binary).
+def dedup(docs: DataFrame, *columns: str, length: int = 400, passage: int | None = None, characters: bool = False, crowd: int = CROWD) -> DataFrame:
+    """The named columns of docs, n_bytes of the text in UTF-8, removed (maximal byte intervals), kept (the bytes left, binary) and n_passage.
 
     docs has doc_id (whole numbers) and text. Every copy goes, the first included; strings are
     judged on the input, and never cross documents. Null and empty texts have no bytes; texts
     shorter than `length` stay whole; equal rows repeat one another. Other columns of docs do
-    not matter, whatever their names. `length` must be at least 64. With `characters`, code points that an
+    not matter, whatever their names. With `characters`, code points that an
     interval holds in part stay, so that what is kept is still UTF-8. `crowd` changes only the way, not the result.
+
+    n_passage is the number of bytes in strings of `passage` bytes that start twice; `passage` is
+    `length` unless it is given, and must be from 64 to `length`.
     """
-    if length < 64:
-        raise ValueError("length must be at least 64")
+    sizes = Lengths(length, length if passage is None else passage)
+    if not 64 <= sizes.passage <= length:
+        raise ValueError("length must be at least 64, and passage from 64 to length")
     count = block_count(docs)
     bucket_bits = min(16, max(2, math.ceil(math.log2(count))))
     blocks = blocked(docs, count, list(columns))
-    sent = blocks.groupBy("_block").applyInArrow(_contexts(length, bucket_bits), "bucket int, block int, blob binary, told binary")
+    sent = blocks.groupBy("_block").applyInArrow(_contexts(sizes, bucket_bits), "bucket int, block int, blob binary, told binary")
     groups = sent.groupBy("bucket").applyInArrow(_groups(crowd), _TOLD)
     crowded = groups.where(F.col("kind") == CROWDED)
-    strings = blocks.join(crowded.select(F.col("block").alias("_block")).distinct(), "_block", "left_semi").groupBy("_block").cogroup(crowded.groupBy("block"))
-    strings = strings.applyInArrow(_strings(length, bucket_bits), "bucket int, block int, blob binary, again binary")
+    # an inner join with distinct blocks: a semi-join would be pushed below the exchange of the texts, which would be made again
+    strings = blocks.join(crowded.select(F.col("block").alias("_block")).distinct(), "_block").groupBy("_block").cogroup(crowded.groupBy("block"))
+    strings = strings.applyInArrow(_strings(sizes, bucket_bits), "bucket int, block int, blob binary, again binary")
     told = groups.unionByName(strings.groupBy("bucket").applyInArrow(_repeated_strings, _TOLD))
-    pieces = blocks.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_send(length, 2 * count), "shard int, block int, keys binary, digests binary, twice binary, sizes binary, text binary")
-    starts = pieces.groupBy("shard").applyInArrow(_shard(length), _TOLD)
-    done = blocks.groupBy("_block").cogroup(told.unionByName(starts).groupBy("block")).applyInArrow(_mark(length, characters), widened(blocks, ["_row"], "n_bytes long, removed array<struct<start: long, end: long>>, kept binary"))
-    return done.select("_row.*", "n_bytes", "removed", "kept")
+    pieces = blocks.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_send(sizes, 2 * count), "shard int, block int, keys binary, kinds binary, digests binary, twice binary, sizes binary, text binary")
+    starts = pieces.groupBy("shard").applyInArrow(_shard(sizes), _TOLD)
+    added = widened(blocks, ["_row"], "n_bytes long, removed array<struct<start: long, end: long>>, kept binary, n_passage long")
+    done = blocks.groupBy("_block").cogroup(told.unionByName(starts).groupBy("block")).applyInArrow(_mark(sizes, characters), added)
+    return done.select("_row.*", "n_bytes", "removed", "kept", "n_passage")

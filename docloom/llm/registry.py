@@ -31,9 +31,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import dedup
 
-    found = dedup(_table(spark, sf_dir, "documents"), "doc_id")
+    # 50 words of these languages are 240 bytes at least, but for one passage in a hundred
+    found = dedup(_table(spark, sf_dir, "documents"), "doc_id", passage=240)
     removed = F.expr("aggregate(removed, 0L, (s, x) -> s + x.end - x.start)")
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

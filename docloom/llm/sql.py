@@ -91,12 +91,14 @@ SUFFIXES = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
 w as (select doc_id, i, md5(substr(h, 2 * i + 1, 800)) as g from (select doc_id, h, unnest(range(0, length(h) // 2 - 399)) as i from d where length(h) >= 800)),
 r as (select doc_id, i from (select doc_id, i, count(*) over (partition by g) as c from w) where c > 1),
+v as (select doc_id, i, md5(substr(h, 2 * i + 1, 480)) as g from (select doc_id, h, unnest(range(0, length(h) // 2 - 239)) as i from d where length(h) >= 480)),
+q as (select doc_id, i from (select doc_id, i, count(*) over (partition by g) as c from v) where c > 1),
 p as (select doc_id, unnest(range(0, length(h) // 2)) as p from d),
-m as (select p.doc_id, p.p, max(r.i) over (partition by p.doc_id order by p.p) as last from p left join r on r.doc_id = p.doc_id and r.i = p.p),
-c as (select doc_id, p, coalesce(last > p - 400, false) as gone from m),
+m as (select p.doc_id, p.p, max(r.i) over (partition by p.doc_id order by p.p) as last, max(q.i) over (partition by p.doc_id order by p.p) as short from p left join r on r.doc_id = p.doc_id and r.i = p.p left join q on q.doc_id = p.doc_id and q.i = p.p),
+c as (select doc_id, p, coalesce(last > p - 400, false) as gone, coalesce(short > p - 240, false) as told from m),
 e as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by p), false) as opens from c),
-k as (select e.doc_id, count(*) filter (gone) as n_removed, count(*) filter (opens) as n_spans, coalesce(string_agg(substr(h, 2 * p + 1, 2), '' order by p) filter (not gone), '') as kept from e join d using (doc_id) group by e.doc_id)
-select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+k as (select e.doc_id, count(*) filter (gone) as n_removed, count(*) filter (opens) as n_spans, count(*) filter (told) as n_passage, coalesce(string_agg(substr(h, 2 * p + 1, 2), '' order by p) filter (not gone), '') as kept from e join d using (doc_id) group by e.doc_id)
+select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256, coalesce(n_passage, 0)::bigint as n_passage
 from d left join k using (doc_id)
 """
 

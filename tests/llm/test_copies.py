@@ -67,9 +67,9 @@ def brute_bytes(texts, length):
 def check_bytes(spark, own, length, **more):
     """The operator's result against the brute-force one."""
     got = exact.dedup(corpus.frame(spark, own=own), "text", length=length, **more)
-    got = Counter((r.text, r.n_bytes, r.n, r.k, r.h) for r in got.select("text", "n_bytes", F.expr("aggregate(removed, 0L, (s, x) -> s + x.end - x.start)").alias("n"), F.size("removed").alias("k"), F.sha2("kept", 256).alias("h")).collect())
+    got = Counter((r.text, r.n_bytes, r.n, r.k, r.h, r.n_passage) for r in got.select("text", "n_bytes", F.expr("aggregate(removed, 0L, (s, x) -> s + x.end - x.start)").alias("n"), F.size("removed").alias("k"), F.sha2("kept", 256).alias("h"), "n_passage").collect())
     texts = [(r[1] or "").encode() for r in own]
-    want = Counter((r[1], *b) for r, b in zip(own, brute_bytes(texts, length)))
+    want = Counter((r[1], *b, p[1]) for r, b, p in zip(own, brute_bytes(texts, length), brute_bytes(texts, more.get("passage", length))))
     assert got == want
     return sum(n * x[2] for x, n in want.items())
 
@@ -92,12 +92,27 @@ def passages(seed: int = 5) -> list[tuple]:
 
 
 def test_repeated_bytes_at_the_contract_length(spark):
-    assert check_bytes(spark, passages(), 400)
-    assert check_bytes(spark, corpus.rows(), 400)
+    assert check_bytes(spark, passages(), 400, passage=240)
+    assert check_bytes(spark, corpus.rows(), 400, passage=240)
+
+
+def test_passages_over_fifty_words_are_told(spark):
+    """Passages of 50 to 70 words are shorter than 400 bytes here, so nothing of them is removed: n_passage tells them."""
+    rng = random.Random(11)
+    text = lambda n: " ".join("".join(rng.choice("aeioustrnl") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    planted = {n: text(n) for n in (51, 55, 60, 65, 70, 80)}
+    own = [(i * 1000 + n, f"{text(40)} {p} {text(60)}", "en", "s", 0, *"xyzn0q") for i in range(3) for n, p in planted.items()]
+    own += [(9000 + i, text(120), "en", "s", 0, *"xyzn0q") for i in range(20)]
+    got = {r.doc_id: r for r in exact.dedup(corpus.frame(spark, own=own), "doc_id", length=400, passage=240).collect()}
+    removed = {n: sum(x.end - x.start for x in got[n].removed) for n in planted}
+    assert [removed[n] > 0 for n in planted] == [len(p) >= 400 for p in planted.values()] and removed[51] == 0
+    assert all(got[i * 1000 + n].n_passage >= len(p) for i in range(3) for n, p in planted.items())
+    assert not any(got[9000 + i].n_passage for i in range(20))
 
 
 def test_crowded_contexts_give_the_same(spark):
-    assert check_bytes(spark, passages(), 400, crowd=2)
+    assert check_bytes(spark, passages(), 400, crowd=2, passage=240)
+    assert check_bytes(spark, passages(9), 400, crowd=0, passage=100)
     assert check_bytes(spark, passages(9), 200, crowd=0)
 
 
@@ -113,16 +128,19 @@ def test_repeated_bytes_of_low_entropy(spark):
         assert check_bytes(spark, own, 64, crowd=crowd)
 
 
-def test_arrays_decide_every_removal():
-    pieces = [(0, b"xxabab", b"babababa"), (0, b"yyabab", b"bababaxx"), (1, b"abab", b"babababa"), (0, b"abab", b"bababab"), (2, b"xyx", b"yyyyyyyyy")]
-    hit, bounds = exact.repeated_starts(pieces, np.ones(5, np.int64), 9)
-    strings = [[(g, left[s:], right[: 8 - len(left) + s]) for s in range(len(left) + len(right) + 2 - 9)] for g, left, right in pieces]
-    every = Counter(x for own in strings for x in own)
-    assert hit.tolist() == [every[x] > 1 for own in strings for x in own] and 0 < hit.sum() < len(hit)
-    assert bounds.tolist() == np.cumsum([0] + [len(own) for own in strings]).tolist()
-    once, _ = exact.repeated_starts(pieces[:1], np.array([1]), 9)
-    twice, _ = exact.repeated_starts(pieces[:1], np.array([2]), 9)
-    assert not once.any() and twice.all()
+def test_shared_prefixes():
+    pieces = [(0, b"xxabab", b"babababa"), (0, b"yyabab", b"bababaxx"), (1, b"abab", b"babababa"), (0, b"abab", b"bababab"), (2, b"xyx", b"yyyyyyyyy"), (3, b"", b"")]
+    best, heads = exact.shared_prefixes(pieces)
+    text = [x for g, left, right in pieces for x in [*(b + 2 for b in left), 258 + g, *(b + 2 for b in right), 1]] + [0]
+    assert heads.tolist() == np.cumsum([0] + [len(p[1]) + len(p[2]) + 2 for p in pieces[:-1]]).tolist()
+    for i in range(len(text)):
+        same = 0
+        for j in range(len(text)):
+            n = 0
+            while i != j and text[i + n : i + n + 1] == text[j + n : j + n + 1] != []:
+                n += 1
+            same = max(same, n)
+        assert best[i] == same
 
 
 def test_cleaned_documents_are_documents(spark):
