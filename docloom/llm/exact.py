@@ -22,6 +22,7 @@ send on only the stretches whose strings stand twice, so that what is alike in a
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -40,10 +41,11 @@ from .suffixes import permuted_prefixes, suffix_array
 
 STEP = 1 << 18
 CROWD = 1 << 14  # different pieces of a context, summed over blocks, from which their strings are counted first
-AGREED, SHARED, CROWDED, STRINGS, WHOLE, LONG, SHORT = range(7)  # kinds of what blocks are told: of contexts, strings, and of starts
+AGREED, SHARED, CROWDED = range(3)  # contexts
+STRINGS, WHOLE, LONG, SHORT = range(4)  # kinds of what blocks are told: of strings, and of starts
 _TOLD = "block int, kind int, blob binary, masks binary"
 _TOLD_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-_AS_ONE, _BOTH, _ONLY_SHORT, _ONLY_LONG = range(4)  # kinds of pieces: one symbol; for strings of both lengths; for one
+_BOTH, _AS_ONE, _SHORT, _LONG = range(4)  # kinds of pieces: with all strings of an anchor, as read and as one symbol; with those of either length
 
 
 @dataclass(frozen=True)
@@ -58,9 +60,17 @@ class Lengths:
         """Of an anchor's window."""
         return max(K, self.passage * 4 // 15)
 
+    def of(self, kind: int) -> int:
+        """The length of the strings that a piece of this kind is for."""
+        return self.length if kind == _LONG else self.passage
+
+    def context(self, kind: int) -> int:
+        """The bytes from an anchor on that all of the anchor's strings hold."""
+        return self.of(kind) - self.width + 1
+
     @property
-    def context(self) -> int:
-        return self.passage - self.width + 1
+    def kinds(self) -> tuple[int, ...]:
+        return (_LONG,) if self.passage == self.length else (_SHORT, _LONG)
 
 
 class Pieces:
@@ -78,7 +88,7 @@ class Pieces:
         self.stop = np.minimum(self.last + sizes.length, self.ends)
         self.kind = _BOTH
         self._keep(np.flatnonzero(self.first <= self.last))
-        self.context = mix(one.spans(self.sums, self.at, self.at + sizes.context))
+        self.context = mix(one.spans(self.sums, self.at, self.at + sizes.context(_SHORT)))
 
     def _keep(self, pick: np.ndarray) -> None:
         self.at, self.first, self.last, self.stop, self.ends = (x[pick] for x in (self.at, self.first, self.last, self.stop, self.ends))
@@ -89,11 +99,9 @@ class Pieces:
         out.__dict__.update(self.__dict__)
         out._keep(pick)
         out.context, out.kind = self.context[pick], kind
-        if kind == _ONLY_SHORT:
-            out.stop = out.last + self.sizes.passage
-        elif kind == _ONLY_LONG:
-            out.last = np.minimum(out.last, out.ends - self.sizes.length)
-            out.stop = out.last + self.sizes.length
+        if kind in (_SHORT, _LONG):
+            out.last = np.minimum(out.last, out.ends - self.sizes.of(kind))
+            out.stop = out.last + self.sizes.of(kind)
             enough = np.flatnonzero(out.first <= out.last)
             out._keep(enough)
             out.context = out.context[enough]
@@ -112,8 +120,7 @@ class Pieces:
         count = self.last - self.first + 1
         piece = np.repeat(np.arange(len(count)), count)
         start = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count - self.first, count)
-        length = self.sizes.passage if self.kind == _ONLY_SHORT else self.sizes.length
-        return piece, start, mix(self.one.spans(self.sums, start, start + length) + U64(self.kind) * MUL_C)
+        return piece, start, mix(self.one.spans(self.sums, start, start + self.sizes.of(self.kind)) + U64(self.kind) * MUL_C)
 
     def stretches(self, known: np.ndarray) -> Pieces:
         """The pieces cut to stretches of starts whose strings' hashes are known."""
@@ -127,8 +134,8 @@ class Pieces:
         out = object.__new__(Pieces)
         out.__dict__.update(self.__dict__)
         out._keep(piece[head])
-        out.context, reach = self.context[piece[head]], self.stop - self.last
-        out.first, out.last, out.stop = start[head], start[tail], start[tail] + (int(reach[0]) if len(reach) else 0)
+        out.context = self.context[piece[head]]
+        out.first, out.last, out.stop = start[head], start[tail], start[tail] + self.sizes.of(self.kind)
         return out
 
 
@@ -189,32 +196,32 @@ def _groups(crowd: int):
         twice = (np.diff(np.append(start, len(by))) > 1) | np.bitwise_or.reduceat(counts & 1, start).astype(bool)
         different = np.add.reduceat(counts >> 1, start)
         agreed = (np.maximum.reduceat(counts >> 1, start) == 1) & (np.minimum.reduceat(piece, start) == np.maximum.reduceat(piece, start))
+        known, kind = context[start[twice]], np.where(agreed, AGREED, np.where(different <= crowd, SHARED, CROWDED))[twice]
         rows = []
-        for kind, which in ((AGREED, agreed), (SHARED, ~agreed & (different <= crowd)), (CROWDED, ~agreed & (different > crowd))):
-            known = context[start[twice & which]]
-            if len(known):
-                rows += [(block, kind, pack_sorted(found), None) for block, own in zip(blocks, lists) if len(found := own[member(own, known)])]
-        return _table(rows, ["block", "kind", "blob", "masks"], _TOLD_TYPES)
+        for block, own in zip(blocks, lists):
+            own = own[member(own, known)]
+            if len(own):
+                which = kind[np.searchsorted(known, own)]
+                rows.append((block, *(pack_sorted(own[which == k]) if (which == k).any() else None for k in (AGREED, SHARED, CROWDED))))
+        return _table(rows, ["block", "agreed", "shared", "crowded"], [pa.int32(), *[pa.binary()] * 3])
 
     return run
 
 
-def _crowded_pieces(p: Pieces, crowded: np.ndarray) -> list[Pieces]:
-    own = np.flatnonzero(member(p.context, crowded))
-    if not len(own):
-        return []
-    kinds = (_ONLY_LONG,) if p.sizes.passage == p.sizes.length else (_ONLY_SHORT, _ONLY_LONG)
-    return [q for kind in kinds if len((q := p.some(own, kind)).at)]
+def _pieces_of(p: Pieces, contexts: np.ndarray) -> list[Pieces]:
+    """The pieces of these contexts, for strings of each length."""
+    own = np.flatnonzero(member(p.context, contexts))
+    return [q for kind in p.sizes.kinds if len((q := p.some(own, kind)).at)] if len(own) else []
 
 
 def _strings(sizes: Lengths, bucket_bits: int):
     """The distinct string hashes of a block's crowded pieces, and those that stand twice in the block."""
 
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        crowded, rows = answers(_told(found, CROWDED)), []
+        crowded, rows = answers(found.filter(pc.is_valid(found["crowded"])), "crowded"), []
         if len(crowded):
             raw, offsets = buffers(docs["_text"])
-            parts = [np.zeros(0, U64)] + [q.strings()[2] for p in _each(raw, offsets, sizes) for q in _crowded_pieces(p, crowded)]
+            parts = [np.zeros(0, U64)] + [q.strings()[2] for p in _each(raw, offsets, sizes) for q in _pieces_of(p, crowded)]
             values, counts = np.unique(np.concatenate(parts), return_counts=True)
             twice = values[counts > 1]
             edges, more = (bucket_edges(x, 64, bucket_bits).tolist() for x in (values, twice))
@@ -236,54 +243,53 @@ def _repeated_strings(table: pa.Table) -> pa.Table:
 
 def _sorted_pieces(raw: np.ndarray, offsets: np.ndarray, sizes: Lengths, found: pa.Table) -> Iterator[Pieces]:
     """The pieces of a block that go to shards."""
-    agreed, shared, crowded, strings = (answers(_told(found, kind)) for kind in (AGREED, SHARED, CROWDED, STRINGS))
+    agreed, shared, crowded = (answers(found.filter(pc.is_valid(found[c])), c) for c in ("agreed", "shared", "crowded"))
+    strings = answers(_told(found, STRINGS))
     if not len(agreed) and not len(shared) and not len(strings):
         return
     for p in _each(raw, offsets, sizes):
-        for known, kind in ((agreed, _AS_ONE), (shared, _BOTH)):
-            own = np.flatnonzero(member(p.context, known))
-            if len(own):
-                yield p.some(own, kind)
+        own = np.flatnonzero(member(p.context, agreed))
+        if len(own):
+            yield p.some(own, _AS_ONE)
+        yield from _pieces_of(p, shared)
         if len(strings):
-            yield from (cut for q in _crowded_pieces(p, crowded) if len((cut := q.stretches(strings)).at))
+            yield from (cut for q in _pieces_of(p, crowded) if len((cut := q.stretches(strings)).at))
 
 
 def _send(sizes: Lengths, shards: int):
-    """A block's different pieces, each to the shard of its context: keys, kinds, digests, whether they stand twice, how many starts, and the bytes to the left and right of the context."""
+    """A block's different pieces, each to the shard of its context: keys, kinds, digests, whether they stand twice, and the bytes to the left and right of the context."""
 
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         raw, offsets = buffers(docs["_text"])
-        parts = [(p.keys(), p.context, p.at + p.base, p.first + p.base, p.last + p.base, p.stop + p.base, np.full(len(p.at), p.kind, np.uint8)) for p in _sorted_pieces(raw, offsets, sizes, found)]
+        parts = [(p.keys(), p.context, p.at + p.base, p.first + p.base, p.stop + p.base, np.full(len(p.at), p.kind, np.uint8)) for p in _sorted_pieces(raw, offsets, sizes, found)]
         rows = []
         if parts:
-            keys, context, middle, first, last, stop, kind = (np.concatenate(x) for x in zip(*parts))
+            keys, context, middle, first, stop, kind = (np.concatenate(x) for x in zip(*parts))
             keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
             shard = (mix(context[at] + MUL_A) % U64(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             keys, at, twice, shard = keys[by], at[by], (counts[by] > 1).astype(np.uint8), shard[by]
-            middle, first, last, stop, kind = (x[at] for x in (middle, first, last, stop, kind))
-            whole = kind == _AS_ONE
-            told = np.stack([np.where(whole, 0, middle - first), np.where(whole, 0, stop - middle - sizes.context), last - first + 1], axis=1).astype("<u4")
+            middle, first, stop, kind = (x[at] for x in (middle, first, stop, kind))
+            # what is one symbol: all of the piece, or the context
+            begin = np.where(kind == _AS_ONE, first, middle)
+            end = np.where(kind == _AS_ONE, stop, middle + np.where(kind == _LONG, sizes.context(_LONG), sizes.context(_SHORT)))
+            margins = np.stack([begin - first, stop - end], axis=1).astype("<u2")
             edges = np.append(_starts_of(shard), len(shard))
             data = raw.tobytes()
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 digests, text = [], []
-                for one, a, m, b in zip(whole[lo:hi].tolist(), first[lo:hi].tolist(), middle[lo:hi].tolist(), stop[lo:hi].tolist()):
-                    if one:
-                        digests.append(blake2b(data[a:b], digest_size=16).digest())
-                    else:
-                        end = m + sizes.context
-                        digests.append(blake2b(data[m:end], digest_size=16).digest())
-                        text += [data[a:m], data[end:b]]
-                rows.append((int(shard[lo]), key[0].as_py(), keys[lo:hi].astype("<u8").tobytes(), kind[lo:hi].tobytes(), b"".join(digests), twice[lo:hi].tobytes(), told[lo:hi].tobytes(), b"".join(text)))
+                for a, b, c, d in zip(first[lo:hi].tolist(), begin[lo:hi].tolist(), end[lo:hi].tolist(), stop[lo:hi].tolist()):
+                    digests.append(blake2b(data[b:c], digest_size=16).digest())
+                    text += [data[a:b], data[c:d]]
+                rows.append((int(shard[lo]), key[0].as_py(), keys[lo:hi].astype("<u8").tobytes(), kind[lo:hi].tobytes(), b"".join(digests), twice[lo:hi].tobytes(), margins[lo:hi].tobytes(), b"".join(text)))
         give_back()
-        return _table(rows, ["shard", "block", "keys", "kinds", "digests", "twice", "sizes", "text"], [pa.int32(), pa.int32(), *[pa.binary()] * 6])
+        return _table(rows, ["shard", "block", "keys", "kinds", "digests", "twice", "margins", "text"], [pa.int32(), pa.int32(), *[pa.binary()] * 6])
 
     return run
 
 
 def shared_prefixes(pieces: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of the distinct pieces' text, the longest prefix that its suffix shares with any other; and where each piece begins.
+    """For each place of the distinct pieces' text, the longest prefix that its suffix shares with any other; and where each piece's symbol is.
 
     A piece is the number of its symbol, and the bytes to the left and to the right of that.
     """
@@ -292,59 +298,70 @@ def shared_prefixes(pieces: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray,
     # a place for the symbol after the left bytes, and one for the piece's end
     text = np.frombuffer(b"".join([x for p in pieces for x in (p[1], b"\x00", p[2], b"\x00")]) + b"\x00", np.uint8).astype(np.int32) + 2
     ends = np.cumsum(left + right + 2) - 1
-    heads = ends - left - right - 1
-    text[heads + left] = 258 + symbol
+    middle = ends - right - 1
+    text[middle] = 258 + symbol
     text[ends] = 1
     text[-1] = 0
     array = suffix_array(text, 259 + int(symbol.max()))
     own = permuted_prefixes(text, array)[array]
     best = np.zeros(len(text), np.int64)
     best[array] = np.maximum(own, np.append(own[1:], 0))
-    return best, heads
+    return best, middle
 
 
-def repeated_starts(pieces: list[tuple[int, int, bytes, bytes, int]], count: np.ndarray, sizes: Lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flags for each start of each of the distinct pieces, whether its string of either length stands twice, and the n + 1 bounds of the pieces' flags.
+def repeated_starts(pieces: list[tuple[int, bytes, bytes]], count: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A flag for each start of each of the distinct pieces, whether its string stands twice, and the n + 1 bounds of the pieces' flags.
 
-    A piece is its kind, the number of its symbol, the bytes on both sides of that, and its number of starts; it counts as often as `count` says.
+    A piece is the number of its symbol and the bytes on both sides of that; a string is `width`
+    symbols, the symbol one of them, and a piece without such bytes has one start. A piece counts as often as `count` says.
+    Bytes next to a symbol that all of its pieces share become part of it, so the arrays hold only where pieces differ.
     """
-    kind, starts = (np.array([p[k] for p in pieces], np.int64) for k in (0, 4))
-    best, heads = shared_prefixes([p[1:4] for p in pieces])
+    own: dict[int, list[int]] = {}
+    for i, piece in enumerate(pieces):
+        own.setdefault(piece[0], []).append(i)
+    folded, common = list(pieces), np.zeros((len(pieces), 2), np.int64)
+    for symbol, group in own.items():
+        before = len(os.path.commonprefix([pieces[i][1][::-1] for i in group]))
+        after = len(os.path.commonprefix([pieces[i][2] for i in group]))
+        for i in group:
+            _, left, right = pieces[i]
+            folded[i] = (symbol, left[: len(left) - before], right[after:])
+        common[group] = before, after
+    best, middle = shared_prefixes(folded)
+    left, right = (np.array([len(p[k]) for p in pieces], np.int64) for k in (1, 2))
+    starts = np.where(left + right == 0, 1, left + right + 2 - width)
     bounds = np.concatenate(([0], np.cumsum(starts)))
-    one, again = np.repeat(kind == _AS_ONE, starts), np.repeat(count > 1, starts)
-    place = np.repeat(heads - bounds[:-1], starts) + np.arange(bounds[-1])
-    reach = best[np.where(one, np.repeat(heads, starts), place)]
-    out = []
-    for length, other in ((sizes.length, _ONLY_SHORT), (sizes.passage, _ONLY_LONG)):
-        need = np.where(one, 1, length - sizes.context + 1)
-        # the bytes of its piece that a string of this length needs, of pieces for strings of both
-        size = np.array([len(p[2]) + len(p[3]) for p in pieces], np.int64) + sizes.context
-        inside = one | (np.arange(bounds[-1]) - np.repeat(bounds[:-1], starts) + length <= np.repeat(size, starts))
-        out.append((again | (reach >= need)) & inside & np.repeat(kind != other, starts))
-    return out[0], out[1], bounds
+    piece = np.repeat(np.arange(len(pieces)), starts)
+    ahead = left[piece] - (np.arange(bounds[-1]) - bounds[piece])  # bytes of the string before the symbol
+    behind = np.where((left + right == 0)[piece], 0, width - 1 - ahead)  # and after it
+    ahead, behind = np.maximum(0, ahead - common[piece, 0]), np.maximum(0, behind - common[piece, 1])
+    return (best[middle[piece] - ahead] >= ahead + 1 + behind) | (count > 1)[piece], bounds
 
 
 def _shard(sizes: Lengths):
     def run(table: pa.Table) -> pa.Table:
         symbols: dict[tuple[int, bytes], int] = {}
-        known: dict[tuple, int] = {}
-        owners = []
-        for kinds, digests, told, text in zip(*(table[c].to_pylist() for c in ("kinds", "digests", "sizes", "text"))):
+        known: dict[tuple[int, bytes, bytes], int] = {}
+        kind_of, owners = [], []
+        for kinds, digests, margins, text in zip(*(table[c].to_pylist() for c in ("kinds", "digests", "margins", "text"))):
             own, at = [], 0
-            for i, (kind, (left, right, n)) in enumerate(zip(kinds, np.frombuffer(told, "<u4").reshape(-1, 3).tolist())):
+            for i, (kind, (left, right)) in enumerate(zip(kinds, np.frombuffer(margins, "<u2").reshape(-1, 2).tolist())):
                 symbol = symbols.setdefault((kind, digests[16 * i : 16 * i + 16]), len(symbols))
                 end = at + left + right
-                own.append(known.setdefault((kind, symbol, text[at : at + left], text[at + left : end], n), len(known)))
+                number = known.setdefault((symbol, text[at : at + left], text[at + left : end]), len(known))
+                if number == len(kind_of):
+                    kind_of.append(kind)
+                own.append(number)
                 at = end
             owners.append(np.array(own, np.int64))
         twice = np.frombuffer(b"".join(table["twice"].to_pylist()), np.uint8)
         count = np.bincount(np.concatenate(owners), weights=1.0 + twice).astype(np.int64)
-        pieces = list(known)
-        long, short, bounds = repeated_starts(pieces, count, sizes)
-        as_one = np.array([p[0] == _AS_ONE for p in pieces])
+        hit, bounds = repeated_starts(list(known), count, sizes.width)
+        any_hit = np.add.reduceat(hit, bounds[:-1], dtype=np.int64) > 0
+        kinds = np.array(kind_of)
         rows = []
-        for kind, hit in ((WHOLE, short), (LONG, long), (SHORT, short))[: 2 if sizes.passage == sizes.length else 3]:
-            told = (np.add.reduceat(hit, bounds[:-1], dtype=np.int64) > 0) & (as_one == (kind == WHOLE))
+        for kind, as_kind in ((WHOLE, _AS_ONE), (SHORT, _SHORT), (LONG, _LONG)):
+            told = any_hit & (kinds == as_kind)
             masks = {} if kind == WHOLE else {i: np.packbits(hit[bounds[i] : bounds[i + 1]], bitorder="little").tobytes() for i in np.flatnonzero(told).tolist()}
             for block, own, keys in zip(table["block"].to_pylist(), owners, table["keys"].to_pylist()):
                 on = np.flatnonzero(told[own])
@@ -366,73 +383,59 @@ def whole_characters(text: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-class _Masks:
-    """What shards say of the starts of a block's pieces, by the pieces' keys."""
-
-    def __init__(self, found: pa.Table, kind: int) -> None:
+def _covered(raw: np.ndarray, offsets: np.ndarray, sizes: Lengths, found: pa.Table) -> dict[int, np.ndarray]:
+    """For each byte of a block, whether a repeated string of each length covers it."""
+    told = {}
+    for kind, as_kind in ((WHOLE, _AS_ONE), (SHORT, _SHORT), (LONG, _LONG)):
         rows = _told(found, kind)
         keys = np.frombuffer(b"".join(rows["blob"].to_pylist()), "<u8")
-        self.by = np.argsort(keys)
-        self.keys = keys[self.by]
-        self.data = None if kind == WHOLE else np.frombuffer(b"".join(rows["masks"].to_pylist()), np.uint8)
-        self.parts, self.counts = [], np.zeros(len(keys), np.int64)
-
-    def take(self, p: Pieces, own: np.ndarray) -> None:
-        """Remembers which pieces are told of."""
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-            hit = np.flatnonzero(self.keys[at] == own)
-            which, count = self.by[at[hit]], (p.last - p.first + 1)[hit]
-            self.counts[which] = count
-            self.parts.append((which, (p.first + p.base)[hit], count, (p.ends + p.base)[hit]))
-
-    def mark(self, begins: np.ndarray, length: int) -> None:
-        """Sets the flags of the starts of strings of this length."""
-        if not self.parts:
-            return
-        which, first, count, ends = (np.concatenate(x) for x in zip(*self.parts))
-        places = np.cumsum((self.counts + 7) // 8) - (self.counts + 7) // 8  # where each key's mask begins
-        for lo in range(0, len(which), 1 << 14):
-            w, f, c, e = (x[lo : lo + (1 << 14)] for x in (which, first, count, ends))
-            k = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-            at = np.repeat(f, c) + k
-            if self.data is None:
-                on = at + length <= np.repeat(e, c)
-            else:
-                on = self.data[np.repeat(places[w], c) + (k >> 3)] >> (k & 7).astype(np.uint8) & 1 == 1
-            begins[at[on]] = True
-
-
-def _covered(raw: np.ndarray, offsets: np.ndarray, sizes: Lengths, found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of a block, whether a repeated string of either length covers it."""
-    masks = {kind: _Masks(found, kind) for kind in (WHOLE, LONG, SHORT)}
-    if any(len(m.keys) for m in masks.values()):
-        for p in _sorted_pieces(raw, offsets, sizes, found):
-            own = p.keys()
-            for kind in ((WHOLE,) if p.kind == _AS_ONE else (LONG, SHORT)):
-                masks[kind].take(p, own)
-    out = []
-    for length, kind in ((sizes.length, LONG), (sizes.passage, SHORT)):
+        by = np.argsort(keys)
+        told[as_kind] = keys[by], by, b"".join(x or b"" for x in rows["masks"].to_pylist()), []
+    edges = {kind: np.zeros(len(raw) + 1, np.int32) for kind in sizes.kinds}
+    for p in _sorted_pieces(raw, offsets, sizes, found) if any(len(x[0]) for x in told.values()) else ():
+        keys, by, _, parts = told[p.kind]
+        if not len(keys):
+            continue
+        own = p.keys()
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == own)
+        first, last, ends = ((x + p.base)[hit] for x in (p.first, p.last, p.ends))
+        if p.kind == _AS_ONE:  # all of its strings stand twice
+            for kind in sizes.kinds:
+                until = np.minimum(last + sizes.of(kind), ends)
+                on = until - first >= sizes.of(kind)
+                np.add.at(edges[kind], first[on], 1)
+                np.add.at(edges[kind], until[on], -1)
+        else:
+            parts.append((by[at[hit]], first, last - first + 1))
+    covered = {}
+    for kind in sizes.kinds:
+        keys, _, data, parts = told[kind]
         begins = np.zeros(len(raw), bool)
-        masks[WHOLE].mark(begins, length)
-        masks[kind].mark(begins, length)
-        covered = np.cumsum(begins, dtype=np.int32)
-        covered[length:] -= covered[:-length].copy()
-        out.append(covered > 0)
-        if sizes.passage == sizes.length:
-            out.append(out[0])
-            break
-    return out[0], out[1]
+        if parts:
+            which, first, count = (np.concatenate(x) for x in zip(*parts))
+            size = np.zeros(len(keys), np.int64)
+            size[which] = (count + 7) // 8
+            places, bits = np.cumsum(size) - size, np.frombuffer(data, np.uint8)
+            for lo in range(0, len(which), 1 << 14):
+                w, f, c = which[lo : lo + (1 << 14)], first[lo : lo + (1 << 14)], count[lo : lo + (1 << 14)]
+                k = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+                on = bits[np.repeat(places[w], c) + (k >> 3)] >> (k & 7).astype(np.uint8) & 1 == 1
+                begins[(np.repeat(f, c) + k)[on]] = True
+        run, length = np.cumsum(begins, dtype=np.int32), sizes.of(kind)
+        run[length:] -= run[:-length].copy()
+        covered[kind] = (run > 0) | (np.cumsum(edges[kind][:-1], dtype=np.int32) > 0)
+    return covered
 
 
 def _mark(sizes: Lengths, characters: bool):
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         docs = in_order(docs)
         raw, offsets = buffers(docs["_text"])
-        covered, passages = _covered(raw, offsets, sizes, found)
-        inside = np.concatenate(([0], np.cumsum(passages, dtype=np.int64)))
+        covered = _covered(raw, offsets, sizes, found)
+        inside = np.concatenate(([0], np.cumsum(covered[sizes.kinds[0]], dtype=np.int64)))
         told = inside[offsets[1:]] - inside[offsets[:-1]]
-        low, high = runs_of(covered)
+        low, high = runs_of(covered[_LONG])
         spans, kept = [], []
         lows, highs = np.searchsorted(high, offsets[:-1], side="right"), np.searchsorted(low, offsets[1:], side="left")
         for i, text in enumerate(docs["_text"]):
@@ -487,14 +490,14 @@ def dedup(docs: DataFrame, *columns: str, length: int = 400, passage: int | None
     bucket_bits = min(16, max(2, math.ceil(math.log2(count))))
     blocks = blocked(docs, count, list(columns))
     sent = blocks.groupBy("_block").applyInArrow(_contexts(sizes, bucket_bits), "bucket int, block int, blob binary, told binary")
-    groups = sent.groupBy("bucket").applyInArrow(_groups(crowd), _TOLD)
-    crowded = groups.where(F.col("kind") == CROWDED)
+    groups = sent.groupBy("bucket").applyInArrow(_groups(crowd), "block int, agreed binary, shared binary, crowded binary")
+    crowded = groups.where("crowded is not null").select("block", "crowded")
     # an inner join with distinct blocks: a semi-join would be pushed below the exchange of the texts, which would be made again
     strings = blocks.join(crowded.select(F.col("block").alias("_block")).distinct(), "_block").groupBy("_block").cogroup(crowded.groupBy("block"))
     strings = strings.applyInArrow(_strings(sizes, bucket_bits), "bucket int, block int, blob binary, again binary")
-    told = groups.unionByName(strings.groupBy("bucket").applyInArrow(_repeated_strings, _TOLD))
-    pieces = blocks.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_send(sizes, 2 * count), "shard int, block int, keys binary, kinds binary, digests binary, twice binary, sizes binary, text binary")
+    told = groups.unionByName(strings.groupBy("bucket").applyInArrow(_repeated_strings, _TOLD), allowMissingColumns=True)
+    pieces = blocks.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_send(sizes, 2 * count), "shard int, block int, keys binary, kinds binary, digests binary, twice binary, margins binary, text binary")
     starts = pieces.groupBy("shard").applyInArrow(_shard(sizes), _TOLD)
     added = widened(blocks, ["_row"], "n_bytes long, removed array<struct<start: long, end: long>>, kept binary, n_passage long")
-    done = blocks.groupBy("_block").cogroup(told.unionByName(starts).groupBy("block")).applyInArrow(_mark(sizes, characters), added)
+    done = blocks.groupBy("_block").cogroup(told.unionByName(starts, allowMissingColumns=True).groupBy("block")).applyInArrow(_mark(sizes, characters), added)
     return done.select("_row.*", "n_bytes", "removed", "kept", "n_passage")

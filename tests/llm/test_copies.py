@@ -130,9 +130,9 @@ def test_repeated_bytes_of_low_entropy(spark):
 
 def test_shared_prefixes():
     pieces = [(0, b"xxabab", b"babababa"), (0, b"yyabab", b"bababaxx"), (1, b"abab", b"babababa"), (0, b"abab", b"bababab"), (2, b"xyx", b"yyyyyyyyy"), (3, b"", b"")]
-    best, heads = exact.shared_prefixes(pieces)
+    best, middle = exact.shared_prefixes(pieces)
     text = [x for g, left, right in pieces for x in [*(b + 2 for b in left), 258 + g, *(b + 2 for b in right), 1]] + [0]
-    assert heads.tolist() == np.cumsum([0] + [len(p[1]) + len(p[2]) + 2 for p in pieces[:-1]]).tolist()
+    assert [text[i] for i in middle] == [258 + p[0] for p in pieces]
     for i in range(len(text)):
         same = 0
         for j in range(len(text)):
@@ -143,6 +143,26 @@ def test_shared_prefixes():
         assert best[i] == same
 
 
+def test_repeated_starts():
+    rng = random.Random(12)
+    for _ in range(40):
+        width, some = rng.choice([3, 9]), lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+        pieces = []
+        for _ in range(rng.randrange(1, 30)):
+            n = rng.randrange(width)
+            pieces.append((rng.randrange(3), some(n), some(rng.randrange(width - 1 - n, width))))
+        pieces = [p for p in dict.fromkeys(pieces) if p[1] or p[2]] + [(7, b"", b"")]
+        count = np.array([rng.choice([1, 1, 1, 2]) for _ in pieces])
+        hit, bounds = exact.repeated_starts(pieces, count, width)
+        strings = [[(g, left[s:], right[: width - 1 - len(left) + s]) for s in range(len(left) + len(right) + 2 - width)] if left or right else [g] for g, left, right in pieces]
+        every = Counter()
+        for own, n in zip(strings, count.tolist()):
+            for x in own:
+                every[x] += n
+        assert hit.tolist() == [every[x] > 1 for own in strings for x in own]
+        assert bounds.tolist() == np.cumsum([0] + [len(own) for own in strings]).tolist()
+
+
 def test_cleaned_documents_are_documents(spark):
     docs = corpus.frame(spark)
     got = exact.clean(docs, 100)
