@@ -1,13 +1,14 @@
-"""Markdown and HTML in text: code regions, tags, links. Native where a regular expression says it, else vectorised over batches."""
+"""Markdown and HTML in text as Columns: code regions, tags, links.
 
-from __future__ import annotations
+Texts are scanned by lines and by pieces. Fences are lines of their own, so a text's code regions
+come from a fold over its few fence lines; inline code from a fold over a line's runs of backticks; tags
+from the pieces between "<". In code, "<" is masked while tags are dropped.
+"""
 
-import re
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as K
 
 #: HTML element names, current and obsolete (fixed values).
 HTML_TAGS = (
@@ -19,81 +20,155 @@ HTML_TAGS = (
     "small source spacer span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track "
     "tt u ul var video wbr xmp"
 ).split()
-_NAMES = "|".join(HTML_TAGS)
-CODE_ELEMENTS = r"(?is)<(script|style)(?:\s[^>]*)?>.*?</\1>"
-PAIRED_TAGS = rf"(?is)<({_NAMES})(?:\s[^>]*)?>(.*?)</\1>"
-ANY_TAG = rf"(?i)</?(?:{_NAMES})(?:\s[^<>\n]*)?/?>"
-MARKDOWN_LINK = r"!?\[([^\]]*)\]\([^)]+\)"
-DEFINITION = r"(?m)^\s*\[([^\]]+)\]:\s*\S+.*$"
+#: Elements whose contents are no text.
+SILENT_TAGS = ("script", "style")
 
+_MASK, _MARK = "\ue000", "\ue001"  # private-use characters: a "<" in code, and a bracket or a line to be looked at later
+_NO_LINES = "array<struct<first: int, last: int>>"
 
-def html_strip(text: Column) -> Column:
-    """Text without scripts, styles and tags, for markup without code samples."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, CODE_ELEMENTS, ""), PAIRED_TAGS, "$2"), ANY_TAG, "")
 
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n")
 
-def code_fences(text: str) -> list[tuple[int, int]]:
-    """Character spans of fenced code, fences included; an unclosed fence runs to the end."""
-    spans, at, opened = [], 0, None
-    for line in text.splitlines(keepends=True):
-        mark = re.match(r" {0,3}(`{3,}|~{3,})(.*)", line)
-        if opened is None:
-            opened = (at, mark[1]) if mark else None
-        elif mark and mark[1][0] == opened[1][0] and len(mark[1]) >= len(opened[1]) and not mark[2].strip():
-            spans.append((opened[0], at + len(line)))
-            opened = None
-        at += len(line)
-    return spans + ([(opened[0], len(text))] if opened else [])
 
+def fenced_lines(lines: Column) -> Column:
+    """The first and last line of each fenced code region.
 
-def inline_code(text: str) -> list[tuple[int, int]]:
-    """Spans of backtick code outside fences: a run of backticks up to an equal run on the same line."""
-    fences, found = code_fences(text), []
-    for match in re.finditer(r"(?<!`)(`+)(?!`)([^\n]*?[^`\n])\1(?!`)", text):
-        if not any(a <= match.start() < b for a, b in fences):
-            found.append(match.span())
-    return found
+    A fence is three or more backticks or tildes at the start of a line. It is closed by the next
+    line that begins with as many of the same, whatever follows them; if there is none, the last line closes it.
+    """
+    marked = F.transform(lines, lambda line, i: F.struct(i.alias("i"), F.regexp_extract(line, "^(?:`{3,}|~{3,})", 0).alias("mark")))
+    fences = F.filter(marked, lambda x: x["mark"] != "")
 
+    def step(state: Column, x: Column) -> Column:
+        opens = state["mark"] == ""
+        closes = ~opens & x["mark"].startswith(state["mark"])
+        found = F.concat(state["found"], F.array(F.struct(state["first"].alias("first"), x["i"].alias("last"))))
+        return F.struct(
+            F.when(closes, found).otherwise(state["found"]).alias("found"),
+            F.when(opens, x["mark"]).when(closes, "").otherwise(state["mark"]).alias("mark"),
+            F.when(opens, x["i"]).otherwise(state["first"]).alias("first"),
+        )
 
-def outside_code(pattern: str, replacement: str, text: str) -> str:
-    """Replaces matches that do not begin in code."""
-    code = code_fences(text) + inline_code(text)
-    return re.sub(pattern, lambda m: m.group(0) if any(a <= m.start() < b for a, b in code) else m.expand(replacement), text)
+    start = F.struct(F.array().cast(_NO_LINES).alias("found"), F.lit("").alias("mark"), F.lit(0).alias("first"))
+    rest = lambda s: F.array(F.struct(s["first"].alias("first"), (F.size(lines) - 1).alias("last")))
+    return F.aggregate(fences, start, step, lambda s: F.when(s["mark"] == "", s["found"]).otherwise(F.concat(s["found"], rest(s))))
 
 
-def reduced(text: str) -> str:
-    """Links become their words: tags, reference definitions and targets go."""
-    for pattern, replacement in ((CODE_ELEMENTS, ""), (PAIRED_TAGS, r"\2"), (ANY_TAG, "")):
-        text = outside_code(pattern, replacement, text)
-    labels = set(re.findall(DEFINITION, text))
-    text = re.sub(DEFINITION, "", text)
-    text = re.sub(r"\[([^\]]*)\]\[[^\]]*\]", r"\1", text)
-    text = re.sub(r"\[([^\]]+)\](?!\()", lambda m: m[1] if m[1] in labels else m[0], text)
-    return re.sub(MARKDOWN_LINK, r"\1", text)
+def fenced_flags(lines: Column) -> Column:
+    """For each line, whether it belongs to a fenced code region."""
+    regions = fenced_lines(lines)
+    return F.transform(lines, lambda line, i: F.exists(regions, lambda r: i.between(r["first"], r["last"])))
 
 
-def markdown_links(text: str) -> list[tuple[str, str]]:
-    """(words, target) of the links outside fences, images left out."""
-    fences = code_fences(text)
-    found = re.finditer(r"(?<!!)\[([^\]]*)\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)", text)
-    return [(m[1], m[2]) for m in found if not any(a <= m.start() < b for a, b in fences)]
+def fence_regions(text: Column) -> Column:
+    """Character offsets of fenced code, from the opening fence's start to the closing one's end."""
+    lines = lines_of(F.coalesce(text, F.lit("")))
+    through = lambda n: F.length(F.array_join(F.slice(lines, F.lit(1), n), "\n"))
+    begin = lambda n: F.when(n == 0, 0).otherwise(through(n) + 1)
+    return F.transform(fenced_lines(lines), lambda r: F.array(begin(r["first"]), through(r["last"] + 1)))
 
 
-@F.pandas_udf(K.StringType())
-def reduce_links(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else reduced(t))
+def code_parts(line: Column) -> Column:
+    """A line's parts in order, and whether each is inline code: a run of backticks, up to the next run of the same length."""
+    runs = F.regexp_extract_all(line, F.lit("`+|[^`]+"), F.lit(0))
+    part = lambda code, text: F.array(F.struct(F.lit(code).alias("code"), text.alias("text")))
 
+    def step(state: Column, x: Column) -> Column:
+        outside, piece = state["open"] == "", x["piece"]
+        opens = outside & piece.startswith("`") & F.array_contains(F.slice(runs, x["i"] + 2, F.size(runs)), piece)
+        closes = ~outside & (piece == state["open"])
+        return F.struct(
+            F.when(closes, F.concat(state["parts"], part(True, F.concat(state["held"], piece)))).when(outside & ~opens, F.concat(state["parts"], part(False, piece))).otherwise(state["parts"]).alias("parts"),
+            F.when(opens, piece).when(closes, "").otherwise(state["open"]).alias("open"),
+            F.when(opens, piece).when(outside | closes, "").otherwise(F.concat(state["held"], piece)).alias("held"),
+        )
 
-@F.pandas_udf(K.ArrayType(K.StructType().add("words", "string").add("href", "string")))
-def extract_links(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"words": w, "href": h} for w, h in markdown_links(t or "")])
+    start = F.struct(F.array().cast("array<struct<code: boolean, text: string>>").alias("parts"), F.lit("").alias("open"), F.lit("").alias("held"))
+    numbered = F.transform(runs, lambda piece, i: F.struct(i.alias("i"), piece.alias("piece")))
+    return F.aggregate(numbered, start, step, lambda s: s["parts"])
 
 
-@F.pandas_udf(K.ArrayType(K.ArrayType(K.IntegerType())))
-def fence_regions(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [list(s) for s in code_fences(t or "")])
+def inline_code_texts(text: Column) -> Column:
+    """The inline code of a text, outside fences, with its backticks."""
+    lines = lines_of(F.coalesce(text, F.lit("")))
+    free = F.zip_with(lines, fenced_flags(lines), lambda line, fenced: F.when(fenced, "").otherwise(line))
+    return F.flatten(F.transform(F.filter(free, lambda line: F.contains(line, F.lit("`"))), lambda line: F.transform(F.filter(code_parts(line), lambda p: p["code"]), lambda p: p["text"])))
 
 
-@F.pandas_udf(K.ArrayType(K.StringType()))
-def inline_code_texts(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [t[a:b] for a, b in inline_code(t or "")])
+def _masked(text: Column) -> Column:
+    """The text with every "<" in code masked."""
+    hidden = lambda c: F.translate(c, "<", _MASK)
+    inline = lambda line: F.array_join(F.transform(code_parts(line), lambda p: F.when(p["code"], hidden(p["text"])).otherwise(p["text"])), "")
+    lines = lines_of(text)
+    plain = F.zip_with(lines, fenced_flags(lines), lambda line, fenced: F.when(fenced, hidden(line)).when(F.contains(line, F.lit("`")) & F.contains(line, F.lit("<")), inline(line)).otherwise(line))
+    return F.when(F.contains(text, F.lit("<")) & (F.contains(text, F.lit("```")) | F.contains(text, F.lit("~~~")) | F.contains(text, F.lit("`"))), F.array_join(plain, "\n")).otherwise(text)
+
+
+def html_strip(text: Column) -> Column:
+    """Text without scripts, styles and tags, for markup without code samples.
+
+    A tag is "<" or "</", the name of an element, attributes without "<", and ">". Attributes may run over
+    lines only if a later piece closes the element. What no element is called stays.
+    """
+    for name in SILENT_TAGS:
+        text = F.regexp_replace(text, rf"(?is)<{name}(?=[\s>])[^>]*+>.*?</{name}>", "")
+    pieces = F.split(text, "<")
+    named = F.transform(pieces, lambda p: F.lower(F.regexp_extract(p, r"^/?([A-Za-z][A-Za-z0-9]*)(?:\s[^>]*)?/?>", 1)))
+    ends = F.transform(F.filter(pieces, lambda p: p.startswith("/")), lambda p: F.lower(F.regexp_extract(p, "^/([A-Za-z0-9]+)>", 1)))
+
+    def told(piece: Column, i: Column) -> Column:
+        name, inside = F.get(named, i), F.substring_index(piece, ">", 1)
+        known = name.isin(HTML_TAGS) & (~F.contains(inside, F.lit("\n")) | F.array_contains(ends, name))
+        return F.when(i == 0, piece).when(known, piece.substr(F.length(inside) + 2, F.length(piece))).otherwise(F.concat(F.lit("<"), piece))
+
+    return F.when(F.contains(text, F.lit("<")), F.array_join(F.transform(pieces, told), "")).otherwise(text)
+
+
+def _definition_label(line: Column) -> Column:
+    """The label of a line that defines a reference, as in "[label]: target"; else the empty string."""
+    body = F.ltrim(line)
+    label = F.substring_index(body.substr(F.lit(2), F.length(body)), "]", 1)
+    after = body.substr(F.length(label) + 3, F.length(body))
+    return F.when(body.startswith("[") & after.startswith(":") & (F.trim(after.substr(F.lit(2), F.length(after))) != ""), label).otherwise("")
+
+
+def reduce_links(text: Column) -> Column:
+    """Links become their words: tags outside code, reference definitions (with blank lines before them) and targets go.
+
+    A single bracket is a reference only if its label is defined.
+    """
+    plain = F.translate(html_strip(_masked(text)), _MASK, "<")
+    lines = lines_of(plain)
+    labels = F.array_distinct(F.filter(F.transform(lines, _definition_label), lambda x: x != ""))
+    body = F.array_join(F.transform(lines, lambda line: F.when(_definition_label(line) != "", _MARK).otherwise(line)), "\n")
+    body = F.when(F.size(labels) > 0, F.regexp_replace(body, rf"(?m)^\s*{_MARK}", "")).otherwise(plain)
+    bracket = r"\[([^\]]*+)]"
+    body = F.regexp_replace(body, bracket + r"\[[^\]]*+]", "$1")
+
+    def unbracketed(done: Column, label: Column) -> Column:
+        linked = F.concat(F.lit("["), label, F.lit("]("))
+        kept = F.replace(done, linked, F.concat(F.lit(_MARK), label, F.lit("](")))
+        return F.translate(F.replace(kept, F.concat(F.lit("["), label, F.lit("]")), label), _MARK, "[")
+
+    body = F.aggregate(labels, body, unbracketed)
+    return F.regexp_replace(body, "!?" + bracket + r"\([^)]++\)", "$1")
+
+
+def extract_links(text: Column) -> Column:
+    """words and href of the links outside fences, images left out; null has none."""
+    lines = lines_of(F.coalesce(text, F.lit("")))
+    free = F.array_join(F.zip_with(lines, fenced_flags(lines), lambda line, fenced: F.when(fenced, "").otherwise(line)), "\n")
+    # a link is cut at "](": its words are before, its target behind, up to ")" or to a title in quotes
+    pieces = F.split(free, r"\]\(")
+    target = lambda p: F.regexp_extract(p, r'^([^)\s]++)(?:\s++"[^"]*+")?\)', 1)
+
+    def link(piece: Column, i: Column) -> Column:
+        behind = F.when(i == 0, piece).when(target(piece) == "", piece).otherwise(F.regexp_replace(piece, r'^[^)\s]++(?:\s++"[^"]*+")?\)', ""))
+        last = F.substring_index(behind, "]", -1)
+        words = last.substr(F.instr(last, "[") + 1, F.length(last))
+        href = F.when(F.instr(last, "[") > 0, target(F.get(pieces, i + 1)))
+        image = last.substr(F.instr(last, "[") - 1, F.lit(1)) == "!"
+        return F.struct(words.alias("words"), F.when((F.instr(last, "[") == 1) | ~image, href).alias("href"))
+
+    return F.filter(F.transform(pieces, link), lambda x: x["href"] != "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,31 +15,59 @@ from . import chunking, graph, metadata, ranking
 
 def run_arms(
     questions: DataFrame, docs: DataFrame, fields: DataFrame, edges: DataFrame, filters: DataFrame | None = None, wanted: DataFrame | None = None,
-    dense: DataFrame | None = None, rrf_k: int = 30, k: int = ranking.DOCS,
+    dense: dict[str, DataFrame] | None = None, units: DataFrame | None = None, ranked_units: DataFrame | None = None, texts: DataFrame | None = None,
+    extracted: DataFrame | None = None, model_filters: DataFrame | None = None, rrf_k: int = 30, pilot_k: int = 60, k: int = ranking.DOCS,
 ) -> DataFrame:
     """arm, query_id, path and rank of every arm whose inputs are given.
 
-    questions (query_id, text); docs, fields and edges as metadata.py and graph.py take them;
-    filters: parsed conditions (R6f); wanted (query_id, doc_type): the asked types (R5p); dense
-    (query_id, path, score, rank): a ranking by vectors (R0), which fusion and the two-step arm use too.
-    The metadata ranking is the base of the others, so its plan is shared.
+    questions (query_id, text); docs, fields and edges as metadata.py and graph.py take them. Other inputs:
+
+    filters, model_filters: conditions parsed by rules (R6f) and by a model (R6l); wanted (query_id,
+    doc_type): the asked types (R5p); extracted: links that a model found (R3x); texts (unit_id,
+    path, text): passages for the lexical arms (C_bm25, C_flat_hybrid); dense: rankings of documents
+    (query_id, path, score, rank) by vectors of flat passages (R0), of sections (R1), of sections in context (R1c) or
+    under their headings (R1h); units (unit_id, path) and ranked_units (query_id, unit_id, path, rank): sections and
+    their ranking, for the budgeted walk (R3a). What fuses or expands other arms needs those.
     """
-    r2s = ranking.bm25(metadata.pseudo_docs(docs, fields), questions, k, tokens=normalize_stem).withColumnRenamed("unit_id", "path")
-    arms = {"R2s": r2s, "R3s": graph.expand_weighted(r2s, edges, k=k)}
+    named = lambda ranked: ranked.withColumnRenamed("unit_id", "path")
+    arms = {"R2s": named(ranking.bm25(metadata.pseudo_docs(docs, fields), questions, k, tokens=normalize_stem)), "R2": named(ranking.bm25(metadata.pseudo_docs_v1(docs, fields), questions, k))}
+    r2s = arms["R2s"]
+    arms |= dense or {}
     matches = graph.title_match(questions, docs)
+
+    def fused(constant: int, *names: str) -> DataFrame:
+        rows = [arms[n].select("query_id", F.col("path").alias("doc"), "rank", F.lit(n).alias("ranking")) for n in names]
+        return ranking.rrf(reduce(DataFrame.unionByName, rows), constant, k).withColumnRenamed("doc", "path")
+
+    arms["R3s"] = graph.expand_weighted(r2s, edges, k=k)
+    if extracted is not None:
+        arms["R3x"] = graph.expand_weighted(r2s, extracted, k=k)
+    sections = next((n for n in ("R1c", "R1") if n in arms), None)
+    if sections:
+        arms["R3d"] = graph.expand_docs(arms[sections], edges, k=k)
+    if units is not None and ranked_units is not None:
+        walked = graph.budgeted(ranked_units, units, edges).join(units, "unit_id")
+        arms["R3a"] = ranking.collapse(walked, "path", k)
+    if {"R1", "R3a"} <= set(arms):
+        arms["R4"] = fused(pilot_k, "R1", "R2", "R3a")
+    if "R1c" in arms:
+        arms["R4c"] = fused(pilot_k, "R1c", "R2s", "R3d")
+    if texts is not None:
+        best = ranking.bm25(texts.select("unit_id", "text"), questions, k).join(texts.select(F.col("unit_id").cast("string").alias("unit_id"), "path"), "unit_id")
+        arms["C_bm25"] = ranking.collapse(best, "path", k)
+        if "R0" in arms:
+            arms["C_flat_hybrid"] = fused(pilot_k, "R0", "C_bm25")
     if wanted is not None:
         arms["R5p"] = metadata.tiered(graph.parent_aware(matches, wanted, docs, edges), r2s, k)
-    if filters is not None:
-        arms["R6f"] = metadata.tiered(metadata.apply_filters(fields, filters), r2s, k)
-    if dense is not None:
-        both = r2s.select("query_id", F.col("path").alias("doc"), "rank", F.lit("R2s").alias("ranking")).unionByName(dense.select("query_id", F.col("path").alias("doc"), "rank", F.lit("R0").alias("ranking")))
-        fused = ranking.rrf(both, rrf_k, k).withColumnRenamed("doc", "path")
-        arms |= {"R0": dense, "R7f": fused, "R7h": graph.two_step(matches, edges, dense.select("query_id", "path", "score"), fused.select("query_id", "path", "rank"), k=k)}
-    out = None
-    for name, ranked in arms.items():
-        own = ranked.select(F.lit(name).alias("arm"), "query_id", "path", F.col("rank").cast("long").alias("rank"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    for name, conditions in (("R6f", filters), ("R6l", model_filters)):
+        if conditions is not None:
+            arms[name] = metadata.tiered(metadata.apply_filters(fields, conditions), r2s, k)
+    if "R0" in arms:
+        arms["R7f"] = fused(rrf_k, "R2s", "R0")
+        similar = arms.get("R1", arms["R0"]).select("query_id", "path", "score")
+        arms["R7h"] = graph.two_step(matches, edges, similar, arms["R7f"].select("query_id", "path", "rank"), k=k)
+    rows = [ranked.select(F.lit(name).alias("arm"), "query_id", "path", F.col("rank").cast("long").alias("rank")) for name, ranked in arms.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def compare(spark: SparkSession, question: str, lanes: dict[str, Callable[[DataFrame], DataFrame]], sections: DataFrame, generate: Callable[[str, str], str] | None = None, k: int = 5, budget: int = 2048) -> DataFrame:

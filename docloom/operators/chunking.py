@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.markup import fenced_flags
 from ..functions.text import whitespace_tokens
 
 
@@ -65,25 +66,9 @@ def token_windows(words: list[str], count_tokens: Callable[[str], int], size: in
     return out
 
 
-FENCE = r"^ {0,3}(`{3,}|~{3,})"
 HEADING = r"^#{1,6}\s+\S"
 
 
-def fence_flags(lines: Column) -> Column:
-    """For each line, whether it belongs to a fenced code region; an unclosed one runs to the end."""
-    mark = lambda line: F.regexp_extract(line, FENCE, 1)
-
-    def step(state: Column, line: Column) -> Column:
-        found, held = mark(line), state["held"]
-        closes = (held != "") & found.startswith(F.substring(held, 1, 1)) & (F.length(found) >= F.length(held)) & (F.trim(F.regexp_replace(line, FENCE, "")) == "")
-        after = F.when(held == "", found).when(closes, F.lit("")).otherwise(held)
-        inside = (held != "") | (found != "")
-        return F.struct(F.concat(state["flags"], F.array(inside)).alias("flags"), after.alias("held"))
-
-    start = F.struct(F.array().cast("array<boolean>").alias("flags"), F.lit("").alias("held"))
-    return F.aggregate(lines, start, step, lambda s: s["flags"])
-
-
 def chunk_struct(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
     """Chunks by heading: key (path), ord, heading_path and text of docs (path, text).
 
@@ -91,7 +76,7 @@ def chunk_struct(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFra
     only a heading join the next one, under its heading path; longer ones than `size` tokens are
     cut as chunk_flat does; white space is squeezed.
     """
-    lines = docs.select("path", F.split("text", "\n").alias("lines")).withColumn("fenced", fence_flags(F.col("lines")))
+    lines = docs.select("path", F.split("text", "\n").alias("lines")).withColumn("fenced", fenced_flags(F.col("lines")))
     each = lines.select("path", F.posexplode(F.arrays_zip("lines", "fenced")).alias("n", "x")).select("path", "n", F.col("x.lines").alias("line"), F.col("x.fenced").alias("fenced"))
     each = each.withColumn("level", F.when(~F.col("fenced") & F.col("line").rlike(HEADING), F.length(F.regexp_extract("line", "^(#{1,6})", 1))))
     by = Window.partitionBy("path").orderBy("n")

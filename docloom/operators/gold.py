@@ -17,3 +17,24 @@ def recheck(stored: DataFrame, fresh: DataFrame, *keys: str) -> DataFrame:
     """Rows of one side only, with the side: none if the stored set is what its statement gives."""
     marked = stored.select(*keys).distinct().withColumn("_s", F.lit(1)).join(fresh.select(*keys).distinct().withColumn("_f", F.lit(1)), list(keys), "full")
     return marked.where("_s is null or _f is null").select(*keys, F.when(F.col("_s").isNull(), "missing").otherwise("stale").alias("problem"))
+
+
+def containment(units: DataFrame, items: DataFrame) -> DataFrame:
+    """unit_id and query_id of the units (unit_id, text) that hold an item's whole text (query_id, text).
+
+    An item's words but for the first and the last stand between spaces in a unit that holds it, so units and items meet by
+    the one of them that the fewest units have. Items of one or two words meet by their first three
+    characters (shorter ones by all of theirs). Empty items are in none.
+    """
+    items = items.where(F.length("text") > 0).select("query_id", F.col("text").alias("item"))
+    inner = lambda c: F.slice(F.split(c, " "), F.lit(2), F.greatest(F.size(F.split(c, " ")) - 2, F.lit(0)))
+    words = items.select("query_id", "item", F.explode(F.array_distinct(inner("item"))).alias("key"))
+    held = units.select("unit_id", F.explode(F.array_distinct(F.split("text", " "))).alias("key")).join(words.select("key").distinct(), "key", "left_semi")
+    rare = words.join(held.groupBy("key").agg(F.count("*").alias("n")), "key", "left")  # a key that no unit has decides too: n is null
+    rare = rare.groupBy("query_id", "item").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("r")).select("query_id", "item", "r.key")
+    brief = items.where(F.size(inner("item")) == 0).withColumn("key", F.substring("item", 1, 3))
+    sizes = brief.select(F.length("key").alias("size")).distinct()
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - F.col("size") + 1, F.lit(1))), lambda i: F.col("text").substr(i, F.col("size"))))
+    parts = units.join(F.broadcast(sizes), F.length("text") >= F.col("size")).select("unit_id", F.explode(grams).alias("key"))  # three sizes at most
+    pairs = held.join(rare, "key").select("unit_id", "query_id", "item").unionByName(parts.join(brief, "key").select("unit_id", "query_id", "item"))
+    return pairs.join(units, "unit_id").where(F.contains("text", "item")).select("unit_id", "query_id").distinct()

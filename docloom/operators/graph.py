@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_stem
+from .lineage import cut
 from .ranking import DOCS, ordered_union, top
 
 #: Weights of link kinds (fixed values).
@@ -119,20 +120,28 @@ def two_step(matches: DataFrame, edges: DataFrame, similarity: DataFrame, fallba
     return ordered_union(tiers.unionByName(fallback.select("query_id", F.lit(2).alias("tier"), F.col("rank").cast("int").alias("pos"), "path")), "path", k)
 
 
-def parent_chain(docs: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
-    """path, depth and root of each document's chain of parents; ok is false where the chain breaks off or loops."""
-    up = edges.where("kind = 'child'").groupBy(F.col("dst").alias("at")).agg(F.min("src").alias("parent"))
-    chain = docs.select("path", F.col("path").alias("at"), F.lit(0).alias("depth"))
-    done = None
-    for _ in range(most):
-        step = chain.join(up, "at", "left")
-        ended = step.where("parent is null").select("path", F.col("at").alias("root"), "depth", F.lit(True).alias("ok"))
-        done = ended if done is None else done.unionByName(ended)
-        chain = step.where("parent is not null").select("path", F.col("parent").alias("at"), (F.col("depth") + 1).alias("depth"))
-    looping = chain.select("path", F.lit(None).cast("string").alias("root"), "depth", F.lit(False).alias("ok"))
-    known = docs.select(F.col("path").alias("root"), F.lit(True).alias("_known"))
-    out = done.unionByName(looping).join(known, "root", "left")
-    return out.select("path", "root", F.col("depth").cast("long").alias("depth"), (F.col("ok") & F.coalesce("_known", F.lit(False))).alias("ok"))
+def parent_chain(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """path, depth and root of each document's chain of parents, however long; ok is false where the chain leaves the documents or loops.
+
+    Pointers double: each round a path learns the ancestor of its ancestor, so a chain of n links takes
+    log2(n) rounds, each cut from its lineage. What has not ended after as many links as there are
+    documents loops, and has neither root nor depth.
+    """
+    up = edges.where("kind = 'child'").groupBy(F.col("dst").alias("path")).agg(F.min("src").alias("parent"))
+    # at is the ancestor `depth` links up; ended: it has no parent
+    chain = docs.select("path").join(up, "path", "left").select("path", F.coalesce("parent", "path").alias("at"), F.col("parent").isNotNull().cast("long").alias("depth"), F.col("parent").isNull().alias("ended"))
+    chain, size, reach = cut(chain), docs.count(), 1
+    while reach <= size and not chain.where("not ended").isEmpty():
+        next_ = chain.select(F.col("path").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_depth"), F.col("ended").alias("_ended"))
+        moves = ~F.col("ended") & F.col("_at").isNotNull()
+        # an ancestor that is no document ends its chain
+        chain = cut(chain.join(next_, "at", "left").select(
+            "path", F.when(moves, F.col("_at")).otherwise(F.col("at")).alias("at"), (F.col("depth") + F.when(moves, F.col("_depth")).otherwise(0)).alias("depth"), (F.col("ended") | F.coalesce("_ended", F.lit(True))).alias("ended"),
+        ))
+        reach *= 2
+    known = docs.select(F.col("path").alias("at"), F.lit(True).alias("_known"))
+    told = lambda c: F.when(F.col("ended"), F.col(c))
+    return chain.join(known, "at", "left").select("path", told("at").alias("root"), told("depth").alias("depth"), (F.col("ended") & F.coalesce("_known", F.lit(False))).alias("ok"))
 
 
 def edge_agreement(one: DataFrame, two: DataFrame) -> DataFrame:

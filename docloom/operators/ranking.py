@@ -30,6 +30,9 @@ def bm25_stats(units: DataFrame, tokens: Column | None = None) -> tuple[DataFram
     return rows, rows.agg(F.count("*").alias("n_units"), F.avg("n_terms").alias("avg_terms"))
 
 
+SALTS = 32  # parts of a word's postings, so that a word of every document is no single task's
+
+
 def bm25(units: DataFrame, questions: DataFrame, k: int = DOCS, tokens=tokenize_ident, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, unit_id, score and rank of the k best units (unit_id, text) for each question (query_id, text).
 
@@ -37,70 +40,92 @@ def bm25(units: DataFrame, questions: DataFrame, k: int = DOCS, tokens=tokenize_
     as a string. Units are exploded only into words that some question has, so what is shuffled
     follows the questions, not the corpus.
     """
-    rows = units.select(F.col("unit_id").cast("string").alias("unit_id"), tokens(F.col("text")).alias("terms")).withColumn("n_terms", F.size("terms"))
-    words = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return bm25s(units, questions, {"": tokens}, k, k1, b).drop("ranking")
+
+
+def bm25s(units: DataFrame, questions: DataFrame, tokenizers: dict, k: int = DOCS, k1: float = K1, b: float = B) -> DataFrame:
+    """As bm25, for several tokenizers at once: one scan and one exchange of the units. ranking is the tokenizer's name."""
+    each_way = lambda key: F.explode(F.array(*[F.struct(F.lit(name).alias("ranking"), fn(F.col("text")).alias("terms")) for name, fn in tokenizers.items()])).alias(key)
+    rows = units.select(F.col("unit_id").cast("string").alias("unit_id"), each_way("r")).select("unit_id", "r.ranking", "r.terms", F.size("r.terms").alias("n_terms"))
+    words = questions.select("query_id", each_way("r")).select("query_id", "r.ranking", F.explode(F.array_distinct("r.terms")).alias("term"))
     # the empty word stands for the unit itself: lengths and words come from one scan and one exchange
-    wanted = words.select("term").union(questions.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    each = rows.select("unit_id", "n_terms", F.explode_outer(F.concat("terms", F.array(F.lit("")))).alias("term"))
-    postings = each.join(wanted, "term", "left_semi").groupBy("term", "unit_id", "n_terms").agg(F.count("*").alias("tf"))
+    ways = questions.sparkSession.createDataFrame([(name, "") for name in tokenizers], "ranking string, term string")
+    wanted = words.select("ranking", "term").union(ways).distinct()
+    each = rows.select("ranking", "unit_id", "n_terms", F.explode_outer(F.concat("terms", F.array(F.lit("")))).alias("term"))
+    postings = each.join(wanted, ["ranking", "term"], "left_semi").groupBy("ranking", "term", "unit_id", "n_terms").agg(F.count("*").alias("tf"))
     whole = F.col("term") == ""
-    stats = postings.agg(F.sum(F.when(whole, F.col("tf"))).alias("n_units"), (F.sum(F.when(whole, F.col("n_terms") * F.col("tf"))) / F.sum(F.when(whole, F.col("tf")))).alias("avg_terms"))
+    stats = postings.where(whole).groupBy("ranking").agg(F.sum("tf").alias("n_units"), (F.sum(F.col("n_terms") * F.col("tf")) / F.sum("tf")).alias("avg_terms"))
     # counted from tf, so that the plan of the postings is read again and not made again
-    frequency = postings.groupBy("term").agg(F.sum(F.least(F.col("tf"), F.lit(1))).alias("df"))
-    weights = words.join(frequency, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    weights = weights.select("query_id", "term", "avg_terms", F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    frequency = postings.groupBy("ranking", "term").agg(F.sum(F.least(F.col("tf"), F.lit(1))).alias("df"))
+    weights = words.join(frequency, ["ranking", "term"]).join(F.broadcast(stats), "ranking")  # stats is one row for each tokenizer
+    idf = F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = weights.select("ranking", "query_id", "term", "avg_terms", idf.alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     length = k1 * (1 - b + b * F.col("n_terms") / F.col("avg_terms"))
-    parts = weights.join(postings, "term").withColumn("part", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + length))
-    scored = parts.groupBy("query_id", "unit_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
-    return top(scored, k, F.col("score").desc(), F.col("unit_id"))
-
-
-def _dense_part(queries: np.ndarray, ids: list, kind: pa.DataType, k: int | None, keep: list[str]):
-    """Inner products of each batch with all question vectors; of each batch only what may reach the first k."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = np.array(batch.column("embedding").to_pylist(), np.float64)
-            scores = np.round(queries @ vectors.T, 6)
-            if k is not None and k < scores.shape[1]:
-                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-                q, row = np.nonzero(scores >= least)  # ties at the edge stay for the global order
-            else:
-                q, row = (x.reshape(-1) for x in np.indices(scores.shape))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], kind), *(batch.column(c).take(take) for c in keep), pa.array(scores[q, row] + 0.0)], ["query_id", *keep, "score"])
+    salted = postings.where(~whole).withColumn("salt", F.pmod(F.hash("unit_id"), F.lit(SALTS)))
+    parts = weights.join(salted, ["ranking", "term", "salt"]).withColumn("part", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + length))
+    scored = parts.groupBy("ranking", "query_id", "unit_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
+    return top(scored, k, F.col("score").desc(), F.col("unit_id"), by=("ranking", "query_id"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a list column, all of one length, as rows."""
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def _dense_part(k: int | None, group: str | None, keep: list[str]):
+    """Inner products of each batch with all question vectors; of each batch only what may reach the first k, or the best row of each group."""
+
+    def run(queries: np.ndarray, ids: pa.Array, batch: pa.RecordBatch) -> pa.RecordBatch:
+        scores = np.round(queries @ _matrix(batch.column("embedding")).T, 6)
+        if group:  # a row for each query and group: the best score, and of equal ones the smallest unit
+            values, number = np.unique(batch.column(group).to_pandas(), return_inverse=True)
+            order = np.lexsort((batch.column(keep[-1]).to_pandas(), number))
+            first = np.flatnonzero(np.concatenate(([True], number[order][1:] != number[order][:-1])))
+            best = np.maximum.reduceat(scores[:, order], first, axis=1)
+            width = np.diff(np.append(first, len(order)))
+            at = np.where(scores[:, order] == np.repeat(best, width, axis=1), np.arange(len(order)), len(order))
+            row = order[np.minimum.reduceat(at, first, axis=1)].reshape(-1)
+            q = np.repeat(np.arange(len(queries)), len(values))
+        elif k is not None and k < scores.shape[1]:
+            least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+            q, row = np.nonzero(scores >= least)  # ties at the edge stay for the global order
+        else:
+            q, row = (x.reshape(-1) for x in np.indices(scores.shape))
+        take = pa.array(row)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(q)), *(batch.column(c).take(take) for c in keep), pa.array(scores[q, row] + 0.0)], ["query_id", *keep, "score"])
 
     return run
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int | None, *keep: str, block: int = 4096) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int | None, *keep: str, group: str | None = None, block: int = 4096) -> DataFrame:
     """query_id, the kept columns and score (inner product, 6 decimals) of vectors (embedding) for each query (query_id, embedding).
 
-    Queries go to the tasks in blocks of `block` vectors, whatever their number; vectors are never
-    shuffled. With k, each batch of rows emits only what can be among the first k of a query.
+    Queries go to the tasks in blocks of `block` vectors, whatever their number, each block
+    with the rows in one scan; vectors are never shuffled. With k, each batch of rows emits only what can be among the first k of a
+    query; with `group`, only the best row of each of its groups, the last kept column breaking ties.
     """
-    found = None
+    if k is not None and k <= 0:
+        raise ValueError("k must be positive")
     kinds = vectors.select(*keep).schema
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", score double"
-    rows, source, kind = [], vectors.select(*keep, "embedding"), to_arrow_type(queries.schema["query_id"].dataType)
+    kind, part = to_arrow_type(queries.schema["query_id"].dataType), _dense_part(k, group, list(keep))
+    # a block of queries is one Arrow table of bounded size; the blocks are read one after another by each task
+    asked, rows, blocks = queries.select("query_id", "embedding"), [], []
+    for row in asked.toLocalIterator():
+        rows.append(row)
+        if len(rows) == block:
+            blocks.append((np.array([r[1] for r in rows], np.float64), pa.array([r[0] for r in rows], kind)))
+            rows = []
+    if rows:
+        blocks.append((np.array([r[1] for r in rows], np.float64), pa.array([r[0] for r in rows], kind)))
 
-    def part(rows: list) -> DataFrame:
-        matrix = np.array([r[1] for r in rows], np.float64)
-        if k is not None and k <= 0:
-            raise ValueError("k must be positive")
-        return source.mapInArrow(_dense_part(matrix, [r[0] for r in rows], kind, k, list(keep)), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for matrix, ids in blocks:
+                    yield part(matrix, ids, batch)
 
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        rows.append((row[0], row[1]))
-        if len(rows) == block:
-            found, rows = part(rows) if found is None else found.unionByName(part(rows)), []
-    if rows or found is None:
-        if not rows:
-            return vectors.sparkSession.createDataFrame([], schema)
-        found = part(rows) if found is None else found.unionByName(part(rows))
-    return found
+    return vectors.select(*keep, "embedding").mapInArrow(run, schema)
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, unit: str = "unit_id") -> DataFrame:
@@ -114,15 +139,16 @@ def collapse(ranked: DataFrame, doc: str, k: int) -> DataFrame:
     return top(first, k, F.col("_first")).select("query_id", doc, "rank")
 
 
-def doc_max(scored: DataFrame, doc: str) -> DataFrame:
-    return scored.groupBy("query_id", doc).agg(F.max("score").alias("score"))
+def dense_doc_max(vectors: DataFrame, queries: DataFrame, doc: str, unit: str) -> DataFrame:
+    """query_id, doc and score of each document's best unit; a batch emits one row for each query and document."""
+    return dense(vectors, queries, None, doc, unit, group=doc).groupBy("query_id", doc).agg(F.max("score").alias("score"))
 
 
 def dense_docs(vectors: DataFrame, queries: DataFrame, doc: str, unit: str, k: int = DOCS) -> DataFrame:
     """All units ranked before their documents are cut to k: a document ranks by its best unit, then the smaller one."""
-    scored = dense(vectors, queries, None, doc, unit)
-    best = scored.groupBy("query_id", doc).agg(F.max(F.struct(F.col("score"), -F.col(unit))).alias("_best"))
-    return top(best, k, F.col("_best").desc()).select("query_id", doc, F.col("_best.score").alias("score"), "rank")
+    found = dense(vectors, queries, None, doc, unit, group=doc)
+    best = found.groupBy("query_id", doc).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(unit).alias("u"))).alias("_best"))
+    return top(best, k, F.col("_best")).select("query_id", doc, (-F.col("_best.s") + 0.0).alias("score"), "rank")
 
 
 def rrf(rankings: DataFrame, rrf_k: int = 60, k: int | None = None, item: str = "doc", extra: tuple[str, ...] = ()) -> DataFrame:

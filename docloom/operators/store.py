@@ -51,6 +51,27 @@ def fingerprint(files: DataFrame) -> DataFrame:
     return files.agg(F.sha2(joined, 256).alias("sha256"), F.count("*").alias("n_files"))
 
 
+def fingerprint_levels(files: DataFrame, digits: int = 3) -> DataFrame:
+    """As fingerprint, for collections of any size: of each file's path and content digest, in 16**digits groups by the path's hash, then of the groups' digests.
+
+    No content leaves its task, and no row holds more than a group's lines or the groups' digests.
+    """
+    line = F.concat(F.col("path"), F.lit(" "), F.sha2("content", 256))
+    rows = files.select(F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, digits).alias("part"), line.alias("line"))
+    parts = rows.groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n").cast("binary"), 256).alias("h"), F.count("*").alias("n"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: F.concat(x["part"], F.lit(" "), x["h"]))
+    return parts.agg(F.sha2(F.array_join(listed, "\n").cast("binary"), 256).alias("sha256"), F.sum("n").alias("n_files"))
+
+
+def replace_chunks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored chunks (doc_id, policy, ord, text) after those of the incoming rows' documents and policies were replaced by the incoming rows.
+
+    A pair of document and policy that the incoming rows do not have stays as it is.
+    """
+    scope = incoming.select("doc_id", "policy").distinct()
+    return stored.join(scope, ["doc_id", "policy"], "left_anti").select(stored.columns).unionByName(incoming.select(stored.columns))
+
+
 def shared_shingles(left: DataFrame, right: DataFrame, length: int = 8) -> DataFrame:
     """id pairs (left_id, right_id) of the same doc whose texts share a run of `length` characters, by an equi-join of shingles; shorter texts share if one holds the other."""
     grams = lambda df, c: df.where(F.length("text") >= length).select("doc", F.col("id").alias(c), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - length + 1), lambda i: F.substring("text", i, length)))).alias("gram"))

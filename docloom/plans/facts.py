@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,7 +93,9 @@ def gold_recheck(spark, sf_dir):
     return gold.recheck(stored, fresh, "id")
 
 
-SQL["gold_recheck"] = "select s_suppkey as id, 'missing' as problem from supplier where s_nationkey = 3 and s_suppkey % 5 = 0 union all select -1, 'stale'"
+SQL["gold_recheck"] = f"""with fresh as ({_literal('gold_filter_eq')}), stored as (select id from fresh where id % 5 <> 0 union all select -1),
+missing as (select id from fresh except select id from stored), stale as (select id from stored except select id from fresh)
+select id, 'missing' as problem from missing union all select id, 'stale' from stale"""
 
 
 @query
@@ -148,9 +150,10 @@ def embedding_load_checks(spark, sf_dir):
     return store.vector_checks(faulty.unionByName(faulty.where("chunk_id < 4")), chunks)
 
 
-SQL["embedding_load_checks"] = """with f as (select vec_id as chunk_id, label + (vec_id % 50 = 3)::int as doc_id, vec_id % 100 = 7 as gone, label from embeddings), b as (select * from f union all select * from f where chunk_id < 4)
-select 'missing column' as check, 0 as n_bad union all select 'duplicate id', (select count(*) from (select chunk_id from b group by 1 having count(*) > 1)) union all select 'null vector', (select count(*) from b where gone)
-union all select 'unknown id', (select count(*) from b where chunk_id % 97 = 5) union all select 'document mismatch', (select count(*) from b where chunk_id % 97 <> 5 and doc_id <> label)"""
+SQL["embedding_load_checks"] = """with chunks as (select vec_id as chunk_id, label::bigint as doc_id from embeddings where vec_id % 97 <> 5),
+f as (select vec_id as chunk_id, case when vec_id % 50 = 3 then label + 1 else label end::bigint as doc_id, case when vec_id % 100 <> 7 then embedding end as vector from embeddings), v as (select * from f union all select * from f where chunk_id < 4)
+select 'missing column' as check, (select count(*) from (values ('chunk_id'), ('doc_id'), ('vector')) need(c) where c not in ('chunk_id', 'doc_id', 'vector')) as n_bad union all select 'duplicate id', (select count(*) from (select chunk_id from v group by 1 having count(*) > 1))
+union all select 'null vector', (select count(*) from v where vector is null) union all select 'unknown id', (select count(*) from v anti join chunks using (chunk_id)) union all select 'document mismatch', (select count(*) from v join chunks using (chunk_id) where v.doc_id is distinct from chunks.doc_id)"""
 
 
 @query
@@ -232,8 +235,8 @@ def corpus_diff(spark, sf_dir):
     return joined.select("doc_id", F.when(F.col("h").isNull(), "missing").when(F.col("g").isNull(), "extra").when(F.col("h") != F.col("g"), "mismatch").alias("problem")).where("problem is not null")
 
 
-SQL["corpus_diff"] = """select doc_id, case when doc_id % 11 = 0 then 'missing' when doc_id % 13 = 0 then 'extra' else 'mismatch' end as problem from documents
-where not (doc_id % 11 = 0 and doc_id % 13 = 0) and (doc_id % 11 = 0 or doc_id % 13 = 0 or doc_id % 17 = 0)"""
+SQL["corpus_diff"] = """with stored as (select doc_id, md5(text) as h from documents where doc_id % 11 <> 0), fresh as (select doc_id, case when doc_id % 17 = 0 then 'x' else md5(text) end as g from documents where doc_id % 13 <> 0)
+select doc_id, case when h is null then 'missing' when g is null then 'extra' else 'mismatch' end as problem from stored full join fresh using (doc_id) where h is null or g is null or h <> g"""
 
 
 @query
@@ -344,26 +347,34 @@ SQL["question_checks"] = "select conv_id, (count(*) = count(distinct turn) and m
 
 @query
 def corpus_fingerprint(spark, sf_dir):
-    """SHA-256 of each source's documents, by id, from the digests of their texts."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: F.concat(x["doc_id"].cast("string"), F.lit(" "), x["h"]))
-    return docs.groupBy("source").agg(F.sha2(F.array_join(listed, "\n").cast("binary"), 256).alias("sha256"), F.count("*").alias("n_docs"))
+    """SHA-256 of each source's documents, by id, from the digests of their texts: by thousands, then by millions, then of those."""
+    found = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 1000).alias("part"), F.col("doc_id").alias("at"), F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    n = F.lit(1).cast("long").alias("n")
+    found = found.select("source", "part", "at", "h", n)
+    for level in (1000, None, None):
+        line = lambda x: F.concat(x["at"].cast("string"), F.lit(" "), x["h"])
+        digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), line), "\n").cast("binary"), 256)
+        found = found.groupBy("source", "part").agg(digest.alias("h"), F.sum("n").alias("n"))
+        found = found.select("source", (F.floor(F.col("part") / 1000) if level else F.lit(0).cast("long")).alias("part"), F.col("part").alias("at"), "h", "n")
+    return found.select("source", F.col("h").alias("sha256"), F.col("n").alias("n_docs"))
 
 
-SQL["corpus_fingerprint"] = "select source, sha256(string_agg(doc_id || ' ' || sha256(text), chr(10) order by doc_id)) as sha256, count(*) as n_docs from documents group by source"
+_LEVEL = "select source, {1} as part, part as k, sha256(string_agg(k || ' ' || h, chr(10) order by k)) as h, sum(n)::bigint as n from {0} group by source, part"
+SQL["corpus_fingerprint"] = f"""with a as (select source, doc_id // 1000 as part, doc_id as k, sha256(text) as h, 1 as n from documents),
+b as ({_LEVEL.format('a', 'part // 1000')}), c as ({_LEVEL.format('b', '0::bigint')}), d as ({_LEVEL.format('c', '0::bigint')}) select source, h as sha256, n as n_docs from d"""
+
+
+_MANIFEST = (("documents", "doc_id", "text"), ("benchmark", "item_id", "text"), ("embeddings", "vec_id", "label"), ("conversations", "conv_id", "text"))
 
 
 @query
 def run_manifest(spark, sf_dir):
-    """Row counts and an order-free hash of the tables that a run reads."""
+    """Row counts and an order-free hash of the tables that a run reads: of each row the first 15 hexadecimal digits of its MD5, summed."""
     parts = []
-    for name, key in (("documents", "doc_id"), ("benchmark", "item_id"), ("embeddings", "vec_id"), ("conversations", "conv_id")):
-        t = table(spark, sf_dir, name)
-        parts.append(t.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.sum(key).cast("long").alias("key_sum")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for name, key, value in _MANIFEST:
+        digits = F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col(value).cast("string")).cast("binary")), 1, 15)
+        parts.append(table(spark, sf_dir, name).agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.sum(F.conv(digits, 16, 10).cast("decimal(38,0)")).cast("string").alias("hash")))
+    return reduce(DataFrame.unionByName, parts)
 
 
-SQL["run_manifest"] = " union all ".join(f"select '{t}' as table_name, count(*) as n_rows, sum({k})::bigint as key_sum from {t}" for t, k in (("documents", "doc_id"), ("benchmark", "item_id"), ("embeddings", "vec_id"), ("conversations", "conv_id")))
+SQL["run_manifest"] = " union all ".join(f"select '{t}' as table_name, count(*) as n_rows, sum(('0x' || md5(concat_ws(':', {k}, {v}))[1:15])::bigint::hugeint)::varchar as hash from {t}" for t, k, v in _MANIFEST)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, ranking
+from ..operators import chunking, gold, ranking
 from .base import bm25_sql, ident_sql, stem_sql, table
 
 SQL: dict[str, str] = {}
@@ -72,16 +72,8 @@ select * from (select query_id, doc, row_number() over (partition by query_id or
 
 
 def gold_containment(spark, sf_dir):
-    """Benchmark items contained whole in documents: found by the item's second word, which stands between spaces there too; shorter items by themselves."""
-    items = _questions(spark, sf_dir).where(F.length("text") > 0)
-    docs = _units(spark, sf_dir)
-    words = F.split("text", " ")
-    inner = items.where(F.size(words) >= 3).withColumn("key", words[1])
-    keys = docs.select("unit_id", F.explode(F.array_distinct(words)).alias("key")).join(inner.select("key").distinct(), "key", "left_semi")
-    pairs = keys.join(inner, "key").select("unit_id", "query_id", F.col("text").alias("item")).join(docs, "unit_id")
-    brief = items.where(F.size(words) < 3).select("query_id", F.col("text").alias("item"))
-    found = pairs.unionByName(docs.join(brief, F.contains("text", "item")).select(pairs.columns))
-    return found.where(F.contains("text", "item")).select("query_id", F.col("unit_id").alias("doc_id")).distinct()
+    """Benchmark items contained whole in documents."""
+    return gold.containment(_units(spark, sf_dir), _questions(spark, sf_dir)).select("query_id", F.col("unit_id").alias("doc_id"))
 
 
 SQL["gold_containment"] = "select item_id as query_id, doc_id from benchmark b join documents d on contains(d.text, b.text) where length(b.text) > 0"
@@ -107,7 +99,7 @@ SQL["dense_topk"] = f"with {_DENSE} select * from (select query_id, unit_id, sco
 
 
 def dense_doc_max(spark, sf_dir):
-    return ranking.doc_max(ranking.dense(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), None, "doc"), "doc")
+    return ranking.dense_doc_max(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), "doc", "unit_id")
 
 
 SQL["dense_doc_max"] = f"with {_DENSE} select query_id, doc, max(score) as score from d group by all"
@@ -123,32 +115,32 @@ select * from (select query_id, doc, score, row_number() over (partition by quer
 
 
 def ann_lsh(spark, sf_dir):
-    """Approximate neighbours by random-projection buckets, then exact distances; its recall is tested."""
+    """Approximate neighbours by random-projection buckets, then exact distances. A query that finds fewer than ten is answered by all vectors; tests hold the recall to 0.9."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    rows = _vectors(spark, sf_dir).select("unit_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    vectors = _vectors(spark, sf_dir)
+    rows = vectors.select("unit_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.0, numHashTables=8, seed=7).fit(rows)
-    queries = rows.where("unit_id % 50 = 0")
-    near = model.approxSimilarityJoin(queries, rows, 1.3, distCol="distance")
+    queries = _vector_queries(spark, sf_dir)
+    near = model.approxSimilarityJoin(rows.where("unit_id % 50 = 0"), rows, 1.3, distCol="distance")
     pairs = near.select(F.col("datasetA.unit_id").alias("query_id"), F.col("datasetB.unit_id").alias("unit_id"), F.round("distance", 6).alias("distance"))
-    return ranking.top(pairs, 10, F.col("distance"), F.col("unit_id"))
+    found = ranking.top(pairs, 10, F.col("distance"), F.col("unit_id"))
+    full = found.groupBy("query_id").count().where("count = 10")
+    # the vectors are of length 1, so the nearest are those of the largest inner products
+    rest = ranking.dense_topk(vectors, queries.join(full, "query_id", "left_anti"), 10).withColumn("distance", F.round(F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))), 6))
+    return found.join(full, "query_id", "left_semi").unionByName(rest.select(found.columns))
 
 
 def _two_rankings(spark, sf_dir) -> DataFrame:
-    """Lexical rankings of documents and of documents by their first 200 characters."""
-    one = ranking.bm25(_units(spark, sf_dir), _questions(spark, sf_dir), 50)
-    two = ranking.bm25(_units(spark, sf_dir).withColumn("text", F.substring("text", 1, 200)), _questions(spark, sf_dir), 50)
-    cols = ["query_id", F.col("unit_id").alias("doc"), "rank"]
-    return one.select(*cols, F.lit("whole").alias("ranking")).unionByName(two.select(*cols, F.lit("head").alias("ranking")))
-
-
-_HEAD = "select doc_id as unit_id, left(text, 200) as text from documents"
+    """Lexical rankings of whole documents, by identifiers and by stems."""
+    both = ranking.bm25s(_units(spark, sf_dir), _questions(spark, sf_dir), {"ident": T.tokenize_ident, "stem": T.normalize_stem}, 50)
+    return both.select("query_id", F.col("unit_id").alias("doc"), "rank", "ranking")
 
 
 _TWO = f"""{bm25_sql(_U, _Q, ident_sql, 50)},
-{bm25_sql(_HEAD, _Q, ident_sql, 50, "_h")},
-both_ as (select query_id, unit_id as doc, rank, 'whole' as ranking from ranked union all select query_id, unit_id, rank, 'head' from ranked_h)"""
+{bm25_sql(_U, _Q, stem_sql, 50, "_s")},
+both_ as (select query_id, unit_id as doc, rank, 'ident' as ranking from ranked union all select query_id, unit_id, rank, 'stem' from ranked_s)"""
 
 
 def rrf(spark, sf_dir):
@@ -163,13 +155,6 @@ select * from (select query_id, doc, score, row_number() over (partition by quer
 SQL["rrf"] = _rrf_sql(60, 10)
 
 
-def arm_r7f(spark, sf_dir):
-    return ranking.rrf(_two_rankings(spark, sf_dir), 30, 50)
-
-
-SQL["arm_r7f"] = _rrf_sql(30, 50)
-
-
 def arm_hybrid(spark, sf_dir):
     """Dense and lexical rankings of labels: vectors as chunks of their label, labels named in words."""
     words = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("unit_id"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("text")).distinct()
@@ -244,4 +229,4 @@ b as (select *, 512 - 2 - coalesce(sum(2 + len(ws)) over (partition by query_id
 k as (select *, least(len(ws), room)::bigint as taken, row_number() over (partition by query_id order by position) as i from b where room > 0)
 select query_id, count(*) as n_passages, sum(2 + taken)::bigint as tokens_in, md5(string_agg('[' || i || '] ' || path || chr(10) || array_to_string(ws[1 : taken], ' '), chr(10) || chr(10) order by i)) as documentation_md5 from k group by query_id"""
 
-QUERIES = {f.__name__: f for f in (tokenize_ident, normalize_stem, bm25_stats, bm25_topk, collapse_docs, gold_containment, dense_topk, dense_doc_max, arm_r0, ann_lsh, rrf, arm_r7f, arm_hybrid, context_text, chunk_flat, evidence_order, pack_context)}
+QUERIES = {f.__name__: f for f in (tokenize_ident, normalize_stem, bm25_stats, bm25_topk, collapse_docs, gold_containment, dense_topk, dense_doc_max, arm_r0, ann_lsh, rrf, arm_hybrid, context_text, chunk_flat, evidence_order, pack_context)}

@@ -68,13 +68,13 @@ SQL["metric_rows"] = f"with {_BASE}, {_ROWS} select * from rw"
 
 @query
 def stratum_policy_metrics(spark, sf_dir):
-    runs = _runs(spark, sf_dir).where("arm = 'whole'").drop("arm")
+    runs = _runs(spark, sf_dir).where("arm = 'ident'").drop("arm")
     strata = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("s"), (F.col("item_id") % 5 + 1).cast("string")).alias("stratum"))
     return evaluation.stratum_metrics(runs, _qrels(spark, sf_dir), strata)
 
 
 _CUTS = " union all ".join(f"select '{s}' as stratum, {k} as k" for s, ks in evaluation.STRATUM_CUTS.items() for k in ks)
-SQL["stratum_policy_metrics"] = f"""with {_BASE}, j as (select b.query_id, 's' || (b.query_id % 5 + 1) as stratum, b.rank, coalesce(g.rel, 0) as rel, coalesce(c.n, 0) as n from both_ b left join gd g on g.query_id = b.query_id and g.doc = b.doc left join gc c on c.query_id = b.query_id where ranking = 'whole'),
+SQL["stratum_policy_metrics"] = f"""with {_BASE}, j as (select b.query_id, 's' || (b.query_id % 5 + 1) as stratum, b.rank, coalesce(g.rel, 0) as rel, coalesce(c.n, 0) as n from both_ b left join gd g on g.query_id = b.query_id and g.doc = b.doc left join gc c on c.query_id = b.query_id where ranking = 'ident'),
 ct as ({_CUTS}),
 m as (select query_id, stratum, k, coalesce(sum(rel) filter (rank <= k), 0)::double as h, max(n) as n, coalesce(sum(rel / log2(rank + 1)) filter (rank <= k), 0) as g from j join ct using (stratum) group by all)
 select query_id, stratum, 'p' || k as metric, round(h / k, 6) as value from m union all select query_id, stratum, 'r' || k, round(case when n > 0 then h / n else 0 end, 6) from m
@@ -105,16 +105,16 @@ SQL["metric_summary"] = f"with {_BASE}, {_ROWS}, x as (select * from rw union al
 
 @query
 def paired_delta(spark, sf_dir):
-    pairs = evaluation.paired(cells(spark, sf_dir), "head")
+    pairs = evaluation.paired(cells(spark, sf_dir), "stem")
     return pairs.groupBy("cell", "arm").agg(F.count("*").alias("n"), F.round(F.avg(F.col("value") - F.col("base_value")), 6).alias("delta"))
 
 
-SQL["paired_delta"] = f"with {_BASE}, {_ROWS}, {_CELLS} select a.cell, a.arm, count(*) as n, round(avg(a.ndcg10 - b.ndcg10), 6) as delta from cl a join cl b on a.cell = b.cell and a.query_id = b.query_id and a.arm <> 'head' and b.arm = 'head' group by all"
+SQL["paired_delta"] = f"with {_BASE}, {_ROWS}, {_CELLS} select a.cell, a.arm, count(*) as n, round(avg(a.ndcg10 - b.ndcg10), 6) as delta from cl a join cl b on a.cell = b.cell and a.query_id = b.query_id and a.arm <> 'stem' and b.arm = 'stem' group by all"
 
 
 @query
 def bootstrap_paired(spark, sf_dir):
-    return evaluation.bootstrap_paired(evaluation.paired(cells(spark, sf_dir), "head"))
+    return evaluation.bootstrap_paired(evaluation.paired(cells(spark, sf_dir), "stem"))
 
 
 @query
@@ -178,28 +178,6 @@ def latency_percentiles(spark, sf_dir):
 SQL["latency_percentiles"] = "select event_type, count(*) as n, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1"
 
 
-@query
-def arm_matrix(spark, sf_dir):
-    """Three arms over all questions in one plan: whole documents, heads, and their fusion."""
-    runs = _two_rankings(spark, sf_dir)
-    fused = ranking.rrf(runs, 30, 50).select("query_id", "doc", "rank", F.lit("fused").alias("arm"))
-    return runs.select("query_id", "doc", "rank", F.col("ranking").alias("arm")).unionByName(fused)
-
-
-SQL["arm_matrix"] = f"with {_TWO}, f as (select query_id, doc, round(sum(1.0::double / (30 + rank)), 9) as score from both_ group by all), z as (select query_id, doc, row_number() over (partition by query_id order by score desc, doc) as rank from f) select query_id, doc, rank, ranking as arm from both_ union all select query_id, doc, rank, 'fused' from z where rank <= 50"
-
-
-@query
-def arm_noop_guard(spark, sf_dir):
-    """Questions whose fused ranking is that of whole documents: an arm that changes nothing shows here."""
-    listed = arm_matrix(spark, sf_dir).where("rank <= 10").groupBy("query_id", "arm").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"]), ",").alias("docs"))
-    one = listed.where("arm = 'whole'").select("query_id", F.col("docs").alias("a"))
-    return one.join(listed.where("arm = 'fused'").select("query_id", F.col("docs").alias("b")), "query_id").agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("n_same"))
-
-
-SQL["arm_noop_guard"] = f"with m as ({SQL['arm_matrix']}), l as (select query_id, arm, string_agg(doc, ',' order by rank) as docs from m where rank <= 10 group by 1, 2) select count(*) as n, count(*) filter (a.docs = b.docs) as n_same from l a join l b on a.query_id = b.query_id and a.arm = 'whole' and b.arm = 'fused'"
-
-
 @query
 def answer_norm(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.answer_norm(F.concat("text", F.lit(" 1,234 and 5,6 of 12 percent – done"))).cast("binary")).alias("norm_md5"))
@@ -214,7 +192,8 @@ def abstention(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.abstained(text).alias("abstained"))
 
 
-SQL["abstention"] = "select conv_id, turn, turn % 3 <> 1 or contains(upper(text), 'NOT FOUND') as abstained from conversations"
+SQL["abstention"] = """with a as (select conv_id, turn, case turn % 3 when 0 then 'Not found: ' || text when 1 then text end as answer from conversations)
+select conv_id, turn, answer is null or contains(upper(answer), 'NOT FOUND') as abstained from a"""
 
 
 @query
@@ -259,7 +238,11 @@ def fact_correct(spark, sf_dir):
     return p.select("p_partkey", T.fact_correct(answer, reference).alias("correct"))
 
 
-SQL["fact_correct"] = "select p_partkey, (p_partkey % 10 <> 0 and (p_partkey % 2 = 0 or p_partkey % 7 <> 0))::int::double as correct from part"
+_PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower({0}), '–', '-'), '(\d),(\d\d\d)\b', '\1\2', 'g'), '\s*percent\b', '%', 'g'), '\s+', ' ', 'g'))"
+SQL["fact_correct"] = rf"""with a as (select p_partkey, case when p_partkey % 10 = 0 then 'NOT FOUND' else p_name || ' costs $' || format('{{:,.2f}}', p_retailprice) || ' and measures ' || (p_size + case when p_partkey % 7 = 0 then 1 else 0 end) || ' square feet.' end as answer,
+  case when p_partkey % 2 = 0 then '$' || format('{{:,.2f}}', p_retailprice) else p_size || ' square feet' end as reference from part),
+c as (select p_partkey, answer, {_PLAIN.format('answer')} as said, regexp_replace(regexp_replace(regexp_replace({_PLAIN.format('reference')}, ' (square feet|days|day|cents|cent|hours|hour)$', ''), '^\$+', ''), '%+$', '') as core from a)
+select p_partkey, (not contains(upper(answer), 'NOT FOUND') and regexp_matches(said, '(^|[^\w.])' || regexp_escape(core) || '($|\W)'))::int::double as correct from c"""
 
 
 @query

@@ -50,6 +50,7 @@ _EDGES = f"""{_DOCS},
 edges as (select parent as src, path as dst, 'child' as kind from docs where parent is not null union all
   select path, 'part/' || l_partkey || '.md', 'prose' from (select distinct l_suppkey, l_partkey from lineitem) join docs on doc_type = 'supplier' and path like '%/supplier-' || l_suppkey || '.md'),
 near as (select distinct src, dst, kind from (select * from edges union all select dst, src, kind from edges) where src <> dst)"""
+EDGES = _EDGES[len(_DOCS) + 2 :]  # for queries that have the documents already
 
 
 def wiki_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,41 +135,41 @@ OPS = {
 _FILTER_TYPE = "query_id string, doc_type string, n int, field string, op string, s array<string>, x array<double>"
 
 
-def _questions(spark) -> DataFrame:
+def questions(spark) -> DataFrame:
     return spark.createDataFrame(list(QUESTIONS.items()), "query_id string, text string")
 
 
-def _filters(spark) -> DataFrame:
+def filters(spark) -> DataFrame:
     return spark.createDataFrame([(q, t, i, f, op, s, x) for q, own in FILTERS.items() for i, (t, f, op, s, x) in enumerate(own)], _FILTER_TYPE)
 
 
-_ASKED = "select * from (values " + ", ".join(f"('{q}', '{t}')" for q, t in QUESTIONS.items()) + ") t(query_id, text)"
+ASKED = "select * from (values " + ", ".join(f"('{q}', '{t}')" for q, t in QUESTIONS.items()) + ") t(query_id, text)"
 
 
-def _r2s(spark, sf_dir, k: int = 50) -> DataFrame:
+def arm_r2s_all(spark, sf_dir, k: int = 50) -> DataFrame:
     from ..functions.text import normalize_stem
 
-    ranked = ranking.bm25(meta_pseudo_docs(spark, sf_dir), _questions(spark), k, tokens=normalize_stem)
+    ranked = ranking.bm25(meta_pseudo_docs(spark, sf_dir), questions(spark), k, tokens=normalize_stem)
     return ranked.withColumnRenamed("unit_id", "path")
 
 
 def arm_r2s(spark, sf_dir):
-    return _r2s(spark, sf_dir, 10)
+    return arm_r2s_all(spark, sf_dir, 10)
 
 
-def _r2s_sql(k: int) -> str:
+def r2s_sql(k: int) -> str:
     units = "select path as unit_id, t as text from whole"
-    return f"{_FIELDS}, {_TEXT}, {bm25_sql(units, _ASKED, _stem, k)}, r2s as (select query_id, unit_id as path, score, rank from ranked)"
+    return f"{_FIELDS}, {_TEXT}, {bm25_sql(units, ASKED, _stem, k)}, r2s as (select query_id, unit_id as path, score, rank from ranked)"
 
 
-SQL["arm_r2s"] = f"with {_r2s_sql(10)} select * from r2s"
+SQL["arm_r2s"] = f"with {r2s_sql(10)} select * from r2s"
 
 
 def arm_r2(spark, sf_dir):
-    return ranking.bm25(meta_pseudo_docs_v1(spark, sf_dir), _questions(spark), 10).withColumnRenamed("unit_id", "path")
+    return ranking.bm25(meta_pseudo_docs_v1(spark, sf_dir), questions(spark), 10).withColumnRenamed("unit_id", "path")
 
 
-SQL["arm_r2"] = f"with v1 as ({SQL['meta_pseudo_docs_v1']}), {bm25_sql('select unit_id, text from v1', _ASKED, ident_sql, 10)} select query_id, unit_id as path, score, rank from ranked"
+SQL["arm_r2"] = f"with v1 as ({SQL['meta_pseudo_docs_v1']}), {bm25_sql('select unit_id, text from v1', ASKED, ident_sql, 10)} select query_id, unit_id as path, score, rank from ranked"
 
 
 def field_types(spark, sf_dir):
@@ -213,25 +214,25 @@ SQL["filter_ops"] = " union all ".join(
 
 
 def filter_apply(spark, sf_dir):
-    return metadata.apply_filters(wiki_fields(spark, sf_dir), _filters(spark))
+    return metadata.apply_filters(wiki_fields(spark, sf_dir), filters(spark))
 
 
-_HITS = " union all ".join(
+HITS = " union all ".join(
     [_SUPPLIERS.format("w1", "r_name = 'ASIA' and s_acctbal > 5000").replace("select 'w1',", "select 'w1' as query_id,").replace("'.md' from", "'.md' as path from"), _PARTS.format("w2", "p_brand = 'Brand#12' and p_size > 40"), _SUPPLIERS.format("w3", "n_name = 'NATION_3' and floor(s_acctbal) >= 5000"),
      _PARTS.format("w4", "list_sort(list_distinct(string_split(p_name, ' '))) = ['ring', 'small'] and p_size between 10 and 20"), _SUPPLIERS.format("w5", "r_name <> 'EUROPE'")]
 )
-SQL["filter_apply"] = _HITS
+SQL["filter_apply"] = HITS
 
 
 def filter_rank(spark, sf_dir):
-    return metadata.tiered(filter_apply(spark, sf_dir), _r2s(spark, sf_dir))
+    return metadata.tiered(filter_apply(spark, sf_dir), arm_r2s_all(spark, sf_dir))
 
 
 _TIERED = """h as (select hits.query_id, hits.path, coalesce(score, 0) as score from hits left join r2s using (query_id, path)),
 t as (select query_id, path, 0 as tier, row_number() over (partition by query_id order by score desc, path) as pos from h union all select query_id, path, 1, rank from r2s),
 m as (select query_id, path, min(tier * 1000000 + pos) as place from t group by all)
 select query_id, path, rank from (select *, row_number() over (partition by query_id order by place) as rank from m) where rank <= 50"""
-SQL["filter_rank"] = f"with {_r2s_sql(50)}, hits as ({_HITS}), {_TIERED}"
+SQL["filter_rank"] = f"with {r2s_sql(50)}, hits as ({HITS}), {_TIERED}"
 
 
 def meta_oracle(spark, sf_dir):
@@ -268,7 +269,7 @@ SQL["children_by_parent"] = f"with {_EDGES} select src as path, list_sort(list_d
 
 
 def _supplier_ranking(spark, sf_dir) -> DataFrame:
-    return _r2s(spark, sf_dir, 20)
+    return arm_r2s_all(spark, sf_dir, 20)
 
 
 def graph_bfs(spark, sf_dir):
@@ -276,7 +277,7 @@ def graph_bfs(spark, sf_dir):
     return graph.bfs(seeds, wiki_edges(spark, sf_dir).where("kind = 'child'"), 2).select("query_id", "path", F.col("seed").cast("long").alias("seed"), F.col("hop").cast("long").alias("hop"))
 
 
-SQL["graph_bfs"] = f"""with {_r2s_sql(20)}, {_EDGES[len(_DOCS) + 2:]},
+SQL["graph_bfs"] = f"""with {r2s_sql(20)}, {EDGES},
 cn as (select distinct src, dst from near where kind = 'child'),
 h0 as (select query_id, path, min(rank) as seed, 0 as hop from r2s where rank <= 3 group by all),
 h1 as (select query_id, dst as path, min(seed) as seed, 1 as hop from h0 join cn on src = path where (query_id, dst) not in (select query_id, path from h0) group by query_id, dst),
@@ -288,7 +289,7 @@ def graph_expand_weighted(spark, sf_dir):
     return graph.expand_weighted(_supplier_ranking(spark, sf_dir), wiki_edges(spark, sf_dir))
 
 
-SQL["graph_expand_weighted"] = f"""with {_r2s_sql(20)}, {_EDGES[len(_DOCS) + 2:]},
+SQL["graph_expand_weighted"] = f"""with {r2s_sql(20)}, {EDGES},
 b as (select query_id, path, rank, score / max(score) over (partition by query_id) as s from r2s),
 w as (select src, dst, max(case kind when 'child' then 1.0::double else 0.6::double end) as w from near group by all),
 l as (select query_id, dst as path, max(0.25::double * w * s) as loan from b join w on src = path where rank <= 5 group by query_id, dst),
@@ -300,7 +301,7 @@ def graph_doc_expand(spark, sf_dir):
     return graph.expand_docs(_supplier_ranking(spark, sf_dir), wiki_edges(spark, sf_dir))
 
 
-SQL["graph_doc_expand"] = f"""with {_r2s_sql(20)}, {_EDGES[len(_DOCS) + 2:]},
+SQL["graph_doc_expand"] = f"""with {r2s_sql(20)}, {EDGES},
 n as (select r.query_id, dst as path, row_number() over (partition by r.query_id order by r.rank, dst) as pos from r2s r join (select distinct src, dst from near) e on e.src = r.path where r.rank <= 5),
 t as (select query_id, path, case when rank <= 5 then rank else 2000000 + rank end as place from r2s union all select query_id, path, 1000000 + pos from n),
 m as (select query_id, path, min(place) as place from t group by all)
@@ -308,31 +309,31 @@ select query_id, path, rank from (select query_id, path, row_number() over (part
 
 
 def title_match(spark, sf_dir):
-    return graph.title_match(_questions(spark), wiki_docs(spark, sf_dir))
+    return graph.title_match(questions(spark), wiki_docs(spark, sf_dir))
 
 
-_TITLES = f"""tt as (select path, {_stem('title')} as t from docs), qq as (select query_id, ' ' || array_to_string({_stem('text')}, ' ') || ' ' as q from ({_ASKED})),
+TITLES = f"""tt as (select path, {_stem('title')} as t from docs), qq as (select query_id, ' ' || array_to_string({_stem('text')}, ' ') || ' ' as q from ({ASKED})),
 tm as (select query_id, path, len(t)::bigint as n_words, row_number() over (partition by query_id order by len(t) desc, path) as rank from qq join tt on contains(q, ' ' || array_to_string(t, ' ') || ' '))"""
-SQL["title_match"] = f"with {_DOCS}, {_TITLES} select * from tm"
+SQL["title_match"] = f"with {_DOCS}, {TITLES} select * from tm"
 
 
 def parent_aware(spark, sf_dir):
-    wanted = _questions(spark).select("query_id", F.lit("nation").alias("doc_type"))
+    wanted = questions(spark).select("query_id", F.lit("nation").alias("doc_type"))
     kids = graph.parent_aware(title_match(spark, sf_dir), wanted, wiki_docs(spark, sf_dir), wiki_edges(spark, sf_dir))
-    return metadata.tiered(kids, _r2s(spark, sf_dir))
+    return metadata.tiered(kids, arm_r2s_all(spark, sf_dir))
 
 
-SQL["parent_aware"] = f"""with {_r2s_sql(50)}, {_EDGES[len(_DOCS) + 2:]}, {_TITLES},
+SQL["parent_aware"] = f"""with {r2s_sql(50)}, {EDGES}, {TITLES},
 hits as (select distinct tm.query_id, d.path from tm join edges e on e.kind = 'child' and e.src = tm.path join docs d on d.path = e.dst and d.doc_type = 'nation'), {_TIERED}"""
 
 
 def two_step(spark, sf_dir):
-    fallback = _r2s(spark, sf_dir)
+    fallback = arm_r2s_all(spark, sf_dir)
     similarity = fallback.select("query_id", "path", "score")
     return graph.two_step(title_match(spark, sf_dir), wiki_edges(spark, sf_dir), similarity, fallback.select("query_id", "path", "rank"))
 
 
-SQL["two_step"] = f"""with {_r2s_sql(50)}, {_EDGES[len(_DOCS) + 2:]}, {_TITLES},
+SQL["two_step"] = f"""with {r2s_sql(50)}, {EDGES}, {TITLES},
 e3 as (select query_id, path, rank from tm where rank <= 3),
 nb as (select distinct e3.query_id, n.dst as path from e3 join near n on n.src = e3.path where (e3.query_id, n.dst) not in (select query_id, path from e3)),
 np as (select nb.query_id, nb.path, row_number() over (partition by nb.query_id order by coalesce(score, -1) desc, nb.path) as pos from nb left join r2s using (query_id, path)),
@@ -342,7 +343,7 @@ select query_id, path, rank from (select query_id, path, row_number() over (part
 
 
 def parent_chain(spark, sf_dir):
-    return graph.parent_chain(wiki_docs(spark, sf_dir), wiki_edges(spark, sf_dir), 5)
+    return graph.parent_chain(wiki_docs(spark, sf_dir), wiki_edges(spark, sf_dir))
 
 
 SQL["parent_chain"] = f"""with recursive {_EDGES}, up as (select dst, min(src) as src from edges where kind = 'child' group by dst),

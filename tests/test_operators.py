@@ -108,7 +108,15 @@ def test_budgeted_walk_lets_a_linked_unit_in(spark):
 def test_parent_chain_tells_loops(spark):
     docs = spark.createDataFrame([(p,) for p in "abxy"], "path string")
     edges = spark.createDataFrame([("a", "b", "child"), ("x", "y", "child"), ("y", "x", "child")], "src string, dst string, kind string")
-    assert {r.path: r.ok for r in graph.parent_chain(docs, edges, 4).collect()} == {"a": True, "b": True, "x": False, "y": False}
+    assert {r.path: r.ok for r in graph.parent_chain(docs, edges).collect()} == {"a": True, "b": True, "x": False, "y": False}
+
+
+def test_parent_chains_may_be_long(spark):
+    docs = spark.range(60).select(F.format_string("n%02d", "id").alias("path"))
+    edges = spark.range(59).select(F.format_string("n%02d", "id").alias("src"), F.format_string("n%02d", F.col("id") + 1).alias("dst"), F.lit("child").alias("kind"))
+    edges = edges.unionByName(spark.createDataFrame([("gone", "lost", "child")], "src string, dst string, kind string"))
+    got = {r.path: (r.root, r.depth, r.ok) for r in graph.parent_chain(docs.unionByName(spark.createDataFrame([("lost",)], "path string")), edges).collect()}
+    assert got.pop("lost") == ("gone", 1, False) and got == {f"n{i:02}": ("n00", i, True) for i in range(60)}
 
 
 def test_filters_of_missing_and_unlike_fields(spark):
@@ -119,16 +127,53 @@ def test_filters_of_missing_and_unlike_fields(spark):
     assert got == {("a", "p"), ("b", "q"), ("e", "r"), ("f", "p")}  # months do not wrap over a year's end
 
 
-@pytest.mark.parametrize("question, kind", [("Which Mountain region locations first opened in 2004?", "store"), ("What promos are there", "promotion"), ("Where do I go", "store"), ("Tell me the policy", None), ("list all of the vendors", "supplier")])
-def test_target_types(question, kind):
-    assert questions.target_type(question) == kind
+@pytest.mark.parametrize("question, kind", [("Which Mountain region locations first opened in 2004?", "store"), ("What promos are there", "promotion"), ("Where do I go", "store"), ("Tell me the policy", None), ("list all of the vendors", "supplier"), (None, None), ("", None), ("Which of our stores of the region", "region"), ("name a b c d e f store", "store"), ("which region which store", "region")])
+def test_target_types(spark, question, kind):
+    assert one(spark, questions.target_type(F.col("q").cast("string")), q=question) == kind
+
+
+KINDS = {
+    "store": {"region": "str", "store_status": "str", "opened_year": "int", "sq_ft": "int", "has_pharmacy": "bool", "has_fuel": "bool"}, "supplier": {"country": "str"},
+    "promotion": {"formats": "list", "start": "date", "end": "date", "discount_pct": "int"}, "department": {"dept_group": "str"},
+}
+VALUES = {"store": {"region": ["Coastal", "Mountain"], "store_status": ["closed", "open"]}, "supplier": {"country": ["Canada", "Mexico"]}, "promotion": {"formats": ["express", "supercenter"]}, "department": {"dept_group": ["food", "health"]}}
+
 
+def kinds_and_values(spark):
+    kinds = spark.createDataFrame([(t, f, k) for t, own in KINDS.items() for f, k in own.items()], "doc_type string, field string, kind string")
+    return kinds, spark.createDataFrame([(t, f, v) for t, own in VALUES.items() for f, v in own.items()], "doc_type string, field string, vals array<string>")
 
-def test_model_filters_are_validated():
-    kinds = {"store": {"sq_ft": "int", "has_fuel": "bool"}}
-    text = 'x {"type": "store", "filters": [{"field": "sq_ft", "op": ">", "value": "1,000"}, {"field": "has_fuel", "op": "==", "value": "no"}, {"field": "sq_ft", "op": "~"}, 5]}'
-    assert questions.parse_model_filters(text, kinds) == {"type": "store", "filters": [{"field": "sq_ft", "op": ">", "value": 1000}, {"field": "has_fuel", "op": "==", "value": False}]}
-    assert questions.parse_model_filters(None, kinds) == {"type": None, "filters": []}
+
+def test_questions_become_filters(spark):
+    asked = {
+        "Which Mountain region locations first opened in 2004?": [("region", "in", ["Mountain"]), ("opened_year", "==", [2004])],
+        "List all suppliers outside Canada": [("country", "not_in", ["Canada"])], "Where can I buy fuel?": [("has_fuel", "==", [1])], "What promotions start in November?": [("start", "start_month", [11])],
+        "Which stores have a pharmacy but no gas pumps and more than 100,000 square feet?": [("has_fuel", "==", [0]), ("has_pharmacy", "==", [1]), ("sq_ft", ">", [100000])],
+        "Name the departments in the food group": [("dept_group", "in", ["food"])], "How tall is it?": [], "stores opened between 1999 and 2005": [("opened_year", "between", [1999, 2005])],
+        "Which promotions give at least 20% only at express stores?": [("discount_pct", ">=", [20]), ("formats", "only", ["express"])],
+        "Which stores are closed or open?": [], "stores open since 1980, 1990 or later, before 2001 and in 1999": [("opened_year", "<", [2001]), ("opened_year", "==", [1999]), ("opened_year", ">=", [1980]), ("opened_year", ">=", [1990])],
+        "promotions that end in May or June, 5% to 10 percent": [("discount_pct", "between", [5, 10]), ("end", "end_month", [5]), ("end", "end_month", [6])],
+        "promotions around July": [("start", "month_overlap", [7])], "stores of 1999": [], "stores not closed": [("store_status", "not_in", ["closed"])],
+    }
+    rows = spark.createDataFrame([*((t, t) for t in asked), ("null", None), ("empty", "")], "query_id string, text string")
+    got = {t: [] for t in asked}
+    for r in questions.parse_filters(rows, *kinds_and_values(spark)).collect():
+        got[r.query_id].append((r.field, r.op, r.s or r.x))
+    assert {t: sorted(own, key=str) for t, own in got.items()} == {t: sorted(own, key=str) for t, own in asked.items()}
+
+
+def test_model_filters_are_validated(spark):
+    answers = {
+        "good": 'x {"type": "store", "filters": [{"field": "sq_ft", "op": ">", "value": "1,000"}, {"field": "has_fuel", "op": "==", "value": "no"}, {"field": "sq_ft", "op": "~"}, 5, {"field": "region", "op": "in", "value": "East"}]} {',
+        "months": '{broken {"type": "promotion", "filters": [{"field": "x", "op": "end_month", "value": "4"}, {"field": "discount_pct", "op": "between", "value": [5]}, {"field": "discount_pct", "op": "between", "value": [5, "1,000"]}, {"field": "discount_pct", "op": "<", "value": "x"}]}',
+        "null": None, "words": "no JSON", "planet": '{"type": "planet", "filters": []}', "first": '{} {"type": "store", "filters": []}', "text": '{"type": "store", "filters": "x"}', "false": '{"type": "store", "filters": [{"field": "has_fuel", "op": "!=", "value": false}]}',
+    }
+    found = questions.model_filters(spark.createDataFrame(list(answers.items()), "query_id string, raw string"), kinds_and_values(spark)[0])
+    got = sorted((r.query_id, r.doc_type, r.field, r.op, r.s, r.x) for r in found.collect())
+    assert got == [
+        ("false", "store", "has_fuel", "!=", [], [0.0]), ("good", "store", "has_fuel", "==", [], [0.0]), ("good", "store", "region", "in", ["East"], []), ("good", "store", "sq_ft", ">", [], [1000.0]),
+        ("months", "promotion", "discount_pct", "between", [], [5.0, 1000.0]), ("months", "promotion", "end", "end_month", [], [4.0]),
+    ]
 
 
 def test_holm_blocks_after_the_first_failure(spark):
@@ -170,10 +215,29 @@ def test_gold_recheck(spark):
     assert {(r.id, r.problem) for r in gold.recheck(a, b, "id").collect()} == {(1, "stale"), (3, "missing")}
 
 
-def test_fences_and_links():
-    text = "a `x` [l](u.md)\n```\n[no](v.md)\n```\n![img](i.png)"
-    assert markup.markdown_links(text) == [("l", "u.md")] and [text[a:b] for a, b in markup.inline_code(text)] == ["`x`"]
-    assert markup.code_fences("```\nopen") == [(0, 8)]
+MARKDOWN = {
+    "links": ("a `x` [l](u.md)\n```\n[no](v.md)\n```\n![img](i.png)", [[16, 34]], ["`x`"], "a `x` l\n```\nno\n```\nimg", [("l", "u.md")]),
+    "open": ("```\nopen", [[0, 8]], [], "```\nopen", []),
+    "closed by a longer fence with words": ("~~~\na\n``` b\n~~~~ c\nd", [[0, 18]], [], "~~~\na\n``` b\n~~~~ c\nd", []),
+    "two fences": ("```\na\n```\n```\nb\n```", [[0, 9], [10, 19]], [], "```\na\n```\n```\nb\n```", []),
+    "indented is no fence": (" ```\na", [], [], " ```\na", []),
+    "runs of backticks": ("`a ``b`` c``d`", [], ["`a ``b`` c``d`"], "`a ``b`` c``d`", []),
+    "an odd backtick": ("`a ``b``", [], ["``b``"], "`a ``b``", []),
+    "references": ("A [ref][x] and [x] and [y] and [x](z).\n\n[x]: http://x.org\nend", [], [], "A ref and x and [y] and x.\n\nend", [("x", "z")]),
+    "tags": ('<a href="u">in</a> <B>bold</b> `<b>kept</b>` <img src="i"> <div\nclass=x>y</div> <br/>', [], ["`<b>kept</b>`"], "in bold `<b>kept</b>`  y ", []),
+    "no tags": ("<script>var a = 1;</script>x < 5 and <job_id> and <b", [], [], "x < 5 and <job_id> and <b", []),
+    "titles": ('[a](b "t") [c]( d) [k](l)[m](n) [x] (y) [z]() [p [q](r)', [], [], "a c km [x] (y) [z]() p [q", [("a", "b"), ("k", "l"), ("m", "n"), ("p [q", "r")]),
+    "null": (None, [], [], None, []),
+    "empty": ("", [], [], "", []),
+}
+
+
+def test_code_links_and_tags(spark):
+    rows = spark.createDataFrame([(k, v[0]) for k, v in MARKDOWN.items()], "id string, text string")
+    text = F.col("text")
+    found = rows.select("id", markup.fence_regions(text).alias("fences"), markup.inline_code_texts(text).alias("code"), markup.reduce_links(text).alias("reduced"), markup.extract_links(text).alias("links"))
+    got = {r.id: (r.fences, r.code, r.reduced, [(x.words, x.href) for x in r.links]) for r in found.collect()}
+    assert got == {k: v[1:] for k, v in MARKDOWN.items()}
 
 
 def test_markdown_collection(spark, tmp_path):
@@ -231,6 +295,25 @@ def test_all_arms_in_one_plan(spark):
     filters = spark.createDataFrame([("q", "store", 0, "year", "<", [], [2000.0])], "query_id string, doc_type string, n int, field string, op string, s array<string>, x array<double>")
     wanted = spark.createDataFrame([("q", "store")], "query_id string, doc_type string")
     dense = spark.createDataFrame([("q", "r/t.md", 0.9, 1), ("q", "r/s.md", 0.5, 2)], "query_id string, path string, score double, rank int")
-    got = run_arms(asked, docs, fields, edges, filters, wanted, dense).where("rank = 1").collect()
+    got = run_arms(asked, docs, fields, edges, filters, wanted, {"R0": dense}).where("rank = 1").collect()
     first = {r.arm: r.path for r in got}
-    assert set(first) == {"R0", "R2s", "R3s", "R5p", "R6f", "R7f", "R7h"} and first["R6f"] == "r/t.md" and first["R0"] == "r/t.md" and first["R5p"].startswith("r/")
+    assert set(first) == {"R0", "R2", "R2s", "R3s", "R5p", "R6f", "R7f", "R7h"} and first["R6f"] == "r/t.md" and first["R0"] == "r/t.md" and first["R5p"].startswith("r/")
+
+
+def test_contained_items(spark):
+    docs = {1: "the red fox runs the red", 2: "a red foxes", 3: "x", 4: None, 5: "of the of the of"}
+    asked = {1: "red fox runs", 2: "ed fox", 3: "fox", 4: "x", 5: "", 6: "e red fox runs th", 7: "the of the", 8: "zzz yyy xxx", 9: None, 10: "of"}
+    units = spark.createDataFrame(list(docs.items()), "unit_id int, text string")
+    found = gold.containment(units, spark.createDataFrame(list(asked.items()), "query_id int, text string"))
+    want = {(d, q) for d, t in docs.items() for q, x in asked.items() if t and x and x in t}
+    assert sorted((r.unit_id, r.query_id) for r in found.collect()) == sorted(want)
+
+
+def test_fingerprints_and_chunk_replacement(spark):
+    files = spark.createDataFrame([(f"d/{i}.md", bytes([i])) for i in range(30)], "path string, content binary")
+    one_ = store.fingerprint_levels(files, 1).first()
+    assert one_ == store.fingerprint_levels(files.repartition(7), 1).first() and one_.n_files == 30
+    assert one_.sha256 != store.fingerprint_levels(files.where("path <> 'd/3.md'"), 1).first().sha256
+    stored = spark.createDataFrame([(1, "flat", 0, "a"), (1, "struct", 0, "b"), (2, "flat", 0, "c")], "doc_id int, policy string, ord int, text string")
+    new = spark.createDataFrame([("x", 0, 1, "flat"), ("y", 1, 1, "flat")], "text string, ord int, doc_id int, policy string")
+    assert {tuple(r) for r in store.replace_chunks(stored, new).collect()} == {(1, "flat", 0, "x"), (1, "flat", 1, "y"), (1, "struct", 0, "b"), (2, "flat", 0, "c")}

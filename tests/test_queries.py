@@ -65,3 +65,10 @@ def test_ranking_does_not_depend_on_partitions(spark):
         assert sorted(one) == sorted(catalog.queries()["bm25_topk"](spark, SF).collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@needs_tables
+def test_approximate_neighbours_are_the_nearest(spark):
+    keys = lambda name: {(r.query_id, r.unit_id) for r in catalog.queries()[name](spark, SF).collect()}
+    found, exact = keys("ann_lsh"), keys("dense_topk")
+    assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.functions.questions import CATEGORICAL_FIELDS, QuestionParser
+from docloom.functions.questions import CATEGORICAL_FIELDS, parse_filters, target_type
 from docloom.operators import arms, evaluation, metadata
 from docloom.sources import markdown, retail
 
@@ -35,24 +35,12 @@ def test_pages_questions_and_arms(spark, shop, tmp_path):
     edges, unresolved = markdown.links(docs)
     assert unresolved.count() == 0 and docs.select("path").distinct().count() == docs.count()
     fields = markdown.fields(docs).cache()
-    kinds, values = {}, {}
-    for r in metadata.field_types(docs, fields).collect():
-        kinds.setdefault(r.doc_type, {})[r.field] = r.kind
-    for r in metadata.categorical_values(fields, list(CATEGORICAL_FIELDS)).collect():
-        values.setdefault(r.doc_type, {})[r.field] = r.vals
+    kinds, values = metadata.field_types(docs, fields), metadata.categorical_values(fields, list(CATEGORICAL_FIELDS))
     asked = retail.questions()
-    parser = QuestionParser(kinds, values)
-    rows, wanted = [], []
-    for x in asked:
-        found = parser.parse(x["text"])
-        wanted.append((x["query_id"], found["type"]))
-        for i, f in enumerate(found["filters"]):
-            own = f["value"] if isinstance(f["value"], list) else [f["value"]]
-            numbers = [float(v) for v in own if not isinstance(v, str)]
-            rows.append((x["query_id"], found["type"], i, f["field"], f["op"], [v for v in own if isinstance(v, str)], numbers))
     questions = spark.createDataFrame([(x["query_id"], x["text"]) for x in asked], "query_id string, text string")
-    filters = spark.createDataFrame(rows, "query_id string, doc_type string, n int, field string, op string, s array<string>, x array<double>")
-    runs = arms.run_arms(questions, docs, fields, edges, filters, spark.createDataFrame(wanted, "query_id string, doc_type string").where("doc_type is not null"))
+    filters = parse_filters(questions, kinds, values).cache()
+    wanted = questions.select("query_id", target_type(F.col("text")).alias("doc_type")).where("doc_type is not null")
+    runs = arms.run_arms(questions, docs, fields, edges, filters, wanted)
     qrels = retail.gold(spark, shop, asked)
     scored = evaluation.ir_metrics(runs.withColumnRenamed("path", "doc"), qrels, "arm").join(qrels.select("query_id").distinct(), "query_id")
     sets = scored.where("query_id not like 'S1%'").groupBy("arm").agg(F.avg("ndcg10").alias("m")).collect()
