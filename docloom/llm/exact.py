@@ -41,6 +41,8 @@ from .suffixes import permuted_prefixes, suffix_array
 
 STEP = 1 << 18
 CROWD = 1 << 14  # different pieces of a context, summed over blocks, from which their strings are counted first
+#: Bits of the hashes that choose what is sorted. Different contexts or strings of one hash only add to what the arrays compare.
+CONTEXT_BITS, STRING_BITS, PIECE_BITS = 48, 40, 40
 AGREED, SHARED, CROWDED = range(3)  # contexts
 STRINGS, WHOLE, LONG, SHORT = range(4)  # kinds of what blocks are told: of strings, and of starts
 _TOLD = "block int, kind int, blob binary, masks binary"
@@ -79,7 +81,7 @@ class Pieces:
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, sizes: Lengths, one: PrefixHash, two: PrefixHash) -> None:
         self.base, self.sizes, self.one, self.two = int(offsets[0]), sizes, one, two
         self.values = raw[self.base : int(offsets[-1])].astype(U64) + U64(1)
-        self.sums, self._second = one.sums(self.values), None
+        self.sums, self.lazy = one.sums(self.values), {}  # shared by the pieces chosen from these
         at, first, last = anchors(self.sums, one, sizes.width)
         bounds = offsets - self.base
         doc = np.searchsorted(bounds, at, side="right") - 1
@@ -88,7 +90,7 @@ class Pieces:
         self.stop = np.minimum(self.last + sizes.length, self.ends)
         self.kind = _BOTH
         self._keep(np.flatnonzero(self.first <= self.last))
-        self.context = mix(one.spans(self.sums, self.at, self.at + sizes.context(_SHORT)))
+        self.context = mix(one.spans(self.sums, self.at, self.at + sizes.context(_SHORT))) >> U64(64 - CONTEXT_BITS)
 
     def _keep(self, pick: np.ndarray) -> None:
         self.at, self.first, self.last, self.stop, self.ends = (x[pick] for x in (self.at, self.first, self.last, self.stop, self.ends))
@@ -109,18 +111,18 @@ class Pieces:
 
     def keys(self) -> np.ndarray:
         """The hash of each piece's bytes, by two bases, and of its kind."""
-        if self._second is None:
-            self._second = self.two.sums(self.values)
+        if not self.lazy:
+            self.lazy["second"] = self.two.sums(self.values)
         size = (self.stop - self.first).astype(U64)
         one = mix(self.one.spans(self.sums, self.first, self.stop) + size * MUL_B)
-        return mix(one ^ (self.two.spans(self._second, self.first, self.stop) + size * MUL_A + U64(self.kind)))
+        return mix(one ^ (self.two.spans(self.lazy["second"], self.first, self.stop) + size * MUL_A + U64(self.kind)))
 
     def strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The piece, the start and the hash of each string."""
         count = self.last - self.first + 1
         piece = np.repeat(np.arange(len(count)), count)
         start = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count - self.first, count)
-        return piece, start, mix(self.one.spans(self.sums, start, start + self.sizes.of(self.kind)) + U64(self.kind) * MUL_C)
+        return piece, start, mix(self.one.spans(self.sums, start, start + self.sizes.of(self.kind)) + U64(self.kind) * MUL_C) >> U64(64 - STRING_BITS)
 
     def stretches(self, known: np.ndarray) -> Pieces:
         """The pieces cut to stretches of starts whose strings' hashes are known."""
@@ -156,7 +158,7 @@ def _starts_of(ordered: np.ndarray) -> np.ndarray:
 
 
 def _contexts(sizes: Lengths, bucket_bits: int):
-    """What each block sends to the buckets: its distinct contexts, and of each the number of different pieces, whether it stands twice, and 48 bits of a piece's hash."""
+    """What each block sends to the buckets: its distinct contexts, and of each how many different pieces it has, whether it stands twice, and a piece's hash."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         raw, offsets = buffers(table["_text"])
@@ -170,11 +172,11 @@ def _contexts(sizes: Lengths, bucket_bits: int):
             other = np.zeros(len(by), np.int64)
             other[start] = 1
             other[1:] |= piece[1:] != piece[:-1]
-            different = np.minimum(np.add.reduceat(other, start), 0x7FFF)
-            told = (piece[start] >> U64(16) << U64(16)) | (different << 1 | (np.diff(np.append(start, len(by))) > 1)).astype(U64)
-        context = context[start]
-        edges = bucket_edges(context, 64, bucket_bits).tolist()
-        rows = [(b, key[0].as_py(), pack_sorted(context[lo:hi]), told[lo:hi].astype("<u8").tobytes()) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if lo < hi]
+            different = np.minimum(8 * np.log2(np.add.reduceat(other, start)), 127).astype(U64)  # on a logarithmic scale
+            told = piece[start] >> U64(64 - PIECE_BITS) << U64(8) | different << U64(1) | (np.diff(np.append(start, len(by))) > 1).astype(U64)
+        context, told = context[start], told.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : PIECE_BITS // 8 + 1]
+        edges = bucket_edges(context, CONTEXT_BITS, bucket_bits).tolist()
+        rows = [(b, key[0].as_py(), pack_sorted(context[lo:hi]), told[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if lo < hi]
         give_back()
         return _table(rows, ["bucket", "block", "blob", "told"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
@@ -188,14 +190,16 @@ def _groups(crowd: int):
         blocks = table["block"].to_pylist()
         lists = [unpack_sorted(b) for b in table["blob"].to_pylist()]
         context = np.concatenate(lists)
-        told = np.frombuffer(b"".join(table["told"].to_pylist()), "<u8")
+        wide = np.zeros((len(context), 8), np.uint8)
+        wide[:, : PIECE_BITS // 8 + 1] = np.frombuffer(b"".join(table["told"].to_pylist()), np.uint8).reshape(len(context), -1)
+        told = wide.reshape(-1).view("<u8")
         by = np.argsort(context, kind="stable")
         context, told = context[by], told[by]
         start = _starts_of(context)
-        piece, counts = told >> U64(16), (told & U64(0xFFFF)).astype(np.int64)
-        twice = (np.diff(np.append(start, len(by))) > 1) | np.bitwise_or.reduceat(counts & 1, start).astype(bool)
-        different = np.add.reduceat(counts >> 1, start)
-        agreed = (np.maximum.reduceat(counts >> 1, start) == 1) & (np.minimum.reduceat(piece, start) == np.maximum.reduceat(piece, start))
+        piece, scale = told >> U64(8), (told >> U64(1) & U64(127)).astype(np.int64)
+        twice = (np.diff(np.append(start, len(by))) > 1) | np.bitwise_or.reduceat(told & U64(1), start).astype(bool)
+        different = np.add.reduceat(2.0 ** (scale / 8), start)
+        agreed = (np.maximum.reduceat(scale, start) == 0) & (np.minimum.reduceat(piece, start) == np.maximum.reduceat(piece, start))
         known, kind = context[start[twice]], np.where(agreed, AGREED, np.where(different <= crowd, SHARED, CROWDED))[twice]
         rows = []
         for block, own in zip(blocks, lists):
@@ -224,7 +228,7 @@ def _strings(sizes: Lengths, bucket_bits: int):
             parts = [np.zeros(0, U64)] + [q.strings()[2] for p in _each(raw, offsets, sizes) for q in _pieces_of(p, crowded)]
             values, counts = np.unique(np.concatenate(parts), return_counts=True)
             twice = values[counts > 1]
-            edges, more = (bucket_edges(x, 64, bucket_bits).tolist() for x in (values, twice))
+            edges, more = (bucket_edges(x, STRING_BITS, bucket_bits).tolist() for x in (values, twice))
             rows = [(b, key[0].as_py(), pack_sorted(values[edges[b] : edges[b + 1]]), pack_sorted(twice[more[b] : more[b + 1]])) for b in range(1 << bucket_bits) if edges[b] < edges[b + 1]]
         give_back()
         return _table(rows, ["bucket", "block", "blob", "again"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
