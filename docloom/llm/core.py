@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -23,12 +24,16 @@ STEP_BYTES = 4 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; on a single machine, as in tests, one of our own where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get() if current.isDefined() else "/tmp/checkpoints/docloom"
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -84,6 +89,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
+def binary_rows(values: np.ndarray, lengths: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """A binary column of rows of the given lengths, which follow one another in values; null where told."""
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    valid = None if null is None else pa.array(~null).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [valid, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values).view(np.uint8).reshape(-1))])
+
+
 def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of rows of about limit bytes each, a longer row alone."""
     n, i = len(offsets) - 1, 0
@@ -168,6 +181,25 @@ class WordHasher:
         return hashes, starts + base, stops + base, np.searchsorted(starts, offsets - base)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    ordered = np.sort(values)
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return ordered[new]
+
+
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and the place of each value among them."""
+    by = np.argsort(values)
+    ordered = values[by]
+    new = np.ones(len(by), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    at = np.empty(len(by), np.int64)
+    at[by] = np.cumsum(new) - 1
+    return ordered[new], at
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Ascending uint64 values as their first value and fixed-width differences."""
     if not len(values):

@@ -24,11 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import relabel
-from .core import MUL_A, MUL_C, U64, PrefixHash, WordHasher, boxed, buffers, give_back, mix, pack_sorted, saved, steps, unpack_sorted
+from .core import MUL_A, MUL_C, U64, PrefixHash, WordHasher, binary_rows, boxed, buffers, give_back, mix, pack_sorted, ranked, saved, steps, unpack_sorted
 
 STEP = 1 << 18
 
@@ -57,28 +57,34 @@ class Sets:
     def __init__(self, words: int) -> None:
         self.k, self.hasher, self.rolling = words, WordHasher(lower=True), PrefixHash(0xD1342543DE82EF95)
 
-    def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets one after another, and their n + 1 bounds."""
         hashes, _, _, edges = self.hasher(raw, offsets)
         sums = self.rolling.sums(hashes)
-        at = np.arange(max(0, len(hashes) - self.k + 1))
-        rolled = mix(self.rolling.spans(sums, at, at + self.k))
-        out = []
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if hi - lo >= self.k:
-                out.append(np.unique(rolled[lo : hi - self.k + 1]))
-            elif hi > lo:  # fewer words than a shingle: the whole sequence is one
-                out.append(mix(self.rolling.spans(sums, np.array([lo]), np.array([hi])) + U64(hi - lo) * MUL_C))
-            else:
-                out.append(np.zeros(0, U64))
-        return out
-
-
-def sketch(sets: list[np.ndarray], rule: NearRule) -> np.ndarray:
-    """The registers of non-empty sets, one row each."""
-    flat = np.concatenate(sets)
-    starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
+        words = np.diff(edges)
+        at = np.arange(len(hashes))
+        ends = np.repeat(edges[1:], words)
+        whole = at + self.k <= ends
+        at = at[whole | ((words < self.k) & (words > 0)).repeat(words) & (at == np.repeat(edges[:-1], words))]  # fewer words than a shingle: the whole sequence is one
+        until = np.minimum(at + self.k, ends[at])
+        size = until - at
+        rolled = self.rolling.spans(sums, at, until)
+        flat = mix(np.where(size == self.k, rolled, rolled + size.astype(U64) * MUL_C))
+        count = np.where(words >= self.k, words - self.k + 1, (words > 0).astype(np.int64))
+        bounds = np.concatenate(([0], np.cumsum(count)))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if hi - lo > 1:
+                flat[lo:hi].sort()
+        new = np.ones(len(flat), bool)
+        np.not_equal(flat[1:], flat[:-1], out=new[1:])
+        new[bounds[:-1][bounds[:-1] < len(flat)]] = True
+        return flat[new], np.concatenate(([0], np.cumsum(new)))[bounds]
+
+
+def sketch(flat: np.ndarray, starts: np.ndarray, rule: NearRule) -> np.ndarray:
+    """The registers of non-empty sets, which stand one after another, one row each."""
     odd = mix(np.arange(1, rule.registers + 1, dtype=U64) * MUL_A) | U64(1)
-    least = np.empty((rule.registers, len(sets)), U64)
+    least = np.empty((rule.registers, len(starts)), U64)
     work = np.empty(len(flat), U64)
     for i, o in enumerate(odd):
         np.multiply(flat, o, out=work)
@@ -109,17 +115,20 @@ def _sketch_part(rule: NearRule, with_sets: bool):
         for batch in batches:
             raw, offsets = buffers(batch.column("_text"))
             for i, j in steps(offsets, STEP):
-                sets = make(raw, offsets[i : j + 1])
-                full = [s for s in sets if len(s)]
-                nodes = [None if not len(s) else int(mix(s).sum()).to_bytes(8, "big") + int(mix(s ^ MUL_C).sum()).to_bytes(8, "big") for s in sets]
-                nodes = pa.array(nodes, pa.binary())
-                sizes = pa.array([len(s) for s in sets], pa.int64())
+                flat, bounds = make(raw, offsets[i : j + 1])
+                sizes = np.diff(bounds)
+                none = sizes == 0
+                starts = bounds[:-1][~none]
+                digest = np.zeros((len(starts), 2), U64)
+                if len(starts):
+                    digest[:, 0], digest[:, 1] = np.add.reduceat(mix(flat), starts), np.add.reduceat(mix(flat ^ MUL_C), starts)
+                nodes = binary_rows(digest.astype(">u8"), np.where(none, 0, 16), none)
                 if with_sets:
-                    made = pa.array([pack_sorted(np.unique(s >> U64(24))) if len(s) else None for s in sets], pa.binary())
+                    made = pa.array([pack_sorted(flat[lo:hi]) if lo < hi else None for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
                 else:
-                    found = iter(sketch(full, rule)) if full else iter(())
-                    made = pa.array([next(found).tobytes() if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), nodes, sizes, made], ["id", "node", "n", "sets" if with_sets else "registers"])
+                    registers = sketch(flat, starts, rule) if len(starts) else np.zeros((0, rule.registers), np.uint16)
+                    made = binary_rows(registers, np.where(none, 0, 2 * rule.registers), none)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("_id", "_hash")), nodes, pa.array(sizes), made], ["id", "hash", "node", "n", "sets" if with_sets else "registers"])
         give_back()
 
     return run
@@ -191,7 +200,7 @@ def _links(rule: NearRule):
         sets = [unpack_sorted(b) for b in table["sets"].to_pylist()]
         size = np.array([len(x) for x in sets])
         starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        values, ids = ranked(np.concatenate(sets))
         mark = np.zeros(len(values), np.int64)
         out = []
         for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
@@ -203,7 +212,7 @@ def _links(rule: NearRule):
                 if label[j] != label[i]:  # not joined by a link just found
                     out.append((nodes[i], nodes[j]))
                     label[label == label[j]] = label[i]
-        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return run
 
@@ -226,33 +235,34 @@ def _verify_part(rule: NearRule):
     return run
 
 
-def components(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
-    """id (doc_id), n_shingles and component_id (the smallest doc_id of the document's class), for each row of docs.
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
-    Words are what ASCII white space divides, with A-Z in lower case; a text of fewer words
-    than a shingle is one shingle; a text without words, or null, is linked with nothing. Rows
-    with equal sets are linked, whether their ids or texts repeat or not. A null doc_id is never
-    the smallest, unless its class has no other. Other columns of docs do not matter.
-    """
-    source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
-    rows = saved(source.mapInArrow(_sketch_part(rule, False), "id long, node binary, n long, registers binary"), "near-rows")
-    nodes = saved(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "near-nodes")
+
+def classes(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
+    """id, hash (of the text), n_shingles, label (the class; null without words) and component_id for each row of docs."""
+    source = docs.select(F.col("doc_id").cast("long").alias("_id"), _text_hash().alias("_hash"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
+    rows = saved(source.mapInArrow(_sketch_part(rule, False), "id long, hash long, node binary, n long, registers binary"), "near-rows")
+    # a set's digest names it; its number, which is final once it is written, is what the rounds below carry
+    each = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    nodes = saved(each.select(F.col("node").alias("digest"), F.monotonically_increasing_id().alias("node"), "id", "n", "registers"), "near-nodes")
     facts = nodes.select("node", "n", "registers")
-    bands = facts.mapInArrow(_bands_part(rule), "band long, number int, node binary")
+    bands = facts.mapInArrow(_bands_part(rule), "band long, number int, node long")
     shared = bands.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
     bands = saved(bands.join(shared, "band"), "near-bands")
     side = lambda c: facts.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
     stars = bands.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    likely_stars = stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely_part(rule), "a binary, b binary, slope double")
+    likely_stars = stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely_part(rule), "a long, b long, slope double")
     best = saved(likely_stars.groupBy("a").agg(F.max_by("b", F.struct("slope", "b")).alias("b")), "near-stars")
-    # full sets are needed only of nodes that share a bucket
+    # full sets are needed only of nodes that share a bucket, and of each only from its first document
     wanted = bands.select("node").distinct()
-    own = source.mapInArrow(_sketch_part(rule, True), "id long, node binary, n long, sets binary").select("node", "sets").where("node is not null")
-    sets = saved(own.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    named = nodes.join(wanted, "node", "left_semi").select("digest", "node", F.col("id").alias("_first"))
+    own = source.mapInArrow(_sketch_part(rule, True), "id long, hash long, node binary, n long, sets binary").select("id", F.col("node").alias("digest"), "sets")
+    sets = saved(own.join(named, "digest").where(F.col("id").eqNullSafe(F.col("_first"))).select("node", "sets").dropDuplicates(["node"]), "near-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("sets").alias("sa")), "a")
-        return with_a.join(sets.select(F.col("node").alias("b"), F.col("sets").alias("sb")), "b").mapInArrow(_verify_part(rule), "a binary, b binary")
+        return with_a.join(sets.select(F.col("node").alias("b"), F.col("sets").alias("sb")), "b").mapInArrow(_verify_part(rule), "a long, b long")
 
     labels = relabel(wanted.select("node", F.col("node").alias("label")), verified(best))
     held = bands.join(labels, "node")
@@ -260,23 +270,38 @@ def components(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     chunks = F.ceil(F.col("size") / F.lit(float(rule.chunk)))
     chunked = held.join(several, "band").join(facts, "node").withColumn("own", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
     chunked = chunked.select("band", F.least("own", "other").cast("int").alias("low"), F.greatest("own", "other").cast("int").alias("high"), "number", "node", "label", "n", "registers")
-    active = chunked.groupBy("band", "low", "high").applyInArrow(_active(rule), "band long, low int, high int, node binary, label binary")
-    links = active.join(sets, "node").groupBy("band", "low", "high").applyInArrow(_links(rule), "a binary, b binary")
+    active = chunked.groupBy("band", "low", "high").applyInArrow(_active(rule), "band long, low int, high int, node long, label long")
+    links = active.join(sets, "node").groupBy("band", "low", "high").applyInArrow(_links(rule), "a long, b long")
     labels = relabel(labels, links.distinct())
-    classes = nodes.select("node", "id").join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
-    smallest = classes.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = classes.join(smallest, "label").select("node", "component_id")
-    return rows.select("id", "node", "n").join(named, "node", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    labelled = nodes.select("digest", "node", "id").join(labels, "node", "left").select("digest", "id", F.coalesce("label", "node").alias("label"))
+    smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
+    told = labelled.join(smallest, "label").select(F.col("digest").alias("node"), "label", "component_id")
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+    return rows.select("id", "hash", "node", "n").join(told, "node", "left").select("id", "hash", F.col("n").alias("n_shingles"), "label", component)
+
+
+def components(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
+    """id (doc_id), n_shingles and component_id (the smallest doc_id of the document's class), for each row of docs.
+
+    Words are what ASCII white space divides, with A-Z in lower case; a text of fewer words
+    than a shingle is one shingle; a text without words, or null, is linked with nothing. Rows
+    with equal sets are linked, whether their ids or texts repeat or not. A null doc_id is never
+    the smallest, unless its class has no other. Other columns of docs do not matter.
+    """
+    return classes(docs, rule).select("id", "n_shingles", "component_id")
 
 
 def keep(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
-    """One row of each class, that of the smallest doc_id, with docs' columns; of rows that repeat that doc_id, one.
+    """One row of each class, that of the smallest doc_id (null last; then of the text's hash), with docs' columns.
 
-    Rows without words are a class each by doc_id: those that repeat a doc_id keep one.
+    Rows without words are linked with nothing, and stay. Rows of one doc_id with texts of different classes stay too;
+    of rows that repeat the doc_id and the text that a class keeps, one does.
     """
-    found = saved(components(docs, rule).select("id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "near-found")
-    stay = found.where("kept").select(F.col("id").alias("_id")).distinct()
-    kept = boxed(docs, "doc_id").join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    if not found.groupBy("id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select("_boxed.*")
+    found = saved(classes(docs, rule).where("label is not null").select("id", "hash", "label"), "near-found")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("x")).select(F.col("x.id").alias("_id"), F.col("x.hash").alias("_hash"))
+    own = boxed(docs, "doc_id", "text").withColumn("_own", _text_hash())
+    spoken = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = own.where(spoken).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi")
+    if not found.groupBy("id", "hash").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_own"])
+    return kept.unionByName(own.where(~spoken)).select("_boxed.*")

@@ -236,11 +236,17 @@ def test_near_duplicates(spark):
 
 
 def test_near_duplicates_keep_one(spark):
-    docs = corpus.frame(spark)
+    own = corpus.rows()
+    docs = corpus.frame(spark, own=own)
     kept = near.keep(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and set(ids) <= {r[0] for r in corpus.rows()}
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    label = classes(own, 5)  # (id, size, class) of each row
+    silent = Counter((r[0], r[1]) for r in own if not (r[1] or "").split())
+    for (d, t), n in silent.items():
+        assert got.pop((d, t)) == n
+    assert set(got.values()) == {1} and len({d for d, _ in got}) < len(got)  # two texts of one id stay
+    assert len(got) == len({c for (_, size, c), _ in label.items() if size}) + 1  # another text of the smallest id of a class
     assert near.keep(corpus.empty(spark)).count() == 0
 
 
@@ -251,9 +257,9 @@ def test_registers_estimate_similarity():
         n = int(2000 / (2 - 2 * j / (1 + j)))
         shared = int(2 * n * j / (1 + j))
         a, b = np.unique(pool[:n]), np.unique(pool[n - shared : 2 * n - shared])
-        regs = near.sketch([a, b], rule)
+        regs = near.sketch(np.concatenate((a, b)), np.array([0, len(a)]), rule)
         assert (near.likely(regs[:1], np.array([len(a)]), regs[1:], np.array([len(b)]), rule)[0] >= 0) == passes
-    union = near.sketch([np.unique(np.concatenate((a, b)))], rule)
+    union = near.sketch(np.unique(np.concatenate((a, b))), np.array([0]), rule)
     assert (union[0] == np.maximum(*regs)).all()
 
 
