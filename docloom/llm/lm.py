@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_count, blocked, bucket_edges, in_order, pack_fixed, unpack_fixed
-from .core import MUL_A, MUL_C, U64, WordHasher, buffers, give_back, mix, pack_sorted, saved, source_bytes, steps, unpack_sorted, widened
+from .core import MUL_A, MUL_C, U64, WordHasher, buffers, distinct, give_back, mix, pack_sorted, ranked, saved, steps, unpack_sorted, widened
 from .substring import _table
 
 STEP = 1 << 18
@@ -41,7 +41,7 @@ class FilterModel:
     probes: int = 3  # bits of an event
     spacing: float = 1.15  # of the quantised counts
     pair_weight: float = 0.3
-    pair_bits: int = 40  # of a pair's hash while it is counted; 48 for corpora of over 2**32 bytes
+    pair_bits: int = 48  # of a pair's hash while it is counted
     tokens_each: int = 1_500_000  # words that a task counts before it sends
 
 
@@ -171,20 +171,23 @@ class Filter:
         return np.concatenate(([0.0], self.edges))[self.levels(values, kind)]
 
 
-def _distinct(parts: list[np.ndarray], own: np.ndarray) -> list[np.ndarray]:
-    """parts with own, merged where they are many."""
-    parts = [*parts, np.unique(own)]
-    return [np.unique(np.concatenate(parts))] if len(parts) == 32 else parts
+def _asked(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's words, the begin of texts first; its pairs; the words' bounds by texts; and which words begin a text."""
+    raw, offsets = buffers(table["_text"])
+    make, words, pairs, bounds, total = Tokens(), [np.array([BEGIN])], [np.zeros(0, U64)], [np.zeros(1, np.int64)], 0
+    for i, j in steps(offsets, STEP):
+        own, _, both, edges = make(raw, offsets[i : j + 1])
+        words.append(own)
+        pairs.append(both >> U64(64 - bits))
+        bounds.append(edges[1:] + total)
+        total += len(own)
+    bounds = np.concatenate(bounds)
+    return np.concatenate(words), np.concatenate(pairs), bounds, bounds[:-1]
 
 
 def _ask(bits: int, bucket_bits: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        raw, offsets = buffers(table["_text"])
-        make, words, pairs = Tokens(), [np.array([BEGIN])], []
-        for i, j in steps(offsets, STEP):
-            own, _, both, _ = make(raw, offsets[i : j + 1])
-            words, pairs = _distinct(words, own), _distinct(pairs, both >> U64(64 - bits))
-        words, pairs = np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
+        words, pairs = map(distinct, _asked(table, bits)[:2])
         w, p = bucket_edges(words, 64, bucket_bits), bucket_edges(pairs, bits, bucket_bits)
         give_back()
         rows = [(b, key[0].as_py(), pack_sorted(words[w[b] : w[b + 1]]), pack_sorted(pairs[p[b] : p[b + 1]])) for b in range(1 << bucket_bits) if w[b] < w[b + 1] or p[b] < p[b + 1]]
@@ -222,40 +225,31 @@ def _tell(model: FilterModel, bits: int):
     return run
 
 
-def _score(model: FilterModel, bits: int, tokens: int, distinct: int):
+def _score(model: FilterModel, bits: int, tokens: int, distinct_words: int):
     edges = np.concatenate(([0.0], levels(model.spacing)))
 
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         docs, found = in_order(docs), found.sort_by("bucket")
-        raw, offsets = buffers(docs["_text"])
-        make, parts, values, keys = Tokens(), [], [np.array([BEGIN])], []
-        for i, j in steps(offsets, 2 * STEP):
-            words, _, pairs, bounds = make(raw, offsets[i : j + 1])
-            pairs >>= U64(64 - bits)
-            parts.append((words, pairs, bounds))
-            values, keys = _distinct(values, words), _distinct(keys, pairs)
+        words, pairs, bounds, starts = _asked(docs, bits)
         # as the block has asked: the answers are in this order
-        values, keys = np.unique(np.concatenate(values)), np.unique(np.concatenate(keys))
+        values, at = ranked(words)
+        keys, pair_at = ranked(pairs)
         exact = np.concatenate([unpack_fixed(b) for b in found["exact"].to_pylist()]).astype(np.int64)
         held = edges[np.frombuffer(b"".join(found["held"].to_pylist()), np.uint16)]
-        seen = np.frombuffer(b"".join(found["seen"].to_pylist()), np.uint16)
+        seen = edges[np.frombuffer(b"".join(found["seen"].to_pylist()), np.uint16)]
         if not len(exact) == len(held) == len(values) or len(seen) != len(keys):
             raise ValueError("answers do not match what the block asked for")
-        begin, size, out = held[np.searchsorted(values, BEGIN)], tokens + distinct + 1, []
-        for words, pairs, bounds in parts:
-            starts = bounds[:-1]
-            at = np.searchsorted(values, words)
-            own, word = exact[at], held[at]
-            base = np.add.reduceat(np.log10((own + 1.0) / size), starts)
-            context = np.empty(len(word))
-            context[1:] = word[:-1]
-            context[starts] = begin
-            together = np.minimum(edges[seen[np.searchsorted(keys, pairs)]], np.minimum(word, context))
-            single = (word + 1) / size
-            p = np.where(context > 0, model.pair_weight * together / np.maximum(context, 1) + (1 - model.pair_weight) * single, single)
-            score = np.add.reduceat(np.log10(p), starts)
-            out.append((np.diff(bounds), np.add.reduceat((own > 0).astype(np.int64), starts), base, score))
-        n, n_known, base, score = (np.concatenate(x) for x in zip(*out))
+        begin, at, size = held[at[0]], at[1:], tokens + distinct_words + 1
+        base_of, single_of = np.log10((exact + 1.0) / size), (held + 1) / size
+        word = held[at]
+        context = np.empty(len(word))
+        context[1:] = word[:-1]
+        context[starts] = begin
+        together = np.minimum(seen[pair_at], np.minimum(word, context))
+        single = single_of[at]
+        p = np.where(context > 0, model.pair_weight * together / np.maximum(context, 1) + (1 - model.pair_weight) * single, single)
+        n, n_known = np.diff(bounds), np.add.reduceat((exact > 0)[at].astype(np.int64), starts)
+        base, score = np.add.reduceat(base_of[at], starts), np.add.reduceat(np.log10(p), starts)
         row = docs["_row"].combine_chunks() if isinstance(docs["_row"], pa.ChunkedArray) else docs["_row"]
         give_back()
         return pa.Table.from_arrays([row, pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score)], ["_row", "n_tokens", "n_known", "base_score", "score"])
@@ -273,8 +267,7 @@ def score(docs: DataFrame, training: DataFrame, *columns: str, model: FilterMode
     """
     count = block_count(docs)
     bucket_bits = min(14, max(2, math.ceil(math.log2(count))))
-    size = source_bytes(training)
-    bits = model.pair_bits if size < 1 << 32 else max(model.pair_bits, 48)
+    bits = model.pair_bits
     source = training.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
     sent = source.mapInArrow(_count_part(model, bits, bucket_bits), "bucket int, kind int, blob binary, counts binary")
     filled = saved(sent.groupBy("bucket").applyInArrow(_fill(model), "bucket int, blob binary, counts binary, bits binary, distinct long, tokens long"), "lm-counts")
