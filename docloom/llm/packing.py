@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .core import widened
 from .near import NearRule, components
 
 
@@ -160,21 +161,26 @@ def _pack_part(rule: Packing):
 def assign(docs: DataFrame, rule: Packing = Packing(), cluster: str | None = None, near: NearRule | None = None) -> DataFrame:
     """doc_id, source, piece, n_tokens, bin and offset of each piece of each document.
 
-    docs has doc_id, text and source; `cluster` names a column of duplicate-cluster ids, or `near`
+    docs has doc_id, text and source; `cluster` names a column of duplicate-cluster ids, or else `near`
     is the rule whose near-duplicate classes are the clusters. Without
     either, texts that are equal but for ASCII case and white space are a cluster. Bins are named
     shard-number. Texts without words, and nulls, have no piece. A null
     source or cluster conflicts with nothing; equal rows are placed one by one. Other columns
     do not matter, whatever their names.
     """
-    lowered = F.translate(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), ascii_uppercase, ascii_lowercase)
     order = F.xxhash64("doc_id", "source", "text")
-    source = docs.select("doc_id", "source", (F.col(cluster).cast("string") if cluster else F.xxhash64(lowered).cast("string")).alias("_cluster"), order.alias("_order"), F.col("text").cast("binary").alias("_text"))
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    sized = source.mapInArrow(_count_part(["doc_id", "source", "_cluster", "_order"]), f"doc_id {kinds['doc_id']}, source {kinds['source']}, _cluster string, _order long, _size long").where("_size > 0")
-    if near:  # by the hash of the whole row, as ids may repeat; the texts stay where they are
+    parts = [F.col("doc_id"), F.col("source"), order.alias("_order")]
+    if cluster:
+        parts.append(F.col(cluster).cast("string").alias("_cluster"))
+    elif not near:
+        lowered = F.translate(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), ascii_uppercase, ascii_lowercase)
+        parts.append(F.xxhash64(lowered).cast("string").alias("_cluster"))
+    own = docs.select(*parts)
+    source = docs.select(*parts, F.col("text").cast("binary").alias("_text"))
+    sized = source.mapInArrow(_count_part(own.columns), widened(own, own.columns, "_size long")).where("_size > 0")
+    if near and not cluster:  # by the hash of the whole row, as ids may repeat; the texts stay where they are
         classes = components(docs.select(order.alias("doc_id"), "text"), near).groupBy(F.col("id").alias("_order")).agg(F.min("component_id").cast("string").alias("_cluster"))
-        sized = sized.drop("_cluster").join(classes, "_order", "left")
+        sized = sized.join(classes, "_order", "left")
     shards = max(1, math.ceil(docs.count() / rule.shard_rows))
     dealt = sized.withColumn("_shard", F.pmod(F.xxhash64("_order", F.lit(7)), F.lit(shards))).withColumn("_source", F.col("source").cast("string"))
-    return dealt.groupBy("_shard").applyInArrow(_pack_part(rule), f"doc_id {kinds['doc_id']}, source {kinds['source']}, piece long, n_tokens long, bin string, offset long")
+    return dealt.groupBy("_shard").applyInArrow(_pack_part(rule), widened(own, ["doc_id", "source"], "piece long, n_tokens long, bin string, offset long"))
