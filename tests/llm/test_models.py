@@ -32,6 +32,39 @@ def test_base_scores(spark):
         assert r.score < 0
 
 
+def test_scores_by_brute_force(spark):
+    model = lm.FilterModel()
+    edges = lm.levels(model.spacing)
+    read = lambda c: float(edges[np.searchsorted(edges, c, side="right") - 1]) if c else 0.0
+    docs = corpus.frame(spark)
+    words, pairs, texts = Counter(), Counter(), 0
+    for r in corpus.rows():
+        if r[0] is not None and r[0] % 3:
+            own = tokens(r[1])
+            texts += 1
+            words.update(own)
+            pairs.update(zip([0, *own], own))
+    size = sum(words.values()) + len(words) + 1
+
+    def by_hand(text):
+        own, total = tokens(text), 0.0
+        for before, word in zip([0, *own], own):
+            context = read(words[before]) if before != 0 else read(texts)
+            together = min(read(pairs[before, word]), read(words[word]), context)
+            single = (read(words[word]) + 1) / size
+            total += math.log10(model.pair_weight * together / context + (1 - model.pair_weight) * single if context else single)
+        return total
+
+    # with a filter so wide that no false positive is to be expected, the scores are the formula's
+    training = docs.where("doc_id % 3 <> 0")
+    got = lm.score(docs, training, "text", model=lm.FilterModel(bits_each=1024)).collect()
+    assert len(got) == len(corpus.rows()) and all(math.isclose(r.score, by_hand(r.text), rel_tol=1e-9) for r in got)
+    # false positives of the production filter move them by little
+    got = lm.score(docs, training, "text", model=model).collect()
+    off = sum(abs(r.score - by_hand(r.text)) for r in got) / sum(r.n_tokens for r in got)
+    assert off < 0.01
+
+
 def test_scores_without_training(spark):
     docs = corpus.frame(spark)
     got = lm.score(docs, corpus.empty(spark), "doc_id").collect()
