@@ -28,11 +28,10 @@ totals as (select lang, sum(n) as words from words group by lang),
 large as (select * from totals where words >= 0.01::double * (select sum(words) from totals)),
 common as (select w.lang, w.item, w.n / l.words as share from words w join large l using (lang) where w.n >= 0.005::double * l.words),
 other as (select lang, greatest(0, 1 - sum(share)) as share from common group by lang),
-pooled as (select [sum(cls[1]), sum(cls[2]), sum(cls[3]), sum(cls[4]), sum(cls[5]), sum(cls[6]), sum(cls[7])] as c from base where not base_failed),
-classes as (select lang, [sum(cls[1]), sum(cls[2]), sum(cls[3]), sum(cls[4]), sum(cls[5]), sum(cls[6]), sum(cls[7])] as c from base join large using (lang) where not base_failed group by lang),
+classes as (select lang, [sum(cls[1]), sum(cls[2]), sum(cls[3]), sum(cls[4]), sum(cls[5]), sum(cls[6]), sum(cls[7])] as c from base where not base_failed group by lang),
 dc as (
-  select doc_id, list_transform(cls, lambda x: x / list_sum(cls)) as p, list_transform(coalesce(k.c, pooled.c), lambda x: x / list_sum(coalesce(k.c, pooled.c))) as q
-  from base cross join pooled left join classes k using (lang) where list_sum(cls) >= 200 and list_sum(coalesce(k.c, pooled.c)) > 0),
+  select doc_id, list_transform(cls, lambda x: x / list_sum(cls)) as p, list_transform(k.c, lambda x: x / list_sum(k.c)) as q
+  from base join classes k using (lang) where list_sum(cls) >= 200 and list_sum(k.c) > 0),
 cd as (
   select doc_id, sqrt(greatest(0, sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2)) as dist
   from (select doc_id, unnest(p) as p, unnest(q) as q from dc) group by doc_id),

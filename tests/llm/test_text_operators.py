@@ -5,6 +5,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 from docloom.llm import decontaminate, licenses, packing, quality, registry, tokens
@@ -49,7 +50,7 @@ def test_quality_divergence_rejects_foreign_characters(spark):
 
 
 @pytest.mark.parametrize("n_large", [400, 20])
-def test_quality_verdict_does_not_depend_on_the_languages_share(spark, n_large):
+def test_quality_verdict_does_not_depend_on_the_languages_share(spark, tmp_path, n_large):
     import random
 
     rng = random.Random(4)
@@ -58,8 +59,15 @@ def test_quality_verdict_does_not_depend_on_the_languages_share(spark, n_large):
     own = [(i, corpus.words(rng, 200, 300), "en", "s", 0, *"xyzn0q") for i in range(n_large)]
     own += [(1000 + i, " ".join(word() for _ in range(60)), "el", "s", 0, *"xyzn0q") for i in range(8)]
     own.append((2000, " ".join("#$%&" for _ in range(20)) + " " + " ".join(f"{i}!!!" for i in range(60)), "el", "s", 0, *"xyzn0q"))
-    kept = {r.doc_id for r in quality.keep(corpus.frame(spark, own=own)).collect()}
+    docs = corpus.frame(spark, own=own)
+    kept = {r.doc_id for r in quality.keep(docs).collect()}
     assert kept == set(range(n_large)) | set(range(1000, 1008))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.read_parquet(str(tmp_path / "documents.parquet/*.parquet")).create_view("documents")
+    answer = duck.execute(registry.oracle_sql()["op1_quality_rules"])
+    names = [c[0] for c in answer.description]
+    assert sorted(map(tuple, registry.queries()["op1_quality_rules"](spark, str(tmp_path)).select(*names).collect())) == sorted(answer.fetchall())
 
 
 def test_quality_keep_returns_the_columns(spark):
