@@ -69,6 +69,11 @@ def fence_regions(text: Column) -> Column:
     return F.transform(fenced_lines(lines), lambda r: F.array(begin(r["first"]), through(r["last"] + 1)))
 
 
+def in_region(regions: Column, at: Column) -> Column:
+    """Whether one of the regions (first offset, offset after the last) holds the place."""
+    return F.exists(regions, lambda r: (r[0] <= at) & (at < r[1]))
+
+
 def code_parts(line: Column) -> Column:
     """A line's parts in order, and whether each is inline code: a run of backticks, up to the next run of the same length."""
     runs = F.regexp_extract_all(line, F.lit("`+|[^`]+"), F.lit(0))

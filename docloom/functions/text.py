@@ -99,6 +99,27 @@ def english_list(items: Column) -> Column:
     return F.when(n == 0, "").when(n == 1, F.get(items, F.lit(0))).when(n == 2, F.array_join(items, " and ")).otherwise(F.concat(head, F.lit(", and "), F.element_at(items, -1)))
 
 
+def slug(name: Column) -> Column:
+    """Lower case, spaces as dashes, no full stops."""
+    return F.translate(F.lower(name), " .", "-")
+
+
+def possessive(name: Column) -> Column:
+    return F.concat(name, F.when(name.endswith("s"), "'").otherwise("'s"))
+
+
+def prefixed(question: Column, prefix: str) -> Column:
+    """The question as an encoder takes it."""
+    return F.concat(F.lit(prefix), question)
+
+
+def pairs(items: Column) -> Column:
+    """Each two of a short list, smaller one first (first, second)."""
+    rows = F.array_sort(F.array_distinct(items))
+    after = lambda i: F.slice(rows, i + 2, F.size(rows))
+    return F.flatten(F.transform(rows, lambda a, i: F.transform(after(i), lambda b: F.struct(a.alias("first"), b.alias("second")))))
+
+
 def value_text(value: Column) -> Column:
     """Booleans as yes and no."""
     return F.when(value.cast("string") == "true", "yes").when(value.cast("string") == "false", "no").otherwise(value.cast("string"))

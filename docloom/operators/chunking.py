@@ -47,7 +47,14 @@ def token_windows(words: list[str], count_tokens: Callable[[str], int], size: in
         return count_tokens(" ".join(words[a:b])) <= limit
 
     def last(low: int, high: int, good: Callable[[int], bool]) -> int:
-        """The last value from low to high that is good, good being true up to some value; low counts as good."""
+        """The last value from low to high that is good, good being true up to some value; low counts as good.
+
+        Steps double before they halve, so what is counted does not grow with the rest of a text.
+        """
+        step = 1
+        while low + step < high and good(low + step):
+            low, step = low + step, 2 * step
+        high = min(high, low + step)
         while low < high:
             middle = (low + high + 1) // 2
             low, high = (middle, high) if good(middle) else (low, middle - 1)
@@ -135,6 +142,42 @@ def pack_context(passages: DataFrame, budget: int = 2048) -> DataFrame:
     return kept.withColumn("text", F.array_join(F.slice("_words", F.lit(1), taken), " ")).withColumn("tokens", (F.col("_header") + taken).cast("long")).drop("_words", "_header", "_before", "_room")
 
 
+def pack_context_tokens(passages: DataFrame, encode: Callable[[str], list], decode: Callable[[list], str], budget: int = 2048) -> DataFrame:
+    """query_id, context, n_passages, tokens and clipped: passages (query_id, position, path, text) in order, as the tokenizer counts the whole context.
+
+    Each is "Source: path" between line ends, and its text. Packing ends where a header leaves no room, or after
+    a passage cut to the most ids that fit. Blank texts add nothing. A query's passages meet in one task, so
+    they should be a ranking's first ones.
+    """
+    if budget <= 0:
+        raise ValueError("the budget must be positive")
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        context, n, clipped = "", 0, False
+        for path, text in frame.sort_values("position")[["path", "text"]].itertuples(index=False):
+            text = text or ""
+            head = f"{context}\nSource: {path}\n"
+            if len(encode(head)) >= budget:
+                break
+            body = text
+            if len(encode(head + text)) > budget:
+                ids = encode(text)
+                low, high = 0, len(ids)
+                while low < high:
+                    middle = (low + high + 1) // 2
+                    low, high = (middle, high) if len(encode(head + decode(ids[:middle]))) <= budget else (low, middle - 1)
+                body = decode(ids[:low])
+            clipped = body != text
+            if body:
+                context, n = head + body, n + 1
+            if clipped:
+                break
+        return pd.DataFrame([(*key, context, n, len(encode(context)), clipped)], columns=["query_id", "context", "n_passages", "tokens", "clipped"])
+
+    kind = passages.schema["query_id"].dataType.simpleString()
+    return passages.select("query_id", "position", "path", "text").groupBy("query_id").applyInPandas(run, f"query_id {kind}, context string, n_passages long, tokens long, clipped boolean")
+
+
 def numbered_documentation(passages: DataFrame) -> DataFrame:
     """query_id and documentation: passages (position, path, text) as [i] path, line by line."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("position"))

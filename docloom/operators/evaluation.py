@@ -192,3 +192,17 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int = 8, seed:
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
     place = F.row_number().over(Window.partitionBy(stratum).orderBy(order, key))
     return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
+def shuffled(rows: DataFrame, kind: str, key: str, priority: Column, seed: int = SEED) -> DataFrame:
+    """rows and place: within each kind, rows with priority first, in the order of a seeded hash of kind and key."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(kind).cast("string"), F.col(key).cast("string")).cast("binary"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(kind).orderBy(F.coalesce(priority, F.lit(False)).desc(), order, key)).cast("long"))
+
+
+def efficiency(timings: DataFrame, sizes: DataFrame) -> DataFrame:
+    """arm, queries, p50_ms and p95_ms of timings (arm, seconds), and the other columns of sizes (arm, counts), 0 where an arm has none."""
+    ms = F.col("seconds") * 1000
+    measured = timings.groupBy("arm").agg(F.count("*").alias("queries"), F.round(F.percentile(ms, F.lit(0.5)), 3).alias("p50_ms"), F.round(F.percentile(ms, F.lit(0.95)), 3).alias("p95_ms"))
+    others = [c for c in sizes.columns if c != "arm"]
+    return measured.join(sizes, "arm", "left").select("arm", "queries", "p50_ms", "p95_ms", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in others])

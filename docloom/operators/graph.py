@@ -13,8 +13,8 @@ from .ranking import DOCS, ordered_union, top
 EDGE_WEIGHTS = {"child": 1.0, "curated": 1.0, "related": 0.8, "prose": 0.6, "sibling": 0.2}
 
 
-def weight(kind) -> F.Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for pair in EDGE_WEIGHTS.items() for x in pair)), kind)
+def weight(kind, weights: dict[str, float] = EDGE_WEIGHTS) -> F.Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), kind)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def children_by_parent(edges: DataFrame) -> DataFrame:
     return edges.where("kind = 'child'").groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_set("dst")).alias("children"))
 
 
-def expand_weighted(ranked: DataFrame, edges: DataFrame, factor: float = 0.25, seeds: int = 5, k: int = DOCS) -> DataFrame:
+def expand_weighted(ranked: DataFrame, edges: DataFrame, factor: float = 0.25, seeds: int = 5, k: int = DOCS, weights: dict[str, float] = EDGE_WEIGHTS) -> DataFrame:
     """Rankings (query_id, path, score, rank) after each of the first seeds has lent its neighbours a part of its score.
 
     Scores are shares of the best. A document gains the largest loan, not the sum; ties go to the
@@ -40,7 +40,7 @@ def expand_weighted(ranked: DataFrame, edges: DataFrame, factor: float = 0.25, s
     best = ranked.groupBy("query_id").agg(F.max("score").alias("_top"))
     base = ranked.join(best, "query_id").select("query_id", "path", "rank", F.when(F.col("_top") > 0, F.col("score") / F.col("_top")).otherwise(F.lit(0.0)).alias("s"))
     lent = base.where(F.col("rank") <= seeds).select("query_id", F.col("path").alias("src"), "s")
-    weighed = undirected(edges).groupBy("src", "dst").agg(F.max(weight(F.col("kind"))).alias("w"))
+    weighed = undirected(edges).groupBy("src", "dst").agg(F.max(weight(F.col("kind"), weights)).alias("w"))
     loans = lent.join(weighed, "src").groupBy("query_id", F.col("dst").alias("path")).agg(F.max(factor * F.col("w") * F.col("s")).alias("loan"))
     merged = base.join(loans, ["query_id", "path"], "full").select("query_id", "path", F.when(F.col("rank") <= seeds, F.col("rank")).otherwise(1 << 30).alias("_seed"), F.round(F.coalesce("s", F.lit(0.0)) + F.coalesce("loan", F.lit(0.0)), 9).alias("score"))
     return top(merged, k, F.col("score").desc(), F.col("_seed"), F.col("path")).drop("_seed")

@@ -76,3 +76,11 @@ def shared_shingles(left: DataFrame, right: DataFrame, length: int = 8) -> DataF
     """id pairs (left_id, right_id) of the same doc whose texts share a run of `length` characters, by an equi-join of shingles; shorter texts share if one holds the other."""
     grams = lambda df, c: df.where(F.length("text") >= length).select("doc", F.col("id").alias(c), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - length + 1), lambda i: F.substring("text", i, length)))).alias("gram"))
     return grams(left, "left_id").join(grams(right, "right_id"), ["doc", "gram"]).select("doc", "left_id", "right_id").distinct()
+
+
+def basename_conflicts(tree: DataFrame, others: DataFrame, root: str) -> DataFrame:
+    """basename, conflict and n: names that paths of the tree share ("twice"), and that paths outside its root have too ("outside")."""
+    named = lambda df: df.groupBy(F.substring_index("path", "/", -1).alias("basename")).agg(F.count("*").alias("n"))
+    own, outside = named(tree), named(others.where(~F.startswith("path", F.lit(root.rstrip("/") + "/"))))
+    twice = own.where("n > 1").select("basename", F.lit("twice").alias("conflict"), "n")
+    return twice.unionByName(outside.join(own.select("basename"), "basename").select("basename", F.lit("outside").alias("conflict"), "n"))

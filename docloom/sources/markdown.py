@@ -38,6 +38,18 @@ def split_front_matter(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["front", "body"])
 
 
+@F.pandas_udf(K.StringType())
+def front_matter_page(front: pd.Series, body: pd.Series) -> pd.Series:
+    """A page of front matter, given as a JSON object whose keys keep their order, and a body; null keys are left out."""
+    import yaml
+
+    def page(front: str | None, body: str | None) -> str:
+        fields = {k: v for k, v in json.loads(front or "{}").items() if v is not None}
+        return f"---\n{yaml.safe_dump(fields, sort_keys=False, allow_unicode=True)}---\n{body or ''}\n"
+
+    return pd.Series([page(*row) for row in zip(front, body)])
+
+
 def documents(files: DataFrame) -> DataFrame:
     """docs: path, doc_type, title, description, tags, status, ts, fm (a variant of the other keys), body, breadcrumb, depth, char_len."""
     parsed = files.select("path", split_front_matter(F.col("content").cast("string")).alias("x"))
@@ -101,8 +113,14 @@ def embed(chunks: DataFrame, encode, column: str = "text") -> DataFrame:
     return chunks.select("chunk_id", "doc_id", column).mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", vector array<float>")
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.option("header", True).csv(path)
+def write_csv(rows: DataFrame, path: str, comment: str | None = None) -> None:
+    """CSV with a header; with a comment, which is its first line, one file (a report)."""
+    if comment is None:
+        rows.write.option("header", True).csv(path)
+        return
+    header = rows.sparkSession.createDataFrame([(0, comment), (1, ",".join(rows.columns))], "n int, value string")
+    lines = rows.select(F.lit(2).alias("n"), F.to_csv(F.struct(*rows.columns)).alias("value"))
+    header.unionByName(lines).repartition(1).sortWithinPartitions("n", "value").select("value").write.text(path)
 
 
 def fields(docs: DataFrame) -> DataFrame:
