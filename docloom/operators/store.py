@@ -84,3 +84,17 @@ def basename_conflicts(tree: DataFrame, others: DataFrame, root: str) -> DataFra
     own, outside = named(tree), named(others.where(~F.startswith("path", F.lit(root.rstrip("/") + "/"))))
     twice = own.where("n > 1").select("basename", F.lit("twice").alias("conflict"), "n")
     return twice.unionByName(outside.join(own.select("basename"), "basename").select("basename", F.lit("outside").alias("conflict"), "n"))
+
+
+def parent_leaks(docs: DataFrame, parent_field: dict[str, str], names: DataFrame, mark: str = "Part of [its parent page](") -> DataFrame:
+    """path and leak ("field", "tag", "parent", "link"): documents (path, doc_type, tags, fm, body) of types that must not say their parent, but do.
+
+    parent_field names the field of each such type; names (doc_type, name) has what its tags may not hold.
+    """
+    field = F.try_element_at(F.create_map(*(F.lit(x) for pair in parent_field.items() for x in pair)), "doc_type")
+    rows = docs.withColumn("_field", field).where("_field is not null").withColumn("_fm", F.from_json("fm", "map<string, string>"))
+    held = lambda key: F.coalesce(F.map_contains_key("_fm", key), F.lit(False))
+    found = F.array(F.when(held(F.col("_field")), "field"), F.when(held(F.lit("parent")), "parent"), F.when(F.contains("body", F.lit(mark)), "link"))
+    own = rows.select("path", F.explode(F.array_compact(found)).alias("leak"))
+    tags = rows.select("path", "doc_type", F.explode("tags").alias("name")).join(names.select("doc_type", "name").distinct(), ["doc_type", "name"])
+    return own.unionByName(tags.select("path", F.lit("tag").alias("leak")).distinct())

@@ -281,3 +281,20 @@ b as (select *, 512 - 2 - coalesce(sum(2 + len(ws)) over (partition by query_id
 k as (select *, least(len(ws), room)::bigint as taken from b where room > 0)
 select query_id, count(*) as n_passages, sum(2 + taken)::bigint as tokens, bool_or(taken < len(ws)) as clipped,
   md5(string_agg(chr(10) || 'Source: ' || path || chr(10) || case when taken < len(ws) then array_to_string(ws[1 : taken], ' ') else text end, '' order by position)) as context_md5 from k group by query_id"""
+
+
+@query
+def parent_leaks(spark, sf_dir):
+    """Suppliers' pages that must not say their region, by how some still do."""
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    placed = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    kind = F.pmod(F.col("s_suppkey"), F.lit(7))
+    docs = placed.select(
+        F.col("s_suppkey").cast("string").alias("path"), F.when(kind == 6, "region").otherwise("supplier").alias("doc_type"), F.when(kind.isin(1, 6), F.array("s_name", "r_name")).when(kind != 0, F.array("n_name")).alias("tags"),
+        F.to_json(F.struct("s_acctbal", F.when(kind.isin(2, 3, 6), F.col("r_name")).alias("region"), F.when(kind == 3, F.lit("x.md")).alias("parent"))).alias("fm"),
+        F.concat("s_name", F.when(kind == 4, F.lit(". Part of [its parent page](/x.md).")).otherwise("")).alias("body"),
+    )
+    return store.parent_leaks(docs, {"supplier": "region"}, r.select(F.lit("supplier").alias("doc_type"), F.col("r_name").alias("name")))
+
+
+SQL["parent_leaks"] = "select s_suppkey::varchar as path, unnest(case s_suppkey % 7 when 1 then ['tag'] when 2 then ['field'] when 3 then ['field', 'parent'] when 4 then ['link'] else [] end) as leak from supplier"

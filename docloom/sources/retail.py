@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import slug
+
 SCHEMAS = {
     "region": "region_id string, name string, manager string",
     "store": "store_id string, region_id string, name string, city string, state string, format string, opened_year int, sq_ft int, has_pharmacy boolean, has_fuel boolean, status string",
@@ -46,10 +48,6 @@ def pick(values, share: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), F.floor(share * len(values)).cast("int"))
 
 
-def slug(name: Column) -> Column:
-    return F.lower(F.translate(name, " ", "-"))
-
-
 def generate(spark: SparkSession, seed: int = 7, regions: int = 8, stores: int = 12, suppliers: int = 25, categories: int = 60, promotions: int = 20, policies: int = 10, archives: int = 16) -> dict[str, DataFrame]:
     """The twelve tables; regions and stores per region, and the other counts, as asked."""
     n = F.col("id")
@@ -107,8 +105,11 @@ def violations(t: dict[str, DataFrame]) -> DataFrame:
     return found
 
 
-def render(t: dict[str, DataFrame]) -> DataFrame:
-    """path and content of a markdown page for each entity, with front matter, a parent and links."""
+def render(t: dict[str, DataFrame], parents: bool = True) -> DataFrame:
+    """path and content of a markdown page for each entity, with front matter, a parent and links.
+
+    Without parents, stores do not say their region and categories their department: no field, no parent, no link.
+    """
 
     def page(df: DataFrame, path: Column, kind: str, title: Column, parent: Column | None, fields: dict[str, Column], body: Column, status: Column | None = None) -> DataFrame:
         head = [F.lit(f"---\ntype: {kind}\ntitle: '"), title, F.lit("'\n"), F.lit("status: "), status if status is not None else F.lit("current"), F.lit("\n")]
@@ -119,6 +120,7 @@ def render(t: dict[str, DataFrame]) -> DataFrame:
         up = [F.lit("\nPart of [its parent page](/"), parent, F.lit(").\n")] if parent is not None else []
         return df.select(path.alias("path"), F.concat(*head, F.lit("---\n# "), title, F.lit("\n"), body, *up).cast("binary").alias("content"))
 
+    told = lambda value, other=None: value if parents else other
     quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
     region = F.concat(F.lit("regions/region-"), slug(F.col("region")), F.lit(".md"))
     dept = F.concat(F.lit("departments/department-"), F.col("dept_slug"), F.lit(".md"))
@@ -130,9 +132,9 @@ def render(t: dict[str, DataFrame]) -> DataFrame:
     home = page(spark.range(1), F.lit("home.md"), "home", F.lit("Home"), None, {}, F.lit("The company wiki.\n"))
     parts = [
         page(t["region"].withColumn("region", F.col("name")), region, "region", F.col("name"), F.lit("home.md"), {"manager": F.col("manager")}, F.concat(F.lit("Led by "), "manager", F.lit(".\n"))),
-        page(stores, F.concat(F.lit("stores/store-"), slug(F.col("store_id")), F.lit(".md")), "store", F.col("name"), region, {"store_id": F.col("store_id"), "region": quoted(F.col("region")), "store_format": F.col("format"), "opened_year": F.col("opened_year").cast("string"), "sq_ft": F.col("sq_ft").cast("string"), "has_pharmacy": F.col("has_pharmacy").cast("string"), "has_fuel": F.col("has_fuel").cast("string"), "store_status": F.col("status")}, F.concat(F.lit("A "), "format", F.lit(" of "), F.format_number("sq_ft", 0), F.lit(" square feet, opened in "), F.col("opened_year").cast("string"), F.lit(".\n"))),
+        page(stores, F.concat(F.lit("stores/store-"), slug(F.col("store_id")), F.lit(".md")), "store", F.col("name"), told(region), {"store_id": F.col("store_id"), **told({"region": quoted(F.col("region"))}, {}), "store_format": F.col("format"), "opened_year": F.col("opened_year").cast("string"), "sq_ft": F.col("sq_ft").cast("string"), "has_pharmacy": F.col("has_pharmacy").cast("string"), "has_fuel": F.col("has_fuel").cast("string"), "store_status": F.col("status")}, F.concat(F.lit("A "), "format", F.lit(" of "), F.format_number("sq_ft", 0), F.lit(" square feet, opened in "), F.col("opened_year").cast("string"), F.lit(".\n"))),
         page(t["department"].withColumn("dept_slug", F.col("slug")), dept, "department", F.col("name"), F.lit("home.md"), {"dept_group": F.col("dept_group")}, F.concat(F.lit("In the "), "dept_group", F.lit(" group.\n"))),
-        page(t["category"].join(depts, "dept_id").join(t["supplier"].select("supplier_id", F.col("name").alias("supplier"), F.col("slug").alias("sup")), "supplier_id"), F.concat(F.lit("categories/category-"), F.col("slug"), F.lit(".md")), "category", F.col("name"), dept, {"department": F.col("department"), "supplier": quoted(F.col("supplier"))}, F.concat(F.lit("Supplied by ["), "supplier", F.lit("](/suppliers/supplier-"), "sup", F.lit(".md).\n"))),
+        page(t["category"].join(depts, "dept_id").join(t["supplier"].select("supplier_id", F.col("name").alias("supplier"), F.col("slug").alias("sup")), "supplier_id"), F.concat(F.lit("categories/category-"), F.col("slug"), F.lit(".md")), "category", F.col("name"), told(dept), {**told({"department": F.col("department")}, {}), "supplier": quoted(F.col("supplier"))}, F.concat(F.lit("Supplied by ["), "supplier", F.lit("](/suppliers/supplier-"), "sup", F.lit(".md).\n"))),
         page(t["supplier"], F.concat(F.lit("suppliers/supplier-"), F.col("slug"), F.lit(".md")), "supplier", F.col("name"), F.lit("home.md"), {"country": quoted(F.col("country"))}, F.concat(F.lit("Based in "), "country", F.lit(".\n"))),
         page(t["promotion"].join(depts, "dept_id").join(sold, "promo_id"), F.concat(F.lit("promotions/promotion-"), F.col("slug"), F.lit(".md")), "promotion", F.col("name"), dept, {"department": F.col("department"), "formats": F.concat(F.lit("["), F.array_join("formats", ", "), F.lit("]")), "start": quoted(F.col("start")), "end": quoted(F.col("end")), "discount_pct": F.col("discount_pct").cast("string")}, F.concat(F.col("discount_pct").cast("string"), F.lit(" percent off from "), "start", F.lit(" to "), "end", F.lit(".\n"))),
         page(t["policy"].join(facts, "policy_id"), F.concat(F.lit("policies/policy-"), F.col("slug"), F.lit(".md")), "policy", F.col("name"), F.lit("home.md"), {"applies_to": F.col("applies_to")}, F.concat(F.col("told"), F.lit("\n"))),

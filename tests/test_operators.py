@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import markup, questions
 from docloom.functions import text as T
-from docloom.operators import chunking, evaluation, gold, graph, metadata, ranking, store
+from docloom.operators import bundle, chunking, evaluation, gold, graph, metadata, ranking, store
 from docloom.sources import markdown
 
 
@@ -72,6 +72,24 @@ def test_flat_chunks_cover_by_the_rule(spark):
             assert native == chunking.token_windows(words, lambda t: len(t.split()), size, overlap)
 
 
+def test_token_windows_are_the_longest_runs_that_fit():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        words = ["x" * int(k) for k in rng.integers(1, 9, rng.integers(1, 40))]
+        cost, size, overlap = lambda t: len(t), 20, 7
+        want, start, covered = [], 0, 0
+        while start < len(words):
+            end = max([e for e in range(start + 1, len(words) + 1) if cost(" ".join(words[start:e])) <= size], default=start + 1)
+            if end > covered:
+                want.append(" ".join(words[start:end]))
+                covered = end
+            if end == len(words):
+                break
+            back = max([n for n in range(1, end - start) if cost(" ".join(words[end - n : end])) <= overlap], default=0)
+            start = max(end - back, start + 1)
+        assert chunking.token_windows(words, cost, size, overlap) == want
+
+
 def test_evidence_takes_first_sections_first(spark):
     sections = spark.createDataFrame([("a", 0), ("a", 5), ("b", 1), ("b", 2), ("b", 9)], "doc string, ord int")
     ranked = spark.createDataFrame([("q", "b", 1), ("q", "a", 2)], "query_id string, doc string, rank int")
@@ -84,6 +102,31 @@ def test_packing_cuts_the_last_passage(spark):
     assert [(r.text, r.tokens) for r in got] == [("a b c", 5), ("d e f", 5)]
 
 
+def test_packing_by_a_tokenizer_counts_the_whole_context(spark):
+    rows = spark.createDataFrame([("q", 1, "p", "abc"), ("q", 2, "p", None), ("q", 3, "p", "defgh"), ("q", 4, "p", "i"), ("r", 1, "p", "abc")], "query_id string, position int, path string, text string")
+    got = {r.query_id: r for r in chunking.pack_context_tokens(rows, list, "".join, 28).collect()}
+    assert got["q"].context == "\nSource: p\nabc\nSource: p\ndef" and got["q"].tokens == 28 and got["q"].clipped and got["q"].n_passages == 2
+    assert got["r"].context == "\nSource: p\nabc" and not got["r"].clipped
+    assert chunking.pack_context_tokens(rows, list, "".join, 5).first().context == ""
+    with pytest.raises(ValueError):
+        chunking.pack_context_tokens(rows, list, "".join, 0)
+
+
+def test_bundles_are_checked(spark):
+    docs = spark.createDataFrame([("a.md",), ("b.md",)], "path string")
+    chunks = spark.createDataFrame([(1, "a.md", "struct", 0, "x"), (2, "a.md", "flat", 0, "x"), (3, "gone.md", "struct", 0, "x")], "chunk_id int, path string, policy string, ord int, text string")
+    edges = spark.createDataFrame([("a.md", "b.md", "prose", "authored"), ("a.md", "gone.md", "prose", "authored"), ("b.md", "a.md", "prose", "extracted")], "src string, dst string, kind string, provenance string")
+    vectors = lambda *rows: spark.createDataFrame(list(rows), "chunk_id int, path string, vector array<float>")
+    loaded = bundle.load(docs, chunks, edges, vectors((1, "a.md", [1.0])))
+    assert [tuple(r) for r in loaded["edges"].collect()] == [("a.md", "b.md", "prose")]
+    assert {(r.chunk_id, r.vector is None) for r in loaded["chunks"].collect()} == {(1, False), (2, True)}
+    for bad in (vectors((1, "a.md", None)), vectors((1, "b.md", [1.0])), vectors((1, "a.md", [1.0]), (9, "a.md", [1.0]))):
+        with pytest.raises(ValueError, match="embed the bundle again"):
+            bundle.load(docs, chunks, edges, bad)
+    with pytest.raises(ValueError, match="no documents"):
+        bundle.load(docs.limit(0), chunks, edges, vectors((1, "a.md", [1.0])))
+
+
 def test_expansion_does_not_sum_boosts(spark):
     ranked = spark.createDataFrame([("q", p, s, i) for i, (p, s) in enumerate([("a", 10.0), ("b", 9.5), ("c", 9.0), ("x", 8.0)], 1)], "query_id string, path string, score double, rank int")
     edges = spark.createDataFrame([("hub", p, "child") for p in "abc"], "src string, dst string, kind string")
@@ -260,6 +303,8 @@ def test_exchange_files(spark, tmp_path):
     assert [r.chunk_id for r in back.collect()] == [1, 2]
     vectors = markdown.embed(back, lambda texts: [[float(len(t)), 1.0] for t in texts])
     assert vectors.schema["vector"].dataType.simpleString() == "array<float>" and vectors.count() == 2
+    markdown.write_csv(back.drop("doc_id"), str(tmp_path / "report"), "# made by a test")
+    assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["# made by a test", "chunk_id,text", "1,a", "2,b"]
     markdown.write_jsonl(back, str(tmp_path / "rows"))
     assert markdown.read_jsonl(spark, str(tmp_path / "rows"), "chunk_id int, text string").count() == 2
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions.questions import CATEGORICAL_FIELDS, parse_filters, target_type
-from docloom.operators import arms, evaluation, metadata
+from docloom.operators import arms, evaluation, metadata, store
 from docloom.sources import markdown, retail
 
 
@@ -30,6 +30,14 @@ def test_facts_follow_the_seed(spark, shop):
     assert sorted(retail.generate(spark, seed=8, regions=4, stores=6)["store"].collect()) != sorted(again)
 
 
+def test_pages_without_parents_say_none(spark, shop):
+    names = shop["region"].select(F.lit("store").alias("doc_type"), "name").unionByName(shop["department"].select(F.lit("category").alias("doc_type"), "name"))
+    told = lambda parents: store.parent_leaks(markdown.documents(retail.render(shop, parents)), {"store": "region", "category": "department"}, names)
+    assert told(False).count() == 0 and told(True).where("leak = 'link'").count() == 24 + 20
+    docs = markdown.documents(retail.render(shop, False))
+    assert docs.count() == retail.render(shop).count() and markdown.links(docs)[1].count() == 0
+
+
 def test_pages_questions_and_arms(spark, shop, tmp_path):
     docs = markdown.documents(retail.render(shop)).cache()
     edges, unresolved = markdown.links(docs)
