@@ -30,6 +30,7 @@ class LicenseScan:
     miss: float = 1e-4  # largest probability that the bands miss a passage at the threshold
     classes: tuple[int, ...] = (8, 16, 32)
     step_words: int = 500_000
+    template_bytes: int = 16 << 20  # templates are broadcast: more than this in all is an error
 
 
 #: Notices, as their licences word them (fixed values).
@@ -52,6 +53,23 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+_BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: Whole licences and further notices, as their owners word them (fixed values).
+TEMPLATES += (
+    ("BSD-2-Clause", f"{_BSD_OPENING} {_BSD_WARRANTY}"),
+    ("BSD-3-Clause", f"{_BSD_OPENING} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_WARRANTY}"),
+    ("ISC", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+)
+
 
 def bands_for(low: float, miss: float) -> int:
     """Bands of one row that miss a pair of similarity `low` with probability `miss` at most."""
@@ -199,13 +217,25 @@ def _scan_part(shared, names: list[str]):
     return run
 
 
+def _bounded(templates, rule: LicenseScan) -> tuple:
+    """The templates as (name, text), once each, after a check of their size."""
+    if isinstance(templates, DataFrame):
+        rows = templates.select("name", "text").where("name is not null and text is not null").distinct()
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    else:
+        rows, size = None, sum(len(text.encode()) for _, text in templates)
+    if size > rule.template_bytes:
+        raise ValueError(f"templates of {size} bytes; {rule.template_bytes} may be broadcast")
+    return tuple(templates) if rows is None else tuple(sorted((r["name"], r["text"]) for r in rows.collect()))
+
+
 def scan(docs: DataFrame, *columns: str, templates=TEMPLATES, rule: LicenseScan = LicenseScan()) -> DataFrame:
     """The named columns, license, containment (the best) and first_word, for each document and licence found in it.
 
-    `templates` is a list of (name, text) in the program, so its size is the caller's; it is
-    broadcast. Null and empty texts have no licence; a text of any length is scanned whole; equal
+    `templates` is a list of (name, text), or a table of them (name, text) such as a collection of whole
+    licences; it is broadcast, and more than `template_bytes` of texts, or one under five words, is an error. Null and empty texts have no licence; a text of any length is scanned whole; equal
     rows are reported alike; other columns do not matter, whatever their names.
     """
     source = docs.select(*columns, F.col("text").cast("binary").alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast((tuple(templates), rule))
+    shared = docs.sparkSession.sparkContext.broadcast((_bounded(templates, rule), rule))
     return source.mapInArrow(_scan_part(shared, list(columns)), widened(source, list(columns), "license string, containment double, first_word long"))

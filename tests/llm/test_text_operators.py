@@ -214,6 +214,20 @@ def test_licences(spark):
     assert licenses.scan(corpus.empty(spark), "doc_id").count() == 0
 
 
+def test_licence_templates_from_a_table(spark):
+    import random
+
+    rng = random.Random(12)
+    full = " ".join(f"term{rng.randrange(400)}" for _ in range(1500))
+    table = spark.createDataFrame([("Long", full), ("Long", full), ("Short", "one two three four five six"), ("Null", None)], "name string, text string")
+    cut = full.split()
+    own = [(1, f"before {full} after", "en", None, 0, *"xyzn0q"), (2, " ".join(cut[:1300]), "en", None, 0, *"xyzn0q"), (3, " ".join(cut[:900]), "en", None, 0, *"xyzn0q"), (4, "one two three four five six", "en", None, 0, *"xyzn0q")]
+    got = {(r.doc_id, r.license): r.first_word for r in licenses.scan(corpus.frame(spark, own=own), "doc_id", templates=table).collect()}
+    assert got == {(1, "Long"): 1, (2, "Long"): 0, (4, "Short"): 0}
+    with pytest.raises(ValueError, match="may be broadcast"):
+        licenses.scan(corpus.frame(spark, own=own), "doc_id", templates=table, rule=licenses.LicenseScan(template_bytes=1000))
+
+
 def test_licence_containment_by_brute_force(spark):
     import random
 
