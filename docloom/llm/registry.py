@@ -90,12 +90,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(_table(spark, sf_dir, "documents"), "doc_id", vocabulary=load_vocabulary(VOCABULARY))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(_table(spark, sf_dir, "documents"), "doc_id")
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(_table(spark, sf_dir, "pages"), "page_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.QUALITY, "op4_decontamination": sql.DECONTAMINATION, "op3_suffix_array_dedup": sql.SUFFIXES, "op5_substring_dedup": sql.SUBSTRING, "op8_warc": sql.WARC, "op9_near_duplicates": sql.NEAR}
+    return {"op1_quality_rules": sql.QUALITY, "op4_decontamination": sql.DECONTAMINATION, "op3_suffix_array_dedup": sql.SUFFIXES, "op5_substring_dedup": sql.SUBSTRING, "op8_warc": sql.WARC, "op9_near_duplicates": sql.NEAR, "op11_filter_audit": sql.AUDIT, "op13_url_filters": sql.URLS}
 
 
 __all__ = ["queries", "oracle_sql"]

@@ -112,3 +112,80 @@ t as (select doc_id as a, doc_id as b from d union select t.a, e.b from t join e
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id, d.doc_id = m.component_id as kept
 from d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from t group by a) m using (doc_id)
 """
+
+AUDIT = rf"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+l as (select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from labels group by doc_id),
+w as (select *, regexp_extract_all(text, {_WORDS}) as ws, min(doc_id) over (partition by text) as first_id from d),
+f as (
+  select part, coalesce(l.good, false) as good, coalesce(l.toxic, false) as toxic,
+    {{'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws), 'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text),
+      'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(w.doc_id > first_id, false)}} as x
+  from w left join l on l.doc_id = w.doc_id),
+m as (
+  select part, x.A as fa, x.B as fb, x.C as fc, x.D as fd, x.E as fe, count(*) as n, count(*) filter (where good) as n_good, count(*) filter (where toxic) as n_toxic
+  from f group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as c),
+perms as (
+  select a.c || b.c || c.c || d.c || e.c as filter_order from letters a, letters b, letters c, letters d, letters e
+  where length(regexp_replace(a.c || b.c || c.c || d.c || e.c, 'A', '')) = 4 and length(regexp_replace(a.c || b.c || c.c || d.c || e.c, 'B', '')) = 4
+    and length(regexp_replace(a.c || b.c || c.c || d.c || e.c, 'C', '')) = 4 and length(regexp_replace(a.c || b.c || c.c || d.c || e.c, 'D', '')) = 4
+    and length(regexp_replace(a.c || b.c || c.c || d.c || e.c, 'E', '')) = 4),
+steps as (select filter_order, s::integer as step, substr(filter_order, s::integer, 1) as c, substr(filter_order, 1, s::integer - 1) as before from perms, range(1, 6) as r(s)),
+failing as (select *, case when fa then 'A' else '' end || case when fb then 'B' else '' end || case when fc then 'C' else '' end || case when fd then 'D' else '' end || case when fe then 'E' else '' end as fails from m),
+e as (
+  select part, filter_order, step, n, n_good, n_toxic, contains(fails, c) as here, length(fails) as n_fails,
+    (fa and contains(before, 'A')) or (fb and contains(before, 'B')) or (fc and contains(before, 'C')) or (fd and contains(before, 'D')) or (fe and contains(before, 'E')) as earlier
+  from failing, steps)
+select part, filter_order, step, coalesce(sum(n) filter (where not here and not earlier), 0)::bigint as kept, coalesce(sum(n) filter (where here and not earlier), 0)::bigint as removed,
+  coalesce(sum(n) filter (where here and earlier), 0)::bigint as redundant, coalesce(sum(n) filter (where here and n_fails = 1), 0)::bigint as unique_fails,
+  coalesce(sum(n_good) filter (where here and not earlier), 0)::bigint as good_lost, coalesce(sum(n_toxic) filter (where here and not earlier), 0)::bigint as toxic_lost,
+  coalesce(sum(n * 120 // greatest(n_fails, 1)) filter (where here), 0)::bigint as shapley
+from e group by part, filter_order, step
+"""
+
+_DEPTH = 4
+
+
+def _url_level(k: int) -> str:
+    """The tree's level k of op13, of the table tree{k - 1}."""
+    outcomes = [(f"{label}_{at}", n, f"len(segs) {op} {k}") for label, n in (("bad", "bad"), ("good", "good"), ("open", "n - bad - good")) for at, op in (("end", "="), ("on", ">"))]
+    counts = ", ".join(f"sum(case when {where} then {n} else 0 end)::double as {name}" for name, n, where in outcomes)
+    chi = " + ".join(f"(case when p.{c} > 0 then (n.{c} - n.n * p.{c} / p.n) * (n.{c} - n.n * p.{c} / p.n) / (n.n * p.{c} / p.n) else 0::double end)" for c, _, _ in outcomes)
+    return f"""
+node{k} as (select host, made, segs[{k}] as seg, sum(n)::double as n, {counts} from tree{k - 1} where len(segs) >= {k} group by all),
+parent{k} as (select host, made, count(*) as kids, sum(n) as n, sum((n = 1)::bigint) as single, {", ".join(f"sum({c}) as {c}" for c, _, _ in outcomes)} from node{k} group by all),
+name{k} as (
+  select n.host, n.made, n.seg, case when n.seg in ('*', '**') or not ((kids >= 12 and 2 * single > kids) or (kids > 1 and {chi} <= 7.815::double)) then n.seg else '*' end as name
+  from node{k} n join parent{k} p on n.host = p.host and n.made = p.made),
+tree{k} as (
+  select host, segs, n, bad, good, made from tree{k - 1} where len(segs) < {k}
+  union all
+  select t.host, t.segs, t.n, t.bad, t.good, t.made || '/' || m.name from tree{k - 1} t join name{k} m on m.host = t.host and m.made = t.made and m.seg = t.segs[{k}] where len(t.segs) >= {k}),"""
+
+
+URLS = rf"""
+with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages),
+p as (
+  select page_id, {_LOWER.format("coalesce(regexp_extract(rest, '^[^/?#]*'), '')")} as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u),
+r as (
+  select *, case when ('.' || host) like '%.example.com' and starts_with(path, '/de/') then 'example.com/de/' when ('.' || host) like '%.example.net' and starts_with(path, '/en/') then 'example.net/en/'
+    when ('.' || host) like '%.org' and starts_with(path, '/fr/') then 'org/fr/' when ('.' || host) like '%.net' and starts_with(path, '/') then 'net/' end as rule
+  from p),
+s as (select *, list_filter(string_split(path, '/'), lambda x: x <> '') as parts from r),
+g as (
+  select *, list_concat(list_transform(parts[1:{_DEPTH}], lambda x: case when regexp_matches(x, '[0-9]') or length(x) > 40 then '*' else x end), case when len(parts) > {_DEPTH} then ['**'] else [] end) as segs
+  from s),
+tree0 as (select host, segs, count(*) as n, count(*) filter (where rule in ('net/', 'example.com/de/')) as bad, count(*) filter (where rule in ('example.net/en/', 'org/fr/')) as good, '' as made from g group by host, segs),
+{"".join(_url_level(k) for k in range(1, _DEPTH + 2))}
+whole as (select sum(bad)::double as bad, sum(bad + good)::double as n from tree0),
+hosts as (select host, sum(bad)::double as bad, sum(bad + good)::double as n from tree0 group by host),
+sums as (select host, made, sum(bad)::bigint as n_bad, sum(good)::bigint as n_good from tree{_DEPTH + 1} group by host, made),
+told as (
+  select s.host, s.made, n_bad, n_good,
+    (n_bad + 4.0::double * ((h.bad + 4.0::double * (case when w.n > 0 then w.bad / w.n else 0::double end)) / (h.n + 4.0::double))) / (n_bad + n_good + 4.0::double) >= 0.8::double as rejected
+  from sums s join hosts h on h.host = s.host, whole w)
+select page_id, g.host, path, rule, case when rule in ('net/', 'example.com/de/') or (rule is null and rejected) then 'block' else 'allow' end as verdict,
+  case when t.made = '' then '/' else t.made end as template, n_bad, n_good
+from g join tree{_DEPTH + 1} t on t.host = g.host and t.segs = g.segs join told on told.host = t.host and told.made = t.made
+"""

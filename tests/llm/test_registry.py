@@ -8,7 +8,7 @@ import pytest
 from docloom.llm import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("documents", "benchmark", "pages")
+TABLES = ("documents", "benchmark", "pages", "labels")
 
 
 @pytest.fixture(scope="module")
@@ -35,4 +35,4 @@ def test_query_equals_its_sql(spark, duck, key):
 
 
 def test_every_query_is_registered_under_its_number():
-    assert sorted(int(name[2:].split("_")[0]) for name in registry.queries()) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in registry.queries()) == list(range(1, 14))
