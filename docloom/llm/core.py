@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -148,15 +149,34 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: Words of more bytes are hashed by a digest.
+LONG_WORD = 256
+_KEPT = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], U64)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, which are not empty: mixed after every eight bytes, so that no structure of the bytes carries over as in a polynomial; long spans by BLAKE2."""
+    sizes = stops - starts
+    out = mix((sizes.astype(U64) + MUL_C) * MUL_A)
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    left = np.flatnonzero(sizes <= LONG_WORD)
+    at, rest = starts[left], sizes[left]
+    while len(left):
+        part = eights[at] & _KEPT[np.minimum(rest, 8)]
+        out[left] = mix((out[left] ^ mix(part * MUL_A)) + MUL_B)
+        more = np.flatnonzero(rest > 8)
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : stops[i]], digest_size=8).digest(), "little")
+    return out
+
+
 class WordHasher:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of many texts at once."""
 
     def __init__(self, lower: bool = False) -> None:
-        self.bytes_hash, self.lower = PrefixHash(), lower
-        table = np.arange(1, 257, dtype=np.uint16)
-        if lower:
-            table = (np.frombuffer(LOWER, np.uint8).astype(np.uint16)) + 1
-        self.table = table
+        self.lower = np.frombuffer(LOWER, np.uint8) if lower else None
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hash, start byte, end byte) of each word, and the n + 1 word offsets of the texts."""
@@ -176,8 +196,7 @@ class WordHasher:
         back = cuts[cuts > 0] - 1
         ends[back] = inside[back]
         starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        sums = self.bytes_hash.sums(self.table[part].astype(U64))
-        hashes = mix(self.bytes_hash.spans(sums, starts, stops) + (stops - starts).astype(U64) * MUL_A)
+        hashes = span_hashes(part if self.lower is None else self.lower[part], starts, stops)
         return hashes, starts + base, stops + base, np.searchsorted(starts, offsets - base)
 
 
