@@ -362,3 +362,40 @@ def test_fingerprints_and_chunk_replacement(spark):
     stored = spark.createDataFrame([(1, "flat", 0, "a"), (1, "struct", 0, "b"), (2, "flat", 0, "c")], "doc_id int, policy string, ord int, text string")
     new = spark.createDataFrame([("x", 0, 1, "flat"), ("y", 1, 1, "flat")], "text string, ord int, doc_id int, policy string")
     assert {tuple(r) for r in store.replace_chunks(stored, new).collect()} == {(1, "flat", 0, "x"), (1, "flat", 1, "y"), (1, "struct", 0, "b"), (2, "flat", 0, "c")}
+
+
+def _page(n: int) -> str:
+    """A page of n lines, each with a link, tags, a run of inline code and now and then a fence, and openings that nothing closes."""
+    lines = [f"see [item {i}](p{i}.md \"t\") and <b class='x'>bold</b> <script> ![pic](p.png) `code <i>{i}</i>` <a\nhref='x'>y</a> [text]" for i in range(n)]
+    return "\n".join(lines[: n // 2] + ["```", "<b>[in](code.md)</b>", "```"] * (n // 20) + lines[n // 2 :])
+
+
+def test_markup_functions_are_linear(spark):
+    """Ten times the page takes about ten times as long, and a page of 10,000 links and more tags a few seconds."""
+    import time
+
+    def seconds(function, n: int) -> float:
+        page = spark.createDataFrame([(_page(n),)], "text string").cache()
+        page.count()
+        began = time.time()
+        page.select(F.hash(function(F.col("text")))).collect()
+        return time.time() - began
+
+    for function in (markup.extract_links, markup.html_strip, markup.inline_code_texts, markup.fence_regions):
+        seconds(function, 100)
+        small, large = min(seconds(function, 1_000) for _ in range(2)), seconds(function, 10_000)
+        assert large < 25 * max(small, 0.1), (function.__name__, small, large)
+        assert large < 20
+
+
+def test_links_of_a_long_page(spark):
+    n = 3_000
+    found = spark.createDataFrame([(_page(n),)], "text string").select(F.explode(markup.extract_links(F.col("text"))).alias("x")).select("x.*").collect()
+    assert [(r.words, r.href) for r in found] == [(f"item {i}", f"p{i}.md") for i in range(n)]
+
+
+def test_silent_elements_and_open_ones(spark):
+    cases = ["a<script>x</script>b", "a<SCRIPT type='t'>x<b>y</Script >z</script>b", "a<script>x", "<style>s</style><script>t</script>u", "x</script>y<scripts>z</script>", "<script\nsrc='q'></script>end"]
+    want = ["ab", "ab", "ax", "u", "xy<scripts>z", "end"]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string").orderBy("i").select(markup.html_strip(F.col("t")).alias("t")).collect()
+    assert [r.t for r in rows] == want
