@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, gold, ranking
+from ..operators import chunking, gold, lexical_index, ranking, vector_index
+from ..operators.lineage import shared_path
 from .base import bm25_sql, ident_sql, stem_sql, table
 
 SQL: dict[str, str] = {}
@@ -58,6 +59,39 @@ def bm25_topk(spark, sf_dir):
 SQL["bm25_topk"] = f"with {bm25_sql(_U, _Q, ident_sql, 10)} select query_id, unit_id, score, rank from ranked"
 
 
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark, sf_dir, name: str, make):
+    """What make gives, made once for each table and session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def _index(spark, sf_dir, name: str, tokens) -> lexical_index.Index:
+    """The index of the documents' words."""
+    return _once(spark, sf_dir, f"words {name}", lambda: lexical_index.build(_units(spark, sf_dir), tokens=tokens))
+
+
+def bm25_index_topk(spark, sf_dir):
+    """bm25_topk from the index: blocks of postings whose bounds cannot reach the first ten are not read."""
+    return lexical_index.search(_index(spark, sf_dir, "ident", T.tokenize_ident), _questions(spark, sf_dir), 10)
+
+
+SQL["bm25_index_topk"] = SQL["bm25_topk"]
+
+
+def bm25_index_bounds(spark, sf_dir):
+    """How many postings each question's words have, from the blocks' sizes alone."""
+    found = lexical_index.bounds(_index(spark, sf_dir, "ident", T.tokenize_ident), _questions(spark, sf_dir))
+    return found.groupBy("query_id").agg(F.sum("n").alias("n_postings"))
+
+
+SQL["bm25_index_bounds"] = f"""with {bm25_sql(_U, _Q, ident_sql, 10)} select query_id, count(*)::bigint as n_postings from q join po using (term) group by query_id"""
+
+
 def collapse_docs(spark, sf_dir):
     units = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("unit_id"), "text")
     ranked = ranking.bm25(units, _questions(spark, sf_dir), 50)
@@ -132,10 +166,33 @@ def ann_lsh(spark, sf_dir):
     return found.join(full, "query_id", "left_semi").unionByName(rest.select(found.columns))
 
 
+def _vector_index(spark, sf_dir) -> vector_index.Index:
+    """The index of the vectors, built once for each table and session."""
+    return _once(spark, sf_dir, "vectors", lambda: vector_index.build(_vectors(spark, sf_dir).select("unit_id", "embedding")))
+
+
+def ann_cells(spark, sf_dir):
+    """Approximate neighbours from the probed cells of the vector index; tests hold the recall to 0.9."""
+    return vector_index.search(_vector_index(spark, sf_dir), _vector_queries(spark, sf_dir), 10)
+
+
+def ann_cells_exact(spark, sf_dir):
+    """dense_topk from the vector index: cells whose bounds cannot reach the first ten are not read."""
+    return vector_index.search(_vector_index(spark, sf_dir), _vector_queries(spark, sf_dir), 10, exact=True)
+
+
+SQL["ann_cells_exact"] = SQL["dense_topk"]
+
+
 def _two_rankings(spark, sf_dir) -> DataFrame:
-    """Lexical rankings of whole documents, by identifiers and by stems."""
-    both = ranking.bm25s(_units(spark, sf_dir), _questions(spark, sf_dir), {"ident": T.tokenize_ident, "stem": T.normalize_stem}, 50)
-    return both.select("query_id", F.col("unit_id").alias("doc"), "rank", "ranking")
+    """Lexical rankings of whole documents, by identifiers and by stems: from the indexes, saved once for each table and session."""
+
+    def save() -> str:
+        found = [lexical_index.search(_index(spark, sf_dir, name, tokens), _questions(spark, sf_dir), 50, tokens).withColumn("ranking", F.lit(name)) for name, tokens in (("ident", T.tokenize_ident), ("stem", T.normalize_stem))]
+        found[0].unionByName(found[1]).select("query_id", F.col("unit_id").alias("doc"), "rank", "ranking").write.parquet(path := shared_path(spark, "two-rankings"))
+        return path
+
+    return spark.read.parquet(_once(spark, sf_dir, "two rankings", save))
 
 
 _TWO = f"""{bm25_sql(_U, _Q, ident_sql, 50)},
@@ -229,4 +286,4 @@ b as (select *, 512 - 2 - coalesce(sum(2 + len(ws)) over (partition by query_id
 k as (select *, least(len(ws), room)::bigint as taken, row_number() over (partition by query_id order by position) as i from b where room > 0)
 select query_id, count(*) as n_passages, sum(2 + taken)::bigint as tokens_in, md5(string_agg('[' || i || '] ' || path || chr(10) || array_to_string(ws[1 : taken], ' '), chr(10) || chr(10) order by i)) as documentation_md5 from k group by query_id"""
 
-QUERIES = {f.__name__: f for f in (tokenize_ident, normalize_stem, bm25_stats, bm25_topk, collapse_docs, gold_containment, dense_topk, dense_doc_max, arm_r0, ann_lsh, rrf, arm_hybrid, context_text, chunk_flat, evidence_order, pack_context)}
+QUERIES = {f.__name__: f for f in (tokenize_ident, normalize_stem, bm25_stats, bm25_topk, bm25_index_topk, bm25_index_bounds, collapse_docs, gold_containment, dense_topk, dense_doc_max, arm_r0, ann_lsh, ann_cells, ann_cells_exact, rrf, arm_hybrid, context_text, chunk_flat, evidence_order, pack_context)}
