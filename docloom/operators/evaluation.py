@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -124,6 +126,43 @@ def bootstrap_mean(rows: DataFrame, key: str, value: str, n_boot: int = BOOTSTRA
     return rows.groupBy(key).applyInPandas(run, f"{key} string, n long, mean double, ci_low double, ci_high double")
 
 
+def poisson_steps(most: int = 12) -> list[int]:
+    """The values, of 32-bit numbers, from which on a Poisson weight of mean 1 is 1, 2, 3 and so on; weights over `most` have no such number."""
+    total, steps = 0.0, []
+    for k in range(most):
+        total += math.exp(-1) / math.factorial(k)
+        steps.append(int(total * 2**32))
+    return steps
+
+
+def resampled(rows: DataFrame, by: list[str], n_boot: int = BOOTSTRAPS, seed: int = SEED) -> DataFrame:
+    """by, n, mean, ci_low, ci_high and p (two-sided, of the mean being 0) of value over rows (by, query_id, value), all rounded to six decimals.
+
+    Bootstrap by counters: in draw d a row counts as often as the Poisson quantile of a hash of the seed, d and its query
+    says. So draws are sums that combine map-side, whatever the size of a group, no group is one task's, a query has one
+    weight a draw in all groups, and any engine computes the same numbers. Values are taken in millionths, so sums are exact.
+    One digest serves four draws. Draws without any row are left out.
+    """
+    if n_boot % 4:
+        raise ValueError("draws come in fours")
+    values = rows.select(*by, F.col("query_id").cast("string").alias("_q"), F.round(F.col("value") * 1_000_000).cast("long").alias("_v"))
+    told = values.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.sum("_v") / F.count("*") / 1_000_000.0, 6).alias("mean"))
+    each = values.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n_boot // 4 - 1))))
+    each = each.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_i").cast("string"), F.col("_q")).cast("binary")))
+    drawn = [F.conv(F.substring("_h", 1 + 8 * j, 8), 16, 10).cast("long").alias(f"_u{j}") for j in range(4)]
+    weights = [sum(((F.col(f"_u{j}") >= t).cast("long") for t in poisson_steps()), F.lit(0)).alias(f"_w{j}") for j in range(4)]
+    each = each.select(*by, "_i", "_v", *drawn).select(*by, "_i", "_v", *weights)
+    sums = each.groupBy(*by, "_i").agg(*[F.sum(F.col(f"_w{j}") * F.col("_v")).alias(f"_s{j}") for j in range(4)], *[F.sum(f"_w{j}").alias(f"_n{j}") for j in range(4)])
+    draws = sums.select(*by, F.explode(F.array(*[F.struct(F.col(f"_s{j}").alias("s"), F.col(f"_n{j}").alias("n")) for j in range(4)])).alias("x")).where("x.n > 0")
+    draws = draws.select(*by, (F.col("x.s") / F.col("x.n") / 1_000_000.0).alias("m"))
+    share = lambda test: F.count_if(test) / F.count("*")
+    spread = draws.groupBy(*by).agg(
+        F.round(F.percentile("m", F.lit(0.025)), 6).alias("ci_low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("ci_high"),
+        F.round(F.least(F.lit(1.0), 2 * F.least(share(F.col("m") <= 0), share(F.col("m") >= 0))), 6).alias("p"),
+    )
+    return told.join(spread, by)
+
+
 def holm(tests: DataFrame, *family: str, alpha: float = ALPHA) -> DataFrame:
     """tests (family..., name, p) with significant: by rising p, p <= alpha / (m - i) until the first that fails; ties by name."""
     order = Window.partitionBy(*family).orderBy("p", "name")

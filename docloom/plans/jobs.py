@@ -7,6 +7,8 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import chunking, generation
+from ..operators.lineage import shared_path
+from ..streaming import ingest
 from . import retrieval
 from .base import table
 
@@ -46,3 +48,33 @@ _PACKED = re.sub(r"md5\((string_agg\(.*\))\) as documentation_md5 from k group b
 SQL["generate_answers"] = rf"""{_PACKED},
 pr as (select item_id as query_id, regexp_extract_all('Answer.' || chr(10) || chr(10) || coalesce(documentation, '') || chr(10) || chr(10) || 'Question: ' || coalesce(text, ''), '[^\t\n\v\f\r ]+') as ws from benchmark left join dc on dc.query_id = item_id)
 select query_id, case when len(ws) % 5 <> 0 then len(ws) || ' words to ' || ws[len(ws)] end as answer, case when len(ws) % 5 = 0 then 'ValueError: a multiple of five' end as error, len(ws)::bigint as n_tokens from pr"""
+
+
+def _page_files(spark, sf_dir):
+    """Documents as pages in three waves (path, content, version, wave): all of them; a third with a link to the next; and a seventh of them removed."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    path = F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    linked = F.concat("text", F.lit("\n[next](/d/"), (F.col("doc_id") + 1).cast("string"), F.lit(".md)\n"))
+    wave = lambda n, where, content: docs.where(where).select(path.alias("path"), content.cast("binary").alias("content"), F.lit(n).cast("long").alias("version"))
+    return [wave(0, "true", F.col("text")), wave(1, "doc_id % 3 = 0", linked), wave(2, "doc_id % 7 = 0", F.lit(None).cast("string"))]
+
+
+@query
+def incremental_ingest(spark, sf_dir):
+    """The state of a store after pages came in by micro-batches, a third of them twice and a seventh removed at last."""
+    source, place, checkpoint = (shared_path(spark, x) for x in ("arriving", "store", "ingest-checkpoint"))
+    for files in _page_files(spark, sf_dir):
+        files.write.mode("append").parquet(source)
+    store = ingest.Store(spark, place, 200, 20)
+    ingest.ingest(ingest.file_stream(spark, source, 4), store, checkpoint).awaitTermination()
+    chunks = store.chunks().groupBy("path").agg(F.count("*").alias("n_chunks"))
+    links = store.edges().where("kind = 'prose'").groupBy(F.col("src").alias("path")).agg(F.count("*").alias("n_links"))
+    found = store.documents().join(chunks, "path", "left").join(links, "path", "left")
+    return found.select("path", "version", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_chunks", "n_links")], F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+SQL["incremental_ingest"] = r"""with d as (select doc_id, (doc_id % 3 = 0)::int::bigint as version, text || case when doc_id % 3 = 0 then chr(10) || '[next](/d/' || (doc_id + 1) || '.md)' || chr(10) else '' end as body
+  from documents where text is not null and doc_id % 7 <> 0),
+w as (select *, len(regexp_extract_all(body, '[^\t\n\v\f\r ]+')) as n from d)
+select 'd/' || doc_id || '.md' as path, version, (case when n = 0 then 0 else 1 + greatest(ceil((n - 200) / 180.0), 0) end)::bigint as n_chunks,
+  (version = 1 and exists (select 1 from d x where x.doc_id = w.doc_id + 1))::int::bigint as n_links, md5(body) as body_md5 from w"""

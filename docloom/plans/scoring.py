@@ -112,24 +112,80 @@ def paired_delta(spark, sf_dir):
 SQL["paired_delta"] = f"with {_BASE}, {_ROWS}, {_CELLS} select a.cell, a.arm, count(*) as n, round(avg(a.ndcg10 - b.ndcg10), 6) as delta from cl a join cl b on a.cell = b.cell and a.query_id = b.query_id and a.arm <> 'stem' and b.arm = 'stem' group by all"
 
 
+def _paired_differences(spark, sf_dir) -> DataFrame:
+    return evaluation.paired(cells(spark, sf_dir), "stem").withColumn("value", F.col("value") - F.col("base_value"))
+
+
+def _compared(spark, sf_dir) -> DataFrame:
+    return evaluation.resampled(_paired_differences(spark, sf_dir), ["cell", "arm"]).withColumnRenamed("mean", "delta")
+
+
 @query
 def bootstrap_paired(spark, sf_dir):
-    return evaluation.bootstrap_paired(evaluation.paired(cells(spark, sf_dir), "stem"))
+    """Each arm's mean difference to the base in each cell, with its interval and p, by counted draws."""
+    return _compared(spark, sf_dir)
 
 
 @query
 def bootstrap_mean(spark, sf_dir):
+    return evaluation.resampled(_metric_rows(spark, sf_dir).withColumn("value", F.col("ndcg10")), ["arm"])
+
+
+@query
+def bootstrap_paired_numpy(spark, sf_dir):
+    """As the reference draws: numpy's generator over each cell's queries in order."""
+    return evaluation.bootstrap_paired(evaluation.paired(cells(spark, sf_dir), "stem"))
+
+
+@query
+def bootstrap_mean_numpy(spark, sf_dir):
     return evaluation.bootstrap_mean(_metric_rows(spark, sf_dir), "arm", "ndcg10")
 
 
+def _resampled_sql(values: str, by: str, tag: str = "") -> str:
+    """CTEs ending in rs, as evaluation.resampled; values is a query of the keys, query_id and v in millionths."""
+    weight = lambda j: " + ".join(f"(('0x' || substr(h, {1 + 8 * j}, 8))::bigint >= {t})::bigint" for t in evaluation.poisson_steps())
+    draws = " union all ".join(f"select {by}, i, {j} as j, sum(w{j} * v)::bigint as s, sum(w{j})::bigint as n from wt{tag} group by {by}, i" for j in range(4))
+    return f"""vl{tag} as ({values}),
+hs{tag} as (select {by}, v, i, md5('{evaluation.SEED}|' || i || '|' || query_id) as h from vl{tag}, range({evaluation.BOOTSTRAPS // 4}) as r(i)),
+wt{tag} as (select {by}, v, i, {", ".join(f"{weight(j)} as w{j}" for j in range(4))} from hs{tag}),
+dw{tag} as ({draws}),
+mn{tag} as (select {by}, s::double / n / 1000000.0::double as m from dw{tag} where n > 0),
+sp{tag} as (select {by}, round(quantile_cont(m, 0.025), 6) as ci_low, round(quantile_cont(m, 0.975), 6) as ci_high,
+  round(least(1.0::double, 2 * least((count(*) filter (where m <= 0))::double / count(*), (count(*) filter (where m >= 0))::double / count(*))), 6) as p from mn{tag} group by {by}),
+tl{tag} as (select {by}, count(*) as n, round(sum(v)::double / count(*) / 1000000.0::double, 6) as mean from vl{tag} group by {by}),
+rs{tag} as (select * from tl{tag} join sp{tag} using ({by}))"""
+
+
+_DIFFERENCES = "select a.cell, a.arm, a.query_id, round((a.ndcg10 - b.ndcg10) * 1000000)::bigint as v from cl a join cl b on a.cell = b.cell and a.query_id = b.query_id and a.arm <> 'stem' and b.arm = 'stem'"
+_COMPARED = f"{_BASE}, {_ROWS}, {_CELLS}, {_resampled_sql(_DIFFERENCES, 'cell, arm')}, cp as (select cell, arm, n, mean as delta, ci_low, ci_high, p from rs)"
+SQL["bootstrap_paired"] = f"with {_COMPARED} select * from cp"
+SQL["bootstrap_mean"] = f"with {_BASE}, {_ROWS}, {_resampled_sql('select arm, query_id, round(ndcg10 * 1000000)::bigint as v from rw', 'arm')} select arm, n, mean, ci_low, ci_high, p from rs"
+
+
 @query
 def verdict_v4(spark, sf_dir):
-    return evaluation.verdict_rows(bootstrap_paired(spark, sf_dir))
+    return evaluation.verdict_rows(_compared(spark, sf_dir))
 
 
 @query
 def verdict_pilot(spark, sf_dir):
-    return evaluation.verdict_pilot(bootstrap_paired(spark, sf_dir))
+    return evaluation.verdict_pilot(_compared(spark, sf_dir))
+
+
+#: Holm's correction within each cell, and the comparisons side by side.
+_TESTED = """hm as (select *, row_number() over (partition by cell order by p, arm) - 1 as i, count(*) over (partition by cell) as m from cp),
+sg as (select *, bool_and(p <= 0.05::double / (m - i)) over (partition by cell order by p, arm rows between unbounded preceding and current row) as significant from hm),
+main as (select a.arm, a.delta, a.ci_low, a.significant, p.delta as dp, p.ci_low as lp, s.ci_low as ls from sg a left join cp p on p.arm = a.arm and p.cell = 'S34_p' left join cp s on s.arm = a.arm and s.cell = 'S2_t' where a.cell = 'S34_t')"""
+SQL["verdict_v4"] = f"""with {_COMPARED}, {_TESTED}
+select 'T1' as rule, arm, coalesce(ci_low > 0 and significant and delta > 0 and lp > 0 and dp >= 0.5::double * delta, false) as pass from main
+union all select 'T4', arm, coalesce(ci_low > 0 and significant and ls > -0.05::double, false) from main
+union all select 'T5', arm, ci_low > 0 from main
+union all select case cell when 'S4_np_t' then 'T2' else 'T3' end, arm, ci_low > 0 and significant from sg where cell in ('S4_np_t', 'S3num_t')"""
+SQL["verdict_pilot"] = f"""with {_COMPARED}, {_TESTED}, c2 as (select *, delta > 0 and ci_low > 0 and significant as pass from main)
+select 'C1' as criterion, arm, ci_low > -0.05::double as pass from cp where cell = 'S1_t'
+union all select 'C2', arm, pass from c2
+union all select 'C3', arm, coalesce(pass and lp > 0 and dp >= 0.5::double * delta, false) from c2"""
 
 
 @query

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import generation
+from docloom.streaming import ingest
 
 
 def test_batches_keep_their_bounds():
@@ -65,3 +66,73 @@ def test_wrong_number_of_answers_is_an_error(spark):
     prompts = spark.range(5).select(F.col("id").alias("query_id"), F.lit("w").alias("prompt"))
     found = generation.generate(prompts, lambda: lambda batch: []).collect()
     assert {r.error for r in found} == {"ValueError: 0 answers to 1 prompts"}
+
+
+def _wave(spark, rows, folder):
+    spark.createDataFrame(rows, "path string, content binary, version long").coalesce(1).write.mode("append").parquet(folder)
+
+
+def _state(store):
+    chunks = {(r.path, r.ord, r.text) for r in store.chunks().collect()}
+    edges = {(r.src, r.dst, r.kind) for r in store.edges().collect()}
+    docs = store.documents().select("path", "version", "body", "title").collect()
+    assert len({d.path for d in docs}) == len(docs)
+    return set(map(tuple, docs)), chunks, edges
+
+
+def _pages(rng, paths, version):
+    rows = []
+    for p in paths:
+        links = " ".join(f"[x](/{rng.choice(ALL)})" for _ in range(rng.randrange(3)))
+        parent = f"parent: {rng.choice(ALL)}\n" if rng.random() < 0.3 else ""
+        rows.append((p, f"---\ntitle: t{version}\n{parent}---\n# {p}\n{links}\n{'word ' * rng.randrange(40)}".encode(), version))
+    return rows
+
+
+ALL = [f"a/p{i}.md" for i in range(30)]
+
+
+def _full_load(spark, rows, tmp_path, name):
+    """The state after one batch of everything."""
+    store = ingest.Store(spark, str(tmp_path / name), 10, 2)
+    store.write(spark.createDataFrame(rows, "path string, content binary, version long"), 0)
+    return _state(store)
+
+
+def test_increments_give_the_state_of_a_full_load(spark, tmp_path):
+    """After every wave the store is as one load of all rows so far: links to later pages, older versions that come late, removed pages and pages that come again."""
+    rng, source, done = random.Random(4), str(tmp_path / "in"), []
+    store = ingest.Store(spark, str(tmp_path / "store"), 10, 2)
+    waves = [_pages(rng, ALL[:12], 1), _pages(rng, ALL[8:20], 3) + [(ALL[0], None, 2)], _pages(rng, ALL[5:10], 2) + _pages(rng, ALL[:2], 4), _pages(rng, ALL[20:], 1) + [(ALL[20], None, 5), (ALL[20], b"again", 6), ("b/empty.md", b"", 1)]]
+    for i, wave in enumerate(waves):
+        _wave(spark, wave, source)
+        done += wave
+        ingest.ingest(ingest.file_stream(spark, source, 1), store, str(tmp_path / "checkpoint")).awaitTermination()
+        assert _state(store) == _full_load(spark, done, tmp_path, f"full{i}")
+        assert store.committed().count() == i + 1
+    assert {r.path for r in store.changed(3).collect()} <= {r[0] for r in waves[3]}
+    # nothing new: no batch
+    ingest.ingest(ingest.file_stream(spark, source, 1), store, str(tmp_path / "checkpoint")).awaitTermination()
+    assert store.committed().count() == len(waves)
+
+
+def test_a_batch_that_failed_counts_once_after_a_restart(spark, tmp_path):
+    class Failing(ingest.Store):
+        def _put(self, table, rows, batch):
+            super()._put(table, rows, batch)
+            if table == "refs" and batch == 1:
+                raise RuntimeError("lost")
+
+    rng, source = random.Random(6), str(tmp_path / "in")
+    waves = [_pages(rng, ALL[:6], 1), _pages(rng, ALL[3:9], 2)]
+    for wave in waves:
+        _wave(spark, wave, source)
+    broken = Failing(spark, str(tmp_path / "store"), 10, 2)
+    with pytest.raises(Exception):
+        ingest.ingest(ingest.file_stream(spark, source, 1), broken, str(tmp_path / "checkpoint")).awaitTermination()
+    first = _full_load(spark, waves[0], tmp_path, "first")
+    assert _state(broken) == first  # what the failed batch wrote is not seen
+    whole = ingest.Store(spark, str(tmp_path / "store"), 10, 2)
+    ingest.ingest(ingest.file_stream(spark, source, 1), whole, str(tmp_path / "checkpoint")).awaitTermination()
+    assert _state(whole) == _full_load(spark, waves[0] + waves[1], tmp_path, "both")
+    assert whole.committed().count() == 2

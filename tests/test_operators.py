@@ -399,3 +399,28 @@ def test_silent_elements_and_open_ones(spark):
     want = ["ab", "ab", "ax", "u", "xy<scripts>z", "end"]
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string").orderBy("i").select(markup.html_strip(F.col("t")).alias("t")).collect()
     assert [r.t for r in rows] == want
+
+
+def test_counted_draws_are_a_bootstrap(spark):
+    """Intervals near numpy's, one weight a query in all groups, and nothing that depends on partitions."""
+    rng = np.random.default_rng(5)
+    values = {"a": rng.normal(0.05, 0.2, 120).round(6), "b": rng.normal(0.0, 0.2, 120).round(6), "c": np.zeros(1)}
+    rows = [(g, i, float(v)) for g, vs in values.items() for i, v in enumerate(vs)]
+    frame = spark.createDataFrame(rows, "arm string, query_id long, value double")
+    found = {r.arm: r for r in evaluation.resampled(frame, ["arm"]).collect()}
+    again = {r.arm: r for r in evaluation.resampled(frame.repartition(7), ["arm"]).collect()}
+    assert found == again
+    for g in "ab":
+        mean, low, high, p = evaluation.bootstrap(values[g])
+        assert found[g].n == 120 and abs(found[g]["mean"] - mean) < 1e-6
+        assert abs(found[g].ci_low - low) < 0.006 and abs(found[g].ci_high - high) < 0.006 and abs(found[g].p - p) < 0.02
+    assert (found["c"].ci_low, found["c"].ci_high, found["c"].p) == (0.0, 0.0, 1.0)
+    twins = frame.where("arm = 'a'").unionByName(frame.where("arm = 'a'").withColumn("arm", F.lit("z")))
+    one, two = evaluation.resampled(twins, ["arm"]).collect()
+    assert one[1:] == two[1:]
+
+
+def test_poisson_steps():
+    u = np.random.default_rng(1).integers(0, 2**32, 200_000)
+    weights = sum((u >= t).astype(int) for t in evaluation.poisson_steps())
+    assert abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02
