@@ -4,8 +4,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from docloom.operators import generation
+from docloom.operators import digest_tree, generation
+from docloom.sources import bundle_source
 from docloom.streaming import ingest
 
 
@@ -136,3 +138,95 @@ def test_a_batch_that_failed_counts_once_after_a_restart(spark, tmp_path):
     ingest.ingest(ingest.file_stream(spark, source, 1), whole, str(tmp_path / "checkpoint")).awaitTermination()
     assert _state(whole) == _full_load(spark, waves[0] + waves[1], tmp_path, "both")
     assert whole.committed().count() == 2
+
+
+@pytest.fixture(scope="module")
+def bundle(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("bundle"))
+    docs = spark.range(1000).select(F.format_string("%s/p%04d.md", F.when(F.col("id") % 2 == 0, "a").otherwise("b"), "id").alias("path"), F.when(F.col("id") % 5 == 0, "store").when(F.col("id") % 5 == 1, None).otherwise("item").alias("doc_type"), F.col("id").cast("string").alias("title"), F.lit("x").alias("body"))
+    docs = docs.select("*", *[F.lit(None).cast("string").alias(c) for c in ("description", "status", "fm")], F.array("title").alias("tags"))
+    chunks = docs.select(F.concat("path", F.lit("-0")).alias("chunk_id"), "path", F.lit("struct").alias("policy"), F.lit(0).alias("ord"), F.col("body").alias("text"))
+    vectors = chunks.select("chunk_id", "path", F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
+    edges = docs.select(F.col("path").alias("src"), F.col("path").alias("dst"), F.lit("prose").alias("kind"), F.lit("authored").alias("provenance"))
+    bundle_source.write(folder, docs, chunks, edges, {"struct": vectors}, 50)
+    return folder, docs.cache()
+
+
+@pytest.mark.parametrize("where", [
+    "true", "doc_type = 'store'", "doc_type is null", "doc_type in ('item', 'none')", "path like 'a/p00%'", "path = 'b/p0501.md'", "path > 'b/p09' and doc_type = 'item'", "path <= 'a/p0010.md'",
+    "title = '7' or path = 'a/p0000.md'", "size(tags) = 1 and path >= 'b/p0990.md'", "path = 'nothing'", "doc_type <> 'item'", "lower(path) like 'a/p0%' and path < 'a/p0100.md'",
+])
+def test_bundle_source_filters(spark, bundle, where):
+    folder, docs = bundle
+    rows = lambda df: sorted((r.path, r.doc_type, r.title, tuple(r.tags)) for r in df.where(where).collect())
+    assert rows(bundle_source.read(spark, folder)) == rows(docs)
+
+
+def test_bundle_source_opens_the_ranges_that_filters_leave(bundle):
+    folder, _ = bundle
+    from pyspark.sql.datasource import EqualTo, StringStartsWith
+
+    def groups(*tests):
+        reader = bundle_source.BundleSource({"path": folder}).reader(StructType.fromDDL(bundle_source.BundleSource({"path": folder}).schema()))
+        assert list(reader.pushFilters(list(tests))) == []
+        return sum(len(r.groups) for r in reader.partitions())
+
+    every = groups()
+    assert every >= 10
+    assert 0 < groups(StringStartsWith(("path",), "a/p000")) < every / 2
+    assert 0 < groups(EqualTo(("doc_type",), "store"), EqualTo(("path",), "a/p0500.md")) <= 2
+    assert groups(EqualTo(("path",), "zzz")) == 0
+    small = bundle_source.BundleReader(f"{folder}/docs", StructType.fromDDL(bundle_source.BundleSource({"path": folder}).schema()), 1)
+    assert len(small.partitions()) == every
+
+
+def test_bundle_layouts_and_vectors(spark, bundle, tmp_path):
+    folder, docs = bundle
+    assert bundle_source.read(spark, folder, "vectors").where("path like 'a/%'").count() == 500
+    edges = bundle_source.read(spark, folder, "edges").limit(3)
+    chunk = docs.limit(20).select(F.concat("path", F.lit("-0")).alias("chunk_id"), "path", F.lit("flat").alias("policy"), F.lit(0).alias("ord"), F.col("body").alias("text"))
+    pilot, odd, holes = (str(tmp_path / x) for x in ("pilot", "odd", "holes"))
+    bundle_source.write(pilot, docs.limit(20), chunk.withColumn("vector", F.array(F.lit(1.0))), edges)
+    assert bundle_source.read(spark, pilot, "chunks", layout="pilot").where("vector[0] = 1.0").count() == 20
+    bundle_source.write(holes, docs.limit(20), chunk.withColumn("vector", F.when(~F.startswith("path", F.lit("a/p0004")), F.array(F.lit(1.0)))), edges)
+    bundle_source.write(odd, docs.limit(20), chunk.withColumn("vector", F.when(F.startswith("path", F.lit("a/p0004")), F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.lit(1.0)))), edges)
+    for broken, said in ((holes, "null vectors"), (odd, "unlike lengths")):
+        with pytest.raises(Exception, match=said):
+            bundle_source.read(spark, broken, "chunks", layout="pilot").collect()
+    with pytest.raises(Exception, match="has no part"):
+        bundle_source.read(spark, pilot, "vectors", layout="pilot").collect()
+    bundle_source.write(none := str(tmp_path / "none"), docs.where("false"), chunk.where("false"), edges.where("false"), {})
+    assert bundle_source.read(spark, none).isEmpty()
+
+
+def _tree_files(spark, names):
+    return spark.createDataFrame([(p, c) for p, c in names.items()], "path string, content string")
+
+
+def test_trees_differ_where_files_do(spark):
+    rng = random.Random(9)
+    base = {f"d/{i}": f"text {i}" for i in range(500)}
+    other = dict(base)
+    for p in rng.sample(sorted(base), 6):
+        other[p] += "!"
+    gone, new = sorted(base)[7], "d/new"
+    del other[gone]
+    other[new] = ""
+    base["d/null"], other["d/null"] = None, ""
+    want = {(p, "mismatch") for p in base if p in other and base[p] != other[p]} | {(gone, "extra"), (new, "missing")}
+    for depth in (1, 3):
+        one, two = (digest_tree.build(_tree_files(spark, x).repartition(n), depth=depth) for x, n in ((base, 2), (other, 5)))
+        assert {(r.path, r.problem) for r in digest_tree.compare(one, two).collect()} == want
+        assert one.nodes(0).first().n == len(base) and one.root() != two.root()
+    leaves = digest_tree.differing_leaves(one, two).count()
+    assert leaves <= len(want) and leaves < one.nodes(3).count() / 10
+
+
+def test_trees_of_equal_and_empty_collections(spark):
+    names = {f"d/{i}": "t" for i in range(40)}
+    one, two, none = (digest_tree.build(_tree_files(spark, x), depth=2) for x in (names, dict(reversed(names.items())), {}))
+    assert one.root() == two.root() and digest_tree.compare(one, two).isEmpty()
+    assert none.root() is None and digest_tree.compare(none, none).isEmpty()
+    assert digest_tree.compare(none, one).where("problem = 'missing'").count() == 40
+    with pytest.raises(ValueError):
+        digest_tree.compare(one, digest_tree.build(_tree_files(spark, names), depth=1))
