@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("retrieval", "wiki", "facts", "scoring", "markup", "arms", "collection", "jobs")
+FAMILIES = ("retrieval", "wiki", "facts", "scoring", "markup", "arms", "collection", "jobs", "benchmark")
 
 
 def _families():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation, ranking
+from ..operators.lineage import cut
 from .base import ident_sql, table
 from .retrieval import _TWO, _two_rankings, gold_containment
 from .retrieval import SQL as _RETRIEVAL
@@ -113,7 +114,7 @@ SQL["paired_delta"] = f"with {_BASE}, {_ROWS}, {_CELLS} select a.cell, a.arm, co
 
 
 def _paired_differences(spark, sf_dir) -> DataFrame:
-    return evaluation.paired(cells(spark, sf_dir), "stem").withColumn("value", F.col("value") - F.col("base_value"))
+    return evaluation.paired(cut(cells(spark, sf_dir)), "stem").withColumn("value", F.col("value") - F.col("base_value"))
 
 
 def _compared(spark, sf_dir) -> DataFrame:
@@ -165,12 +166,12 @@ SQL["bootstrap_mean"] = f"with {_BASE}, {_ROWS}, {_resampled_sql('select arm, qu
 
 @query
 def verdict_v4(spark, sf_dir):
-    return evaluation.verdict_rows(_compared(spark, sf_dir))
+    return evaluation.verdict_rows(cut(_compared(spark, sf_dir)))
 
 
 @query
 def verdict_pilot(spark, sf_dir):
-    return evaluation.verdict_pilot(_compared(spark, sf_dir))
+    return evaluation.verdict_pilot(cut(_compared(spark, sf_dir)))
 
 
 #: Holm's correction within each cell, and the comparisons side by side.
