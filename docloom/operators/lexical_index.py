@@ -24,6 +24,7 @@ from .lineage import cut, shared_path
 
 TILE = 256  # units of a tile
 BUCKETS = 64  # of words
+UNITS_EACH = 1_000_000  # of a bucket's file
 SALTED_TILES = 256  # a word's blocks are joined in parts of about so many tiles
 _FOUND = 1e-6  # scores are rounded to six decimals, so bounds are compared with as much slack
 
@@ -63,6 +64,9 @@ def build(units: DataFrame, path: str | None = None, tokens=tokenize_ident, tile
     spark = units.sparkSession
     path = path or shared_path(spark, "bm25-index")
     read = units.select(F.col("unit_id").cast("string").alias("unit_id"), tokens(F.col("text")).alias("terms")).withColumn("n_terms", F.size("terms"))
+    # words are cut out once: ranging looks at lengths before it moves rows
+    read.write.parquet(f"{path}/words")
+    read = spark.read.schema(read.schema).parquet(f"{path}/words")
     ranged = read.repartitionByRange("n_terms", F.xxhash64("unit_id")).sortWithinPartitions("n_terms").withColumn("at", F.monotonically_increasing_id())
     # the upper bits of at are the partition, the lower 33 the row in it
     row = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
@@ -80,8 +84,9 @@ def build(units: DataFrame, path: str | None = None, tokens=tokenize_ident, tile
     each = each.crossJoin(facts).withColumn("gain", gain)
     blocks = each.groupBy("term", "tile").agg(F.count("*").alias("n"), F.max("gain").alias("bound"), F.array_sort(F.collect_list(F.struct("ord", "tf", "n_terms"))).alias("postings"))
     blocks = blocks.withColumn("bucket", bucket_of(F.col("term")))
-    # a bucket's blocks in several files, so that a word of every tile is no single task's
-    blocks.repartition("bucket", F.pmod(F.xxhash64("term", F.shiftright("tile", 8)), F.lit(8))).sortWithinPartitions("bucket", "term", "tile").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    # a bucket's blocks in more files the more units there are, so that a word of every tile is no single task's
+    files = 1 + index.table("facts").first().n_units // UNITS_EACH
+    blocks.repartition("bucket", F.pmod(F.xxhash64(F.shiftright("tile", 8)), F.lit(files))).sortWithinPartitions("bucket", "term", "tile").write.partitionBy("bucket").parquet(f"{path}/blocks")
     index.table("blocks").groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.count("*").alias("n_tiles")).write.parquet(f"{path}/terms")
     return index
 

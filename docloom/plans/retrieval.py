@@ -185,11 +185,11 @@ SQL["ann_cells_exact"] = SQL["dense_topk"]
 
 
 def _two_rankings(spark, sf_dir) -> DataFrame:
-    """Lexical rankings of whole documents, by identifiers and by stems: from the indexes, saved once for each table and session."""
+    """Lexical rankings of whole documents, by identifiers and by stems, saved once for each table and session."""
 
     def save() -> str:
-        found = [lexical_index.search(_index(spark, sf_dir, name, tokens), _questions(spark, sf_dir), 50, tokens).withColumn("ranking", F.lit(name)) for name, tokens in (("ident", T.tokenize_ident), ("stem", T.normalize_stem))]
-        found[0].unionByName(found[1]).select("query_id", F.col("unit_id").alias("doc"), "rank", "ranking").write.parquet(path := shared_path(spark, "two-rankings"))
+        both = ranking.bm25s(_units(spark, sf_dir), _questions(spark, sf_dir), {"ident": T.tokenize_ident, "stem": T.normalize_stem}, 50)
+        both.select("query_id", F.col("unit_id").alias("doc"), "rank", "ranking").write.parquet(path := shared_path(spark, "two-rankings"))
         return path
 
     return spark.read.parquet(_once(spark, sf_dir, "two rankings", save))
