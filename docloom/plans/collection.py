@@ -152,7 +152,8 @@ def number_parse(spark, sf_dir):
     return o.select("o_orderkey", Q.whole_number(text).alias("number"))
 
 
-SQL["number_parse"] = "select o_orderkey, case when o_orderkey % 5 <> 0 then floor(o_totalprice)::bigint * 10 end as number from orders"
+SQL["number_parse"] = """with t as (select o_orderkey, case when o_orderkey % 5 = 0 then '1,2,x' else format('{:,}', floor(o_totalprice)::bigint * 10) end as text from orders)
+select o_orderkey, case when regexp_full_match(text, '[0-9][0-9,]*') then replace(text, ',', '')::bigint end as number from t"""
 
 
 @query
@@ -163,7 +164,8 @@ def commit_shape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.is_commit(revision).alias("pinned"))
 
 
-SQL["commit_shape"] = "select page_id, page_id % 5 = 0 or (page_id % 5 = 2 and upper(sha1(url)) = sha1(url)) as pinned from pages"
+SQL["commit_shape"] = """with r as (select page_id, case page_id % 5 when 1 then substr(sha1(url), 1, 39) when 2 then upper(sha1(url)) when 3 then 'main' when 0 then sha1(url) end as revision from pages)
+select page_id, coalesce(regexp_full_match(revision, '[0-9a-f]{40}'), false) as pinned from r"""
 
 
 @query
@@ -225,10 +227,13 @@ def extract_totals(spark, sf_dir):
     return bundle.extraction_totals(rows, titles)
 
 
-SQL["extract_totals"] = r"""with r as (select s_suppkey % 4 <> 0 as whole, s_name, n_name, '{"parent": "' || n_name || '", "mentions": ["' || s_name || '", "' || s_name || '", "nobody"]}' as raw from supplier join nation on s_nationkey = n_nationkey),
-a as (select *, case when whole then raw else raw[1:length(raw) - 4] end as said from r)
-select count(*) as docs, 2 * count(*) as edges, count(*) filter (whole) as parse_ok, count(*) filter (whole) as unknown_titles,
-  sum(len(regexp_extract_all('Links of ' || s_name, '[^\t\n\v\f\r ]+')))::bigint as prompt_tokens, sum(len(regexp_extract_all(said, '[^\t\n\v\f\r ]+')))::bigint as completion_tokens from a"""
+SQL["extract_totals"] = r"""with r as (select s_suppkey::varchar as path, s_suppkey % 4 <> 0 as whole, s_name, n_name, '{"parent": "' || n_name || '", "mentions": ["' || s_name || '", "' || s_name || '", "nobody"]}' as raw from supplier join nation on s_nationkey = n_nationkey),
+a as (select *, case when whole then raw else raw[1:length(raw) - 4] end as said from r),
+t as (select n_name as title, 'nation' as target from nation union all select s_name, 'supplier' from supplier),
+l as (select distinct path, unnest(list_concat([regexp_extract(said, '"parent": "([^"]*)"', 1)], regexp_extract_all(regexp_extract(said, '"mentions": \[(.*)', 1), '"([^"]*)"', 1))) as title from a),
+e as (select count(target) as edges, count(*) - count(target) as unknown_titles from l left join t on lower(t.title) = lower(l.title) where target is null or target <> path)
+select count(*) as docs, max(edges) as edges, count(*) filter (said like '{%]}') as parse_ok, max(unknown_titles) as unknown_titles,
+  sum(len(regexp_extract_all('Links of ' || s_name, '[^\t\n\v\f\r ]+')))::bigint as prompt_tokens, sum(len(regexp_extract_all(said, '[^\t\n\v\f\r ]+')))::bigint as completion_tokens from a, e"""
 
 
 @query
@@ -297,4 +302,8 @@ def parent_leaks(spark, sf_dir):
     return store.parent_leaks(docs, {"supplier": "region"}, r.select(F.lit("supplier").alias("doc_type"), F.col("r_name").alias("name")))
 
 
-SQL["parent_leaks"] = "select s_suppkey::varchar as path, unnest(case s_suppkey % 7 when 1 then ['tag'] when 2 then ['field'] when 3 then ['field', 'parent'] when 4 then ['link'] else [] end) as leak from supplier"
+SQL["parent_leaks"] = """with k as (select *, s_suppkey % 7 as kind from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+d as (select s_suppkey::varchar as path, case when kind = 6 then 'region' else 'supplier' end as doc_type, case when kind in (1, 6) then [s_name, r_name] when kind <> 0 then [n_name] end as tags,
+  case when kind in (2, 3, 6) then r_name end as region, case when kind = 3 then 'x.md' end as parent, s_name || case when kind = 4 then '. Part of [its parent page](/x.md).' else '' end as body from k)
+select path, unnest(list_filter([case when region is not null then 'field' end, case when parent is not null then 'parent' end, case when contains(body, 'Part of [its parent page](') then 'link' end], lambda x: x is not null)) as leak from d where doc_type = 'supplier'
+union all select distinct path, 'tag' from d, region where doc_type = 'supplier' and list_contains(tags, r_name)"""
