@@ -42,3 +42,37 @@ def test_a_bin_gives_k_units_a_question_whatever_is_equal(spark):
     asked = pa.table({"ranking": [""] * 3, "query_id": [0, 1, 2], "avg_terms": [2.0] * 3, "terms": [["all"], ["same"], ["all", "same"]], "idf": [[0.1], [0.1], [0.1, 0.1]]})
     found = ranking._best_part([""], pa.int64(), 5, ranking.K1, ranking.B)(held, asked)
     assert found.num_rows == 15 and sorted(set(found["unit_id"].to_pylist())) == ["0", "1", "10", "100", "101"]
+
+
+@pytest.mark.parametrize("group", [None, "doc"])
+def test_dense_queries_do_not_pass_the_driver(spark, monkeypatch, group):
+    vectors = [(i, i % 3, [float(i % 5), float(i % 7 - 3)]) for i in range(60)]
+    asked = [(i, v) for i, _, v in vectors if i % 9 == 0]
+    rows = spark.createDataFrame(vectors, "unit_id long, doc long, embedding array<double>")
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    score = lambda a, b: round(sum(x * y for x, y in zip(a, b)), 6) + 0.0
+    monkeypatch.setattr(ranking, "BIN_VECTORS", 7)
+    monkeypatch.setattr(ranking, "ENTRIES", 20)
+    for name in ("collect", "toLocalIterator"):
+        monkeypatch.setattr(type(rows), name, lambda *_: pytest.fail("rows reach the driver"))
+    found = ranking.dense_docs(rows, queries, "doc", "unit_id", 2) if group else ranking.dense_topk(rows, queries, 4)
+    monkeypatch.undo()
+    want = []
+    for q, v in asked:
+        order = sorted((-score(v, e), u, d) for u, d, e in vectors)
+        if group:
+            best = sorted(min(x for x in order if x[2] == d) for d in range(3))[:2]
+            want += [(q, d, -s, place) for place, (s, _, d) in enumerate(best, 1)]
+        else:
+            want += [(q, u, -s + 0.0, place) for place, (s, u, _) in enumerate(order[:4], 1)]
+    got = sorted((r.query_id, r["doc" if group else "unit_id"], r.score, r["rank"]) for r in found.collect())
+    assert got == sorted(want)
+
+
+def test_a_dense_task_holds_a_slice_of_its_scores(monkeypatch):
+    monkeypatch.setattr(ranking, "ENTRIES", 50)
+    schema = pa.schema([("query_id", pa.int64()), ("doc", pa.int64()), ("unit_id", pa.int64()), ("score", pa.float64())])
+    rows = pa.table({"doc": [1, 0, 1, 0], "unit_id": [3, 2, 1, 0], "embedding": [[1.0], [2.0], [1.0], [2.0]]})
+    asked = pa.table({"query_id": list(range(30)), "embedding": [[1.0]] * 30})
+    found = ranking._dense_part(None, "doc", ["doc", "unit_id"], schema)(rows, asked)
+    assert found.num_rows == 60 and {(r["doc"], r["unit_id"], r["score"]) for r in found.to_pylist()} == {(0, 0, 2.0), (1, 1, 1.0)}
