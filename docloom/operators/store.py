@@ -73,9 +73,10 @@ def replace_chunks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def shared_shingles(left: DataFrame, right: DataFrame, length: int = 8) -> DataFrame:
-    """id pairs (left_id, right_id) of the same doc whose texts share a run of `length` characters, by an equi-join of shingles; shorter texts share if one holds the other."""
+    """id pairs (left_id, right_id) of the same doc whose texts share a run of `length` characters, by an equi-join of shingles; shorter texts have none."""
     grams = lambda df, c: df.where(F.length("text") >= length).select("doc", F.col("id").alias(c), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - length + 1), lambda i: F.substring("text", i, length)))).alias("gram"))
-    return grams(left, "left_id").join(grams(right, "right_id"), ["doc", "gram"]).select("doc", "left_id", "right_id").distinct()
+    # Spark takes shingles to be as large as their texts, so it would send a side through the driver: merged instead
+    return grams(left, "left_id").hint("merge").join(grams(right, "right_id"), ["doc", "gram"]).select("doc", "left_id", "right_id").distinct()
 
 
 def basename_conflicts(tree: DataFrame, others: DataFrame, root: str) -> DataFrame:

@@ -76,3 +76,13 @@ def test_a_dense_task_holds_a_slice_of_its_scores(monkeypatch):
     asked = pa.table({"query_id": list(range(30)), "embedding": [[1.0]] * 30})
     found = ranking._dense_part(None, "doc", ["doc", "unit_id"], schema)(rows, asked)
     assert found.num_rows == 60 and {(r["doc"], r["unit_id"], r["score"]) for r in found.to_pylist()} == {(0, 0, 2.0), (1, 1, 1.0)}
+
+
+def test_shared_shingles_are_not_broadcast(spark):
+    from docloom.operators import store
+
+    left = spark.createDataFrame([(1, 10, "abcdefghij"), (1, 11, "zzzz"), (2, 12, "12345678"), (None, 13, "abcdefgh")], "doc long, id long, text string")
+    right = spark.createDataFrame([(1, 20, "xxcdefghijyy"), (1, 21, "abcdefgxhij"), (2, 22, "abcdefghij"), (None, 23, "abcdefgh"), (2, 24, "x12345678"), (2, 25, None)], "doc long, id long, text string")
+    found = store.shared_shingles(left, right)
+    assert sorted(map(tuple, found.collect())) == [(1, 10, 20), (2, 12, 24)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
