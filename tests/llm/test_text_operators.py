@@ -265,3 +265,13 @@ def test_token_counts_are_the_librarys(spark):
     model = tokens.Viterbi([("▁a", -1.0), ("a", -1.0), ("aa", -2.0), ("▁", -1.0)])
     assert model.count("aaaa") == model.count("aaaa") > 0 and model.count("") == 0
     assert tokens.count(corpus.empty(spark), "doc_id", vocabulary=vocabulary).count() == 0
+
+
+def test_quality_verdicts_do_not_depend_on_the_size_of_the_corpus(spark):
+    """Languages are large by their share of the words: a corpus repeated is judged as before, also at and below one in a hundred."""
+    words = " ".join(f"word{i % 30}" for i in range(120))
+    odd = " ".join(f"other{i}" for i in range(120))
+    rows = [(i, "en", f"{words} number{i}") for i in range(150)] + [(200, "fi", words), (201, "sv", odd), (202, "sv", words), (203, None, odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    told = lambda df: {tuple(r) for r in quality.judge(df, "doc_id", "text").select("doc_id", "kept", "class_distance", "word_distance").collect()}
+    assert told(docs) == told(docs.union(docs).union(docs).union(docs))
