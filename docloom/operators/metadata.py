@@ -78,25 +78,37 @@ def condition() -> Column:
         out = out.when(F.col("op") == op, F.when(both, test(num, low)).when(word, test(one, first)).otherwise(False))
     out = out.when(F.col("op") == "between", both & num.between(low, F.get(x, F.lit(1))))
     out = out.when(F.col("op").isin("start_month", "end_month"), _month(one) == low)
-    out = out.when(F.col("op") == "month_overlap", (_month(one) <= low) & (_month(F.col("until")) >= low))
+    # month_overlap is met by a start and an end: see apply_filters
+    out = out.when(F.col("op") == "month_overlap", F.when(F.col("field") == "end", _month(one) >= low).otherwise(_month(one) <= low))
     return F.coalesce(out, F.lit(False))
 
 
 def apply_filters(fields: DataFrame, filters: DataFrame) -> DataFrame:
-    """query_id and path of the documents of each query's type that meet all its filters; a missing field meets none."""
-    until = fields.where("field = 'end'").select("path", F.get("vals", F.lit(0)).alias("until"))
-    wanted = filters.withColumn("field", F.when(F.col("op").isin("month_overlap", "start_month"), "start").when(F.col("op") == "end_month", "end").otherwise(F.col("field")))
-    counts = filters.groupBy("query_id").agg(F.count_distinct("n").alias("_all"))
-    met = fields.join(wanted, ["doc_type", "field"]).join(until, "path", "left").where(condition())
-    found = met.groupBy("query_id", "path").agg(F.count_distinct("n").alias("_met"))
+    """query_id and path of the documents of each query's type that meet all its filters; a missing field meets none.
+
+    month_overlap has a part for the start and one for the end, so no rows of a document are joined. A type has few fields, so
+    field rows meet filters by a hash of their path too: no field's rows are one task's.
+    """
+    op = F.col("op")
+    part = lambda field, name: F.struct(F.lit(field).alias("field") if isinstance(field, str) else field.alias("field"), F.lit(name).alias("part"))
+    about = F.when(op == "month_overlap", F.array(part("start", ""), part("end", "end"))).when(op == "start_month", F.array(part("start", ""))).when(op == "end_month", F.array(part("end", ""))).otherwise(F.array(part(F.col("field"), "")))
+    wanted = filters.select("query_id", "doc_type", "n", "op", "s", "x", F.explode(about).alias("_a")).select("query_id", "doc_type", "n", "op", "s", "x", "_a.field", "_a.part")
+    counts = wanted.groupBy("query_id").agg(F.count_distinct("n", "part").alias("_all"))
+    # as many rows as types have fields: those that no filter is about go before anything else
+    held = fields.join(F.broadcast(wanted.select("doc_type", "field").distinct()), ["doc_type", "field"], "left_semi")
+    ways = int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = held.withColumn("_way", F.pmod(F.xxhash64("path"), F.lit(ways)).cast("int"))
+    met = held.join(wanted.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))), ["doc_type", "field", "_way"]).where(condition())
+    # few rows are of one query and path, so they are grouped after the exchange, not in the maps before it
+    found = met.select("query_id", "path", "n", "part").repartition(ways, "query_id", "path").groupBy("query_id", "path").agg(F.count_distinct("n", "part").alias("_met"))
     return found.join(counts, "query_id").where(F.col("_met") == F.col("_all")).select("query_id", "path")
 
 
 def tiered(hits: DataFrame, ranked: DataFrame, k: int = DOCS) -> DataFrame:
     """Hits (query_id, path) by their lexical score (none: 0), then the lexical ranking (query_id, path, score, rank); distinct."""
     scored = hits.join(ranked.select("query_id", "path", "score"), ["query_id", "path"], "left").fillna({"score": 0.0})
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "path"))
-    first = scored.select("query_id", F.lit(0).alias("tier"), place.alias("pos"), "path")
+    place = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "path"))
+    first = scored.withColumn("pos", place).where(F.col("pos") <= k).select("query_id", F.lit(0).alias("tier"), "pos", "path")
     rest = ranked.select("query_id", F.lit(1).alias("tier"), F.col("rank").cast("int").alias("pos"), "path")
     return ordered_union(first.unionByName(rest), "path", k)
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
-from docloom.operators import ranking
+from docloom.operators import graph, metadata, ranking
 
 
 def _plain_bm25(units, questions, k):
@@ -114,3 +114,24 @@ def test_pairs_that_share_buckets_are_never_rows(spark):
         want += [(q, u, d, place) for place, (d, u) in enumerate(near, 1)]
     assert sorted((r.query_id, r.unit_id, r.distance, r["rank"]) for r in found.collect()) == sorted(want)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_filters_join_no_field_rows_and_put_no_field_in_one_task(spark):
+    fields = spark.range(4000).selectExpr("concat('o/', id) as path", "'promotion' as doc_type", "explode(array('start', 'end')) as field", "id").selectExpr(
+        "path", "doc_type", "field", "'date' as kind", "array(concat('2024-', lpad(1 + (id + if(field = 'end', 2, 0)) % 12, 2, '0'), '-01')) as vals", "cast(null as double) as num").cache()
+    filters = spark.createDataFrame([("a", "promotion", 0, "start", "month_overlap", [], [3.0]), ("b", "promotion", 0, "start", "start_month", [], [3.0]), ("b", "promotion", 1, "end", "end_month", [], [5.0]), ("c", "promotion", 0, "end", "end_month", [], [1.0]), ("c", "promotion", 1, "start", "month_overlap", [], [11.0])],
+                                    "query_id string, doc_type string, n int, field string, op string, s array<string>, x array<double>")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold") if spark.conf.get(k, None)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = metadata.apply_filters(fields, filters)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        rows = {(r.query_id, r.path) for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    month = lambda i, more=0: 1 + (i + more) % 12
+    tests = {"a": lambda i: month(i) <= 3 <= month(i, 2), "b": lambda i: month(i) == 3, "c": lambda i: False}
+    assert rows == {(q, f"o/{i}") for q, test in tests.items() for i in range(4000) if test(i)}
+    # the fields are read once, and what they meet is dealt by their path
+    assert plan.count("InMemoryRelation") == 1 and "_way" in plan
