@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_stem
 from . import chunking, graph, metadata, ranking
+from .lineage import kept
 
 
 def run_arms(
@@ -29,11 +30,12 @@ def run_arms(
     under their headings (R1h); units (unit_id, path) and ranked_units (query_id, unit_id, path, rank): sections and
     their ranking, for the budgeted walk (R3a). What fuses or expands other arms needs those.
     """
-    named = lambda ranked: ranked.withColumnRenamed("unit_id", "path")
+    named = lambda ranked: kept(ranked.withColumnRenamed("unit_id", "path"), "arm")
+    # rankings that others fuse or expand are computed once
     arms = {"R2s": named(ranking.bm25(metadata.pseudo_docs(docs, fields), questions, k, tokens=normalize_stem)), "R2": named(ranking.bm25(metadata.pseudo_docs_v1(docs, fields), questions, k))}
     r2s = arms["R2s"]
-    arms |= dense or {}
-    matches = graph.title_match(questions, docs)
+    arms |= {name: kept(ranked, "arm") for name, ranked in (dense or {}).items()}
+    matches = kept(graph.title_match(questions, docs), "matches")
 
     def fused(constant: int, *names: str) -> DataFrame:
         rows = [arms[n].select("query_id", F.col("path").alias("doc"), "rank", F.lit(n).alias("ranking")) for n in names]
@@ -47,14 +49,14 @@ def run_arms(
         arms["R3d"] = graph.expand_docs(arms[sections], edges, k=k)
     if units is not None and ranked_units is not None:
         walked = graph.budgeted(ranked_units, units, edges).join(units, "unit_id")
-        arms["R3a"] = ranking.collapse(walked, "path", k)
+        arms["R3a"] = kept(ranking.collapse(walked, "path", k), "arm")
     if {"R1", "R3a"} <= set(arms):
         arms["R4"] = fused(pilot_k, "R1", "R2", "R3a")
     if "R1c" in arms:
         arms["R4c"] = fused(pilot_k, "R1c", "R2s", "R3d")
     if texts is not None:
         best = ranking.bm25(texts.select("unit_id", "text"), questions, k).join(texts.select(F.col("unit_id").cast("string").alias("unit_id"), "path"), "unit_id")
-        arms["C_bm25"] = ranking.collapse(best, "path", k)
+        arms["C_bm25"] = kept(ranking.collapse(best, "path", k), "arm")
         if "R0" in arms:
             arms["C_flat_hybrid"] = fused(pilot_k, "R0", "C_bm25")
     if wanted is not None:
@@ -63,7 +65,7 @@ def run_arms(
         if conditions is not None:
             arms[name] = metadata.tiered(metadata.apply_filters(fields, conditions), r2s, k)
     if "R0" in arms:
-        arms["R7f"] = fused(rrf_k, "R2s", "R0")
+        arms["R7f"] = kept(fused(rrf_k, "R2s", "R0"), "arm")
         similar = arms.get("R1", arms["R0"]).select("query_id", "path", "score")
         arms["R7h"] = graph.two_step(matches, edges, similar, arms["R7f"].select("query_id", "path", "rank"), k=k)
     rows = [ranked.select(F.lit(name).alias("arm"), "query_id", "path", F.col("rank").cast("long").alias("rank")) for name, ranked in arms.items()]

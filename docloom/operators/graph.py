@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_stem
-from .lineage import cut
+from .lineage import cut, kept
 from .ranking import DOCS, ordered_union, top
 
 #: Weights of link kinds (fixed values).
@@ -23,6 +23,13 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.where("src <> dst").distinct()
 
 
+def near(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """The rows of undirected(edges) whose src is among paths (path). Other links go before repeated ones are looked for, so what is grouped are the neighbours of some paths, not all links."""
+    at = kept(paths.select(F.col("path").alias("src")).distinct(), "near")
+    both = edges.select("src", "dst", "kind").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind"))
+    return both.where("src <> dst").join(at, "src", "left_semi").distinct()
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     return undirected(edges).groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("neighbours")).withColumnRenamed("src", "path")
 
@@ -37,10 +44,11 @@ def expand_weighted(ranked: DataFrame, edges: DataFrame, factor: float = 0.25, s
     Scores are shares of the best. A document gains the largest loan, not the sum; ties go to the
     earlier seed, then to the smaller path.
     """
+    ranked = kept(ranked, "ranked")
     best = ranked.groupBy("query_id").agg(F.max("score").alias("_top"))
     base = ranked.join(best, "query_id").select("query_id", "path", "rank", F.when(F.col("_top") > 0, F.col("score") / F.col("_top")).otherwise(F.lit(0.0)).alias("s"))
     lent = base.where(F.col("rank") <= seeds).select("query_id", F.col("path").alias("src"), "s")
-    weighed = undirected(edges).groupBy("src", "dst").agg(F.max(weight(F.col("kind"), weights)).alias("w"))
+    weighed = near(edges, ranked.where(F.col("rank") <= seeds)).groupBy("src", "dst").agg(F.max(weight(F.col("kind"), weights)).alias("w"))
     loans = lent.join(weighed, "src").groupBy("query_id", F.col("dst").alias("path")).agg(F.max(factor * F.col("w") * F.col("s")).alias("loan"))
     merged = base.join(loans, ["query_id", "path"], "full").select("query_id", "path", F.when(F.col("rank") <= seeds, F.col("rank")).otherwise(1 << 30).alias("_seed"), F.round(F.coalesce("s", F.lit(0.0)) + F.coalesce("loan", F.lit(0.0)), 9).alias("score"))
     return top(merged, k, F.col("score").desc(), F.col("_seed"), F.col("path")).drop("_seed")
@@ -48,11 +56,12 @@ def expand_weighted(ranked: DataFrame, edges: DataFrame, factor: float = 0.25, s
 
 def expand_docs(ranked: DataFrame, edges: DataFrame, seeds: int = 5, k: int = DOCS) -> DataFrame:
     """The first seeds, then their neighbours seed by seed (each by path), then the rest of the ranking."""
+    ranked = kept(ranked, "ranked")
     first = ranked.where(F.col("rank") <= seeds)
-    near = first.select("query_id", F.col("path").alias("src"), F.col("rank").alias("seed")).join(undirected(edges).select("src", "dst").distinct(), "src")
+    found = first.select("query_id", F.col("path").alias("src"), F.col("rank").alias("seed")).join(near(edges, first).select("src", "dst").distinct(), "src").groupBy("query_id", "dst").agg(F.min("seed").alias("seed"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("seed", "dst"))
     tiers = first.select("query_id", F.lit(0).alias("tier"), F.col("rank").cast("int").alias("pos"), "path")
-    tiers = tiers.unionByName(near.select("query_id", F.lit(1).alias("tier"), place.alias("pos"), F.col("dst").alias("path")))
+    tiers = tiers.unionByName(found.withColumn("pos", place).where(F.col("pos") <= k).select("query_id", F.lit(1).alias("tier"), "pos", F.col("dst").alias("path")))
     tiers = tiers.unionByName(ranked.where(F.col("rank") > seeds).select("query_id", F.lit(2).alias("tier"), F.col("rank").cast("int").alias("pos"), "path"))
     return ordered_union(tiers, "path", k)
 
@@ -62,12 +71,12 @@ def bfs(seeds: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:
 
     A path is reached by the fewest hops; of several seeds by the best. One join a hop.
     """
-    near = undirected(edges).select(F.col("src").alias("path"), "dst").distinct()
     reached = seeds.groupBy("query_id", "path").agg(F.min("rank").alias("seed")).withColumn("hop", F.lit(0))
-    frontier = reached
+    frontier = reached = kept(reached, "reached")
     for hop in range(1, hops + 1):
-        step = frontier.join(near, "path").groupBy("query_id", F.col("dst").alias("path")).agg(F.min("seed").alias("seed"))
-        frontier = step.join(reached, ["query_id", "path"], "left_anti").withColumn("hop", F.lit(hop))
+        links = near(edges, frontier).select(F.col("src").alias("path"), "dst").distinct()
+        step = frontier.join(links, "path").groupBy("query_id", F.col("dst").alias("path")).agg(F.min("seed").alias("seed"))
+        frontier = kept(step.join(reached, ["query_id", "path"], "left_anti").withColumn("hop", F.lit(hop)), "reached")
         reached = reached.unionByName(frontier)
     return reached
 
@@ -111,12 +120,13 @@ def parent_aware(matches: DataFrame, wanted: DataFrame, docs: DataFrame, edges:
 
 def two_step(matches: DataFrame, edges: DataFrame, similarity: DataFrame, fallback: DataFrame, entities: int = 3, k: int = DOCS) -> DataFrame:
     """Up to three named documents, then their neighbours by similarity (query_id, path, score; none: -1), then the fallback ranking."""
-    named = matches.where(F.col("rank") <= entities).select("query_id", "path", "rank")
-    near = named.select("query_id", F.col("path").alias("src")).join(undirected(edges).select("src", "dst").distinct(), "src").select("query_id", F.col("dst").alias("path")).distinct()
-    near = near.join(named.select("query_id", "path"), ["query_id", "path"], "left_anti").join(similarity, ["query_id", "path"], "left").fillna({"score": -1.0})
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "path"))
+    named = kept(matches.where(F.col("rank") <= entities).select("query_id", "path", "rank"), "named")
+    found = named.select("query_id", F.col("path").alias("src")).join(near(edges, named).select("src", "dst").distinct(), "src").select("query_id", F.col("dst").alias("path")).distinct()
+    found = found.join(named.select("query_id", "path"), ["query_id", "path"], "left_anti").join(similarity, ["query_id", "path"], "left").fillna({"score": -1.0})
+    place = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "path"))
+    found = found.withColumn("pos", place).where(F.col("pos") <= k)
     tiers = named.select("query_id", F.lit(0).alias("tier"), F.col("rank").cast("int").alias("pos"), "path")
-    tiers = tiers.unionByName(near.select("query_id", F.lit(1).alias("tier"), place.alias("pos"), "path"))
+    tiers = tiers.unionByName(found.select("query_id", F.lit(1).alias("tier"), "pos", "path"))
     return ordered_union(tiers.unionByName(fallback.select("query_id", F.lit(2).alias("tier"), F.col("rank").cast("int").alias("pos"), "path")), "path", k)
 
 

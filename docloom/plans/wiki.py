@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, metadata, ranking
+from ..operators.lineage import kept
 from .base import bm25_sql, ident_sql, table
 
 SQL: dict[str, str] = {}
@@ -41,7 +42,7 @@ def wiki_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = wiki_docs(spark, sf_dir)
     child = docs.where("parent is not null").select(F.col("parent").alias("src"), F.col("path").alias("dst"), F.lit("child").alias("kind"))
     at = docs.where("doc_type = 'supplier'").select(F.regexp_extract("path", r"supplier-(\d+)\.md$", 1).cast("long").alias("l_suppkey"), "path")
-    pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").repartition("l_suppkey", "l_partkey").distinct()  # few are alike, so no map looks for them
     prose = pairs.join(at, "l_suppkey").select(F.col("path").alias("src"), F.concat(F.lit("part/"), F.col("l_partkey").cast("string"), F.lit(".md")).alias("dst"), F.lit("prose").alias("kind"))
     return child.unionByName(prose)
 
@@ -225,7 +226,7 @@ SQL["filter_apply"] = HITS
 
 
 def filter_rank(spark, sf_dir):
-    return metadata.tiered(filter_apply(spark, sf_dir), arm_r2s_all(spark, sf_dir))
+    return metadata.tiered(filter_apply(spark, sf_dir), kept(arm_r2s_all(spark, sf_dir), "ranked"))
 
 
 _TIERED = """h as (select hits.query_id, hits.path, coalesce(score, 0) as score from hits left join r2s using (query_id, path)),
@@ -320,7 +321,7 @@ SQL["title_match"] = f"with {_DOCS}, {TITLES} select * from tm"
 def parent_aware(spark, sf_dir):
     wanted = questions(spark).select("query_id", F.lit("nation").alias("doc_type"))
     kids = graph.parent_aware(title_match(spark, sf_dir), wanted, wiki_docs(spark, sf_dir), wiki_edges(spark, sf_dir))
-    return metadata.tiered(kids, arm_r2s_all(spark, sf_dir))
+    return metadata.tiered(kids, kept(arm_r2s_all(spark, sf_dir), "ranked"))
 
 
 SQL["parent_aware"] = f"""with {r2s_sql(50)}, {EDGES}, {TITLES},
@@ -328,7 +329,7 @@ hits as (select distinct tm.query_id, d.path from tm join edges e on e.kind = 'c
 
 
 def two_step(spark, sf_dir):
-    fallback = arm_r2s_all(spark, sf_dir)
+    fallback = kept(arm_r2s_all(spark, sf_dir), "ranked")
     similarity = fallback.select("query_id", "path", "score")
     return graph.two_step(title_match(spark, sf_dir), wiki_edges(spark, sf_dir), similarity, fallback.select("query_id", "path", "rank"))
 

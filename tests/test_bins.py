@@ -135,3 +135,27 @@ def test_filters_join_no_field_rows_and_put_no_field_in_one_task(spark):
     assert rows == {(q, f"o/{i}") for q, test in tests.items() for i in range(4000) if test(i)}
     # the fields are read once, and what they meet is dealt by their path
     assert plan.count("InMemoryRelation") == 1 and "_way" in plan
+
+
+def test_neighbours_of_some_paths_leave_other_links_out_before_grouping(spark):
+    edges = spark.createDataFrame([(f"p{i}", f"q{i % 7}", "prose") for i in range(200)] + [("q0", "p0", "prose"), ("p1", "p1", "child"), ("p0", "q0", "prose")], "src string, dst string, kind string")
+    paths = spark.createDataFrame([("q0",), ("p1",), ("none",)], "path string")
+    found = graph.near(edges, paths)
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {tuple(r) for r in graph.undirected(edges).where("src in ('q0', 'p1')").collect()}
+    grouped = found._jdf.queryExecution().optimizedPlan().toString()
+    assert grouped.index("Aggregate") < grouped.index("LeftSemi")
+
+
+def test_rankings_that_arms_share_are_computed_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        made.add(1)
+        return rows
+
+    base = spark.createDataFrame([("q", "a", 1.0, 1), ("q", "b", 0.5, 2)], "query_id string, path string, score double, rank long").coalesce(1)
+    ranked = base.mapInPandas(counted, base.schema)
+    edges = spark.createDataFrame([("a", "c", "child")], "src string, dst string, kind string")
+    assert {r.path for r in graph.expand_weighted(ranked, edges).collect()} == {"a", "b", "c"}
+    assert made.value == 1
