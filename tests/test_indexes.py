@@ -73,6 +73,21 @@ def test_blocks_below_the_bound_and_other_buckets_are_not_read(spark, words):
     assert over.isEmpty()
 
 
+def test_no_pair_of_a_question_and_a_posting_is_a_row(spark, words):
+    units, index = words
+    questions = spark.createDataFrame(QUESTIONS, "query_id long, text string")
+    weights, buckets = lexical_index._weights(index, questions, T.tokenize_ident)
+    every = lexical_index.bounds(index, questions).select("query_id", "tile")
+    whole, best = lexical_index._scored(index, weights, buckets, every), lexical_index._scored(index, weights, buckets, every, 3)
+    every_row, best_rows = ({(r.query_id, r.tile, r.ord, r.score) for r in df.collect()} for df in (whole, best))
+    assert best_rows < every_row
+    # a bin gives a question its three best and what ties with the third
+    first = lambda rows, q: sorted((r[3] for r in rows if r[0] == q), reverse=True)[:3]
+    assert all(first(best_rows, q) == first(every_row, q) for q in {r[0] for r in every_row})
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(postings" not in plan
+
+
 def test_index_of_other_tokens_and_of_nothing(spark):
     units = spark.createDataFrame([("a", "Stores store_id"), ("b", "cities"), ("c", "store")], "unit_id string, text string")
     index = lexical_index.build(units, tokens=T.normalize_stem)
