@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokenize_ident
 from . import ranking
-from .lineage import cut, shared_path
+from .lineage import cut, kept, shared_path
 
 TILE = 256  # units of a tile
 BUCKETS = 64  # of words
@@ -186,8 +186,8 @@ def _scores_part(kind: pa.DataType, k: int | None, average: float, k1: float, b:
                 order = np.lexsort((-scores, q))
                 q, tiles, units, scores = q[order], tiles[order], units[order], scores[order]
                 edge = np.minimum(np.searchsorted(q, q) + k, np.searchsorted(q, q, "right")) - 1
-                kept = scores >= scores[edge]  # ties at the edge stay for the global order
-                q, tiles, units, scores = q[kept], tiles[kept], units[kept], scores[kept]
+                near = scores >= scores[edge]  # ties at the edge stay for the global order
+                q, tiles, units, scores = q[near], tiles[near], units[near], scores[near]
             out.append(pa.table([some["query_id"].take(pa.array(q)), pa.array(tiles), pa.array(units.astype(np.int32)), pa.array(scores)], schema=schema))
         return pa.concat_tables(out)
 
@@ -203,8 +203,9 @@ def _scored(index: Index, weights: DataFrame, buckets: list[int], tiles: DataFra
     facts = index.table("facts").first()
     blocks = max(1, math.ceil(weights.select("query_id").distinct().count() / ranking.BLOCK))
     bin_of = F.shiftright("tile", int(math.log2(BIN_TILES)))
-    # blocks that no question needs are dropped before their postings are shuffled
-    held = index.blocks(buckets).select("bucket", "term", "tile", "postings").join(weights.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").join(tiles.select("tile").distinct(), "tile", "left_semi")
+    # blocks that no question needs are dropped before their postings are shuffled; by tables whose size the planner knows
+    words, at = kept(weights.select("bucket", "term").distinct(), "asked-words"), kept(tiles.select("tile").distinct(), "asked-tiles")
+    held = index.blocks(buckets).select("bucket", "term", "tile", "postings").join(words, ["bucket", "term"], "left_semi").join(at, "tile", "left_semi")
     held = held.select("term", "tile", "postings", bin_of.alias("_bin"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
     told = weights.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("w")).select("query_id", F.col("w.term").alias("terms"), F.col("w.idf").alias("idf"))
     asked = tiles.groupBy("query_id", bin_of.alias("_bin")).agg(F.collect_list("tile").alias("tiles")).join(told, "query_id").withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
@@ -224,14 +225,14 @@ def kept_tiles(index: Index, questions: DataFrame, k: int, tokens=tokenize_ident
     begun = ranking.top(most, first, F.col("most").desc(), F.col("tile")).select("query_id", "tile")
     reached = ranking.top(_scored(index, weights, buckets, begun, k), k, F.col("score").desc(), F.col("tile"), F.col("ord"))
     least = reached.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    kept = most.join(least, "query_id", "left").where(F.col("most") + _FOUND >= F.coalesce("least", F.lit(0.0)))
-    return cut(kept.select("query_id", "tile")), weights, buckets
+    able = most.join(least, "query_id", "left").where(F.col("most") + _FOUND >= F.coalesce("least", F.lit(0.0)))
+    return cut(able.select("query_id", "tile")), weights, buckets
 
 
 def search(index: Index, questions: DataFrame, k: int = ranking.DOCS, tokens=tokenize_ident, first: int = 2) -> DataFrame:
     """query_id, unit_id, score and rank of the k best units for each question (query_id, text), as ranking.bm25 ranks all units; tokens must be those of the index."""
-    kept, weights, buckets = kept_tiles(index, questions, k, tokens, first)
-    scored = _scored(index, weights, buckets, kept, k)
+    able, weights, buckets = kept_tiles(index, questions, k, tokens, first)
+    scored = _scored(index, weights, buckets, able, k)
     # names of units are looked up for those that can still be among the first k: rank() keeps ties at the edge
     place = F.rank().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))
     edge = scored.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
