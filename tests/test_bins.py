@@ -6,7 +6,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
-from docloom.operators import graph, metadata, ranking
+from docloom.operators import gold, graph, metadata, ranking
 
 
 def _plain_bm25(units, questions, k):
@@ -159,3 +159,12 @@ def test_rankings_that_arms_share_are_computed_once(spark):
     edges = spark.createDataFrame([("a", "c", "child")], "src string, dst string, kind string")
     assert {r.path for r in graph.expand_weighted(ranked, edges).collect()} == {"a", "b", "c"}
     assert made.value == 1
+
+
+def test_contained_items_shuffle_no_texts(spark):
+    units = spark.createDataFrame([(i, f"some words before the item number {i % 7} of a list that all hold and more") for i in range(50)], "unit_id int, text string")
+    items = spark.createDataFrame([(i, f"before the item number {i} of a list that all hold") for i in range(7)] + [(7, "more"), (8, "the item")], "query_id int, text string")
+    found = gold.containment(units, items)
+    assert sorted((r.unit_id, r.query_id) for r in found.collect()) == sorted([(i, i % 7) for i in range(50)] + [(i, q) for i in range(50) for q in (7, 8)])
+    exchanges = [line for line in found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].splitlines() if "hashpartitioning" in line]
+    assert exchanges and not any("text" in line or "key" in line for line in exchanges)
