@@ -5,6 +5,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.operators import gold, graph, metadata, ranking
 
@@ -168,3 +169,14 @@ def test_contained_items_shuffle_no_texts(spark):
     assert sorted((r.unit_id, r.query_id) for r in found.collect()) == sorted([(i, i % 7) for i in range(50)] + [(i, q) for i in range(50) for q in (7, 8)])
     exchanges = [line for line in found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].splitlines() if "hashpartitioning" in line]
     assert exchanges and not any("text" in line or "key" in line for line in exchanges)
+
+
+def test_a_task_of_bm25_holds_few_bins_and_orders_texts_not_words(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BIN_UNITS", 2)
+    units = spark.range(90).select(F.col("id").alias("unit_id"), F.concat_ws(" ", F.lit("word"), F.col("id")).alias("text"))
+    found = ranking.bm25(units, spark.createDataFrame([(1, "word 7")], "query_id int, text string"), 3)
+    plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].splitlines()
+    dealt = [line for line in plan if "Exchange hashpartitioning(_bin" in line and "_block" in line]
+    assert dealt and all(int(line.split("_block")[1].split(", ")[1].split(")")[0]) >= 45 for line in dealt)
+    part = next(i for i, line in enumerate(plan) if "FlatMapCoGroupsInArrow" in line)
+    assert "Project" in plan[part + 1] and [r.unit_id for r in found.orderBy("rank").collect()] == ["7", "0", "1"]
