@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import questions
 from docloom.operators import gold, graph, metadata, ranking
 
 
@@ -180,3 +181,14 @@ def test_a_task_of_bm25_holds_few_bins_and_orders_texts_not_words(spark, monkeyp
     assert dealt and all(int(line.split("_block")[1].split(", ")[1].split(")")[0]) >= 45 for line in dealt)
     part = next(i for i, line in enumerate(plan) if "FlatMapCoGroupsInArrow" in line)
     assert "Project" in plan[part + 1] and [r.unit_id for r in found.orderBy("rank").collect()] == ["7", "0", "1"]
+
+
+def test_questions_and_answers_are_parsed_by_many_tasks(spark):
+    kinds = spark.createDataFrame([("store", "region", "str"), ("store", "sq_ft", "int")], "doc_type string, field string, kind string")
+    values = spark.createDataFrame([("store", "region", ["EAST", "WEST"])], "doc_type string, field string, vals array<string>")
+    asked = spark.createDataFrame([(i, f"which stores not in the {x} have more than 5,000 square feet?") for i, x in enumerate(["west", "east"] * 4)], "query_id int, text string").coalesce(1)
+    answers = asked.select("query_id", F.lit('{x {"type": "store", "filters": [{"field": "sq_ft", "op": ">", "value": "5,000"}, 7]} {"type": "store"}').alias("raw"))
+    for found, want in ((questions.parse_filters(asked, kinds, values), 16), (questions.model_filters(answers, kinds), 8)):
+        assert len(found.collect()) == want and {tuple(r.x) for r in found.where("field = 'sq_ft' and op = '>'").collect()} == {(5000.0,)}
+        plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].splitlines()
+        assert any("REPARTITION_BY_NUM" in line for line in plan)
