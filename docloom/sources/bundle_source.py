@@ -94,10 +94,10 @@ class BundleReader(DataSourceReader):
             else:
                 yield test
 
-    def _kept(self, group) -> bool:
-        told = {group.column(j).path_in_schema: group.column(j).statistics for j in range(group.num_columns)}
+    def _kept(self, group, places: dict[str, int]) -> bool:
         for test in self.tests:
-            found = told.get(test.attribute[0])
+            at = places.get(test.attribute[0])
+            found = None if at is None else group.column(at).statistics
             if found is not None and found.has_min_max and not may_hold(test, found.min, found.max):
                 return False
         return True
@@ -112,9 +112,10 @@ class BundleReader(DataSourceReader):
         ranges = []
         for name in sorted(f.path for f in found if f.is_file and f.path.endswith(".parquet")):
             meta, groups, size = pq.read_metadata(name, filesystem=system), [], 0
+            places = {meta.schema.column(j).path: j for j in range(meta.num_columns)}
             for i in range(meta.num_row_groups):
                 group = meta.row_group(i)
-                if self._kept(group):
+                if self._kept(group, places):
                     groups.append(i)
                     size += group.total_byte_size
                 if groups and size >= self.range_bytes:
@@ -180,11 +181,11 @@ def read(spark: SparkSession, path: str, part: str = "docs", **options: str) ->
 
 
 def write(path: str, docs: DataFrame, chunks: DataFrame, edges: DataFrame, vectors: dict[str, DataFrame] | None = None, rows_each: int = ROWS_EACH) -> None:
-    """Writes a bundle: its tables by ranges of their paths, so that filters on paths leave whole row groups out. Without vectors, chunks carry their own (the pilot layout)."""
+    """Writes a bundle: its tables by ranges of their paths, so that filters on paths leave whole row groups, of rows_each rows, out. Without vectors, chunks carry their own (the pilot layout)."""
     named = [("docs", "docs", docs, ("doc_type", "path")), ("chunks" if vectors is not None else "pilot chunks", "chunks", chunks, ("path", "ord")), ("edges", "edges", edges, ("src", "dst"))]
     named += [("vectors", f"vectors_{policy}", rows, ("path", "chunk_id")) for policy, rows in (vectors or {}).items()]
     for schema, folder, rows, order in named:
         kinds = StructType.fromDDL(_SCHEMAS[schema])
         cast = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds])
         ranged = cast.repartitionByRange(*order).sortWithinPartitions(*order)
-        ranged.write.option("parquet.block.row.count.limit", rows_each).option("maxRecordsPerFile", rows_each).parquet(f"{path}/{folder}")
+        ranged.write.option("parquet.block.row.count.limit", rows_each).parquet(f"{path}/{folder}")

@@ -230,3 +230,13 @@ def test_trees_of_equal_and_empty_collections(spark):
     assert digest_tree.compare(none, one).where("problem = 'missing'").count() == 40
     with pytest.raises(ValueError):
         digest_tree.compare(one, digest_tree.build(_tree_files(spark, names), depth=1))
+
+
+def test_a_bundle_has_a_file_for_many_row_groups(bundle):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    files = glob.glob(f"{bundle[0]}/docs/*.parquet")
+    groups = [pq.read_metadata(f).row_group(i).num_rows for f in files for i in range(pq.read_metadata(f).num_row_groups)]
+    assert sum(groups) == 1000 and max(groups) <= 50 and len(files) < len(groups)
