@@ -11,6 +11,7 @@ from ..functions import markup as M
 from ..functions import questions as Q
 from ..functions import text as T
 from ..operators import chunking
+from ..operators.lineage import kept, spread
 from ..sources import markdown
 from .base import stem_sql, table
 from .wiki import _DOCS, wiki_docs
@@ -381,7 +382,7 @@ def _files(spark, sf_dir) -> DataFrame:
 
 @query
 def ingest_docs(spark, sf_dir):
-    docs = markdown.documents(_files(spark, sf_dir))
+    docs = kept(markdown.documents(spread(_files(spark, sf_dir), "path")), "docs")  # parsed once, by as many tasks as the session's width
     edges, _ = markdown.links(docs)
     out = edges.groupBy(F.col("dst").alias("path"), "kind").count().groupBy("path").pivot("kind", ["child", "prose"]).agg(F.sum("count"))
     return docs.join(out, "path", "left").select("path", "doc_type", "title", F.array_join("tags", ",").alias("tags"), F.col("depth").cast("long").alias("depth"), F.col("char_len").cast("long").alias("char_len"), F.coalesce("child", F.lit(0)).cast("long").alias("n_child"), F.coalesce("prose", F.lit(0)).cast("long").alias("n_prose"))

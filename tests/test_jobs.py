@@ -240,3 +240,17 @@ def test_a_bundle_has_a_file_for_many_row_groups(bundle):
     files = glob.glob(f"{bundle[0]}/docs/*.parquet")
     groups = [pq.read_metadata(f).row_group(i).num_rows for f in files for i in range(pq.read_metadata(f).num_row_groups)]
     assert sum(groups) == 1000 and max(groups) <= 50 and len(files) < len(groups)
+
+
+def test_front_matter_is_parsed_once_for_documents_and_links(spark):
+    from docloom.plans import markup
+    from docloom.sources import markdown
+
+    plan = markup.ingest_docs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "ArrowEvalPython" not in plan
+    for text in ("a: 1\nb: [x, 'y']\n", "t: 2004-01-02\nn: ~\ny: yes\nz: 1e3\n", "", "plain", "q: 'it''s'\nu: \"\\u00e9 é\"\n"):
+        import json
+
+        import yaml
+
+        assert markdown._front(text) == json.dumps(yaml.safe_load(text) or {}, default=str)
